@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import mixing, quality_rules
+from . import mixing, packing, quality_rules, secrets
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op5_secret_scan": secrets.query,
+        "op8_packing": packing.query,
         "op9_quality_rules": quality_rules.query,
         "op10_mixing": mixing.query,
     }
