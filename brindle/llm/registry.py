@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import mixing, packing, quality_rules, secrets
+from . import html_diff, mixing, packing, quality_rules, secrets
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_html_extraction": html_diff.query,
         "op5_secret_scan": secrets.query,
         "op8_packing": packing.query,
         "op9_quality_rules": quality_rules.query,

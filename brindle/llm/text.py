@@ -37,5 +37,5 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 def through_table(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
