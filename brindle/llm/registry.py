@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import html_diff, minhash, mixing, packing, quality_rules, secrets
+from . import html_diff, kneser_ney, minhash, mixing, packing, quality_rules, secrets
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_html_extraction": html_diff.query,
+        "op2_quality_classifier": kneser_ney.query,
         "op4_minhash_dedup": minhash.query,
         "op5_secret_scan": secrets.query,
         "op8_packing": packing.query,
