@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import html_diff, kneser_ney, minhash, mixing, packing, quality_rules, secrets
+from . import html_diff, kneser_ney, minhash, mixing, packing, quality_rules, secrets, substrings
 
 
 def queries() -> dict[str, Callable]:
@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable]:
         "op2_quality_classifier": kneser_ney.query,
         "op4_minhash_dedup": minhash.query,
         "op5_secret_scan": secrets.query,
+        "op7_substring_dedup": substrings.query,
         "op8_packing": packing.query,
         "op9_quality_rules": quality_rules.query,
         "op10_mixing": mixing.query,
