@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import html_diff, kneser_ney, minhash, mixing, packing, quality_rules, secrets, substrings
+from . import chroma, html_diff, kneser_ney, minhash, mixing, packing, quality_rules, secrets, substrings, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_html_extraction": html_diff.query,
         "op2_quality_classifier": kneser_ney.query,
+        "op3_chroma_fingerprints": chroma.query,
         "op4_minhash_dedup": minhash.query,
         "op5_secret_scan": secrets.query,
+        "op6_toxicity": toxicity.query,
         "op7_substring_dedup": substrings.query,
         "op8_packing": packing.query,
         "op9_quality_rules": quality_rules.query,
