@@ -1,17 +1,75 @@
-"""Corpus pipeline: stages are added as their operators are built."""
+"""The corpus pipeline: documents to packed training sequences in five stages.
+
+Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept
+and returns a DataFrame; ``run`` writes it as Parquet in the shared folder and
+reads it again. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.llm import kneser_ney, minhash, mixing, packing, secrets
+from brindle.llm.text import table, through_table, words_of
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    judged = kneser_ney.classify(docs, table(spark, sf_dir, "labels"))
+    rejected = judged.where("NOT kept").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays, the one with the least doc_id."""
+    classes = through_table(minhash.near_duplicates(docs), "classes")
+    copies = classes.where("doc_id <> class_id").select("doc_id").distinct()
+    kept = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    if not classes.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept
+
+
+def secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced; no document goes."""
+    return secrets.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document stands as often as the mix takes it whole, and once with its first words if it takes a part."""
+    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max("whole").alias("whole"), F.max("part").alias("part"))
+    taken = taken.select(F.col("doc_id").alias("t_id"), "whole", "part")
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("t_id")))
+    parts = F.array_repeat(F.lit(0), F.col("whole").cast("int"))
+    parts = F.when(F.col("part") > 0, F.array_append(parts, F.col("part").cast("int"))).otherwise(parts)
+    rows = rows.withColumn("first", F.explode(parts))
+    text = F.when(F.col("first") > 0, F.array_join(F.slice(words_of(F.col("text")), 1, F.col("first")), " ")).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
+    return rows.select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs)
+
 
-from brindle.llm.text import table
+STAGES = [
+    ("quality classifier", quality),
+    ("near-duplicates", near_copies),
+    ("secret scan", secret_free),
+    ("source mixing", mixed),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: No stage but mixing can be said in SQL; the tests compare with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = through_table(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
