@@ -182,41 +182,52 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     docs = docs.select("doc_id", "text")
     idf = word_idf(docs)
     signed = through_table(docs.mapInPandas(sign_batches(idf), f"doc_id {kind}, node binary, keys array<long>, sig binary"), "signed")
-    nodes = through_table(
-        signed.where(F.size("keys") > 0).groupBy("node").agg(F.min_by(F.struct("keys", F.hex("sig").alias("sig")), "doc_id").alias("s"), F.first("keys").alias("any_keys"), F.first(F.hex("sig")).alias("any_sig"))
-        .select("node", F.coalesce("s.keys", "any_keys").alias("keys"), F.coalesce("s.sig", "any_sig").alias("sig")),
-        "nodes",
-    )
-    members = nodes.select("node", "sig", F.explode("keys").alias("key"))
-    seeded = [F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("o"), F.col("node"), F.col("sig"))).alias(f"p{i}") for i in range(2)]
-    pivots = members.groupBy("key").agg(F.count("*").alias("n"), *seeded).where("n > 1").select("key", F.explode(F.array("p0", "p1")).alias("p"))
-    pivots = pivots.select("key", F.col("p.node").alias("a"), F.col("p.sig").alias("sig_a")).distinct()
-    starred = members.join(pivots, "key").where((F.col("node") != F.col("a")) & (agreement(F.col("sig"), F.col("sig_a")) >= AGREE))
-    starred = starred.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    links = through_table(verified(docs, starred, idf, least), "links")
+    keyed = signed.where(F.size("keys") > 0).groupBy("node").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig"))  # equal texts have equal signatures
+    nodes = through_table(keyed.select(F.monotonically_increasing_id().alias("id"), "node", "keys", F.hex("sig").alias("sig")), "nodes")
+    sigs = nodes.select("id", "sig")
+    members = nodes.select("id", F.explode("keys").alias("key"))
+    seeded = [F.min(F.struct(F.xxhash64(F.lit(i), "id").alias("o"), F.col("id")))["id"].alias(f"p{i}") for i in range(2)]
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), *seeded).where("n > 1").drop("n")
+    shared = through_table(members.join(buckets, "key"), "buckets")
+    starred = shared.select("id", F.explode(F.array("p0", "p1")).alias("p")).where("id <> p")
+    starred = starred.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+    starred = through_table(agreeing(starred, sigs), "pairs")
+    links = through_table(verified(docs, nodes, starred, idf, least), "links")
     labels = components(links)
-    placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed_ = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest = placed.join(mixed_, "key")
-    left, right = (rest.select("key", F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
+    placed = shared.select("key", "id").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    rest = through_table(placed.join(split, "key", "left_semi").join(sigs, "id"), "rest")
+    left, right = (rest.select("key", F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
     cross = left.join(right, (left.key == right.key) & (F.col("label_a") < F.col("label_b")) & (agreement(F.col("sig_a"), F.col("sig_b")) >= AGREE))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
-    more = through_table(verified(docs, cross, idf, least), "links")
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cross = through_table(cross.join(starred, ["a", "b"], "left_anti"), "pairs")
+    more = through_table(verified(docs, nodes, cross, idf, least), "links")
     if not more.isEmpty():
         labels = components(links.unionAll(more))
-    classed = signed.select("doc_id", "node", (F.size("keys") == 0).alias("bare")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    class_ids = classed.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return classed.join(class_ids, "label").select("doc_id", F.when(F.col("bare"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
-
-
-def verified(docs: DataFrame, pairs: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """Pairs of text digests whose texts are similar enough."""
-    pairs = through_table(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(verify_batches(idf, least), "a binary, b binary, similarity double")
+    named = nodes.select("node", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("label", "id").alias("label"))
+    classed = signed.select("doc_id", "node").join(named, "node", "left")  # documents without words have no label
+    class_ids = classed.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    return classed.join(class_ids, "label", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    both = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    return both.where(agreement(F.col("sig_a"), F.col("sig_b")) >= AGREE).select("a", "b")
+
+
+#: Up to so many texts, their digests (16 bytes each) are broadcast to pick them; beyond, both sides are shuffled.
+BROADCAST_TEXTS = 500_000
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """Pairs of nodes whose texts are similar enough. pairs is a written table."""
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = through_table(nodes.select("node", "id").join(ids, "id", "left_semi"), "wanted")
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
+    texts = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("node"), "text").join(side, "node").dropDuplicates(["id"])
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInPandas(verify_batches(idf, least), "a long, b long, similarity double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
