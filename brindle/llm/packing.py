@@ -42,7 +42,7 @@ WINDOW = 2048
 QUANTUM = 128
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 NON_SPACE = re.compile(r"[^ \t-\r]+")
 
 
@@ -52,31 +52,69 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next above 255."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+class WordIds(dict):
+    """Word -> its ids as bytes, encoded at the first use and kept while the process lives.
+
+    A word of Latin letters, with or without full stops and commas behind it, is
+    split into letters and marks by the tokenizer in any case; its letters go to
+    the vocabulary's merges directly. All other words take the whole tokenizer.
+    """
+
+    kept: dict[str, WordIds] = {}
+
+    def __init__(self, path: str, end_id: int):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.kind = "<u2" if self.tok.get_vocab_size() <= 65536 and end_id < 65536 else "<u4"
+        self.letter = byte_letters()
+
+    @classmethod
+    def of(cls, path: str, end_id: int) -> WordIds:
+        have = cls.kept.get(path)
+        if have is None or len(have) > CACHE_WORDS:
+            have = cls.kept[path] = cls(path, end_id)
+        return have
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(".,").lower()
+        if core != word and self.latin(core):
+            data = self[core] + (self[word[len(core) :]] if len(word) > len(core) else b"")
+        elif core == word and self.latin(word):
+            text = word if word.isascii() else "".join(self.letter[b] for b in word.encode())
+            data = np.array([t.id for t in self.tok.model.tokenize(text)], self.kind).tobytes()
+        else:
+            data = np.array(self.tok.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        self[word] = data
+        return data
+
+    @staticmethod
+    def latin(word: str) -> bool:
+        return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
 def tokenize_batches(path: str, end_id: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Rows with ids (binary, little-endian 32-bit or 16-bit) and the document's place in its (partition, source) queue.
 
-    The tokenizer drops white space and never joins across it, so words are encoded once and remembered.
+    The tokenizer drops white space and never joins across it, so texts are encoded word by word.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        kind = "<u2" if tok.get_vocab_size() <= 65536 and end_id < 65536 else "<u4"
-        wide, end = np.dtype(kind).itemsize, np.array([end_id], kind).tobytes()
-        pid, known, queued = TaskContext.get().partitionId(), {}, {}
+        pid, queued = TaskContext.get().partitionId(), {}
         for batch in batches:
+            known = WordIds.of(path, end_id)
+            wide, end = np.dtype(known.kind).itemsize, np.array([end_id], known.kind).tobytes()
             ids, counts, places = [], [], []
-            words = [NON_SPACE.findall(t) if t else [] for t in batch.pop("text")]
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            new = list({w for ws in words for w in ws if w not in known})
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False), strict=True))
-            for ws, key in zip(words, batch["skey"], strict=True):
-                data = b"".join(map(known.__getitem__, ws)) + end
+            for text, key in zip(batch.pop("text"), batch["skey"], strict=True):
+                data = b"".join(map(known.__getitem__, NON_SPACE.findall(text or ""))) + end
                 n = len(data) // wide
                 ids.append(data)
                 counts.append(n)
