@@ -100,7 +100,7 @@ def grade_exact(results: DataFrame, references: DataFrame, key: str, case: bool
     return j.select(key, F.when(norm(F.col("observed")) == norm(F.col("expected")), "pass").otherwise("fail").alias("grade"))
 
 
-def grade_fields(df: DataFrame, column: str, required: Sequence[str], forbidden: Sequence[str]) -> Column:
+def grade_fields(column: str, required: Sequence[str], forbidden: Sequence[str]) -> Column:
     """Whether a JSON text has all required fields and none that is forbidden."""
     at = lambda f: F.get_json_object(column, f"$.{f}")
     ok = F.lit(True)
