@@ -49,7 +49,7 @@ def reconciled(s, d):
 
 
 QUERIES = {
-    "log1_match_claims": (lambda s, d: lo.match_claims(entries(s, d), claims(s, d)), f"WITH {MAT} SELECT claim_id, query_id, how FROM r"),
+    "log1_match_claims": (lambda s, d: lo.match_claims(entries(s, d), claims(s, d)).fillna({"query_id": -1}), f"WITH {MAT} SELECT claim_id, coalesce(query_id, -1) AS query_id, how FROM r"),
     "log2_coverage": (lambda s, d: rounded(lo.coverage(lo.match_claims(entries(s, d), claims(s, d)))), f"WITH {MAT} SELECT count(*) AS n, count(query_id) AS n_matched, round(count(query_id) / count(*), 6) AS coverage, CASE WHEN count(query_id) / count(*) >= 0.8 THEN 'PASS' ELSE 'FAIL' END AS status FROM r"),
     "log3_reconcile": (reconciled, f"WITH {REC} SELECT claim_id, query_id, how FROM x"),
     "log3_unused_queries": (lambda s, d: lo.unused(entries(s, d), reconciled(s, d)).groupBy("bucket").agg(F.count("*").alias("n")), f"WITH {REC} SELECT bucket, count(*) AS n FROM {ENT} WHERE query_id NOT IN (SELECT query_id FROM x) GROUP BY 1"),
