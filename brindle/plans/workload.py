@@ -15,7 +15,8 @@ def t(name):
 
 
 O, L, E, C, P = t("orders"), t("lineitem"), t("events"), t("customer"), t("part")
-MONTH = F.date_trunc("month", "o_orderdate").cast("date").alias("month")
+def month():
+    return F.date_trunc("month", "o_orderdate").cast("date").alias("month")
 
 
 def delays(s, d):
@@ -57,9 +58,9 @@ def tenure(s, d):
 
 
 QUERIES = {
-    "q01_monthly_orders": (lambda s, d: O(s, d).where("o_orderstatus = 'F'").groupBy(MONTH).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("value")), "SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n, round(sum(o_totalprice), 2) AS value FROM orders WHERE o_orderstatus = 'F' GROUP BY 1"),
-    "q02_breach_rate": (lambda s, d: rounded(delays(s, d).groupBy(MONTH).agg(F.count("*").alias("n"), F.count_if(F.col("days") > 60).alias("n_late"), F.try_divide(F.count_if(F.col("days") > 60), F.count("*")).alias("rate"))), f"SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n, count(*) FILTER (days > 60) AS n_late, round(count(*) FILTER (days > 60) / count(*), 6) AS rate FROM {DEL} GROUP BY 1"),
-    "q03_resolution": (lambda s, d: delays(s, d).withColumn("days", F.when(F.col("days") >= 0, F.col("days"))).groupBy(MONTH).agg(F.count("*").alias("n"), F.count("days").alias("n_resolved"), F.percentile("days", 0.5).alias("median_days")), f"SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n, count(*) FILTER (days >= 0) AS n_resolved, median(CASE WHEN days >= 0 THEN days END)::DOUBLE AS median_days FROM {DEL} GROUP BY 1"),
+    "q01_monthly_orders": (lambda s, d: O(s, d).where("o_orderstatus = 'F'").groupBy(month()).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("value")), "SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n, round(sum(o_totalprice), 2) AS value FROM orders WHERE o_orderstatus = 'F' GROUP BY 1"),
+    "q02_breach_rate": (lambda s, d: rounded(delays(s, d).groupBy(month()).agg(F.count("*").alias("n"), F.count_if(F.col("days") > 60).alias("n_late"), F.try_divide(F.count_if(F.col("days") > 60), F.count("*")).alias("rate"))), f"SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n, count(*) FILTER (days > 60) AS n_late, round(count(*) FILTER (days > 60) / count(*), 6) AS rate FROM {DEL} GROUP BY 1"),
+    "q03_resolution": (lambda s, d: delays(s, d).withColumn("days", F.when(F.col("days") >= 0, F.col("days"))).groupBy(month()).agg(F.count("*").alias("n"), F.count("days").alias("n_resolved"), F.percentile("days", 0.5).alias("median_days")), f"SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n, count(*) FILTER (days >= 0) AS n_resolved, median(CASE WHEN days >= 0 THEN days END)::DOUBLE AS median_days FROM {DEL} GROUP BY 1"),
     "q04_nps": (lambda s, d: rounded(pa.nps(L(s, d).join(P(s, d), F.col("l_partkey") == F.col("p_partkey")).join(O(s, d), F.col("l_orderkey") == F.col("o_orderkey")).join(C(s, d), F.col("o_custkey") == F.col("c_custkey")), "c_mktsegment", F.col("p_size") % 11)), "SELECT c_mktsegment, count(*) AS n, round(100.0 * (count(*) FILTER (p_size % 11 >= 9) - count(*) FILTER (p_size % 11 <= 6)) / count(p_size), 6) AS nps FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
     "q05_session_conversion": (lambda s, d: rounded(sessions(s, d).agg(F.count("*").alias("sessions"), F.sum("bought").alias("purchasing"), F.try_divide(F.sum("bought"), F.count("*")).alias("rate"))), f"SELECT count(*) AS sessions, sum(bought)::BIGINT AS purchasing, round(sum(bought) / count(*), 6) AS rate FROM {SESS}"),
     "q06_value_by_flag": (lambda s, d: rounded(O(s, d).groupBy((F.col("o_orderpriority") == "1-URGENT").alias("urgent")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("value"), F.avg("o_totalprice").alias("mean")), 2), "SELECT o_orderpriority = '1-URGENT' AS urgent, count(*) AS n, round(sum(o_totalprice), 2) AS value, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY 1"),
@@ -76,5 +77,5 @@ QUERIES = {
     "q17_exp20_exposure": (lambda s, d: rounded(exposed(s, d)), "WITH f AS (SELECT user_id, min(ts) AS a FROM events WHERE event_type = 'view' GROUP BY 1), p AS (SELECT f.user_id, count(e.ts) AS n, coalesce(sum(e.value), 0) AS v FROM f LEFT JOIN events e ON e.user_id = f.user_id AND e.event_type = 'purchase' AND e.ts >= a AND e.ts < TIMESTAMP '2024-01-20' GROUP BY 1) SELECT user_id % 2 AS variant, count(*) AS assigned, count(*) FILTER (n > 0) AS purchasers, round(count(*) FILTER (n > 0) / count(*), 6) AS rate, round(sum(v), 6) AS value FROM p GROUP BY 1"),
     "q18_status_rate": (lambda s, d: rounded(O(s, d).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.try_divide(F.count_if(F.col("o_orderstatus") == "P"), F.count("*")).alias("rate"))), "SELECT o_orderpriority, count(*) AS n, round(count(*) FILTER (o_orderstatus = 'P') / count(*), 6) AS rate FROM orders GROUP BY 1"),
     "q19_funnel": (lambda s, d: pa.funnel(E(s, d), "user_id", "ts", "event_type", ["signup", "view", "purchase"]).select("step", "name", "users"), "WITH a AS (SELECT user_id, min(ts) AS t FROM events WHERE event_type = 'signup' GROUP BY 1), b AS (SELECT user_id, min(e.ts) AS t FROM a JOIN events e USING (user_id) WHERE event_type = 'view' AND e.ts >= a.t GROUP BY 1), c AS (SELECT user_id, min(e.ts) AS t FROM b JOIN events e USING (user_id) WHERE event_type = 'purchase' AND e.ts >= b.t GROUP BY 1) SELECT 0 AS step, 'signup' AS name, count(*) AS users FROM a UNION ALL SELECT 1, 'view', count(*) FROM b UNION ALL SELECT 2, 'purchase', count(*) FROM c"),
-    "q20_status_mix": (lambda s, d: rounded(O(s, d).groupBy(MONTH).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.sum("o_totalprice")), 2), "SELECT date_trunc('month', o_orderdate)::DATE AS month, round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS \"F\", round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS \"O\", round(sum(o_totalprice) FILTER (o_orderstatus = 'P'), 2) AS \"P\" FROM orders GROUP BY 1"),
+    "q20_status_mix": (lambda s, d: rounded(O(s, d).groupBy(month()).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.sum("o_totalprice")), 2), "SELECT date_trunc('month', o_orderdate)::DATE AS month, round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS \"F\", round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS \"O\", round(sum(o_totalprice) FILTER (o_orderstatus = 'P'), 2) AS \"P\" FROM orders GROUP BY 1"),
 }
