@@ -10,11 +10,13 @@ samples are the candidate keys, and every candidate pair is verified by the
 exact weighted Jaccard similarity of the whole texts.
 
 Equal texts are one node from the start. In a bucket, members are first verified
-against two seeded pivots, which is linear in the bucket; only members that are
-still in different components are then paired with each other, so groups of
-thousands of copies give no quadratic pairs and no link between different
-classes is left out. (Pairs whose samples agree in fewer than half of the
-places, five standard deviations below the least similarity, are not verified.)
+against two pivots, the member that shares most buckets with others (the original
+of a group of copies, if it is there) and one by hash, which is linear in the
+bucket; only members that are still in different components are then paired with
+each other, so groups of thousands of copies give no quadratic pairs and no link
+between different classes is left out. Of these pairs, those are verified whose
+``WIDE`` samples, taken for such members only, differ in no more places than
+those of a just similar pair do plus four and a half standard deviations.
 
 Defined cases: a null text is empty; documents without words are classes of
 their own; repeated rows share a class; class_id is the least doc_id of a class
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import U, hashed_words, mixed, window_hashes
-from .text import table, through_table
+from .text import bound_batches, table, through_table
 
 SHINGLE = 5
 LEAST = 0.8
@@ -42,10 +45,10 @@ CELLS = 1 << 18
 SAMPLES = 48
 ROWS = 4
 POOL = 1 << 16
-AGREE = SAMPLES // 2
+WIDE = 640  # samples that decide which pairs of a bucket are verified
 
 _rng = np.random.default_rng(7)
-_odd = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * U(2) + U(1)
+_odd = _rng.integers(0, 2**63, WIDE, dtype=np.uint64) * U(2) + U(1)
 _r = (-np.log(_rng.random(POOL)) - np.log(_rng.random(POOL))).astype(np.float32)  # Gamma(2, 1)
 _log_c = np.log(-np.log(_rng.random(POOL)) - np.log(_rng.random(POOL))).astype(np.float32)
 _beta = _rng.random(POOL).astype(np.float32)
@@ -102,16 +105,16 @@ def weighted_sets(texts: list[str], idf: np.ndarray, most: int = 1 << 18) -> Ite
         yield at, s[new], np.add.reduceat(w, where) if len(w) else w, np.bincount(doc[new], minlength=n)
 
 
-def signatures(s: np.ndarray, w: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Consistent weighted samples (texts x SAMPLES) of sets laid end to end; texts without shingles give zeros."""
-    out = np.zeros((len(count), SAMPLES), np.uint64)
+def signatures(s: np.ndarray, w: np.ndarray, count: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    """Consistent weighted samples (texts x samples) of sets laid end to end; texts without shingles give zeros."""
+    out = np.zeros((len(count), samples), np.uint64)
     full = np.flatnonzero(count)
     if not len(full):
         return out
     size = count[full]
     first = np.cumsum(size) - size
     log_w = np.log(w).astype(np.float32)
-    for k in range(SAMPLES):
+    for k in range(samples):
         at = ((s * _odd[k]) >> U(48)).astype(np.int64)
         t = np.floor(log_w * _inv_r[at] + _beta[at])
         log_a = _log_c[at] - _r[at] * (t - _beta[at] + np.float32(1))
@@ -129,30 +132,48 @@ def sign_batches(idf: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator
         for batch in batches:
             texts = lowered(batch["text"])
             keys: list[list[int]] = []
-            short: list[bytes] = []
             for _, s, w, count in weighted_sets(texts, idf):
                 sig = signatures(s, w, count)
                 key = np.repeat(salt[None, :], len(sig), 0)
                 for j in range(ROWS):
                     key = mixed(key ^ sig[:, j::ROWS][:, :bands] * U(2 * j + 3))
                 keys += [row if n else [] for row, n in zip(key.view(np.int64).tolist(), count, strict=True)]
-                short += [row.tobytes() for row in (sig & U(0xFFFF)).astype("<u2")]
             node = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": node, "keys": keys, "sig": short})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": node, "keys": keys})
 
     return run
 
 
-def agreement(a: Column, b: Column) -> Column:
-    """Places at which two signatures (two bytes a sample, in hex) agree."""
-    same = F.transform(F.sequence(F.lit(1), F.lit(SAMPLES * 4 - 3), F.lit(4)), lambda i: (F.substr(a, i, F.lit(4)) == F.substr(b, i, F.lit(4))).cast("int"))
-    return F.aggregate(same, F.lit(0), lambda x, y: x + y)
+def wide_batches(idf: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """One bit of each of WIDE samples of each text, packed into longs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            wide: list[list[int]] = []
+            for _, s, w, count in weighted_sets(lowered(batch["text"]), idf):
+                bits = (signatures(s, w, count, WIDE) & U(1)).astype(np.uint8)
+                wide += np.packbits(bits, axis=1).view(">i8").tolist()
+            yield pd.DataFrame({"id": batch["id"], "wide": wide})
+
+    return run
+
+
+def most_misses(least: float, deviations: float = 4.5) -> int:
+    """Differing bits of a pair that is just similar enough, plus so many standard deviations."""
+    p = (1 - least) / 2  # half of the differing samples have equal bits
+    return int(WIDE * p + deviations * (WIDE * p * (1 - p)) ** 0.5)
+
+
+def misses(a: str, b: str) -> Column:
+    """Bits at which two packed signatures differ."""
+    return reduce(lambda p, q: p + q, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(WIDE // 64)])
 
 
 def similarity(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two sets with ascending hashes."""
-    _, i, j = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
-    low, high = np.minimum(one[1][i], two[1][j]).sum(), one[1].sum() + two[1].sum()
+    at = np.minimum(np.searchsorted(two[0], one[0]), max(len(two[0]) - 1, 0))
+    both = two[0][at] == one[0] if len(two[0]) else np.zeros(len(one[0]), bool)
+    low, high = np.minimum(one[1][both], two[1][at[both]]).sum(), one[1].sum() + two[1].sum()
     return float(low / (high - low)) if high > low else 0.0
 
 
@@ -167,8 +188,8 @@ def verify_batches(idf: np.ndarray, least: float) -> Callable[[Iterator[pd.DataF
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 256):  # bounds the sets held at once
-                part = batch.iloc[at : at + 256]
+            for at in range(0, len(batch), 1000):  # bounds the sets held at once
+                part = batch.iloc[at : at + 1000]
                 known = sets(pd.concat([part["text_a"], part["text_b"]]))
                 sim = np.array([similarity(known[a], known[b]) for a, b in zip(part["text_a"], part["text_b"], strict=True)])
                 yield part[["a", "b"]].assign(similarity=sim)[sim >= least]
@@ -178,27 +199,32 @@ def verify_batches(idf: np.ndarray, least: float) -> Callable[[Iterator[pd.DataF
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id and class_id of every row."""
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
     idf = word_idf(docs)
-    signed = through_table(docs.mapInPandas(sign_batches(idf), f"doc_id {kind}, node binary, keys array<long>, sig binary"), "signed")
-    keyed = signed.where(F.size("keys") > 0).groupBy("node").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig"))  # equal texts have equal signatures
-    nodes = through_table(keyed.select(F.monotonically_increasing_id().alias("id"), "node", "keys", F.hex("sig").alias("sig")), "nodes")
-    sigs = nodes.select("id", "sig")
+    signed = through_table(docs.mapInPandas(sign_batches(idf), f"doc_id {kind}, node binary, keys array<long>"), "signed")
+    keyed = signed.where(F.size("keys") > 0).groupBy("node").agg(F.first("keys").alias("keys"))  # equal texts have equal keys
+    nodes = through_table(keyed.select(F.monotonically_increasing_id().alias("id"), "node", "keys"), "nodes")
     members = nodes.select("id", F.explode("keys").alias("key"))
-    seeded = [F.min(F.struct(F.xxhash64(F.lit(i), "id").alias("o"), F.col("id")))["id"].alias(f"p{i}") for i in range(2)]
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), *seeded).where("n > 1").drop("n")
+    buckets = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = through_table(members.join(buckets, "key"), "buckets")
-    starred = shared.select("id", F.explode(F.array("p0", "p1")).alias("p")).where("id <> p")
+    degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
+    ranked = shared.select("key", "id").join(degree, "id")
+    pivots = [F.max(F.struct("degree", "id"))["id"], F.min(F.struct(F.xxhash64("id").alias("o"), F.col("id")))["id"]]
+    pivots = through_table(ranked.groupBy("key").agg(F.array(*pivots).alias("p")), "pivots")
+    starred = shared.join(pivots, "key").select("id", F.explode("p").alias("p")).where("id <> p")
     starred = starred.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-    starred = through_table(agreeing(starred, sigs), "pairs")
+    starred = through_table(starred, "pairs")
     links = through_table(verified(docs, nodes, starred, idf, least), "links")
     labels = components(links)
     placed = shared.select("key", "id").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest = through_table(placed.join(split, "key", "left_semi").join(sigs, "id"), "rest")
-    left, right = (rest.select("key", F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
-    cross = left.join(right, (left.key == right.key) & (F.col("label_a") < F.col("label_b")) & (agreement(F.col("sig_a"), F.col("sig_b")) >= AGREE))
+    rest = through_table(placed.join(split, "key", "left_semi"), "rest")
+    wide = picked(docs, nodes, rest.select("id").distinct()).mapInPandas(wide_batches(idf), "id long, wide array<long>")
+    rest = rest.join(through_table(wide, "wide"), "id")
+    left, right = (rest.select("key", F.col("id").alias(x), F.col("wide").alias(f"wide_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
+    cross = left.join(right, (left.key == right.key) & (F.col("label_a") < F.col("label_b")) & (misses("wide_a", "wide_b") <= most_misses(least)))
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     cross = through_table(cross.join(starred, ["a", "b"], "left_anti"), "pairs")
     more = through_table(verified(docs, nodes, cross, idf, least), "links")
@@ -210,21 +236,21 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     return classed.join(class_ids, "label", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    both = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return both.where(agreement(F.col("sig_a"), F.col("sig_b")) >= AGREE).select("a", "b")
-
-
 #: Up to so many texts, their digests (16 bytes each) are broadcast to pick them; beyond, both sides are shuffled.
 BROADCAST_TEXTS = 500_000
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """Pairs of nodes whose texts are similar enough. pairs is a written table."""
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+def picked(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the given nodes, each once."""
     wanted = through_table(nodes.select("node", "id").join(ids, "id", "left_semi"), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
-    texts = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("node"), "text").join(side, "node").dropDuplicates(["id"])
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return docs.select(digest.alias("node"), "text").join(side, "node").dropDuplicates(["id"]).select("id", "text")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """Pairs of nodes whose texts are similar enough. pairs is a written table."""
+    texts = picked(docs, nodes, pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInPandas(verify_batches(idf, least), "a long, b long, similarity double")

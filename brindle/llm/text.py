@@ -34,6 +34,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/brindle-{purpose}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession, most: int = 2000) -> None:
+    """At most so many texts, or pairs of them, in a Python worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= most:
+        spark.conf.set(key, most)
+
+
 def through_table(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, purpose)
