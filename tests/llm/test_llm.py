@@ -251,8 +251,8 @@ def test_base_spans_against_a_plain_scan(spark, sf, texts):
         assert [got[i][f"n_{k}"] for k in secrets.KINDS] == [sum(x == n for _, x, _ in spans) for n in range(3)]
 
 
-def test_markov_models_tell_keys_from_names(corpus):
-    ratio = secrets.train(corpus)
+def test_markov_models_tell_keys_from_names(spark):
+    ratio = secrets.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     found = lambda t: secrets.scan(f"see {t} here", ratio)[1] != []
     assert all(map(found, ["Xk29dLqPz81mNvR4tYw7", "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "aGVsbG8gd29ybGQgdGhpcw9QzX"]))
     assert not any(map(found, ["some_identifier_name_here", "thntedtionhaonwhich", "mail7.example.com", "233.254.104.120", "9807915762804490"]))
