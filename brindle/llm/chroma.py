@@ -36,9 +36,8 @@ from .text import table, through_table
 RATE, FRAME, HOP = 5512, 1024, 512
 LOW, HIGH = 60.0, 2700.0
 WIDTH = 8  # frames under one filter
-KEY_BITS = 20
-MIN_VOTES = 3
-MAX_BIT_ERROR = 0.3
+KEY_BITS, KEY_GAP = 24, WIDTH  # a key is the leading bits of a frame's code and of the first one that shares no frame with it
+MAX_BIT_ERROR = 0.05
 MIN_OVERLAP = 0.5
 A4 = 440.0
 
@@ -130,11 +129,14 @@ def search(prints: DataFrame, is_query) -> DataFrame:
     classes = prints.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("class"), F.max(is_query.cast("int")).alias("asked"), F.first("codes").alias("codes"))
     classes = through_table(classes, "classes")
     member = prints.join(classes.select("digest", "class"), "digest", "left").select(F.col("id").alias("id_a"), F.coalesce("class", "id").alias("id_b"))
-    changed = F.filter(F.transform("codes", lambda c, i: F.when((i == 0) | (F.get("codes", i - 1) != c), F.struct(F.shiftright(c, 32 - KEY_BITS).alias("key"), i.alias("at")))), lambda x: x.isNotNull())
+    lead = lambda c: F.shiftright(c, 32 - KEY_BITS)
+    key = lambda c, i: F.shiftleft(lead(c), KEY_BITS).bitwiseOR(lead(F.get("codes", i + KEY_GAP)))
+    fresh = lambda c, i: (i == 0) | (F.get("codes", i - 1) != c)  # noqa: E731  a held note or silence counts once
+    changed = F.filter(F.transform("codes", lambda c, i: F.when(fresh(c, i), F.struct(key(c, i).alias("key"), i.alias("at")))), lambda x: x["key"].isNotNull())
     marks = classes.select("class", "asked", F.explode(changed).alias("m")).select("class", "asked", "m.key", "m.at")
     query = marks.where("asked = 1").select("key", F.col("class").alias("q"), F.col("at").alias("q_at"))
     votes = query.join(marks.select("key", "class", "at"), "key").where(F.col("q") != F.col("class"))
-    votes = votes.groupBy("q", "class", (F.col("q_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= MIN_VOTES)
+    votes = votes.groupBy("q", "class", (F.col("q_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("q", "class").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("b")).select("q", "class", "b.votes", "b.offset")
     side = lambda x, y: classes.select(F.col("class").alias(x), F.col("codes").alias(y))
     both = best.join(side("q", "x"), "q").join(side("class", "y"), "class")
