@@ -45,7 +45,7 @@ CELLS = 1 << 18
 SAMPLES = 48
 ROWS = 4
 POOL = 1 << 16
-WIDE = 640  # samples that decide which pairs of a bucket are verified
+WIDE = 1024  # samples that decide which pairs of a bucket are verified
 
 _rng = np.random.default_rng(7)
 _odd = _rng.integers(0, 2**63, WIDE, dtype=np.uint64) * U(2) + U(1)
