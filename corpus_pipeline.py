@@ -18,14 +18,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     judged = kneser_ney.classify(docs, table(spark, sf_dir, "labels"))
     rejected = judged.where("NOT kept").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(rejected.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays, the one with the least doc_id."""
     classes = through_table(minhash.near_duplicates(docs), "classes")
     copies = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(copies.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     if not classes.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept
@@ -40,7 +40,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document stands as often as the mix takes it whole, and once with its first words if it takes a part."""
     taken = mixing.mix(docs).groupBy("doc_id").agg(F.max("whole").alias("whole"), F.max("part").alias("part"))
     taken = taken.select(F.col("doc_id").alias("t_id"), "whole", "part")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("t_id")))
+    rows = docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("t_id")))
     parts = F.array_repeat(F.lit(0), F.col("whole").cast("int"))
     parts = F.when(F.col("part") > 0, F.array_append(parts, F.col("part").cast("int"))).otherwise(parts)
     rows = rows.withColumn("first", F.explode(parts))
