@@ -3,9 +3,13 @@
 Sound is cut into overlapping frames, each frame's power spectrum is folded to
 twelve pitch classes, and sixteen box filters over the frames x pitch classes
 image, evaluated on its integral image, are quantised to two bits each: one
-packed 32-bit integer a frame. Recordings are aligned by a histogram of frame
-offsets of equal leading bits, and a match is confirmed by the share of differing
-bits at the most voted offset.
+packed 32-bit integer a frame. Recordings are aligned by a histogram over frame
+offsets in which every bit of every frame that overlaps has a vote; the offset with
+the least share of differing bits is the alignment, and a pair is a match up to
+``MAX_BIT_ERROR`` there. At that share no key of some bits is safe to be equal, so
+no pair is left out beforehand: blocks of query classes meet blocks of classes,
+which is work in proportion to queries x classes. ``votes`` are the frames of the
+overlap whose leading bits are equal.
 
 Recordings with equal fingerprints are one class. A search takes query classes
 against all classes; result rows are of two kinds, "member" (id_a is a recording,
@@ -36,9 +40,10 @@ from .text import table, through_table
 RATE, FRAME, HOP = 5512, 1024, 512
 LOW, HIGH = 60.0, 2700.0
 WIDTH = 8  # frames under one filter
-KEY_BITS, KEY_GAP = 24, WIDTH  # a key is the leading bits of a frame's code and of the first one that shares no frame with it
-MAX_BIT_ERROR = 0.05
+KEY_BITS = 20
+MAX_BIT_ERROR = 0.3
 MIN_OVERLAP = 0.5
+BLOCK = 1 << 16  # codes in a block, or one longer recording
 A4 = 440.0
 
 
@@ -123,30 +128,60 @@ def fingerprints(recordings: DataFrame, make: Callable = pcm_batches) -> DataFra
     return recordings.mapInPandas(make, f"id {kind}, codes array<long>, digest string")
 
 
+def block_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (class, codes) packed into blocks of about BLOCK codes."""
+    for batch in batches:
+        size = batch["codes"].str.len().to_numpy(np.int64)
+        for _, part in batch.groupby((np.cumsum(size) - size) // BLOCK):
+            yield pd.DataFrame({"ids": [part["class"].to_list()], "sizes": [part["codes"].str.len().to_list()], "codes": [np.concatenate(part["codes"].to_list()).astype("<u4").tobytes()]})
+
+
+def alignments(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least share of differing bits over all offsets of code x with every column of y, and the (nearest, then greatest) offset."""
+    m, size = len(x), len(y)
+    least, error, offset = MIN_OVERLAP * min(m, size), np.full(y.shape[1], np.inf), np.zeros(y.shape[1], np.int64)
+    for off in sorted(range(1 - size, m), key=lambda d: (abs(d), -d)):
+        at, start = max(off, 0), max(-off, 0)
+        n = min(m - at, size - start)
+        if n >= least:
+            e = np.bitwise_count(x[at : at + n, None] ^ y[start : start + n]).sum(0, np.int32) / (32 * n)
+            better = e < error
+            error[better], offset[better] = e[better], off
+    return error, offset
+
+
+def match_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Matches of the query classes of a block with the classes of another."""
+    cut = lambda codes, sizes: np.split(np.frombuffer(codes, "<u4"), np.cumsum(sizes)[:-1])
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            ids, sizes, found, out = np.array(row.ids), np.array(row.sizes), cut(row.codes, row.sizes), []
+            groups = [(at := np.flatnonzero(sizes == n), np.stack([found[i] for i in at], 1)) for n in np.unique(sizes)]
+            for q, x in zip(row.q_ids, cut(row.q_codes, row.q_sizes), strict=True):
+                for at, y in groups:
+                    error, offset = alignments(x, y)
+                    for j in np.flatnonzero((error <= MAX_BIT_ERROR) & (ids[at] != q)):
+                        start, to = max(int(offset[j]), 0), max(-int(offset[j]), 0)
+                        n = min(len(x) - start, len(y) - to)
+                        votes = np.count_nonzero((x[start : start + n] ^ y[to : to + n, j]) >> (32 - KEY_BITS) == 0)
+                        out.append((q, ids[at[j]], int(offset[j]), votes, float(error[j])))
+            if out:
+                yield pd.DataFrame(out, columns=["id_a", "id_b", "offset", "votes", "bit_error"])
+
+
 def search(prints: DataFrame, is_query) -> DataFrame:
     """Membership of every recording and matches of query classes with all classes."""
     prints = through_table(prints, "prints")
+    kind = prints.schema["id"].dataType.simpleString()
     classes = prints.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("class"), F.max(is_query.cast("int")).alias("asked"), F.first("codes").alias("codes"))
     classes = through_table(classes, "classes")
     member = prints.join(classes.select("digest", "class"), "digest", "left").select(F.col("id").alias("id_a"), F.coalesce("class", "id").alias("id_b"))
-    lead = lambda c: F.shiftright(c, 32 - KEY_BITS)
-    key = lambda c, i: F.shiftleft(lead(c), KEY_BITS).bitwiseOR(lead(F.get("codes", i + KEY_GAP)))
-    fresh = lambda c, i: (i == 0) | (F.get("codes", i - 1) != c)  # noqa: E731  a held note or silence counts once
-    changed = F.filter(F.transform("codes", lambda c, i: F.when(fresh(c, i), F.struct(key(c, i).alias("key"), i.alias("at")))), lambda x: x["key"].isNotNull())
-    marks = classes.select("class", "asked", F.explode(changed).alias("m")).select("class", "asked", "m.key", "m.at")
-    query = marks.where("asked = 1").select("key", F.col("class").alias("q"), F.col("at").alias("q_at"))
-    votes = query.join(marks.select("key", "class", "at"), "key").where(F.col("q") != F.col("class"))
-    votes = votes.groupBy("q", "class", (F.col("q_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("q", "class").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("b")).select("q", "class", "b.votes", "b.offset")
-    side = lambda x, y: classes.select(F.col("class").alias(x), F.col("codes").alias(y))
-    both = best.join(side("q", "x"), "q").join(side("class", "y"), "class")
-    start = F.greatest("offset", F.lit(0))
-    size = F.least(F.size("x") - start, F.size("y") - (start - F.col("offset")))
-    both = both.withColumns({"n": size, "x": F.slice("x", start + 1, F.greatest(size, F.lit(0))), "y": F.slice("y", start - F.col("offset") + 1, F.greatest(size, F.lit(0))), "shorter": F.least(F.size("x"), F.size("y"))})
-    error = F.aggregate(F.zip_with("x", "y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, b: s + b) / (32 * F.col("n"))
-    match = both.where(F.col("n") >= MIN_OVERLAP * F.col("shorter")).withColumn("bit_error", error).where(F.col("bit_error") <= MAX_BIT_ERROR)
+    blocks = lambda rows: through_table(rows.select("class", "codes").mapInPandas(block_batches, f"ids array<{kind}>, sizes array<int>, codes binary"), "blocks")
+    asked = blocks(classes.where("asked = 1")).select(F.col("ids").alias("q_ids"), F.col("sizes").alias("q_sizes"), F.col("codes").alias("q_codes"))
+    pairs = blocks(classes).repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))).crossJoin(asked)  # blocks, not rows
+    match = pairs.mapInPandas(match_batches, f"id_a {kind}, id_b {kind}, offset int, votes long, bit_error double")
     return member.select(F.lit("member").alias("kind"), "id_a", "id_b", F.lit(None).cast("int").alias("offset"), F.lit(None).cast("long").alias("votes"), F.lit(None).cast("double").alias("bit_error")).unionByName(
-        match.select(F.lit("match").alias("kind"), F.col("q").alias("id_a"), F.col("class").alias("id_b"), F.col("offset").cast("int").alias("offset"), "votes", "bit_error")
+        match.select(F.lit("match").alias("kind"), "id_a", "id_b", "offset", "votes", "bit_error")
     )
 
 

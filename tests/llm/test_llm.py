@@ -188,6 +188,31 @@ def test_search_recall_against_brute_force(spark):
 # --- 4: near-duplicates
 
 
+def test_search_recall_with_noise_and_parts_of_a_hop(spark):
+    rng = np.random.default_rng(9)
+    songs = [chroma.synthesize(rng.integers(0, 12, 90)) for _ in range(8)]
+    cut = lambda k: songs[k % 8][int(rng.integers(0, 20 * chroma.HOP)) :] * rng.uniform(0.5, 1)
+    asked = {100 + 50 * k: (x := cut(k)) + rng.normal(0, 0.1, len(x)) for k in range(24)} | {5000: songs[3][: 18 * chroma.HOP]}  # the last has fewer than 16 codes
+    sounds = dict(enumerate(songs)) | asked
+    rows = [(i, (s * 20000).astype("<i2").tobytes()) for i, s in sounds.items()]
+    found = chroma.search(chroma.fingerprints(spark.createDataFrame(rows, "id long, pcm binary")), F.col("id") % 50 == 0)
+    got = {(r["id_a"], r["id_b"]): r for r in found.where("kind = 'match'").collect()}
+    prints = {i: chroma.codes(chroma.chroma((s * 20000).astype("<i2") / 32768)) for i, s in sounds.items()}
+
+    def least(p, q):
+        out = []
+        for off in range(-len(q) + 1, len(p)):
+            a, b = max(off, 0), max(-off, 0)
+            n = min(len(p) - a, len(q) - b)
+            if n >= 0.5 * min(len(p), len(q)):
+                out.append(sum((int(x) ^ int(y)).bit_count() for x, y in zip(p[a : a + n], q[b : b + n], strict=True)) / (32 * n))
+        return min(out)
+
+    want = {(i, j): e for i in prints if i % 50 == 0 for j in prints if i != j and (e := least(prints[i], prints[j])) <= 0.3}
+    assert set(got) == set(want) and all(abs(got[p]["bit_error"] - e) < 1e-9 for p, e in want.items())
+    assert {(100 + 50 * k, k % 8) for k in range(24)} <= set(got) and (5000, 3) in got and sum(e > 0.05 for e in want.values()) > 20
+
+
 def test_every_link_is_found(spark, corpus, texts):
     got = dict(minhash.near_duplicates(corpus).toPandas().itertuples(index=False, name=None))
     sets = sets_of(texts, minhash.word_idf(corpus))
