@@ -13,11 +13,14 @@ above those before) becomes a run, which is merge-joined by anchor with the runs
 of history; no run is shuffled again. Rows of which another row has the same
 words are settled at once. Where one anchor stands in different words, the
 windows around it are hashed in full from the texts (two independent 64-bit
-hashes of all 20 words verify each match). Runs are compacted into one when there
-are more than ``MAX_RUNS``.
+hashes of all 20 words verify each match). Runs are compacted into one before a
+batch is added when there are more than ``MAX_RUNS``.
 
 Copies within a batch of rows are settled before the shuffle, so a passage that
-a third of all documents share is one row a batch and not one a document.
+a third of all documents share is one row a batch and not one a document. Which
+rows are copies depends on how the input is cut into batches, so one pass flags
+them and writes all rows to the shared folder; the run and the copies are read
+from there.
 
 Defined cases: a null text has no words; a text of fewer than 20 words loses
 none; repeated rows are one document (equal ids and starts are not earlier); a
@@ -29,7 +32,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,11 +46,11 @@ from .text import shared_dir, table, through_table
 WINDOW = 20
 GRAM = 8
 SPAN = WINDOW - GRAM + 1
-MAX_RUNS = 4
-BATCHES = 2
+MAX_RUNS = 1
+BATCHES = 3  # the third batch meets a compacted run
 LAST = 2**63 - 1
 WORD = re.compile(r"[^ \t-\r]+")
-ROW = "anchor long, ctx long, k long, lo int, n int"
+ROW = "anchor long, ctx long, k long, lo int, n int, again boolean"
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -99,22 +102,17 @@ def repeats(keys: tuple[np.ndarray, np.ndarray], k: np.ndarray, lo: np.ndarray)
     return out
 
 
-def anchor_batches(again: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Anchor rows that are the first of their words in the batch, or those that are not."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch.sort_values("k", kind="stable")
-            ids, parts = batch["k"].to_numpy(np.int64), []
-            for at, _, h, count in hashed_words(list(batch["text"])):
-                doc, anchor, ctx, lo, n = anchors(h, count)
-                parts.append((ids[at + doc], anchor, ctx, lo, n))
-            if parts:
-                k, anchor, ctx, lo, n = map(np.concatenate, zip(*parts, strict=True))
-                pick = repeats((anchor, ctx), k, lo) == again
-                yield pd.DataFrame({"anchor": anchor[pick].view(np.int64), "ctx": ctx[pick].view(np.int64), "k": k[pick], "lo": lo[pick].astype(np.int32), "n": n[pick].astype(np.int32)})
-
-    return run
+def anchor_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Anchor rows; those that are not the first of their words in the batch are flagged."""
+    for batch in batches:
+        batch = batch.sort_values("k", kind="stable")
+        ids, parts = batch["k"].to_numpy(np.int64), []
+        for at, _, h, count in hashed_words(list(batch["text"])):
+            doc, anchor, ctx, lo, n = anchors(h, count)
+            parts.append((ids[at + doc], anchor, ctx, lo, n))
+        if parts:
+            k, anchor, ctx, lo, n = map(np.concatenate, zip(*parts, strict=True))
+            yield pd.DataFrame({"anchor": anchor.view(np.int64), "ctx": ctx.view(np.int64), "k": k, "lo": lo.astype(np.int32), "n": n.astype(np.int32), "again": repeats((anchor, ctx), k, lo)})
 
 
 def window_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,9 +174,11 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Index a batch of keyed documents; (k, lo, n): its window groups that start earlier, in history or in the batch."""
-        scan = docs.select("k", "text")
-        run = self._write(scan.mapInPandas(anchor_batches(False), ROW))
-        here = scan.mapInPandas(anchor_batches(True), ROW).select("k", "lo", "n")
+        if len(self.runs) > MAX_RUNS:
+            self.compact()
+        marked = through_table(docs.select("k", "text").mapInPandas(anchor_batches, ROW), "marked")
+        run = self._write(marked.where("NOT again").drop("again"))
+        here = marked.where("again").select("k", "lo", "n")
         new = self.spark.table(run).withColumn("c", F.count("*").over(Window.partitionBy("anchor")))
         past = []
         for k, name in enumerate(self.runs):
@@ -198,8 +198,6 @@ class FingerprintIndex:
         self.runs.append(run)
         self.documents.append(docs)
         windows = self._windows(rows.where("head = 1").select("k", "lo", "n"))
-        if len(self.runs) > MAX_RUNS:
-            self.compact()
         return here.unionAll(same).unionAll(windows)
 
     def _windows(self, groups: DataFrame) -> DataFrame:

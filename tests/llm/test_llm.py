@@ -366,6 +366,24 @@ def test_repetitive_and_shifted_texts(spark):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["h"]) for r in rows.collect()} == brute_removal(texts)
 
 
+def test_repeats_do_not_depend_on_how_batches_are_cut(spark, monkeypatch):
+    compacted, compact = [], substrings.FingerprintIndex.compact
+    monkeypatch.setattr(substrings.FingerprintIndex, "compact", lambda self: (compacted.append(len(self.runs)), compact(self)))
+    shared = " ".join(f"s{i}" for i in range(30))
+    texts = {i: f"a{i} b{i} {shared} c{i}" for i in range(120)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    rows = substrings.remove_repeats(docs).withColumn("h", F.sha2(F.col("kept_text").cast("binary"), 256))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 7)  # between the writing of the runs and the reading of the result
+        got = rows.collect()
+    finally:
+        spark.conf.set(key, old)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["h"]) for r in got} == brute_removal(texts)
+    assert compacted == [2]
+
+
 def test_word_hashes_tell_words_apart():
     rng = random.Random(2)
     texts = ["é " + " ".join("".join(rng.choice("abé") for _ in range(rng.randint(1, 8))) for _ in range(50)) for _ in range(20)] + [None, "", "  x\x0by\x0c"]
