@@ -6,6 +6,7 @@ matrices and cell tables reach the driver.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -85,24 +86,45 @@ def propensity(df: DataFrame, treated: str, covariates: Sequence[str]) -> DataFr
     return model.transform(data.withColumn(treated, F.col(treated).cast("double"))).withColumn("logit", vector_to_array("_raw")[1]).drop("_x", "_pr", "_pb", "_raw")
 
 
-def match(scored: DataFrame, treated: str, key: str, score: str = "logit", caliper: float = 0.2, rounds: int = 3) -> DataFrame:
-    """(treated key, control key, distance) pairs without replacement, by rounds of mutual best candidates.
+def stored(df: DataFrame) -> DataFrame:
+    """Write to the folder of spark.checkpoint.dir (or the warehouse) and read back."""
+    conf = df.sparkSession.conf
+    root = conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir')}/_shared"
+    path = f"{root.rstrip('/')}/brindle-match-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    Scores are cut into caliper-wide buckets and joined with the same and the
-    adjacent buckets by equality, so no row meets all others.
+
+def nearest(own: DataFrame, other: DataFrame) -> DataFrame:
+    """(s, o): the nearest other score within w of each own score, the lower of two; by sorted neighbours in caliper-wide buckets."""
+    near = own.select(F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), "s", "w", F.lit(None).cast("double").alias("o"))
+    rows, by = near.unionByName(other.select("b", "s", "w", F.col("s").alias("o"))), Window.partitionBy("b").orderBy("s")
+    low, high = F.last("o", True).over(by.rangeBetween(Window.unboundedPreceding, 0)), F.first("o", True).over(by.rangeBetween(0, Window.unboundedFollowing))
+    g = rows.withColumns({"low": low, "high": high}).where("o IS NULL").groupBy("s", "w").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    return g.select("s", "w", F.expr("CASE WHEN high IS NULL OR s - low <= high - s THEN low ELSE high END").alias("o")).where("abs(s - o) <= w").select("s", "o")
+
+
+def match(scored: DataFrame, treated: str, key: str, score: str = "logit", caliper: float = 0.2) -> DataFrame:
+    """(treated key, control key, distance) pairs without replacement, by rounds of mutual nearest scores until no pair is won.
+
+    Rows of two scores that are nearest to each other pair off k-th with k-th by key,
+    so equal scores take one round.
     """
     width = scored.agg(F.stddev_samp(score).alias("w")).select((caliper * F.col("w")).alias("w"))
-    rows = scored.crossJoin(F.broadcast(width)).select(F.col(key).alias("k"), (F.col(treated) == 1).alias("t"), F.col(score).alias("s"), "w", F.floor(F.col(score) / F.col("w")).alias("b"))  # one row
-    left, right, pairs = rows.where("t"), rows.where("NOT t"), None
-    for _ in range(rounds):
-        near = left.select("k", "s", "w", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
-        cand = near.join(right.select(F.col("k").alias("c"), F.col("s").alias("cs"), "b"), "b").withColumn("d", F.abs(F.col("s") - F.col("cs"))).where("d <= w")
-        cand = cand.withColumns({"i": F.row_number().over(Window.partitionBy("k").orderBy("d", "c")), "j": F.row_number().over(Window.partitionBy("c").orderBy("d", "k"))})
-        won = cand.where("i = 1 AND j = 1").select(F.col("k").alias("treated_key"), F.col("c").alias("control_key"), F.col("d").alias("distance"))
+    rows = scored.where(F.col(score).isNotNull()).crossJoin(F.broadcast(width))  # one row
+    rows = stored(rows.select(F.col(key).alias("k"), (F.col(treated) == 1).alias("t"), F.col(score).cast("double").alias("s"), "w", F.coalesce(F.floor(F.try_divide(F.col(score), F.col("w"))), F.lit(0)).alias("b")))
+    pairs = None
+    while True:
+        scores = [rows.where(side).select("s", "w", "b").distinct() for side in ("t", "NOT t")]
+        mutual = nearest(*scores).join(nearest(*scores[::-1]).select(F.col("s").alias("o"), F.col("o").alias("s")), ["s", "o"])
+        ranked = rows.withColumn("i", F.row_number().over(Window.partitionBy("t", "s").orderBy("k")))
+        won = mutual.join(ranked.where("t").select("s", "i", F.col("k").alias("treated_key")), "s")
+        won = won.join(ranked.where("NOT t").select(F.col("s").alias("o"), "i", F.col("k").alias("control_key")), ["o", "i"])
+        won = stored(won.select("treated_key", "control_key", F.abs(F.col("s") - F.col("o")).alias("distance")))
         pairs = won if pairs is None else pairs.unionAll(won)
-        left = left.join(won, left["k"] == won["treated_key"], "left_anti")
-        right = right.join(won, right["k"] == won["control_key"], "left_anti")
-    return pairs
+        if won.isEmpty():
+            return pairs
+        rows = stored(rows.join(won.select(F.explode(F.array("treated_key", "control_key")).alias("k")), "k", "left_anti").select(*rows.columns))
 
 
 def att(pairs: DataFrame, outcomes: DataFrame, key: str, outcome: str, tails: bool = True) -> DataFrame:

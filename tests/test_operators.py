@@ -150,3 +150,12 @@ def test_csv_folder_and_result_round_trip(spark, tmp_path):
     src.append_log(found["one"], str(tmp_path / "log"))
     src.append_log(found["one"], str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 4
+
+
+def test_matching_pairs_off_ties_and_ends_without_candidates(spark):
+    from brindle.operators import causal
+
+    tied = [(i, i % 2, 0.0) for i in range(40)] + [(100 + i, 1, 5.0) for i in range(10)] + [(200 + i, 0, 5.1) for i in range(12)]
+    pairs = causal.match(spark.createDataFrame(tied, "k long, t int, logit double"), "t", "k").collect()
+    assert sorted(r["treated_key"] for r in pairs) == [i for i, t, _ in tied if t == 1] and len({r["control_key"] for r in pairs}) == 30
+    assert sorted({round(r["distance"], 6) for r in pairs}) == [0.0, 0.1]
