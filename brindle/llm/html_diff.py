@@ -1,22 +1,26 @@
 """HTML extraction by nearest-URL page differencing (operator 1).
 
 Pages of a host are put in the order of their URL paths; the neighbour in that
-order with the longer common path is a page's nearest page. Both pages are cut
-into text lines (blocks), the lines are aligned by longest common subsequence,
-and lines that both pages share are deleted: menus, notices and footers repeat
-from page to page, articles do not.
-
-Structure settles what differencing cannot. Scripts, styles, forms, navigation,
-headers and footers outside the article, sidebars, and blocks whose class, id or
-role says advert, comment, menu, cookie notice and the like never yield lines.
-If a page marks its article (article, main, role=main), only lines in it count
-and they are never deleted as shared: an article may quote a licence or stand at
-two URLs. So differencing decides for pages that do not mark their article; each is paired
-with the nearest such page, and a page of which the other repeats nearly all (at
-least nine of ten characters) is taken for a copy and is not differenced.
+order with the longer common path is a page's nearest page. A page is cut into
+text lines (blocks), its lines are aligned with those of its nearest page by
+longest common subsequence, and lines that both pages share are deleted: menus,
+notices and footers repeat from page to page, articles do not. If the nearest
+page is a copy (it shares nine of ten characters), the other neighbour is taken;
+a page between two copies is not differenced.
+
+Structure weighs in. Scripts, styles, forms, navigation, headers and footers
+outside the article, sidebars, and blocks whose class, id or role says advert,
+comment, menu, cookie notice and the like never yield lines. Where a page marks
+articles (article, main, role=main), a marked article of which any line is
+unshared is whole, shared lines too, as it may quote a licence; one that is
+shared throughout is deleted. Lines outside marked articles stay only if they
+are unshared and together longer than the marked ones (the mark is a teaser). In
+pages without marks, one or two shared lines between unshared ones stay.
 
 Order and neighbours come from a range-partitioned sort of the URL keys alone and
 two joins on positions; a host with a third of all pages is spread over ranges.
+Only hashes of lines move to the neighbours, and only the decisions that delete
+lines move back to the texts.
 
 Defined cases: null or empty html gives an empty text; a null url stands in a
 host of its own; a host with one page is not differenced; repeated rows and ties
@@ -26,10 +30,12 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,11 +50,12 @@ NEVER = frozenset("nav aside form menu head svg math button select object audio
 OUTER = frozenset(["header", "footer"])
 CLOSES_P = BLOCK - frozenset(["html", "body", "head", "option"])
 
-NOISE = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|"
-    r"comments?|disqus|respond|replies|sidebar|side-bar|aside|widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|"
-    r"footer|header|masthead|related|recommended|share|sharing|social|toolbar|skip-link|login|signup)(?:$|[-_ ])"
-)
+#: Words of class and id that name what is no article, wherever they stand in a name.
+STRONG = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr newsletter subscribe comment comments disqus respond replies sidebar navbar navigation breadcrumb breadcrumbs pagination masthead popup modal".split())
+#: Words that do so only in names of which every word is one of these or NEUTRAL.
+WEAK = frozenset("promo banner notice overlay aside widget widgets menu nav pager footer header related recommended share sharing social toolbar login signup side skip".split())
+NEUTRAL = frozenset("site page global top bottom left right box bar block area wrap wrapper container section list item items links link buttons button unit slot main primary secondary".split())
+REPLY = frozenset("comment comments reply replies".split())
 LAYOUT = re.compile(r"(?:^|[-_])(?:has|with|without|no|not|is)[-_]|[-_](?:wrap|wrapper|layout|container|page|theme|template)$")
 NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.DOTALL)
@@ -56,22 +63,29 @@ ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'
 SPACE = re.compile(r"\s+")
 
 
-def is_noise(attrs: str) -> bool:
+def noisy_name(name: str) -> bool:
+    words = [w for w in re.split(r"[-_]+", name) if w]
+    return any(w in STRONG for w in words) or any(w in WEAK for w in words) and all(w in WEAK or w in NEUTRAL for w in words)
+
+
+def is_noise(attrs: str, article: bool = False) -> bool:
+    """Whether class, id, role or hidden rule an element out; an article only as a reader's comment or if hidden."""
     for name, a, b, c in ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and any(NOISE.search(x) for x in value.split() if not LAYOUT.search(x)):
-            return True
-        if name == "role" and value in NOISE_ROLE or name == "hidden" or name == "aria-hidden" and value == "true":
+        if name in ("class", "id"):
+            if any(x in REPLY if article else noisy_name(x) for x in value.split() if not LAYOUT.search(x)):
+                return True
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and not article and value in NOISE_ROLE:
             return True
     return False
 
 
-def text_lines(html: str | None) -> list[tuple[bool, str]]:
-    """(inside a marked article, text) of each block that structure does not rule out, in page order."""
-    out: list[tuple[bool, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, ruled out, in article
+def text_lines(html: str | None) -> list[tuple[int, str]]:
+    """(number of the marked article or 0, text) of each block that structure does not rule out, in page order."""
+    out: list[tuple[int, str]] = []
+    stack: list[tuple[str, bool, int]] = []  # element, ruled out, number of the outermost marked article
     buffer: list[str] = []
-    off = inside = False
+    off, inside, articles = False, 0, 0
 
     def flush() -> None:
         if buffer:
@@ -111,27 +125,35 @@ def text_lines(html: str | None) -> list[tuple[bool, str]]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if depth is not None:
                 del stack[depth:]
-                off, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                off, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
         elif name not in VOID:
             if name in CLOSES_P and "p" in (x[0] for x in stack[-4:]):
                 depth = max(k for k in range(len(stack)) if stack[k][0] == "p")
                 del stack[depth:]
-                off, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                off, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
             attrs = m[3] or ""
             marked = name in ("article", "main") or "role" in attrs and re.search(r"""role\s*=\s*["']?(main|article)\b""", attrs) is not None
-            body = name in ("html", "body", "article", "main")
-            off = off or name in NEVER or name in OUTER and not (inside and name == "header") or not body and is_noise(attrs)
-            inside = inside or marked
+            body = name in ("html", "body")
+            off = off or name in NEVER or name in OUTER and not (inside and name == "header") or not body and is_noise(attrs, marked)
+            if marked and not off and not inside:
+                articles += 1
+                inside = articles
             if not attrs.rstrip().endswith("/") or name in BLOCK:
                 stack.append((name, off, inside))
             else:
-                off, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                off, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
     flush()
     return out
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in a of a longest common subsequence with b (bit-parallel rows; equal ends are matched first)."""
+def shared_lines(a: list, b: list) -> set[int]:
+    """Positions in a of a longest common subsequence with b (bit-parallel rows; only lines of both count, equal ends are matched first)."""
+    both = {*a} & {*b}
+    where_a = [k for k, x in enumerate(a) if x in both]
+    return {where_a[k] for k in aligned([a[k] for k in where_a], [x for x in b if x in both])}
+
+
+def aligned(a: list, b: list) -> set[int]:
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
@@ -164,29 +186,55 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 COPY = 0.9
 
 
-def main_text(lines: list[str], other: list[str]) -> str:
-    """Lines of a page without those it shares with another, unless it is a copy of the other."""
-    shared = shared_lines(lines, other)
-    if sum(len(lines[k]) for k in shared) < COPY * sum(map(len, lines)):
-        lines = [x for k, x in enumerate(lines) if k not in shared]
-    return "\n".join(lines)
+def decided(lines: list[int], places: list[int], sizes: list[int], near: list[list[int]]) -> list[bool]:
+    """Which lines of a page stay. near: lines of its nearest page and of the other neighbour (as hashes)."""
+    marked = any(places)
+    weigh = [n if p or not marked else 0 for n, p in zip(sizes, places, strict=True)]
+    shared: set[int] = set()
+    for other in near:
+        found = shared_lines(lines, other)
+        if sum(weigh[k] for k in found) < COPY * sum(weigh):
+            shared = found
+            break
+    own = {p for k, p in enumerate(places) if p and k not in shared}
+    stay = [p in own if p else k not in shared for k, p in enumerate(places)]
+    if marked:
+        outside = sum(n for n, p, s in zip(sizes, places, stay, strict=True) if s and not p)
+        if outside <= sum(n for n, p, s in zip(sizes, places, stay, strict=True) if s and p):
+            stay = [s and p > 0 for s, p in zip(stay, places, strict=True)]
+    else:
+        edge = [k for k, s in enumerate(stay) if s]
+        for a, b in zip(edge, edge[1:], strict=False):
+            if b - a <= 3:
+                stay[a:b] = [True] * (b - a)
+    return stay
+
+
+def line_hash(line: str) -> int:
+    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def line_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The text of pages that mark their article, the lines of the others."""
     for batch in batches:
         found = [text_lines(x) for x in batch.pop("html")]
-        marked = [any(i for i, _ in x) for x in found]
         yield batch.assign(
-            text=["\n".join(t for i, t in x if i) if m else None for x, m in zip(found, marked, strict=True)],
-            lines=[None if m else [t for _, t in x] for x, m in zip(found, marked, strict=True)],
+            lines=[[t for _, t in x] for x in found],
+            places=[[p for p, _ in x] for x in found],
+            hashes=[[line_hash(t) for _, t in x] for x in found],
         )
 
 
-def diff_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def decision_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(row, stay) of the pages that lose lines."""
     for batch in batches:
-        texts = [main_text(list(own), list(other) if other is not None else []) for own, other in zip(batch["lines"], batch["other"], strict=True)]
-        yield batch[["page_id", "url"]].assign(text=texts)
+        rows, masks = [], []
+        for row in batch.itertuples(index=False):
+            near = [x.tolist() for x in (row.near_hashes, row.far_hashes) if x is not None]
+            stay = decided(row.hashes.tolist(), row.places.tolist(), row.sizes.tolist(), near)
+            if not all(stay):
+                rows.append(row.row)
+                masks.append(stay)
+        yield pd.DataFrame({"row": np.array(rows, np.int64), "stay": pd.Series(masks, dtype=object)})
 
 
 def url_key(url: Column) -> tuple[Column, Column]:
@@ -203,7 +251,7 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def nearest(keys: DataFrame) -> DataFrame:
-    """(row, near): for each row id, the row of the nearest page of its host; keys has host, path, row."""
+    """(row, near, far): for each row id, the rows of the nearest page of its host and of its other neighbour; keys has host, path, row."""
     spread = keys.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
     local = spread.withColumn("part", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     local = through_table(local, "urls")
@@ -214,21 +262,25 @@ def nearest(keys: DataFrame) -> DataFrame:
     near = line.join(cols("prev", 1), "pos", "left").join(cols("next", -1), "pos", "left")
     len_of = lambda p: F.when(F.col(f"{p}_host") == F.col("host"), common_prefix(F.col("path"), F.col(f"{p}_path")))
     near = near.select("row", "prev_row", "next_row", len_of("prev").alias("a"), len_of("next").alias("b"))
-    return near.select("row", F.when(F.col("a") >= F.coalesce("b", F.lit(-1)), F.col("prev_row")).when(F.col("b").isNotNull(), F.col("next_row")).alias("near"))
+    prev_first = F.col("a") >= F.coalesce("b", F.lit(-1))
+    prev, next_ = F.when(F.col("a").isNotNull(), F.col("prev_row")), F.when(F.col("b").isNotNull(), F.col("next_row"))
+    return near.select("row", F.when(prev_first, prev).otherwise(next_).alias("near"), F.when(prev_first, next_).otherwise(prev).alias("far"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    parsed = pages.select("page_id", "url", "html").mapInPandas(line_batches, f"page_id {kind}, url string, text string, lines array<string>")
+    parsed = pages.select("page_id", "url", "html").mapInPandas(line_batches, f"page_id {kind}, url string, lines array<string>, places array<int>, hashes array<long>")
     host, path = url_key(F.col("url"))
     parsed = through_table(parsed.withColumns({"host": host, "path": path, "row": F.monotonically_increasing_id()}), "lines")
-    marked = parsed.where("lines IS NULL").select("page_id", "url", "text")
-    open_ = parsed.where("lines IS NOT NULL")
-    near = nearest(open_.select("host", "path", "row"))
-    other = near.join(open_.select(F.col("row").alias("near"), F.col("lines").alias("other")), "near").select("row", "other")
-    paired = open_.select("row", "page_id", "url", "lines").join(other, "row", "left")
-    texts = marked.unionAll(paired.mapInPandas(diff_batches, f"page_id {kind}, url string, text string"))
+    near = nearest(parsed.select("host", "path", "row"))
+    own = parsed.select("row", "places", "hashes", F.transform("lines", F.length).alias("sizes"))
+    of = lambda x: parsed.select(F.col("row").alias(x), F.col("hashes").alias(f"{x}_hashes"))
+    paired = own.join(near, "row").join(of("near"), "near", "left").join(of("far"), "far", "left")
+    stay = paired.select("row", "hashes", "places", "sizes", "near_hashes", "far_hashes").mapInPandas(decision_batches, "row long, stay array<boolean>")
+    left = parsed.select("row", "page_id", "url", "lines").join(through_table(stay, "stay"), "row", "left")
+    lines = F.when(F.col("stay").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, k: F.get("stay", k)))
+    texts = left.select("page_id", "url", F.array_join(lines, "\n").alias("text"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
