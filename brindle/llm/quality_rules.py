@@ -1,13 +1,19 @@
 """Quality rules with adaptive thresholds (operator 9, native).
 
-Per document a handful of integer metrics is computed with built-in functions.
-Each (lang, source) keeps a mergeable quantile sketch per metric: counts of
-values rounded down to five significant bits, so two sketches merge by adding
-counts, the relative error of a quantile is at most 1/32 and the result does
-not depend on partitioning. Fences come from the sketch's quartiles; groups
-with fewer than ``min_group`` documents use the merged sketch of their
-language, and languages with fewer use the merged sketch of all documents.
-Documents are then joined with their fences.
+Per document a handful of integer metrics is computed with built-in functions,
+once, and written as a narrow table. Each (lang, source) keeps a mergeable
+quantile sketch per metric: counts of values rounded down to five significant
+bits, so two sketches merge by adding counts, the relative error of a quantile is
+at most 1/32 and the result does not depend on partitioning.
+
+Every fence is a quantile of the group's own sketch, at rank ceil(p (n + 1)) so
+that few documents do not pretend to know a tail, shrunk to the fence of its
+language, and this to the fence of all documents, as if ``PRIOR`` documents more
+had been seen. Word length has fences ``REACH`` times as far from the median as
+its tenth and ninetieth percentile. The other metrics are fenced at the
+``TAIL`` quantile of the documents inside the fences of word length, since junk
+would otherwise set its own limits. There are no fixed cutoffs and no group size
+at which the rule changes. Only documents that pass the base rule are sketched.
 
 Defined cases: a null text has no words and fails the base rule; null lang or
 source is a group of its own; repeated rows give repeated result rows; an empty
@@ -16,22 +22,15 @@ table gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import WS_CHARS, table, words_of
+from .text import WS_CHARS, table, through_table, words_of
 
-#: metric -> (smallest quartile range used for the fence, has a lower fence)
-METRICS = {
-    "word_length": (50, True),
-    "symbols": (500, False),
-    "dup_lines": (1500, False),
-    "repeats": (1000, False),
-}
+TAILS = ["symbols", "dup_lines", "repeats"]
 REACH = 3
-MIN_GROUP = 200
+TAIL = 99  # percent
+PRIOR = 200
 SYMBOLS = "#*$%&|<>"
 
 
@@ -81,15 +80,15 @@ def rounded_down(v: str) -> Column:
     return F.expr(f"shiftleft(shiftright({v}, greatest(length(bin({v})) - 5, 0)), greatest(length(bin({v})) - 5, 0))")
 
 
-def sketch(feats: DataFrame) -> DataFrame:
+def sketch(feats: DataFrame, metrics: list[str]) -> DataFrame:
     """(lang, source, metric, bin, n): counts per bin, summed map-side first."""
-    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS])
-    rows = feats.where("n_words > 0").select("lang", "source", F.explode(cells).alias("c")).select("lang", "source", "c.metric", "c.v")
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])
+    rows = feats.select("lang", "source", F.explode(cells).alias("c")).select("lang", "source", "c.metric", "c.v")
     return rows.groupBy("lang", "source", "metric", rounded_down("v").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def quartiles(bins: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartile bins of the sketches merged to the given keys."""
+def quantiles(bins: DataFrame, keys: list[str], percents: list[int]) -> DataFrame:
+    """Bins of the given percentiles (p10 and so on) of the sketches merged to the given keys, and their total."""
     merged = bins.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
     by = Window.partitionBy(*keys, "metric")
     run = merged.select(
@@ -97,40 +96,50 @@ def quartiles(bins: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
         F.sum("n").over(by).alias("total"),
     )
-    at = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bin")))
-    return run.groupBy(*keys, "metric").agg(F.max("total").alias("total"), at(1).alias("q1"), at(3).alias("q3"))
-
-
-def fences(feats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """One row per (lang, source): upper and lower fence of each metric."""
-    bins = sketch(feats)
-    own = quartiles(bins, ["lang", "source"])
-    lang = quartiles(bins, ["lang"]).select(F.col("lang").alias("l"), F.col("metric").alias("lm"), F.col("total").alias("lt"), F.col("q1").alias("l1"), F.col("q3").alias("l3"))
-    all_ = quartiles(bins, []).select(F.col("metric").alias("am"), F.col("q1").alias("a1"), F.col("q3").alias("a3"))
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("metric") == F.col("lm")), "left").join(all_, F.col("metric") == F.col("am"), "left")
-    pick = lambda a, b, c: F.when(F.col("total") >= min_group, F.col(a)).when(F.col("lt") >= min_group, F.col(b)).otherwise(F.col(c))
-    q = joined.select("lang", "source", "metric", pick("q1", "l1", "a1").alias("q1"), pick("q3", "l3", "a3").alias("q3"))
-    cols = []
-    for m, (least, low) in METRICS.items():
-        width = REACH * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-        cols.append(F.max(F.when(F.col("metric") == m, F.col("q3") + width)).alias(f"hi_{m}"))
-        if low:
-            cols.append(F.max(F.when(F.col("metric") == m, F.col("q1") - width)).alias(f"lo_{m}"))
-    return q.groupBy("lang", "source").agg(*cols)
-
-
-def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    at = lambda p: F.coalesce(F.min(F.when(F.col("upto") * 100 >= (F.col("total") + 1) * p, F.col("bin"))), F.max("bin"))
+    return run.groupBy(*keys, "metric").agg(F.max("total").alias("total"), *[at(p).alias(f"p{p}") for p in percents])
+
+
+def shrunk_quantiles(bins: DataFrame, percents: list[int], prior: int) -> DataFrame:
+    """One row per (lang, source, metric): percentiles shrunk to those of the language and of all documents."""
+    renamed = lambda df, x, keys: df.select(*[F.col(c).alias(f"{x}_{c}") for c in [*keys, "metric", "total", *[f"p{p}" for p in percents]]])
+    own = quantiles(bins, ["lang", "source"], percents)
+    lang = renamed(quantiles(bins, ["lang"], percents), "l", ["lang"])
+    every = renamed(quantiles(bins, [], percents), "a", [])
+    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric"))).join(every, F.col("metric") == F.col("a_metric"))
+    parent = lambda p: f"((l_total * l_p{p} + {prior} * a_p{p}) div (l_total + {prior}))"
+    shrunk = [F.expr(f"(total * p{p} + {prior} * {parent(p)}) div (total + {prior})").alias(f"p{p}") for p in percents]
+    return joined.select("lang", "source", "metric", *shrunk)
+
+
+def with_fences(feats: DataFrame, fences: DataFrame) -> DataFrame:
+    f = fences.withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
+    return feats.join(f, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left").drop("f_lang", "f_source")
+
+
+def length_fences(sound: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, lo_word_length, hi_word_length) from the documents that pass the base rule."""
+    q = shrunk_quantiles(sketch(sound, ["word_length"]), [10, 50, 90], prior)
+    return q.select("lang", "source", F.expr(f"p50 - {REACH} * (p50 - p10)").alias("lo_word_length"), F.expr(f"p50 + {REACH} * (p90 - p50)").alias("hi_word_length"))
+
+
+def tail_fences(inside: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, hi_<metric>...) from the documents inside the fences of word length."""
+    q = shrunk_quantiles(sketch(inside, TAILS), [TAIL], prior)
+    return q.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col(f"p{TAIL}"))).alias(f"hi_{m}") for m in TAILS])
+
+
+def quality_rules(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """The counts of every document with base_failed and kept."""
-    feats = features(docs).withColumns(metric_columns())
-    f = fences(feats, min_group).withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
-    joined = feats.join(f, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
-    bad = [F.col(m) > F.col(f"hi_{m}") for m in METRICS] + [F.col(m) < F.col(f"lo_{m}") for m, (_, low) in METRICS.items() if low]
-    outside = F.coalesce(reduce(lambda a, b: a | b, bad), F.lit(False))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (~base & ~outside).alias("kept"),
-    )
+    feats = through_table(features(docs).withColumns(metric_columns()).withColumn("base_failed", base), "rules")
+    judged = with_fences(feats, length_fences(feats.where("NOT base_failed"), prior))
+    judged = judged.withColumn("inside", F.expr("coalesce(word_length BETWEEN lo_word_length AND hi_word_length, false)"))
+    judged = with_fences(judged, tail_fences(judged.where("NOT base_failed AND inside"), prior))
+    kept = F.expr("NOT base_failed AND inside")
+    for m in TAILS:
+        kept = kept & F.coalesce(rounded_down(m) <= F.col(f"hi_{m}"), F.lit(False))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,24 +147,36 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
-_BIN = "(v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0)"
 
 
-def oracle() -> str:
-    cells = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM m WHERE n_words > 0" for m in METRICS)
+def _bin(v: str) -> str:
+    return f"(({v} >> greatest(length(bin({v})) - 5, 0)) << greatest(length(bin({v})) - 5, 0))"
+
+
+def _shrunk_sql(cells: str, percents: list[int]) -> str:
+    """Percentiles of (lang, source, metric, bin, n), shrunk to language and all documents."""
+    at = ", ".join(f"coalesce(min(CASE WHEN upto * 100 >= (total + 1) * {p} THEN bin END), max(bin)) AS p{p}" for p in percents)
 
-    def quart(keys: str) -> str:
+    def level(keys: str) -> str:
         by = f"{keys}, metric" if keys else "metric"
         return (
-            f"(SELECT {by}, max(total) AS total, min(CASE WHEN upto * 4 >= total THEN bin END) AS q1, min(CASE WHEN upto * 4 >= total * 3 THEN bin END) AS q3 FROM "
-            f"(SELECT {by}, bin, sum(n) OVER (PARTITION BY {by} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM "
-            f"(SELECT {by}, bin, sum(n) AS n FROM bins GROUP BY {by}, bin)) GROUP BY {by})"
+            f"(SELECT {by}, max(total) AS total, {at} FROM (SELECT {by}, bin, sum(n) OVER (PARTITION BY {by} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {by}) AS total "
+            f"FROM (SELECT {by}, bin, sum(n) AS n FROM {cells} GROUP BY {by}, bin)) GROUP BY {by})"
         )
 
-    hi = lambda m: f"max(CASE WHEN metric = '{m}' THEN q3 + {REACH} * greatest(q3 - q1, {METRICS[m][0]}) END)"
-    lo = lambda m: f"max(CASE WHEN metric = '{m}' THEN q1 - {REACH} * greatest(q3 - q1, {METRICS[m][0]}) END)"
-    fence = ", ".join([f"{hi(m)} AS hi_{m}" for m in METRICS] + [f"{lo(m)} AS lo_{m}" for m, x in METRICS.items() if x[1]])
-    bad = " OR ".join([f"{m} > hi_{m}" for m in METRICS] + [f"{m} < lo_{m}" for m, x in METRICS.items() if x[1]])
+    shrunk = ", ".join(
+        f"((o.total * o.p{p} + {PRIOR} * ((g.total * g.p{p} + {PRIOR} * a.p{p}) // (g.total + {PRIOR}))) // (o.total + {PRIOR}))::BIGINT AS p{p}" for p in percents
+    )
+    return (
+        f"SELECT o.lang, o.source, o.metric, {shrunk} FROM {level('lang, source')} o "
+        f"JOIN {level('lang')} g ON o.lang IS NOT DISTINCT FROM g.lang AND o.metric = g.metric JOIN {level('')} a ON o.metric = a.metric"
+    )
+
+
+def oracle() -> str:
+    cells = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {_bin(m)} AS bin, 1 AS n FROM i WHERE NOT base_failed AND inside" for m in TAILS)
+    hi = ", ".join(f"max(CASE WHEN metric = '{m}' THEN p{TAIL} END) AS hi_{m}" for m in TAILS)
+    under = " AND ".join(f"coalesce({_bin(m)} <= hi_{m}, false)" for m in TAILS)
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
     w AS (SELECT rid, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
@@ -168,16 +189,15 @@ def oracle() -> str:
             coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
           FROM d JOIN w USING (rid) JOIN l USING (rid) LEFT JOIN r USING (rid)),
     m AS (SELECT *, (100 * word_chars) // greatest(n_words, 1) AS word_length, (10000 * n_symbols) // greatest(n_words, 1) AS symbols,
-            (10000 * n_dup_lines) // greatest(n_lines, 1) AS dup_lines, (10000 * n_repeat_words) // greatest(n_words, 1) AS repeats FROM f),
-    bins AS (SELECT lang, source, metric, {_BIN} AS bin, count(*) AS n FROM ({cells}) GROUP BY ALL),
-    q AS (SELECT o.lang, o.source, o.metric,
-            CASE WHEN o.total >= {MIN_GROUP} THEN o.q1 WHEN g.total >= {MIN_GROUP} THEN g.q1 ELSE a.q1 END AS q1,
-            CASE WHEN o.total >= {MIN_GROUP} THEN o.q3 WHEN g.total >= {MIN_GROUP} THEN g.q3 ELSE a.q3 END AS q3
-          FROM {quart("lang, source")} o
-          LEFT JOIN {quart("lang")} g ON o.lang IS NOT DISTINCT FROM g.lang AND o.metric = g.metric
-          LEFT JOIN {quart("")} a ON o.metric = a.metric),
-    fe AS (SELECT lang AS fl, source AS fs, {fence} FROM q GROUP BY lang, source),
-    b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce({bad}, false) AS outside
-          FROM m LEFT JOIN fe ON m.lang IS NOT DISTINCT FROM fl AND m.source IS NOT DISTINCT FROM fs)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT outside AS kept FROM b
+            (10000 * n_dup_lines) // greatest(n_lines, 1) AS dup_lines, (10000 * n_repeat_words) // greatest(n_words, 1) AS repeats,
+            n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+    lc AS (SELECT lang, source, 'word_length' AS metric, {_bin("word_length")} AS bin, 1 AS n FROM m WHERE NOT base_failed),
+    lq AS ({_shrunk_sql("lc", [10, 50, 90])}),
+    lf AS (SELECT lang AS fl, source AS fs, p50 - {REACH} * (p50 - p10) AS lo, p50 + {REACH} * (p90 - p50) AS hi FROM lq),
+    i AS (SELECT m.*, coalesce(word_length BETWEEN lo AND hi, false) AS inside FROM m LEFT JOIN lf ON lang IS NOT DISTINCT FROM fl AND source IS NOT DISTINCT FROM fs),
+    tc AS ({cells}),
+    tq AS ({_shrunk_sql("tc", [TAIL])}),
+    tf AS (SELECT lang AS tl, source AS ts, {hi} FROM tq GROUP BY lang, source)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AND {under} AS kept
+    FROM i LEFT JOIN tf ON lang IS NOT DISTINCT FROM tl AND source IS NOT DISTINCT FROM ts
     """
