@@ -1,13 +1,18 @@
 """Mixture-controlled packing (operator 8).
 
-Every source is a queue of token quanta. Windows of ``WINDOW`` tokens are
-filled by deficit round-robin: each slot of a window goes to the source that is
-owed most, and what a source is owed is carried to the next window. With target
-proportions equal to the sources' shares, quantum j of a source with n quanta
-falls due at (2j + 1) / 2n of the schedule; ordering quanta by due time (ties by
-source) is the schedule, and the place of a quantum in it is a sum over sources
-of counts in closed form. So every task places its own documents exactly, with
-no state handed from window to window or from partition to partition.
+Every source is a queue of its documents, whose tokens are served in quanta.
+Windows of ``WINDOW`` tokens are filled by deficit round-robin: with every slot of
+a window a source is owed its target proportion of a quantum, the slot goes to
+the source whose deficit reached half a quantum first, and what a source is owed
+is carried to the next window. When a queue is exhausted, its proportion is
+shared among the others by theirs. The targets are given as weights of sources;
+without them they are the sources' own shares, so that all last to the end.
+
+What a source has been owed at a time is a line with a bend where another queue
+ends, so a quantum's due time, and the number of quanta of other sources that are
+due before it, have a closed form. Every task thus places its own documents
+exactly, with the deficits of all windows and partitions before, and no state is
+handed from window to window or from partition to partition.
 
 What fills no whole window (fewer quanta than a window has, and less than a
 quantum of each source) is laid end to end, cut into windows, and the rest into
@@ -39,7 +44,7 @@ from pyspark.sql import functions as F
 from .text import table, through_table
 
 WINDOW = 2048
-QUANTUM = 128
+QUANTUM = 256
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS = 400_000
@@ -138,16 +143,19 @@ class Schedule:
     totals: tuple[int, ...]
     window: int = WINDOW
     quantum: int = QUANTUM
+    targets: tuple[float, ...] | None = None  # weights; the totals if not given
 
     def __post_init__(self):
         assert self.window % self.quantum == 0
+        put = lambda k, v: object.__setattr__(self, k, v)
         slots = [t // self.quantum for t in self.totals]
+        put("slots", slots), put("lines", self._lines(slots, self.targets))
         per = self.window // self.quantum
         windows = sum(slots) // per
         kept = []
         for s, n in enumerate(slots):
             last = np.arange(max(0, n - per), n)
-            kept.append(n - int((self._rank(s, last, slots) >= windows * per).sum()))
+            kept.append(n - int((self.rank(s, last) >= windows * per).sum()))
         tails = [t - k * self.quantum for t, k in zip(self.totals, kept, strict=True)]
         rest, cuts = sum(tails), []
         for at in range(0, rest - rest % self.window, self.window):
@@ -159,24 +167,51 @@ class Schedule:
                 at += size
             else:
                 size //= 2
-        put = lambda k, v: object.__setattr__(self, k, v)
-        put("slots", slots), put("windows", windows), put("kept", kept)
+        put("windows", windows), put("kept", kept)
         put("tail_at", np.concatenate([[0], np.cumsum(tails)]).astype(np.int64)), put("cuts", np.array([*cuts, rest], np.int64))
 
     @staticmethod
-    def _rank(s: int, j: np.ndarray, slots: list[int]) -> np.ndarray:
-        """Quanta due before quantum j of source s: for each other source, the j' with (2j' + 1) n_s < (2j + 1) n', or equal and an earlier source."""
-        big = len(j) and 2 * slots[s] * max(slots) >= 2**62
-        odd = 2 * j.astype(object if big else np.int64) + 1
-        out = np.zeros(len(j), object if big else np.int64)
-        for other, n in enumerate(slots):
-            if other == s:
-                out = out + j
-            else:
-                due = odd * n - slots[s]
-                before = -(-due // (2 * slots[s])) if other > s else due // (2 * slots[s]) + 1
-                out = out + np.maximum(before, 0)
-        return out.astype(np.int64)
+    def _lines(slots: list[int], targets: tuple[float, ...] | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each source the quanta it has been owed, and the slots of all sources, at each bend."""
+        left, weight = np.array(slots, float), np.array(slots if targets is None else targets, float)
+        owed, time, lines = np.zeros(len(slots)), 0.0, [([0.0], [0.0]) for _ in slots]
+        while (left > 0).any():
+            rate = np.where(left > 0, weight, 0.0)
+            if not rate.any():  # sources without a weight come last, by what they have
+                rate = left.copy()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                step = np.where(rate > 0, left / rate, np.inf)
+            served = np.where(step <= step.min(), left, rate * step.min())
+            time, owed, left = time + served.sum(), owed + served, np.where(step <= step.min(), 0.0, left - served)
+            for s in np.flatnonzero(served):
+                lines[s][0].append(owed[s]), lines[s][1].append(time)
+            for s in np.flatnonzero((served == 0) & (left > 0)):
+                lines[s][1][-1] = time  # has not begun yet
+        return [(np.array(x), np.array(t)) for x, t in lines]
+
+    def due(self, s: int, j: np.ndarray) -> np.ndarray:
+        """The time at which source s is owed half of its quantum j; never falls with j."""
+        x, t = self.lines[s]
+        k = np.clip(np.searchsorted(x, j + 0.5, "right") - 1, 0, len(x) - 2)
+        return np.minimum(t[k] + (j + 0.5 - x[k]) * ((t[k + 1] - t[k]) / (x[k + 1] - x[k])), t[k + 1])
+
+    def rank(self, s: int, j: np.ndarray) -> np.ndarray:
+        """Quanta of all sources that are due before quantum j of source s, ties by the number of the source."""
+        out = np.array(j, np.int64)
+        if not len(out):
+            return out
+        when = self.due(s, out)
+        for other, n in enumerate(self.slots):
+            if other == s or not n:
+                continue
+            before = lambda c: (self.due(other, c) < when) | (self.due(other, c) == when) & (other < s)  # noqa: E731, B023
+            c = np.clip(np.floor(np.interp(when, self.lines[other][1], self.lines[other][0]) + 0.5), 0, n).astype(np.int64)
+            while (wrong := (c > 0) & ~before(np.maximum(c - 1, 0))).any():
+                c -= wrong
+            while (wrong := (c < n) & before(np.minimum(c, n - 1))).any():
+                c += wrong
+            out = out + c
+        return out
 
     def pieces(self, s: int, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         """For documents on the line of source s, (document, start, length, sequence, offset) of each piece."""
@@ -186,7 +221,7 @@ class Schedule:
         doc = np.repeat(np.arange(len(at)), count)
         j = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         low, high = np.maximum(j * self.quantum, at[doc]), np.minimum((j + 1) * self.quantum, end[doc])
-        rank, per = self._rank(s, j, self.slots), self.window // self.quantum
+        rank, per = self.rank(s, j), self.window // self.quantum
         whole = (doc, low - at[doc], high - low, rank // per, rank % per * self.quantum + low - j * self.quantum)
         rows = np.nonzero(end > edge)[0]
         a = np.maximum(at[rows], edge) - edge + self.tail_at[s]
@@ -220,14 +255,18 @@ def piece_batches(keys: list[str], plan: Schedule) -> Callable[[Iterator[pd.Data
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, window: int = WINDOW, quantum: int = QUANTUM) -> DataFrame:
-    """One row per piece; sequences are gapless from offset 0."""
+def pack(
+    docs: DataFrame, path: str | None = None, end_id: int = END_ID, window: int = WINDOW, quantum: int = QUANTUM, targets: dict[str | None, float] | None = None
+) -> DataFrame:
+    """One row per piece; sequences are gapless from offset 0. targets: weights of sources (0 where not named: they come last)."""
     tokens = through_table(tokenized(docs, path, end_id), "tokens")
     queues = tokens.groupBy("skey", "pid").agg(F.sum("n").alias("queued"))
     before = F.sum("queued").over(Window.partitionBy("skey").orderBy("pid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("queued")
     base = queues.select("skey", "pid", before.alias("base"))
     totals = queues.groupBy("skey").agg(F.sum("queued").alias("n")).orderBy("skey").collect()  # one row per source
-    plan = Schedule(tuple(r["n"] for r in totals), window, quantum)
+    weight = None if targets is None else {"" if k is None else f"={k}": v for k, v in targets.items()}
+    weights = None if weight is None else tuple(weight.get(r["skey"], 0.0) for r in totals)
+    plan = Schedule(tuple(r["n"] for r in totals), window, quantum, weights)
     placed = tokens.join(base, ["skey", "pid"]).select("doc_id", "skey", (F.col("base") + F.col("place")).alias("at"), "n", "wide", "ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return placed.mapInPandas(
