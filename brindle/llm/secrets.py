@@ -7,7 +7,9 @@ span of kind "markov" when the log-likelihood ratio exceeds ``MIN_RATIO`` (the
 natural logarithm of a million: random strings may be that much rarer) and
 ``MIN_RATIO_PER_CHAR`` a character (long ordinary paths have a weak surplus). Both
 models are trained from labelled samples: the values of base spans are random
-strings, all other runs of eight or more such characters are ordinary. Counts
+strings, other runs of eight or more such characters are ordinary if they are
+words and short numbers between separators; the rest, where unknown secrets are,
+trains neither. Counts
 of character pairs cover all documents; they fill two tables of 68 x 68 cells,
 so the size of what is sent to tasks is fixed.
 
@@ -30,12 +32,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import table
+from .text import table, through_table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+#: Words, numbers of up to four digits and separators: what an ordinary identifier or path is made of.
+_PART = r"(?:[A-Za-z][a-z]*(?:[A-Z][a-z]{2,})*[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]{1,4})"
+PLAIN = re.compile(rf"{_PART}(?:[+/_.=-]+{_PART})*[+/_.=-]*")
 KINDS = ("assign", "access", "hex")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
@@ -45,6 +50,7 @@ CODE = np.full(256, EDGE, np.uint8)
 CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(EDGE)
 
 MIN_LENGTH = 16
+BACKOFF = 20
 MIN_RATIO = float(np.log(1e6))
 MIN_RATIO_PER_CHAR = 1.0
 
@@ -58,13 +64,13 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def other_runs(text: str, base: list[tuple[int, int, int, str]]) -> Iterator[re.Match]:
-    """Runs that overlap no base span."""
-    if not base:
-        yield from RUN.finditer(text)
-        return
-    taken = [(s, e) for s, _, e, _ in base]
+    """Runs that overlap no base span; base is ordered by start, so one sweep over both is enough."""
+    at, reach = 0, 0  # reach: the farthest end of the base spans that start before the run ends
     for m in RUN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, e in taken):
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= m.start():
             yield m
 
 
@@ -74,29 +80,42 @@ def pair_counts(strings: Iterable[str]) -> np.ndarray:
     return np.bincount(codes[:-1] * SIZE + codes[1:], minlength=SIZE * SIZE)
 
 
+def samples(base: list[tuple[int, int, int, str]], runs: list[str], out: tuple[list[str], list[str]]) -> None:
+    """Add a text's labelled samples: values of base spans are random strings, other runs ordinary ones if they look like it."""
+    out[0].extend(v for _, kind, _, v in base if kind or len(v) >= MIN_LENGTH)
+    out[1].extend(filter(PLAIN.fullmatch, runs))
+
+
+def cells(total: np.ndarray) -> pd.DataFrame:
+    label, cell = np.nonzero(total)
+    return pd.DataFrame({"label": label.astype(np.int32), "cell": cell.astype(np.int32), "n": total[label, cell]})
+
+
 def count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros((2, SIZE * SIZE), np.int64)
     for batch in batches:
-        random, plain = [], []
-        for text in batch["text"]:
-            if text:
-                base = base_spans(text)
-                random += [v for _, kind, _, v in base if kind or len(v) >= MIN_LENGTH]
-                plain += [m.group() for m in other_runs(text, base)]
-        total += np.stack([pair_counts(random), pair_counts(plain)])
-    label, cell = np.nonzero(total)
-    yield pd.DataFrame({"label": label.astype(np.int32), "cell": cell.astype(np.int32), "n": total[label, cell]})
+        found: tuple[list[str], list[str]] = ([], [])
+        for text in filter(None, batch["text"]):
+            base = base_spans(text)
+            samples(base, [m.group() for m in other_runs(text, base)], found)
+        total += np.stack([*map(pair_counts, found)])
+    yield cells(total)
 
 
 def train(docs: DataFrame) -> np.ndarray:
     """Log-likelihood ratio of each character pair: random string against ordinary identifier."""
-    counted = docs.select("text").mapInPandas(count_batches, "label int, cell int, n long")
+    return ratio_of(docs.select("text").mapInPandas(count_batches, "label int, cell int, n long"))
+
+
+def ratio_of(counted: DataFrame) -> np.ndarray:
     rows = counted.groupBy("label", "cell").agg(F.sum("n").alias("n")).collect()  # 2 x 68 x 68 cells at most
     counts = np.zeros((2, SIZE * SIZE))
     for label, cell, n in rows:
         counts[label, cell] = n
-    counts = counts.reshape(2, SIZE, SIZE) + 0.5
-    logs = np.log(counts / counts.sum(2, keepdims=True))
+    counts = counts.reshape(2, SIZE, SIZE)
+    single = counts.sum(1, keepdims=True) + 0.5
+    single /= single.sum(2, keepdims=True)
+    logs = np.log((counts + BACKOFF * single) / (counts.sum(2, keepdims=True) + BACKOFF))  # rare pairs by their second character
     ratio = logs[0] - logs[1]
     ratio[EDGE, EDGE] = 0
     return ratio
@@ -107,39 +126,68 @@ def log_ratio(run: str, ratio: np.ndarray) -> float:
     return float(ratio[codes[:-1], codes[1:]].sum())
 
 
+def is_random(run: str, ratio: np.ndarray) -> bool:
+    return log_ratio(run, ratio) > max(MIN_RATIO, MIN_RATIO_PER_CHAR * len(run))
+
+
 def scan(text: str, ratio: np.ndarray) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int]]]:
     base = base_spans(text)
-    long_runs = [m for m in other_runs(text, base) if m.end() - m.start() >= MIN_LENGTH]
-    return base, [(m.start(), m.end()) for m in long_runs if log_ratio(m.group(), ratio) > max(MIN_RATIO, MIN_RATIO_PER_CHAR * (m.end() - m.start()))]
+    return base, [m.span() for m in other_runs(text, base) if m.end() - m.start() >= MIN_LENGTH and is_random(m.group(), ratio)]
 
 
 def joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in spans)
 
 
-SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, base string, runs string, label int, cell int, n long"
 
 
-def scan_batches(ratio: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def find_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Two kinds of rows: of documents, with base spans and long other runs ("start:run", space between), and of pair counts."""
+    total = np.zeros((2, SIZE * SIZE), np.int64)
+    for batch in batches:
+        rows, labelled = [], ([], [])
+        for text in batch.pop("text"):
+            base = base_spans(text or "")
+            runs = [*other_runs(text or "", base)]
+            samples(base, [m.group() for m in runs], labelled)
+            kinds, named = [k for _, k, _, _ in base], joined([(s, KINDS[k], e) for s, k, e, _ in base])
+            long_runs = " ".join(f"{m.start()}:{m.group()}" for m in runs if m.end() - m.start() >= MIN_LENGTH)
+            rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(named.encode()).hexdigest(), named, long_runs))
+        total += np.stack([*map(pair_counts, labelled)])
+        found = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "base", "runs"])
+        yield pd.concat([batch.reset_index(drop=True), found], axis=1).assign(label=None, cell=None, n=None)
+    counted = cells(total)
+    yield counted.assign(**dict.fromkeys(("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "runs")))
+
+
+def span_batches(ratio: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The spans of each row: base ones, and runs that the models call random."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for text in batch.pop("text"):
-                base, more = scan(text or "", ratio)
-                named = [(s, KINDS[k], e) for s, k, e, _ in base]
-                spans = [*((s, k, e, KINDS[k]) for s, k, e, _ in base), *((s, len(KINDS), e, "markov") for s, e in more)]
-                kinds = [k for _, k, _, _ in base]
-                rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(named).encode()).hexdigest(), joined([(s, name, e) for s, _, e, name in sorted(spans)])))
-            yield batch.assign(**dict(zip(("n_assign", "n_access", "n_hex", "base_sha256", "spans"), zip(*rows, strict=True), strict=True))) if rows else batch.assign(n_assign=[], n_access=[], n_hex=[], base_sha256=[], spans=[])
+            out = []
+            for base, runs in zip(batch.pop("base"), batch.pop("runs"), strict=True):
+                spans = [(int(s), KINDS.index(k), int(e), k) for k, s, e in (x.split(":") for x in base.split(",") if x)]
+                for at, text in (x.split(":", 1) for x in runs.split(" ") if x):
+                    if is_random(text, ratio):
+                        spans.append((int(at), len(KINDS), int(at) + len(text), "markov"))
+                out.append(joined([(s, name, e) for s, _, e, name in sorted(spans)]))
+            yield batch.assign(spans=out)
 
     return run
 
 
 def find_secrets(docs: DataFrame, model_docs: DataFrame | None = None) -> DataFrame:
-    """doc_id with span counts, the digest of the base spans and all spans; the models are trained on model_docs or docs."""
-    ratio = train(docs if model_docs is None else model_docs)
-    rows = docs.select("doc_id", "text")
-    return rows.mapInPandas(scan_batches(ratio), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
+    """doc_id with span counts, the digest of the base spans and all spans; the models are trained on model_docs or docs.
+
+    The patterns run once over every text; what they find is written and scored when the models are there.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = through_table(docs.select("doc_id", "text").mapInPandas(find_batches, f"doc_id {kind}, {FOUND}"), "secrets")
+    ratio = ratio_of(found.where("label IS NOT NULL").select("label", "cell", "n")) if model_docs is None else train(model_docs)
+    rows = found.where("label IS NULL").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "runs")
+    return rows.mapInPandas(span_batches(ratio), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact_batches(ratio: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -163,11 +211,15 @@ def redact_batches(ratio: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iter
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The same rows with every span of the text replaced by [SECRET]; columns and order of columns stay."""
+    """The same rows with every span of the text replaced by [SECRET]; columns and order of columns stay.
+
+    n_chars, if there is one, is that of the new text; rows with a null text keep theirs.
+    """
     ratio = train(docs)
     cleaned = docs.mapInPandas(redact_batches(ratio), docs.schema)
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        n = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+        cleaned = cleaned.withColumn("n_chars", n)
     return cleaned
 
 
