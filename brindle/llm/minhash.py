@@ -9,14 +9,17 @@ with the probability of their weighted Jaccard similarity; bands of ``ROWS``
 samples are the candidate keys, and every candidate pair is verified by the
 exact weighted Jaccard similarity of the whole texts.
 
-Equal texts are one node from the start. In a bucket, members are first verified
-against two pivots, the member that shares most buckets with others (the original
-of a group of copies, if it is there) and one by hash, which is linear in the
-bucket; only members that are still in different components are then paired with
-each other, so groups of thousands of copies give no quadratic pairs and no link
-between different classes is left out. Of these pairs, those are verified whose
-``WIDE`` samples, taken for such members only, differ in no more places than
-those of a just similar pair do plus four and a half standard deviations.
+Equal texts are one node from the start; the texts of nodes that share a bucket
+are stored once, bucketed by digest, so that no later step shuffles them again.
+In a bucket, members are verified against pivots only: the member that shares
+most buckets with others (the original of a group of copies, if it is there) and
+a few chosen by hash, which is linear in the bucket and covers small buckets
+wholly. What is then still in different components of a larger bucket is compared
+by ``WIDE`` one-bit samples, and those pairs are verified that differ in no more
+places than a just similar pair does plus four and a half standard deviations (a
+weighted similarity of about 0.76). So no link between different classes is left
+out, copies are never paired with each other, and pairs of text that are not
+similar are not made.
 
 Defined cases: a null text is empty; documents without words are classes of
 their own; repeated rows share a class; class_id is the least doc_id of a class
@@ -27,6 +30,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import U, hashed_words, mixed, window_hashes
-from .text import bound_batches, table, through_table
+from .text import WS_CHARS, bound_batches, shared_dir, table, through_table
 
 SHINGLE = 5
 LEAST = 0.8
@@ -45,7 +49,8 @@ CELLS = 1 << 18
 SAMPLES = 48
 ROWS = 4
 POOL = 1 << 16
-WIDE = 1024  # samples that decide which pairs of a bucket are verified
+WIDE = 4096  # samples that decide which pairs of a bucket are verified when pivots find no more links
+PIVOTS = 4  # chosen by hash in a bucket, besides the central one
 
 _rng = np.random.default_rng(7)
 _odd = _rng.integers(0, 2**63, WIDE, dtype=np.uint64) * U(2) + U(1)
@@ -158,15 +163,20 @@ def wide_batches(idf: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator
     return run
 
 
-def most_misses(least: float, deviations: float = 4.5) -> int:
+def most_misses(least: float, bits: int = WIDE, deviations: float = 4.5) -> int:
     """Differing bits of a pair that is just similar enough, plus so many standard deviations."""
     p = (1 - least) / 2  # half of the differing samples have equal bits
-    return int(WIDE * p + deviations * (WIDE * p * (1 - p)) ** 0.5)
+    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
 
-def misses(a: str, b: str) -> Column:
-    """Bits at which two packed signatures differ."""
-    return reduce(lambda p, q: p + q, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(WIDE // 64)])
+def misses(a: str, b: str, bits: int = WIDE) -> Column:
+    """Bits at which the first so many bits of two packed signatures differ."""
+    return reduce(lambda p, q: p + q, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(bits // 64)])
+
+
+def close(a: str, b: str, least: float) -> Column:
+    """Whether two packed signatures may be of a similar pair; an eighth of the bits settles most pairs."""
+    return reduce(lambda p, q: p & q, [misses(a, b, n) <= most_misses(least, n) for n in (WIDE // 8, WIDE)])
 
 
 def similarity(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
@@ -197,62 +207,105 @@ def verify_batches(idf: np.ndarray, least: float) -> Callable[[Iterator[pd.DataF
     return run
 
 
-def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id and class_id of every row."""
-    bound_batches(docs.sparkSession)
+def bucketed(rows: DataFrame, key: str, purpose: str) -> str:
+    """Write rows, which an aggregation or join has dealt by key, as a table bucketed and sorted by key; its name."""
+    spark = rows.sparkSession
+    name, n = f"brindle_{purpose}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = rows.write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark, purpose))
+    out.bucketBy(n, key).sortBy(key).saveAsTable(name)
+    return name
+
+
+def digest(text: Column) -> Column:
+    """The node of a text; null is the empty text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def signed_texts(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "text")
-    idf = word_idf(docs)
-    signed = through_table(docs.mapInPandas(sign_batches(idf), f"doc_id {kind}, node binary, keys array<long>"), "signed")
+    return through_table(docs.mapInPandas(sign_batches(idf), f"doc_id {kind}, node binary, keys array<long>"), "signed")
+
+
+def text_classes(docs: DataFrame, signed: DataFrame, idf: np.ndarray, least: float = LEAST) -> DataFrame:
+    """(node, class_id, first) of every distinct text with words; first marks the text of the class's least doc_id."""
+    spark = docs.sparkSession
     keyed = signed.where(F.size("keys") > 0).groupBy("node").agg(F.first("keys").alias("keys"))  # equal texts have equal keys
     nodes = through_table(keyed.select(F.monotonically_increasing_id().alias("id"), "node", "keys"), "nodes")
     members = nodes.select("id", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = through_table(members.join(buckets, "key"), "buckets")
+    order = F.pmod(F.xxhash64("key", "id"), F.col("n"))  # each of a bucket's pivots by hash has its turn
+    shared = through_table(members.join(buckets, "key").withColumn("turn", order), "buckets")
+    nodes = nodes.select("id", "node").join(shared.select("id").distinct(), "id", "left_semi")
+    nodes = through_table(nodes, "shared")
+    texts = docs.groupBy(digest(F.col("text")).alias("node")).agg(F.first("text").alias("text"))
+    store = bucketed(texts.join(nodes.select("node").hint("merge"), "node", "left_semi"), "node", "texts")
+    try:
+        labels = linked(spark, shared, nodes, store, idf, least)
+    finally:
+        spark.sql(f"DROP TABLE {store}")  # the files stay in the shared folder
+    equal = signed.where(F.size("keys") > 0).groupBy("node").agg(F.min("doc_id").alias("least"))
+    named = equal.join(nodes.join(labels.withColumnRenamed("node", "id"), "id").select("node", "label"), "node", "left")
+    named = through_table(named, "named")
+    order = F.struct(F.col("least").isNull(), "least", "node")
+    classes = named.where("label IS NOT NULL").groupBy("label").agg(F.min(order)["node"].alias("head"), F.min("least").alias("class_id"))
+    named = named.join(classes, "label", "left")
+    return named.select("node", F.coalesce("class_id", "least").alias("class_id"), F.coalesce(F.col("head") == F.col("node"), F.lit(True)).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id and class_id of every row."""
+    bound_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    idf = word_idf(docs)
+    signed = signed_texts(docs, idf)
+    named = text_classes(docs, signed, idf, least).select("node", "class_id")
+    return signed.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of docs, of each class of near-duplicates only one with the least doc_id; rows without words all stay.
+
+    Rows are told apart by their texts, not by doc_id, so ids may repeat or be null.
+    """
+    bound_batches(docs.sparkSession)
+    read = docs.select("doc_id", "text")
+    idf = word_idf(read)
+    copies = text_classes(read, signed_texts(read, idf), idf, least).where("NOT first").select("node")
+    blank = F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(WS_CHARS)) == ""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.where(~blank).select(digest(F.col("text")).alias("node"), row.alias("row"), F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(row)).alias("turn"))
+    texts = rows.groupBy("node").agg(F.min_by("row", "turn").alias("row"))
+    return texts.join(copies.hint("merge"), "node", "left_anti").select("row.*").unionByName(docs.where(blank))
+
+
+def linked(spark: SparkSession, shared: DataFrame, nodes: DataFrame, store: str, idf: np.ndarray, least: float) -> DataFrame:
+    """(node, label) of the nodes that have links, from the buckets (key, id, n, turn)."""
+    check = lambda pairs: through_table(verified(pairs, nodes, spark.table(store), idf, least), "links")
+    ordered = lambda rows: rows.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
     degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
-    ranked = shared.select("key", "id").join(degree, "id")
-    pivots = [F.max(F.struct("degree", "id"))["id"], F.min(F.struct(F.xxhash64("id").alias("o"), F.col("id")))["id"]]
-    pivots = through_table(ranked.groupBy("key").agg(F.array(*pivots).alias("p")), "pivots")
-    starred = shared.join(pivots, "key").select("id", F.explode("p").alias("p")).where("id <> p")
-    starred = starred.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-    starred = through_table(starred, "pairs")
-    links = through_table(verified(docs, nodes, starred, idf, least), "links")
+    central = shared.select("key", "id").join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id"))["id"].alias("p"))
+    pivots = central.unionAll(shared.where(F.col("turn") < PIVOTS).select("key", F.col("id").alias("p"))).distinct()
+    done = through_table(ordered(shared.join(pivots, "key").where("id <> p")), "pairs")
+    links = check(done)
     labels = components(links)
-    placed = shared.select("key", "id").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    placed = shared.where(F.col("n") > PIVOTS).join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest = through_table(placed.join(split, "key", "left_semi"), "rest")
-    wide = picked(docs, nodes, rest.select("id").distinct()).mapInPandas(wide_batches(idf), "id long, wide array<long>")
-    rest = rest.join(through_table(wide, "wide"), "id")
-    left, right = (rest.select("key", F.col("id").alias(x), F.col("wide").alias(f"wide_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
-    cross = left.join(right, (left.key == right.key) & (F.col("label_a") < F.col("label_b")) & (misses("wide_a", "wide_b") <= most_misses(least)))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = through_table(cross.join(starred, ["a", "b"], "left_anti"), "pairs")
-    more = through_table(verified(docs, nodes, cross, idf, least), "links")
-    if not more.isEmpty():
-        labels = components(links.unionAll(more))
-    named = nodes.select("node", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("label", "id").alias("label"))
-    classed = signed.select("doc_id", "node").join(named, "node", "left")  # documents without words have no label
-    class_ids = classed.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return classed.join(class_ids, "label", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-
-
-#: Up to so many texts, their digests (16 bytes each) are broadcast to pick them; beyond, both sides are shuffled.
-BROADCAST_TEXTS = 500_000
-
-
-def picked(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the given nodes, each once."""
-    wanted = through_table(nodes.select("node", "id").join(ids, "id", "left_semi"), "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
-    digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return docs.select(digest.alias("node"), "text").join(side, "node").dropDuplicates(["id"]).select("id", "text")
-
-
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """Pairs of nodes whose texts are similar enough. pairs is a written table."""
-    texts = picked(docs, nodes, pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    rest = through_table(placed.join(split, "key", "left_semi").select("key", "id", "label"), "rest")
+    found = rest.select("id").distinct().join(nodes, "id").join(spark.table(store), "node")
+    wide = through_table(found.select("id", "text").mapInPandas(wide_batches(idf), "id long, wide array<long>"), "wide")
+    left, right = (rest.withColumnsRenamed({"id": x, "label": f"label_{x}"}).join(wide.withColumnsRenamed({"id": x, "wide": f"wide_{x}"}), x) for x in "ab")
+    near = left.join(right, (left.key == right.key) & (F.col("label_a") < F.col("label_b")) & close("wide_a", "wide_b", least))
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = check(through_table(near.join(done, ["a", "b"], "left_anti"), "pairs"))
+    return labels if more.isEmpty() else components(links.unionAll(more))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """Pairs of nodes whose texts are similar enough; texts is bucketed by node, so only pairs move."""
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("node").alias(f"node_{x}"))
+    text = lambda x: texts.select(F.col("node").alias(f"node_{x}"), F.col("text").alias(f"text_{x}")).hint("merge")
+    named = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = named.join(text("a"), "node_a").join(text("b"), "node_b")
     return both.select("a", "b", "text_a", "text_b").mapInPandas(verify_batches(idf, least), "a long, b long, similarity double")
 
 
