@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -108,6 +109,47 @@ def test_structure_rules_out_noise():
     assert [t for i, t in html_diff.text_lines(page) if i] == ["A", "one", "two x", "kept"]
 
 
+def test_marks_weigh_and_shared_lines_go(spark):
+    page = lambda i: f"""<body><div>Shop</div><main><section><h1>Post {i}</h1><p>Prose of {i} is here, and more of it.</p><p>Licence</p></section></main>
+    <div role="article"><p>Follow us</p></div><p>Tip {i}</p></body>"""
+    rows = [(i, f"http://a.x/p/{i}", page(i)) for i in range(4)]
+    rows += [
+        (10, "http://b.x/1", "<article>teaser</article><div><p>Real long text here</p></div>"),
+        (11, "http://c.x/1", '<article><div class="post-header"><h1>Title</h1></div><p>Body</p><div class="share-price">12.50</div><div class="share-buttons">Share</div></article>'),
+        (12, "http://d.x/1", '<main><p>Text</p><article class="comment"><p>First!</p></article></main>'),
+    ]
+    got = {r["page_id"]: r["text"] for r in html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"Post {i}\nProse of {i} is here, and more of it.\nLicence" for i in range(4)}
+    assert got == want | {10: "teaser\nReal long text here", 11: "Title\nBody\n12.50", 12: "Text"}
+
+
+def test_pages_without_marks_come_to_the_same_text(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", "</?article>", ""))
+    both = html_diff.extract(pages).toPandas().set_index("page_id")["text"], html_diff.extract(bare).toPandas().set_index("page_id")["text"]
+    assert (both[0] == both[1].loc[both[0].index]).mean() >= 0.95
+
+
+def test_nearest_page_against_brute_force(spark):
+    rng = random.Random(2)
+    keys = [(rng.choice("pqr"), "/" + "/".join(rng.choice(["a", "bb", "c", "ddd"]) for _ in range(rng.randint(0, 4))), i) for i in range(300)]
+    got = {r["row"]: (r["near"], r["far"]) for r in html_diff.nearest(spark.createDataFrame(keys, "host string, path string, row long")).collect()}
+    line = sorted(keys)
+
+    def common(a, b):
+        n = 0
+        for x, y in zip(a.split("/"), b.split("/")):
+            if x != y:
+                break
+            n += len(x) + 1
+        return n
+
+    for k, (host, path, row) in enumerate(line):
+        near = [(common(path, line[j][1]), -(j > k), line[j][2]) for j in (k - 1, k + 1) if 0 <= j < len(line) and line[j][0] == host]
+        order = [x[2] for x in sorted(near, reverse=True)]
+        assert got[row] == tuple([*order, None, None][:2])
+
+
 # --- 2: quality classifier
 
 
@@ -136,6 +178,73 @@ def test_clean_documents_stay_and_junk_goes(spark, sf):
     assert rate[1] > 0.985 and rate[0] < 0.5
 
 
+def plain_model(texts):
+    """Interpolated modified Kneser-Ney by its definition: (symbol given context) -> probability."""
+    counts, n = [Counter()], kneser_ney.ORDER
+    for t in texts:
+        s = [0] * (n - 1) + kneser_ney.symbols(t).tolist()
+        counts[0].update(tuple(s[i : i + n]) for i in range(len(s) - n + 1))
+    for _ in range(n - 1):
+        counts.append(Counter(g[1:] for g in counts[-1]))
+    levels = []
+    for c in counts[::-1]:
+        of = Counter(c.values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] + 2 * of[2] else 0.5
+        d = [min(k, max(0.0, k - (k + 1) * y * of[k + 1] / of[k] if of[k] else 0.5 * k)) for k in (1, 2, 3)]
+        context = defaultdict(list)
+        for g, x in c.items():
+            context[g[:-1]].append(x)
+        levels.append((c, d, {h: (sum(x), sum(d[min(v, 3) - 1] for v in x) / sum(x)) for h, x in context.items()}))
+
+    def p(g):
+        out = 1 / kneser_ney.A
+        for k, (c, d, context) in enumerate(levels, 1):
+            own = g[-k:]
+            if own[:-1] in context:
+                total, left = context[own[:-1]]
+                x = c.get(own, 0)
+                out = (x - d[min(x, 3) - 1] if x else 0.0) / total + left * out
+        return out
+
+    return p
+
+
+def test_verdicts_against_a_plain_model(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "MIN_TRUSTED", 20)
+    rng = random.Random(6)
+    words = {"en": "the cat sat on a mat and the dog ran to town".split(), "ru": "кошка сидела на окне и смотрела на снег во дворе".split(), "xx": "uno due tre".split()}
+    rows, good = [], []
+    for i in range(90):
+        lang = rng.choice(["en", "en", "ru", "ru", "xx"])
+        text = " ".join(rng.choice(words[lang]) for _ in range(rng.randint(30, 60)))
+        if i % 7 == 0:
+            text = "".join(rng.sample(text, len(text)))
+        else:
+            good.append((i, 1))
+        rows.append((i, text, lang))
+    rows += [(100, None, "en"), (101, "", None), (102, "cat " * 3000, "en")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(good, "doc_id long, quality int")
+    trusted = {i for i, _ in good}
+    langs = [lang for lang in words if sum(r[0] in trusted and r[2] == lang for r in rows) >= 20]
+    models = {x: plain_model([t for i, t, lang in rows if i in trusted and x in (lang, "*")]) for x in [*langs, "*"]}
+    loss, size, group = {}, {}, {}
+    for i, t, lang in rows:
+        group[i] = lang if lang in models else "*"
+        s = [0, 0, 0, *kneser_ney.symbols(t).tolist()]
+        size[i] = len(s) - 3
+        loss[i] = -sum(math.log(models[group[i]](tuple(s[k : k + 4]))) for k in range(size[i]))
+    mean = {x: sum(loss[i] for i in trusted if x in (group[i], "*")) / sum(size[i] for i in trusted if x in (group[i], "*")) for x in models}
+    perplexity = {i: math.exp((loss[i] + kneser_ney.PRIOR * mean[group[i]]) / (size[i] + kneser_ney.PRIOR)) for i in loss}
+    cut = {x: sorted(perplexity[i] for i in trusted if x in (group[i], "*")) for x in models}
+    cut = {x: kneser_ney.MARGIN * v[math.ceil(kneser_ney.QUANTILE * len(v)) - 1] for x, v in cut.items()}
+    got = {r["doc_id"]: r for r in kneser_ney.classify(docs, labels).collect()}
+    assert {"en", "ru"} <= models.keys() and "xx" not in models
+    for i, x in perplexity.items():
+        assert got[i]["perplexity"] == pytest.approx(x, rel=1e-3) and got[i]["threshold"] == pytest.approx(cut[group[i]], rel=1e-3)
+        assert got[i]["kept"] == (x <= cut[group[i]])
+    assert any(not got[i]["kept"] for i, t, lang in rows if lang == "ru") and all(got[i]["kept"] for i in (100, 101))
+
+
 # --- 3: chroma fingerprints
 
 
@@ -255,6 +364,27 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {i: 0 if i < 200 else i for i, _ in rows}
 
 
+def test_links_apart_from_the_pivots_are_found(spark):
+    rng, rows = random.Random(5), []
+    base = [f"word{i}" for i in range(120)]
+    for i in range(160):  # families of edits: most members are far from the original, near only to some of their family
+        copy = list(base)
+        family = random.Random(i % 20)
+        for _ in range(5):
+            copy[family.randrange(120)] = f"fam{i % 20}x{family.randrange(3)}"
+        for _ in range(rng.randrange(3)):
+            copy[rng.randrange(120)] = f"own{i}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(minhash.near_duplicates(docs).toPandas().itertuples(index=False, name=None))
+    sets, label = sets_of(dict(rows), minhash.word_idf(docs)), {i: i for i, _ in rows}
+    links = [(p, q) for p in label for q in label if q < p and minhash.similarity(sets[p], sets[q]) >= minhash.LEAST]
+    for _ in rows:
+        for p, q in links:
+            label[p] = label[q] = min(label[p], label[q])
+    assert got == label and 1 < len(set(label.values())) < 100
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = dict(components.components(links).collect())
@@ -294,6 +424,36 @@ def test_redaction_keeps_rows_and_columns(edge):
     assert rows[6]["text"].startswith("[SECRET] [SECRET]") and rows[1]["text"] is None
 
 
+def test_models_find_keys_and_leave_identifiers(spark):
+    rng = random.Random(8)
+    letters = secrets.ALPHABET[:62]
+    key = lambda n=32: "".join(rng.choice(letters) for _ in range(n))
+    words = "customer order total price region supplier account balance index table window partition value record update delete report monthly".split()
+    name = lambda: rng.choice("_-./").join(rng.choice(words) for _ in range(rng.randint(3, 5)))
+    docs, random_at, plain_at = [], [], []
+    for i in range(300):
+        a, b = key(), name()
+        docs.append((i, f"see {a} in {b} and {name()} with api_key={key()}"))
+        random_at.append((4, 4 + len(a)))
+        plain_at.append((8 + len(a), 8 + len(a) + len(b)))
+    rows = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = lambda at, k: f"markov:{at[0]}:{at[1]}" in rows[k].split(",")
+    assert sum(found(at, k) for k, at in enumerate(random_at)) >= 0.95 * len(docs)
+    assert sum(found(at, k) for k, at in enumerate(plain_at)) <= 0.02 * len(docs)
+
+
+def test_long_logs_are_scanned_in_linear_time():
+    import time
+
+    text = " ".join(f"token={i:06d}abcd key_{i}_of_the_customer_table" for i in range(100_000))
+    began = time.time()
+    base, more = secrets.scan(text, np.zeros((secrets.SIZE, secrets.SIZE)))
+    assert len(base) == 100_000 and not more and time.time() - began < 10
+    spans = [(s, e) for s, _, e, _ in secrets.base_spans(text[:4000])]
+    plain = [m.span() for m in secrets.RUN.finditer(text[:4000]) if not any(s < m.end() and m.start() < e for s, e in spans)]
+    assert [m.span() for m in secrets.other_runs(text[:4000], secrets.base_spans(text[:4000]))] == plain
+
+
 # --- 6: toxicity
 
 
@@ -435,6 +595,33 @@ def test_packing_round_trip_and_proportions(spark, corpus, texts):
         assert max(map(abs, owed.values())) <= 2 * packing.QUANTUM + 1
 
 
+@pytest.mark.parametrize(("totals", "targets"), [((400_000, 300_000, 50_000), (1, 2, 1)), ((90_000, 500_000, 100_000, 5_000), (3, 0, 1, 1)), ((10_000, 10_000), (1, 3))])
+def test_windows_meet_unequal_targets_until_a_queue_ends(totals, targets):
+    plan = packing.Schedule(totals, targets=targets)
+    window, seen = defaultdict(Counter), Counter()
+    for s, n in enumerate(totals):
+        _, _, length, seq, offset = plan.pieces(s, np.arange(0, n, 64), np.minimum(64, n - np.arange(0, n, 64)))
+        for k, o, m in zip(seq.tolist(), offset.tolist(), length.tolist(), strict=True):
+            window[k][s] += m
+            seen.update(range(k * packing.WINDOW + o, k * packing.WINDOW + o + m))
+    assert len(seen) == sum(totals) and set(seen.values()) == {1}
+    left, owed = Counter(dict(enumerate(totals))), Counter()
+    for k in range(plan.windows):  # a plain deficit round-robin, window by window
+        live = {s: targets[s] for s in left if left[s] >= packing.WINDOW and targets[s]} or {s: left[s] for s in left if left[s] >= packing.WINDOW}
+        if any(0 < left[s] < 3 * packing.WINDOW and targets[s] for s in left):
+            owed.clear()  # a queue is about to end
+        else:
+            for s in left:
+                owed[s] += packing.WINDOW * live.get(s, 0) / sum(live.values()) - window[k][s]
+            assert max(map(abs, owed.values())) <= 2 * packing.QUANTUM + 1
+        left.subtract(window[k])
+
+
+def test_packing_with_targets_loses_nothing(spark, corpus, texts):
+    names = sorted(r["source"] for r in corpus.select("source").distinct().collect() if r["source"] is not None)
+    check_packing(packing.pack(corpus, targets={n: 1 + k % 3 for k, n in enumerate(names[:-1])}).collect(), texts)
+
+
 @pytest.mark.parametrize("totals", [(), (0,), (5,), (2048,), (100, 4000, 333), (1, 1, 1), (128 * 16 * 3, 128 * 5, 127)])
 def test_schedule_places_every_token_once(totals):
     plan = packing.Schedule(tuple(totals))
@@ -456,6 +643,32 @@ def test_words_are_encoded_as_in_whole_texts():
 # --- 9, 10
 
 
+def test_fences_follow_their_group(spark):
+    rng, rows = random.Random(4), []
+    for i in range(1200):
+        source = i % 3
+        words = [f"{'ab'[source % 2] * (4 + source * 3)}{rng.randrange(10**6)}" for _ in range(100)]
+        for _ in range(rng.randrange(source * 8 + 1)):
+            words[rng.randrange(100)] += "#"
+        rows.append((i, " ".join(words), "en", f"s{source}"))
+    rows.append((5000, rows[0][1] + " #" * 12, "en", "s0"))
+    feats = quality_rules.features(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).withColumns(quality_rules.metric_columns())
+    high = {r["source"]: r["hi_word_length"] for r in quality_rules.length_fences(feats).collect()}
+    tails = {r["source"]: r["hi_symbols"] for r in quality_rules.tail_fences(feats).collect()}
+    assert high["s0"] < high["s1"] < high["s2"] and tails["s0"] < tails["s1"] < tails["s2"]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not kept[5000] and sum(kept.values()) > 0.95 * len(rows)
+
+
+def test_taken_words_are_the_spans(spark, corpus):
+    rows = mixing.mix(corpus, carry=True).collect()
+    for r in rows:
+        runs = [[(x["lo"], x["hi"]) for x in level] for level in r["spans"]]
+        assert sum(b - a for level in runs for a, b in level) == r["taken"] <= 3 * r["size"] and r["row"]["doc_id"] == r["doc_id"]
+        for level in runs:
+            assert all(0 <= a < b <= r["size"] for a, b in level) and all(p[1] <= q[0] for p, q in zip(level, level[1:]))
+
+
 def test_quality_rules_on_edges(edge):
     rows = {r["doc_id"]: r for r in quality_rules.quality_rules(edge).collect()}
     assert rows[1]["base_failed"] and rows[5]["n_repeat_words"] == 3000 and not rows[5]["kept"] and rows[6]["word_chars"] == 10 + 5 + 1 + 20 + 1 + 1 + 2

@@ -64,3 +64,39 @@ def test_packing_covers_every_row(staged):
 def test_run_gives_the_last_stage(spark, sf, staged):
     got = corpus_pipeline.run(spark, sf)
     assert got.columns == staged[5].columns and got.agg(F.sum("length")).first() == staged[5].agg(F.sum("length")).first()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and repeated ids, ties, null and empty texts, a very long text and columns that clash with those of the stages."""
+    a, b, long = " ".join(f"alpha{i}" for i in range(40)), " ".join(f"beta{i}" for i in range(40)), " ".join(f"w{i % 977}x{i % 1009}" for i in range(60_000))
+    texts = [(3, a), (5, a), (5, b), (None, a), (None, b + " more"), (7, None), (8, ""), (8, ""), (9, long), (10, f"password: hunter22 {b[::-1]}"), (10, f"password: hunter22 {b[::-1]}")]
+    rows = [(i, t, "en" if k % 2 else None, "s" if k % 3 else None, len(t) if t else None, *range(k, k + 9)) for k, (i, t) in enumerate(texts)]
+    names = ["part", "whole", "t_id", "first", "row", "node", "key", "size", "spans"]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+
+
+def test_stages_on_odd_rows(spark, sf, odd):
+    whole = {tuple(r) for r in odd.collect()}
+    judged = corpus_pipeline.quality(spark, odd, sf)
+    assert judged.schema == odd.schema and {tuple(r) for r in judged.collect()} <= whole
+    single = corpus_pipeline.near_copies(spark, odd, sf)
+    got = sorted(single.select("doc_id", "text").collect(), key=str)
+    texts = [r["text"] for r in got]
+    assert single.schema == odd.schema and {tuple(r) for r in single.collect()} <= whole
+    by_text = {r["text"]: r["doc_id"] for r in got if r["text"]}
+    rows = odd.collect()
+    assert by_text[rows[0]["text"]] == 3 and by_text[rows[2]["text"]] == 5 and rows[4]["text"] not in by_text
+    assert len(by_text) == 4 and texts.count(None) == 1 and texts.count("") == 2 and len(got) == 7
+    clean = corpus_pipeline.secret_free(spark, odd, sf)
+    assert clean.schema == odd.schema and clean.count() == odd.count() and clean.where("doc_id = 10 AND text NOT LIKE '[SECRET]%'").isEmpty()
+    mix = corpus_pipeline.mixed(spark, odd, sf)
+    taken = mixing.mix(odd).agg(F.sum("taken")).first()[0]
+    assert [f.name for f in mix.schema] == odd.columns and sum(len((r["text"] or "").split()) for r in mix.collect()) == taken
+    pieces = corpus_pipeline.packed(spark, odd, sf)
+    assert pieces.where("start = 0").count() == odd.count()
+
+
+def test_stages_on_an_empty_table(spark, sf, odd):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), sf).isEmpty()
