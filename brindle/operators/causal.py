@@ -6,7 +6,6 @@ matrices and cell tables reach the driver.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions import tails as tl
 
+from .ordering import cumulated, stored
+
 
 def did(df: DataFrame, outcome: str, treated: str, post: str, tails: bool = True) -> DataFrame:
     """2 x 2 difference in differences: difference of cell means, HC1 variance from the cells."""
@@ -52,11 +53,13 @@ def parallel_trends(df: DataFrame, outcome: str, treated: str, time: str, before
     return g.withColumn("status", F.when(F.col("p") > 0.1, "PASS").when(F.col("p") > alpha, "WARNING").otherwise("FAIL"))
 
 
-def support(df: DataFrame, score: str, treated: str) -> DataFrame:
-    """Region that both arms' scores cover, and the share of rows outside it."""
+def support(df: DataFrame, score: str, treated: str, slack: float = 1e-9) -> DataFrame:
+    """Region that both arms' scores cover, and the share of rows outside it by more than a relative slack (scores may be sums of doubles)."""
     t = F.col(treated) == 1
     span = df.agg(F.greatest(F.min(F.when(t, F.col(score))), F.min(F.when(~t, F.col(score)))).alias("low"), F.least(F.max(F.when(t, F.col(score))), F.max(F.when(~t, F.col(score)))).alias("high"))
-    out = df.crossJoin(F.broadcast(span)).agg(F.max("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n"), F.count_if(~F.col(score).between(F.col("low"), F.col("high"))).alias("n_outside"))  # one row
+    near = lambda c: slack * F.greatest(F.lit(1.0), F.abs(c))
+    outside = (F.col(score) < F.col("low") - near("low")) | (F.col(score) > F.col("high") + near("high"))
+    out = df.crossJoin(F.broadcast(span)).agg(F.max("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n"), F.count_if(outside).alias("n_outside"))  # one row
     rate = F.try_divide("n_outside", "n")
     return out.withColumn("status", F.when(rate <= 0.05, "PASS").when(rate <= 0.2, "WARNING").otherwise("FAIL"))
 
@@ -86,15 +89,6 @@ def propensity(df: DataFrame, treated: str, covariates: Sequence[str]) -> DataFr
     return model.transform(data.withColumn(treated, F.col(treated).cast("double"))).withColumn("logit", vector_to_array("_raw")[1]).drop("_x", "_pr", "_pb", "_raw")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write to the folder of spark.checkpoint.dir (or the warehouse) and read back."""
-    conf = df.sparkSession.conf
-    root = conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir')}/_shared"
-    path = f"{root.rstrip('/')}/brindle-match-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def nearest(own: DataFrame, other: DataFrame) -> DataFrame:
     """(s, o): the nearest other score within w of each own score, the lower of two; by sorted neighbours in caliper-wide buckets."""
     near = own.select(F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), "s", "w", F.lit(None).cast("double").alias("o"))
@@ -177,8 +171,7 @@ def rosenbaum(pairs: DataFrame, treated: str, control: str, gammas: Sequence[flo
     """Bounds of the signed-rank test under hidden bias gamma."""
     d = pairs.select((F.col(treated) - F.col(control)).alias("d")).where("d <> 0")
     per = d.groupBy(F.abs("d").alias("a")).agg(F.count("*").alias("ties"), F.count_if(F.col("d") > 0).alias("up"))
-    w = Window.orderBy("a").rowsBetween(Window.unboundedPreceding, 0)  # distinct differences
-    ranked = per.withColumn("rank", F.sum("ties").over(w) - (F.col("ties") - 1) / 2)
+    ranked = cumulated(per, [], "a", "ties").withColumn("rank", F.col("upto") - (F.col("ties") - 1) / 2)
     s = ranked.agg(F.sum(F.col("rank") * F.col("up")).alias("t"), F.sum(F.col("rank") * F.col("ties")).alias("s1"), F.sum(F.col("rank") ** 2 * F.col("ties")).alias("s2"))
     grid = pairs.sparkSession.createDataFrame([(float(g),) for g in gammas], "gamma double").withColumn("pr", F.col("gamma") / (1 + F.col("gamma")))
     out = s.crossJoin(grid)  # one row x a short list

@@ -8,17 +8,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import one_row, quantiles
 from .profiling import spine
 
 
 def cut_points(df: DataFrame, column: str) -> DataFrame:
     """Edges for 5, 4, 3 or 2 quantile bins: the most whose edges are all distinct (one row)."""
     levels = {q: [i / q for i in range(q + 1)] for q in (5, 4, 3, 2)}
-    row = df.agg(*[F.percentile(column, F.array(*[F.lit(x) for x in xs])).alias(f"q{q}") for q, xs in levels.items()])
+    at = {f"q{q}_{i}": x for q, xs in levels.items() for i, x in enumerate(xs)}
+    row = quantiles(df, {column: F.col(column)}, at).select(*[F.array(*[f"q{q}_{i}" for i in range(q + 1)]).alias(f"q{q}") for q in levels])
     pick = F.lit(None).cast("array<double>")
     for q in (2, 3, 4, 5):
         pick = F.when(F.size(F.array_distinct(f"q{q}")) == q + 1, F.col(f"q{q}")).otherwise(pick)
-    return row.select(pick.alias("edges"))
+    return row.agg(F.first(pick).alias("edges"))  # one row, also without values
 
 
 def quantile_score(df: DataFrame, column: str, name: str, reverse: bool = False) -> DataFrame:
@@ -175,7 +177,7 @@ def drivers(df: DataFrame, target: str, columns: Sequence[str], k: int = 5) -> D
 
 def high_low(df: DataFrame, metric: str, attributes: Sequence[str]) -> DataFrame:
     """Means of attributes above and at or below the median of a metric."""
-    cut = df.agg(F.percentile(metric, 0.5).alias("_cut"))
+    cut = one_row(df, {metric: F.col(metric)}, {"cut": 0.5}).toDF("_cut")
     rows = df.crossJoin(F.broadcast(cut)).withColumn("_high", F.col(metric) > F.col("_cut"))  # one row
     wide = rows.agg(*[F.avg(F.when(F.col("_high"), F.col(a))).alias(f"{a}_h") for a in attributes], *[F.avg(F.when(~F.col("_high"), F.col(a))).alias(f"{a}_l") for a in attributes])
     return wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(f"{a}_h").alias("high"), F.col(f"{a}_l").alias("low")) for a in attributes])).alias("x")).select("x.*")

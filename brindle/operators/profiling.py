@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordering import cumulated, quantile_columns, stored, value_counts
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
@@ -38,10 +40,14 @@ def columns_profile(df: DataFrame) -> DataFrame:
         size = F.length(c).cast("double") if text else F.lit(None).cast("double")
         out[f.name] = {
             "type": F.first(F.lit(f.dataType.simpleString())), "n_null": F.count_if(c.isNull()), "null_pct": F.round(100.0 * F.try_divide(F.count_if(c.isNull()), F.count("*")), 6),
-            "n_unique": F.count_distinct(c), "min": F.min(n), "max": F.max(n), "mean": F.round(F.avg(n), 6), "sd": F.round(F.stddev_samp(n), 6),
+            "min": F.min(n), "max": F.max(n), "mean": F.round(F.avg(n), 6), "sd": F.round(F.stddev_samp(n), 6),
             "min_length": F.min(size), "max_length": F.max(size), "mean_length": F.round(F.avg(size), 6),
         }
-    return unpivot(df, out)
+    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("string").alias("v")) for f in df.schema])
+    rows = df.select(F.explode(cells).alias("x")).select("x.column", "x.v").where("v IS NOT NULL")
+    unique = rows.groupBy("column", "v").count().groupBy("column").agg(F.count("*").alias("n_unique"))
+    profile = unpivot(df, out).join(F.broadcast(unique), "column", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))  # a row a column
+    return profile.select("column", "type", "n_null", "null_pct", "n_unique", "min", "max", "mean", "sd", "min_length", "max_length", "mean_length")
 
 
 def date_span(df: DataFrame, name: str) -> DataFrame:
@@ -69,17 +75,17 @@ def distributions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         c = F.col(name).cast("double")
         n = F.count(c).cast("double")
         per[name] = {
-            "n": F.count(c), "n_unique": F.count_distinct(c), "mean": F.avg(c), "sd": F.stddev_samp(c), "min": F.min(c), "max": F.max(c),
+            "n": F.count(c), "mean": F.avg(c), "sd": F.stddev_samp(c), "min": F.min(c), "max": F.max(c),
             "skew": F.when(n >= 3, F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2)),
             "kurtosis": F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6)),
-            "q": F.percentile(c, F.array(*[F.lit(x) for x in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)])),
         }
-    stats = unpivot(df, per)
-    names = ["p1", "p5", "p25", "p50", "p75", "p95", "p99"]
-    stats = stats.select("*", *[F.col("q")[i].alias(x) for i, x in enumerate(names)]).drop("q").withColumn("iqr", F.col("p75") - F.col("p25"))
-    rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
-    out = rows.join(F.broadcast(stats.select("column", "p25", "p75", "iqr")), "column")  # one row a column
-    out = out.where((F.col("v") < F.col("p25") - 1.5 * F.col("iqr")) | (F.col("v") > F.col("p75") + 1.5 * F.col("iqr"))).groupBy("column").agg(F.count("*").alias("n_outliers"))
+    counts = cumulated(value_counts(df, {c: F.col(c) for c in columns}), ["column"])
+    at = {f"p{p}": p / 100 for p in (1, 5, 25, 50, 75, 95, 99)}
+    ordered = stored(counts.groupBy("column").agg(F.count("*").alias("n_unique"), *quantile_columns(at)), "quantiles")  # a row a column
+    stats = unpivot(df, per).join(F.broadcast(ordered), "column", "left").withColumn("iqr", F.col("p75") - F.col("p25"))
+    stats = stats.withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
+    out = counts.join(F.broadcast(ordered.select("column", "p25", "p75", (F.col("p75") - F.col("p25")).alias("iqr"))), "column")
+    out = out.where((F.col("v") < F.col("p25") - 1.5 * F.col("iqr")) | (F.col("v") > F.col("p75") + 1.5 * F.col("iqr"))).groupBy("column").agg(F.sum("n").alias("n_outliers"))
     stats = stats.join(out, "column", "left").withColumn("n_outliers", F.coalesce("n_outliers", F.lit(0)))
     shape = F.when((F.abs("skew") < 0.5) & (F.col("kurtosis") < -1), "uniform").when(F.col("kurtosis") > 3, "heavy_tailed").when(F.col("skew") > 1, "right_skewed").when(F.col("skew") < -1, "left_skewed").otherwise("normal")
     hint = F.when((F.col("skew") > 1) & (F.col("min") > 0), "log").when((F.col("skew") > 1) & (F.col("min") >= 0), "sqrt").otherwise("none")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions import tails as tl
 
+from .ordering import cumulated, one_row, running
+
 
 def two_groups(df: DataFrame, group: str, metric: str, a, b) -> DataFrame:
     """One row: n, mean and sample variance of both groups."""
@@ -58,23 +60,21 @@ def mean_interval(df: DataFrame, metric: str, confidence: float = 0.95, by: Sequ
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """rank with ties averaged, and how many rows share it. Values are counted first, so only distinct values are ordered."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("ties"))
-    w = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("rank", F.sum("ties").over(w) - (F.col("ties") - 1) / 2)
+    return cumulated(counts, [*by], "_v", "ties").withColumn("rank", F.col("upto") - (F.col("ties") - 1) / 2).drop("upto", "total")
 
 
 def mann_whitney(df: DataFrame, group: str, metric: str, a, b, tails: bool = True) -> DataFrame:
     """U of the first group, tie-corrected normal z with continuity, medians and rank-biserial correlation."""
     two = df.where(F.col(group).isin(a, b) & F.col(metric).isNotNull()).select(F.when(F.col(group) == F.lit(a), 1).otherwise(0).alias("is_a"), F.col(metric).cast("double").alias("x"))
     per = two.groupBy("x").agg(F.sum("is_a").alias("ka"), F.count("*").alias("ties"))
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)  # distinct values, already aggregated
-    ranked = per.withColumn("rank", F.sum("ties").over(w) - (F.col("ties") - 1) / 2)
+    ranked = cumulated(per, [], "x", "ties").withColumn("rank", F.col("upto") - (F.col("ties") - 1) / 2)
     g = ranked.agg(F.sum("ka").alias("n_a"), F.sum(F.col("ties") - F.col("ka")).alias("n_b"), F.sum(F.col("rank") * F.col("ka")).alias("r"), F.sum(F.col("ties").cast("double") ** 3 - F.col("ties")).alias("tie"))
     n, prod = F.col("n_a") + F.col("n_b"), F.col("n_a") * F.col("n_b")
     g = g.withColumn("u", F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2)
     sd = F.sqrt(prod / 12.0 * ((n + 1) - F.col("tie") / (n * (n - 1.0))))
     off = F.col("u") - prod / 2
     g = g.withColumns({"z": F.try_divide(F.signum(off) * F.greatest(F.abs(off) - 0.5, F.lit(0.0)), sd), "rank_biserial": 2 * F.col("u") / prod - 1}).drop("r", "tie")
-    med = two.agg(F.percentile(F.when(F.col("is_a") == 1, F.col("x")), 0.5).alias("median_a"), F.percentile(F.when(F.col("is_a") == 0, F.col("x")), 0.5).alias("median_b"))
+    med = one_row(two, {s: F.when(F.col("is_a") == v, F.col("x")) for s, v in (("a", 1), ("b", 0))}, {"median": 0.5}).toDF("median_a", "median_b")
     g = g.crossJoin(med)  # one row each
     return g.withColumn("p", tl.p_normal("z")) if tails else g
 
@@ -131,7 +131,8 @@ def jarque_bera(df: DataFrame, metric: str, by: Sequence[str] = (), tails: bool
 
 def describe_shape(df: DataFrame, metric: str) -> DataFrame:
     """Population moments with a shape word."""
-    g = df.agg(F.count(metric).alias("n"), F.avg(metric).alias("mean"), F.percentile(metric, 0.5).alias("median"), F.stddev_samp(metric).alias("sd"), F.skewness(metric).alias("skew"), F.kurtosis(metric).alias("kurtosis"))
+    g = df.agg(F.count(metric).alias("n"), F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("sd"), F.skewness(metric).alias("skew"), F.kurtosis(metric).alias("kurtosis"))
+    g = g.crossJoin(one_row(df, {metric: F.col(metric)}, {"median": 0.5}).toDF("median")).select("n", "mean", "median", "sd", "skew", "kurtosis")  # one row each
     return g.withColumn("shape", F.when(F.abs("skew") < 0.5, "symmetric").when(F.col("skew") > 0, "right-skewed").otherwise("left-skewed"))
 
 
@@ -198,8 +199,9 @@ def cuped(df: DataFrame, group: str, pre: str, post: str, a, b, tails: bool = Tr
 
 def confidence_sequence(df: DataFrame, metric: str, by: str, order: Sequence[str], alpha: float = 0.05) -> DataFrame:
     """Running mean with an anytime interval at each observation; null bounds before the second."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.select(by, *order, F.col(metric).cast("double").alias("x")).withColumns({"n": F.count("x").over(w), "mean": F.avg("x").over(w), "v": F.var_samp("x").over(w)})
+    rows = df.select(by, *order, F.col(metric).cast("double").alias("x"))
+    rows = running(rows, [by], order, {"n": F.col("x").isNotNull().cast("long"), "s1": F.coalesce("x", F.lit(0.0)), "s2": F.coalesce(F.col("x") ** 2, F.lit(0.0))})
+    rows = rows.withColumn("mean", F.try_divide("s1", "n")).withColumn("v", F.try_divide(F.greatest(F.lit(0.0), F.col("s2") - F.col("s1") * F.col("mean")), F.col("n") - 1)).drop("s1", "s2")
     half = F.sqrt(2 * F.col("v") * F.log(2 * F.log2(2 * F.col("n")) / alpha * 1.7) / F.col("n") * 1.1)
     return rows.withColumns({"low": F.when(F.col("n") >= 2, F.col("mean") - half), "high": F.when(F.col("n") >= 2, F.col("mean") + half)}).drop("v")
 
@@ -207,16 +209,18 @@ def confidence_sequence(df: DataFrame, metric: str, by: str, order: Sequence[str
 def e_value(df: DataFrame, metric: str, by: str, order: Sequence[str], null_mean: float = 0.0) -> DataFrame:
     """Anytime-valid p: a betting martingale whose stake at t depends on earlier observations only.
 
-    Two chained windows: sums of the past, then the running log e-value (floor 1e-10 under the logarithm, cap 500).
+    Two chained passes: sums of the past, then the running log e-value (floor 1e-10 under the logarithm, cap 500).
     """
-    w = Window.partitionBy(by).orderBy(*order)
-    past, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
     d = F.col(metric).cast("double") - null_mean
-    rows = df.select(by, *order, d.alias("d")).withColumns({"s1": F.coalesce(F.sum("d").over(past), F.lit(0.0)), "s2": F.coalesce(F.sum(F.col("d") ** 2).over(past), F.lit(0.0))})
+    zero = F.coalesce("d", F.lit(0.0))
+    rows = running(df.select(by, *order, d.alias("d")), [by], order, {"s1": zero, "s2": zero**2})
+    rows = rows.withColumns({"s1": F.col("s1") - zero, "s2": F.col("s2") - zero**2})
     stake = F.when(F.col("s2") > 0, F.greatest(F.lit(-0.5), F.least(F.lit(0.5), F.col("s1") / F.col("s2")))).otherwise(0.0)
     rows = rows.withColumn("gain", F.log(F.greatest(F.lit(1e-10), 1 + stake * F.col("d"))))
-    rows = rows.withColumn("log_e", F.least(F.lit(500.0), F.sum("gain").over(upto)))
-    return rows.withColumn("p", F.least(F.lit(1.0), F.exp(-F.max("log_e").over(upto)))).select(by, *order, "log_e", "p")
+    rows = running(rows.select(by, *order, "gain"), [by], order, {"e": F.col("gain")})
+    rows = rows.select(by, *order, F.least(F.lit(500.0), F.col("e")).alias("log_e"))
+    rows = running(rows, [by], order, {}, {"best": F.col("log_e")})
+    return rows.select(by, *order, "log_e", F.least(F.lit(1.0), F.exp(-F.col("best"))).alias("p"))
 
 
 def beta_posterior(df: DataFrame, group: str, hit: Column, a, b, prior: tuple[float, float] = (1.0, 1.0), tails: bool = True) -> DataFrame:

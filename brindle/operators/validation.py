@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordering import one_row
 from .profiling import family, spine, unpivot
 
 
@@ -178,7 +179,8 @@ def cardinality(df: DataFrame, column: str, low: int, high: int) -> DataFrame:
 
 def rates(df: DataFrame, num: str, den: str, low: float, high: float) -> DataFrame:
     r = F.try_divide(F.col(num), F.col(den))
-    return df.agg(F.count_if(F.col(den) == 0).alias("n_zero_den"), F.count_if(r.isNotNull() & ~r.between(low, high)).alias("n_outside"), F.avg(r).alias("mean"), F.percentile(r, 0.5).alias("median"), F.min(r).alias("min"), F.max(r).alias("max"))
+    g = df.agg(F.count_if(F.col(den) == 0).alias("n_zero_den"), F.count_if(r.isNotNull() & ~r.between(low, high)).alias("n_outside"), F.avg(r).alias("mean"), F.min(r).alias("min"), F.max(r).alias("max"))
+    return g.crossJoin(one_row(df, {"rate": r}, {"median": 0.5}).toDF("median")).select("n_zero_den", "n_outside", "mean", "median", "min", "max")  # one row each
 
 
 def change_check(series: DataFrame, order: str, value: str, limit: float, lag: int = 1) -> DataFrame:
@@ -194,7 +196,8 @@ def outliers(df: DataFrame, column: str, method: str = "iqr", width: float | Non
     c = F.col(column).cast("double")
     if method == "iqr":
         w = 1.5 if width is None else width
-        q = df.agg(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select((F.col("q")[0] - w * (F.col("q")[1] - F.col("q")[0])).alias("lo"), (F.col("q")[1] + w * (F.col("q")[1] - F.col("q")[0])).alias("hi"))
+        q = one_row(df, {"c": c}, {"q1": 0.25, "q3": 0.75})
+        q = q.select((F.col("c_q1") - w * (F.col("c_q3") - F.col("c_q1"))).alias("lo"), (F.col("c_q3") + w * (F.col("c_q3") - F.col("c_q1"))).alias("hi"))
     else:
         w = 3.0 if width is None else width
         q = df.agg((F.avg(c) - w * F.stddev_samp(c)).alias("lo"), (F.avg(c) + w * F.stddev_samp(c)).alias("hi"))
@@ -206,7 +209,8 @@ def outliers(df: DataFrame, column: str, method: str = "iqr", width: float | Non
 def sanity(df: DataFrame, column: str, rate_column: bool = False, skew_limit: float = 3.0) -> DataFrame:
     c = F.col(column).cast("double")
     n = F.count(c).cast("double")
-    out = df.agg(F.percentile(c, 0.01).alias("p1"), F.percentile(c, 0.99).alias("p99"), F.when(n >= 3, F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), F.count_if(~c.between(0, 1)).alias("n_outside"))
+    out = df.agg(F.when(n >= 3, F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), F.count_if(~c.between(0, 1)).alias("n_outside"))
+    out = one_row(df, {"c": c}, {"p1": 0.01, "p99": 0.99}).toDF("p1", "p99").crossJoin(out)  # one row each
     return out.withColumn("status", F.when((F.abs("skew") > skew_limit) | (F.lit(rate_column) & (F.col("n_outside") > 0)), "WARN").otherwise("PASS"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import scalars
 from brindle.operators import semantic as sem
 from brindle.operators import sets
+from brindle.operators.ordering import one_row
 from brindle.sources import tables as src
 from brindle.sources.tables import table
 
@@ -81,8 +82,8 @@ def tolerance(s, d):
 
 def winsorised(s, d):
     e = table(s, d, "events").select("event_type", "value")
-    cut = e.agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    w = e.crossJoin(F.broadcast(cut)).select("event_type", F.greatest(F.least("value", F.col("q")[1]), F.col("q")[0]).alias("w"))  # one row
+    cut = one_row(e, {"value": F.col("value")}, {"low": 0.01, "high": 0.99}).toDF("low", "high")
+    w = e.crossJoin(F.broadcast(cut)).select("event_type", F.greatest(F.least("value", "high"), "low").alias("w"))  # one row
     return w.groupBy("event_type").agg(F.round(F.avg("w"), 6).alias("mean_w"), F.round(F.min("w"), 6).alias("min_w"), F.round(F.max("w"), 6).alias("max_w"))
 
 
