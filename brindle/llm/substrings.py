@@ -14,7 +14,10 @@ of history; no run is shuffled again. Rows of which another row has the same
 words are settled at once. Where one anchor stands in different words, the
 windows around it are hashed in full from the texts (two independent 64-bit
 hashes of all 20 words verify each match). Runs are compacted into one before a
-batch is added when there are more than ``MAX_RUNS``.
+batch is added when there are more than ``MAX_RUNS``. ``save`` writes a manifest of
+the runs and ``reopen`` goes on from it, given the documents indexed so far; the
+catalogue holds names of runs only between ``reopen`` or the first batch and
+``close``.
 
 Copies within a batch of rows are settled before the shuffle, so a passage that
 a third of all documents share is one row a batch and not one a document. Which
@@ -172,6 +175,29 @@ class FingerprintIndex:
         out.bucketBy(self.buckets, "anchor").sortBy("anchor", "ctx").saveAsTable(name)
         return name
 
+    def save(self, path: str) -> None:
+        """The manifest: one row a run, with its folder and buckets."""
+        where = lambda name: self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"]
+        self.spark.createDataFrame([(k, where(n), self.buckets) for k, n in enumerate(self.runs)], "run int, folder string, buckets int").coalesce(1).write.parquet(path)
+
+    @classmethod
+    def reopen(cls, spark: SparkSession, path: str, documents: DataFrame) -> FingerprintIndex:
+        """The index of a manifest; documents are the keyed documents of all its runs."""
+        runs = spark.read.parquet(path).orderBy("run").collect()  # one row a run, MAX_RUNS + 1 at most
+        index = cls(spark, runs[0]["buckets"], documents=[documents])
+        for r in runs:
+            name = f"brindle_run_{uuid.uuid4().hex}"
+            columns = ", ".join(x for x in ROW.split(", ") if not x.startswith("again"))
+            spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor, ctx) INTO {r['buckets']} BUCKETS LOCATION '{r['folder']}'")
+            index.runs.append(name)
+        return index
+
+    def close(self) -> None:
+        """Take the runs out of the catalogue; their files stay."""
+        for name in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.runs = []
+
     def add(self, docs: DataFrame) -> DataFrame:
         """Index a batch of keyed documents; (k, lo, n): its window groups that start earlier, in history or in the batch."""
         if len(self.runs) > MAX_RUNS:
@@ -179,7 +205,8 @@ class FingerprintIndex:
         marked = through_table(docs.select("k", "text").mapInPandas(anchor_batches, ROW), "marked")
         run = self._write(marked.where("NOT again").drop("again"))
         here = marked.where("again").select("k", "lo", "n")
-        new = self.spark.table(run).withColumn("c", F.count("*").over(Window.partitionBy("anchor")))
+        new = self.spark.table(run)  # bucketed by anchor as all runs are, so nothing moves in these joins
+        new = new.join(self.spark.table(run).groupBy("anchor").agg(F.count("*").alias("c")), "anchor")
         past = []
         for k, name in enumerate(self.runs):
             old = self.spark.table(name)
@@ -189,15 +216,15 @@ class FingerprintIndex:
         rows = new.where("c > 1").drop("c").withColumn("old", F.lit(False))
         for p in past:
             rows = rows.unionByName(p)
-        by = Window.partitionBy("anchor", "ctx")
-        rows = rows.repartition("anchor")
-        rows = rows.withColumns({"rank": F.rank().over(by.orderBy("k", "lo")), "head": (F.row_number().over(by.orderBy("k", "lo")) == 1).cast("int")})
-        rows = rows.withColumn("kinds", F.sum("head").over(Window.partitionBy("anchor")))
-        rows = through_table(rows.where("rank > 1 OR kinds > 1").select("k", "lo", "n", "old", "rank", "head"), "anchors")
+        by = Window.partitionBy("anchor", "ctx").orderBy("k", "lo")
+        rows = rows.withColumns({"rank": F.rank().over(by), "head": (F.row_number().over(by) == 1).cast("int")})
+        rows = through_table(rows.select("anchor", "k", "lo", "n", "old", "rank", "head"), "anchors")
         same = rows.where("rank > 1 AND NOT old").select("k", "lo", "n")
+        heads = rows.where("head = 1")
+        several = heads.groupBy("anchor").count().where("count > 1").select("anchor")  # one anchor in different words
         self.runs.append(run)
         self.documents.append(docs)
-        windows = self._windows(rows.where("head = 1").select("k", "lo", "n"))
+        windows = self._windows(heads.join(several, "anchor", "left_semi").select("k", "lo", "n"))
         return here.unionAll(same).unionAll(windows)
 
     def _windows(self, groups: DataFrame) -> DataFrame:
@@ -217,7 +244,9 @@ class FingerprintIndex:
         for name in self.runs[1:]:
             rows = rows.unionByName(self.spark.table(name))
         first = rows.groupBy("anchor", "ctx").agg(F.min(F.struct("k", "lo", "n")).alias("f"))
-        self.runs = [self._write(first.select("anchor", "ctx", "f.k", "f.lo", "f.n"))]
+        merged = self._write(first.select("anchor", "ctx", "f.k", "f.lo", "f.n"))
+        self.close()
+        self.runs = [merged]
 
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -232,6 +261,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         kind = docs.schema["doc_id"].dataType.simpleString()
         done = part.join(gone, "k", "left").select("doc_id", "k", "text", "groups").mapInPandas(removal_batches, f"doc_id {kind}, n_words long, n_removed long, kept_text string")
         out = done if out is None else out.unionAll(done)
+    index.close()  # what is left to do reads texts and written rows only
     return out
 
 
