@@ -17,8 +17,10 @@ id_b the least id of its class) and "match" (id_a and id_b are the least ids of
 query class and of a matching class), so copies are never expanded into pairs.
 
 The test tables hold no audio, so the query derives recordings from the whole
-table ``embeddings``: value v of a vector is a note of pitch class
-floor(12 (v + 0.5)) cut to 0..11. Query rows are those whose id is divisible by 50.
+table ``embeddings``: a value v of a vector of d values is a note, of the pitch
+class floor(12 logistic(1.702 v sqrt(d))), so that all twelve are about as frequent
+and tunes of unlike vectors are unlike. Query rows are those whose id is divisible
+by 50.
 
 Defined cases: null or short sound has no fingerprint, is a class of its own and
 matches nothing; null values of a vector are silence; repeated rows share a
@@ -116,7 +118,8 @@ def vector_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if v is None:
             return None
         v = np.array(v, np.float64)
-        return synthesize(np.where(np.isnan(v), -1, np.clip(np.floor(12 * (np.nan_to_num(v) + 0.5)), 0, 11)))
+        share = 1 / (1 + np.exp(np.clip(-1.702 * np.nan_to_num(v) * len(v) ** 0.5, -500, 500)))  # of a normal distribution
+        return synthesize(np.where(np.isnan(v), -1, np.clip(np.floor(12 * share), 0, 11)))
 
     for batch in batches:
         yield fingerprint_rows(batch["id"], map(sound, batch["v"]))
