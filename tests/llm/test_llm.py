@@ -555,6 +555,28 @@ def test_word_hashes_tell_words_apart():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_index_is_saved_reopened_and_leaves_the_catalogue(spark, tmp_path):
+    rng = random.Random(12)
+    share = [" ".join(f"s{rng.randrange(9)}" for _ in range(30)) for _ in range(4)]
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) + " " + share[i % 4] + " end") for i in range(60)]
+    docs = substrings.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    parts = [docs.where(f"k >= {a} AND k < {a + 20}") for a in (0, 20, 40)]
+    flat = lambda df: sorted({(r["k"], p) for r in df.collect() for p in range(r["lo"], r["lo"] + r["n"])})
+    whole = substrings.FingerprintIndex(spark)
+    want = [flat(whole.add(p)) for p in parts]
+    first = substrings.FingerprintIndex(spark)
+    got = [flat(first.add(parts[0])), flat(first.add(parts[1]))]
+    first.save(f"{tmp_path}/manifest")
+    names = [*first.runs]
+    first.close()
+    again = substrings.FingerprintIndex.reopen(spark, f"{tmp_path}/manifest", parts[0].unionAll(parts[1]))
+    got.append(flat(again.add(parts[2])))
+    assert got == want and want[2] and not any(spark.catalog.tableExists(n) for n in names)
+    whole.close()
+    again.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("brindle_run")]
+
+
 # --- 8: packing
 
 
