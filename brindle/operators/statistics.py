@@ -249,14 +249,18 @@ def normal_posterior(df: DataFrame, group: str, metric: str, a, b, prior_mean: f
 
 
 def prob_best(posteriors: DataFrame, points: int = 400) -> DataFrame:
-    """P(best) of normal posteriors (variant, mean, var) by quadrature over one grid."""
+    """P(best) of normal posteriors (variant, mean, var), and the loss to expect from choosing a variant: how far the best
+    lies above it on average. Quadrature over one grid."""
     span = posteriors.agg(F.min(F.col("mean") - 6 * F.sqrt("var")).alias("lo"), F.max(F.col("mean") + 6 * F.sqrt("var")).alias("hi"))
     grid = span.select(((F.col("hi") - F.col("lo")) / points).alias("h"), "lo", F.explode(F.sequence(F.lit(0), F.lit(points))).alias("i")).select("h", "i", (F.col("lo") + F.col("i") * F.col("h")).alias("x"))
     cells = posteriors.crossJoin(F.broadcast(grid)).withColumn("z", (F.col("x") - F.col("mean")) / F.sqrt("var"))  # variants x a fixed grid
     cells = cells.withColumn("logcdf", F.log(F.greatest(F.lit(1e-300), tl.phi("z"))))
     cells = cells.withColumn("others", F.sum("logcdf").over(Window.partitionBy("i")) - F.col("logcdf"))
     weight = F.exp(-F.col("z") ** 2 / 2) / (F.sqrt("var") * math.sqrt(2 * math.pi)) * F.col("h")
-    return cells.groupBy("variant").agg(F.sum(weight * F.exp("others")).alias("p_best"))
+    cells = cells.withColumn("mass", weight * F.exp("others"))
+    best = cells.agg(F.sum(F.col("x") * F.col("mass")).alias("best"))
+    out = cells.groupBy("variant").agg(F.sum("mass").alias("p_best"), F.first("mean").alias("mean"))
+    return out.crossJoin(F.broadcast(best)).select("variant", "p_best", F.greatest(F.lit(0.0), F.col("best") - F.col("mean")).alias("expected_loss"))  # one row
 
 
 def sizing(df: DataFrame, segment: str, hit: Column, metric: str, pre: str, day: str, mdes: Sequence[float], alpha: float = 0.05, power: float = 0.8) -> DataFrame:
