@@ -1,4 +1,4 @@
-"""Streaming queries: events are replayed as a stream into memory tables, oracles are the batch forms."""
+"""Streaming queries: events are replayed as a stream into tables, oracles are the batch forms."""
 
 from __future__ import annotations
 
@@ -24,6 +24,17 @@ def banded(s, d):
     return rounded(mo.outside_band(points, bands).select("day", "event_type", "v", "mean", "sd"), 5)
 
 
+def srm(s, d):
+    counts = mo.run_once(mo.assignment_counts(mo.read_events(s, d), (F.col("user_id") % 2).cast("int"), "60 days"), f"st_{uuid.uuid4().hex}", "complete")
+    return rounded(mo.srm_verdict(counts, {0: 1, 1: 1}))
+
+
+def watched(s, d):
+    latest = mo.run_once(mo.freshness(mo.read_events(s, d)), f"st_{uuid.uuid4().hex}", "complete")
+    clock = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    return rounded(mo.freshness_status(latest, clock).select("event_type", "age_hours", "status"), 4)
+
+
 def validated(s, d):
     stream = mo.validated(mo.read_events(s, d), {"high": F.col("value") > 100, "no_user": F.col("user_id").isNull()})
     rows = mo.run_once(stream, f"st_{uuid.uuid4().hex}", "append")
@@ -39,6 +50,17 @@ SLIDE = "(SELECT e.*, date_trunc('day', ts) + to_days(k::INT) AS until FROM even
 
 QUERIES = {
     "st1_srm_counts": (drained(lambda e: mo.assignment_counts(e, (F.col("user_id") % 2).cast("int"), "60 days"), "complete"), "SELECT (user_id % 2)::INT AS variant, count(DISTINCT user_id) AS n FROM events GROUP BY 1"),
+    "st1_srm_verdict": (
+        srm,
+        """WITH c AS (SELECT user_id % 2 AS v, count(DISTINCT user_id) AS n FROM events GROUP BY 1), t AS (SELECT sum(n)::BIGINT AS n FROM c),
+        x AS (SELECT max(t.n) AS n, sum(pow(c.n - t.n / 2, 2) / (t.n / 2)) AS chi2 FROM c, t)
+        SELECT n, round(chi2, 6) AS chi2, CASE WHEN chi2 <= 3.841459 THEN 'PASS' WHEN chi2 <= 6.634897 THEN 'WARNING' ELSE 'BLOCK' END AS status FROM x""",
+    ),
+    "st5_freshness_status": (
+        watched,
+        """WITH a AS (SELECT event_type, (epoch(TIMESTAMP '2024-02-01 00:00:00') - floor(epoch(max(ts)))) / 3600.0 AS h FROM events GROUP BY 1)
+        SELECT event_type, round(h, 4) AS age_hours, CASE WHEN h <= 2 THEN 'fresh' WHEN h <= 26 THEN 'late' ELSE 'stale' END AS status FROM a""",
+    ),
     "st2_metric_windows": (lambda s, d: as_text(drained(mo.metric_windows, "complete")(s, d), "start"), HOURS),
     "st3_anomaly_bands": (banded, f"WITH b AS (SELECT until, event_type, avg(value) AS mean, stddev_samp(value) AS sd FROM {SLIDE.format(14)} GROUP BY 1, 2), p AS (SELECT ts::DATE AS day, event_type, max(value) AS v FROM events GROUP BY 1, 2) SELECT day, event_type, round(v, 5) AS v, round(mean, 5) AS mean, round(sd, 5) AS sd FROM p JOIN b USING (event_type) WHERE until = day AND abs(v - mean) > 3 * sd"),
     "st4_miss_rate": (lambda s, d: as_text(drained(mo.miss_rate, "complete")(s, d), "until"), f"SELECT strftime(until, '%Y-%m-%d %H:%M') AS until, event_type, round(count(*) / 7, 6) AS per_day FROM {SLIDE.format(7)} GROUP BY 1, 2"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from functools import cache
 
 #: modules of brindle.plans; each has QUERIES: name -> (function of (spark, sf_dir), SQL or None)
-MODULES: tuple[str, ...] = ("flagship", "semantic", "profiling", "validation", "suites", "product", "workload", "statistics", "causal", "series", "logs", "streams")
+MODULES: tuple[str, ...] = ("flagship", "semantic", "profiling", "validation", "suites", "product", "workload", "statistics", "causal", "series", "logs", "streams", "sinks")
 
 
 @cache

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.operators.ordering import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Whole-table read; Catalyst prunes columns and pushes filters to the scan."""
@@ -15,8 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def query(spark: SparkSession, sql: str, *params) -> DataFrame:
     """SQL with positional parameters; as many values as question marks."""
-    if sql.count("?") != len(params):
-        raise ValueError(f"{sql.count('?')} placeholders, {len(params)} parameters")
+    places = re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*", "", sql).count("?")  # not those in literals
+    if places != len(params):
+        raise ValueError(f"{places} placeholders, {len(params)} parameters")
     return spark.sql(sql, args=list(params))
 
 
@@ -49,13 +53,19 @@ def result_digest(df: DataFrame) -> DataFrame:
 
 
 def write_result(df: DataFrame, path: str, kind: str = "csv") -> DataFrame:
-    """Write a result and return its digest."""
+    """Write a result and return the digest of what was written: both come from one stored evaluation."""
+    df = stored(df, "result")
     df.write.mode("overwrite").option("header", True).format(kind).save(path)
     return result_digest(df)
 
 
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    out = df.persist()
+    """A result as a table in the shared folder, and a view of it."""
+    out = stored(df, name)
     out.createOrReplaceTempView(name)
     return out
 

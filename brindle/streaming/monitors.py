@@ -17,9 +17,9 @@ DELAY = "1 day"
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
-    """A table's files as a stream."""
+    """A table's files as a stream; a micro-batch has a hundred files at most, which bounds what keyed state gathers."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    out = spark.readStream.schema(schema).parquet(f"{folder}/{name}.parq*t")  # a pattern, as one file is no folder
+    out = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(f"{folder}/{name}.parq*t")  # a pattern, as one file is no folder
     return out.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -87,7 +87,8 @@ def sequential(events: DataFrame, null_mean: float) -> DataFrame:
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, s1, s2, log_e = state.get if state.exists else (0, 0.0, 0.0, 0.0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        parts = [f[["ts", "event_id", "value"]] for f in frames]  # three columns of a key's rows in one micro-batch
+        rows = pd.concat(parts).sort_values(["ts", "event_id"])
         for v in rows["value"].to_numpy(float):
             d = v - null_mean
             stake = max(-0.5, min(0.5, s1 / s2)) if s2 > 0 else 0.0
@@ -99,8 +100,42 @@ def sequential(events: DataFrame, null_mean: float) -> DataFrame:
     return events.groupBy("event_type").applyInPandasWithState(step, RESULT, STATE, "update", "NoTimeout")
 
 
+def srm_verdict(counts: DataFrame, shares: dict) -> DataFrame:
+    """One row for running counts (variant, n): chi-square against expected shares; beyond the 5 and 1 percent points of
+    one degree of freedom WARNING and BLOCK (Wilson-Hilferty points for more variants)."""
+    want = F.coalesce(*[F.when(F.col("variant") == F.lit(k), F.lit(v / sum(shares.values()))) for k, v in shares.items()])
+    total = counts.agg(F.sum("n").alias("total"))
+    cells = counts.crossJoin(F.broadcast(total)).withColumn("e", want * F.col("total"))  # one row
+    d = len(shares) - 1
+    point = lambda z: {1: z * z}.get(d, d * (1 - 2 / (9 * d) + z * math.sqrt(2 / (9 * d))) ** 3)
+    low, high = (point(1.959964), point(2.575829)) if d == 1 else (point(1.644854), point(2.326348))
+    out = cells.agg(F.max("total").alias("n"), F.sum((F.col("n") - F.col("e")) ** 2 / F.col("e")).alias("chi2"))
+    return out.withColumn("status", F.when(F.col("chi2") <= low, "PASS").when(F.col("chi2") <= high, "WARNING").otherwise("BLOCK"))
+
+
+def freshness_status(latest: DataFrame, clock: Column, cadence_hours: float = 1.0, grace: float = 2.0) -> DataFrame:
+    """Hours since the last event of each type against its cadence: late after grace cadences, stale after a day more."""
+    age = (F.unix_timestamp(clock) - F.unix_timestamp("last")) / 3600.0
+    status = F.when(F.col("age_hours") <= grace * cadence_hours, "fresh").when(F.col("age_hours") <= grace * cadence_hours + 24, "late").otherwise("stale")
+    return latest.withColumn("age_hours", age).withColumn("status", status)
+
+
 def run_once(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Drain a stream into a memory table (tests and replays)."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Drain a stream into Parquet in the shared folder and read it back (tests and replays).
+
+    State and offsets lie beside the output. complete gives the last result, update all results in turn, append all rows.
+    """
+    spark = stream.sparkSession
+    conf = spark.conf
+    root = conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir')}/_shared"
+    root = f"{root.rstrip('/')}/brindle-stream-{name}"
+    epochs: list[str] = []
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        path = f"{root}/out/{epoch}"
+        batch.write.mode("overwrite").parquet(path)  # the same epoch may come again after a failure
+        epochs[:] = [path] if mode == "complete" else [p for p in epochs if p != path] + [path]
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(*epochs) if epochs else spark.createDataFrame([], stream.schema)

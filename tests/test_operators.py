@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import scalars, tails
-from brindle.operators import logs, product, profiling, semantic, series, sets, statistics, validation
+from brindle.operators import logs, ordering, product, suites, profiling, semantic, series, sets, statistics, validation
 from brindle.sources import tables as src
 
 
@@ -159,3 +159,44 @@ def test_matching_pairs_off_ties_and_ends_without_candidates(spark):
     pairs = causal.match(spark.createDataFrame(tied, "k long, t int, logit double"), "t", "k").collect()
     assert sorted(r["treated_key"] for r in pairs) == [i for i, t, _ in tied if t == 1] and len({r["control_key"] for r in pairs}) == 30
     assert sorted({round(r["distance"], 6) for r in pairs}) == [0.0, 0.1]
+
+
+def test_best_variant_and_expected_loss(spark):
+    rows = {r["variant"]: r for r in statistics.prob_best(spark.createDataFrame([("a", 0.0, 1.0), ("b", 1.0, 1.0)], "variant string, mean double, var double")).collect()}
+    z = 1 / math.sqrt(2)
+    phi, density = 0.5 * (1 + math.erf(z / math.sqrt(2))), math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    loss_b = math.sqrt(2) * (density - z * (1 - phi))
+    assert rows["b"]["p_best"] == pytest.approx(phi, abs=1e-3) and rows["b"]["expected_loss"] == pytest.approx(loss_b, abs=1e-3)
+    assert rows["a"]["expected_loss"] == pytest.approx(loss_b + 1, abs=1e-3)
+
+
+def test_suites_find_what_is_wrong(spark):
+    rows = [(1, 5.0, "a"), (2, -1.0, "b"), (2, 7.0, None), (3, None, "z")]
+    df = spark.createDataFrame(rows, "k int, price double, kind string")
+    got = {r["check"]: r["ok"] for r in suites.structural(df, {"primary_key": ["k"], "required": ["price"], "domains": {"kind": ~F.col("kind").isin("a", "b")}, "rows": (1, 3)}).collect()}
+    assert got == {"primary_key": False, "completeness": False, "value_domain": False, "row_count": False}
+    assert suites.verdict(suites.structural(df.where("k = 1"))).first().asDict() == {"checks_run": 2, "checks_passed": 2, "checks_failed": 0, "overall_ok": True}
+    rules = suites.default_rules(df)
+    assert rules == {"no_negative": ["price"], "ranges": {}} and not suites.business(df, rules).first()["ok"]
+
+
+def test_order_statistics_with_ties_nulls_and_empty_frames(spark):
+    rows = [(k, None if v % 7 == 0 else float(v % 5)) for k in ("x", "y", None) for v in range(40)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: (r["lo"], r["mid"]) for r in ordering.quantiles(df, {"v": F.col("v")}, {"lo": 0.1, "mid": 0.5}, ["k"]).collect()}
+    want = {r["k"]: tuple(r["q"]) for r in df.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.5))).alias("q")).collect()}
+    assert got == want
+    assert ordering.one_row(df.limit(0), {"v": F.col("v")}, {"mid": 0.5}).collect() == [(None,)]
+
+
+def test_questions_in_literals_are_no_placeholders(spark):
+    assert src.query(spark, "SELECT 'why?' AS q, ? + 1 AS n -- really?", 2).first() == ("why?", 3)
+    with pytest.raises(ValueError):
+        src.query(spark, "SELECT '?'", 1)
+
+
+def test_a_warehouse_table_is_read_in_ranges(spark):
+    url = "jdbc:derby:memory:brindle;create=true"
+    spark.range(100).selectExpr("id", "id * 2 AS twice").write.format("jdbc").options(url=url, dbtable="numbers").save()
+    df = src.jdbc(spark, url, "numbers", "id", 0, 100, 4)
+    assert df.rdd.getNumPartitions() == 4 and df.where("twice >= 100").count() == 50
