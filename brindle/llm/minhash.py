@@ -14,10 +14,11 @@ are stored once, bucketed by digest, so that no later step shuffles them again.
 In a bucket, members are verified against pivots only: the member that shares
 most buckets with others (the original of a group of copies, if it is there) and
 a few chosen by hash, which is linear in the bucket and covers small buckets
-wholly. What is then still in different components of a larger bucket is compared
-by ``WIDE`` one-bit samples, and those pairs are verified that differ in no more
-places than a just similar pair does plus four and a half standard deviations (a
-weighted similarity of about 0.76). So no link between different classes is left
+wholly. Larger buckets with one central member are then taken together, and what
+is still in different components there is compared by ``WIDE`` one-bit samples;
+those pairs are verified that differ in no more places than a just similar pair
+does plus four and a half standard deviations (a weighted similarity of about
+0.74). So no link between different classes is left
 out, copies are never paired with each other, and pairs of text that are not
 similar are not made.
 
@@ -49,7 +50,7 @@ CELLS = 1 << 18
 SAMPLES = 48
 ROWS = 4
 POOL = 1 << 16
-WIDE = 4096  # samples that decide which pairs of a bucket are verified when pivots find no more links
+WIDE = 2048  # samples that decide which pairs are verified beyond those with pivots
 PIVOTS = 4  # chosen by hash in a bucket, besides the central one
 
 _rng = np.random.default_rng(7)
@@ -83,7 +84,7 @@ def word_idf(docs: DataFrame) -> np.ndarray:
     df[for_cell["cell"].to_numpy(np.int64)] = for_cell["n"]
     if len(last := rows[rows["cell"] < 0]):
         n = int(last["n"].sum())
-    return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+    return (np.round((np.log((1 + n) / (1 + df)) + 1) * 65536) / 65536).astype(np.float32)  # sums of these are exact in any order
 
 
 def weighted_sets(texts: list[str], idf: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -284,13 +285,15 @@ def linked(spark: SparkSession, shared: DataFrame, nodes: DataFrame, store: str,
     ordered = lambda rows: rows.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
     degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
     central = shared.select("key", "id").join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id"))["id"].alias("p"))
+    central = through_table(central, "central")
     pivots = central.unionAll(shared.where(F.col("turn") < PIVOTS).select("key", F.col("id").alias("p"))).distinct()
     done = through_table(ordered(shared.join(pivots, "key").where("id <> p")), "pairs")
     links = check(done)
     labels = components(links)
     placed = shared.where(F.col("n") > PIVOTS).join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest = through_table(placed.join(split, "key", "left_semi").select("key", "id", "label"), "rest")
+    rest = placed.join(split, "key", "left_semi").join(central, "key").select(F.col("p").alias("key"), "id", "label").distinct()
+    rest = through_table(rest, "rest")  # buckets of one central member are one, so a pair meets once in them
     found = rest.select("id").distinct().join(nodes, "id").join(spark.table(store), "node")
     wide = through_table(found.select("id", "text").mapInPandas(wide_batches(idf), "id long, wide array<long>"), "wide")
     left, right = (rest.withColumnsRenamed({"id": x, "label": f"label_{x}"}).join(wide.withColumnsRenamed({"id": x, "wide": f"wide_{x}"}), x) for x in "ab")
