@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import stored
+
 from brindle.functions.scalars import within
 
 
@@ -43,14 +45,18 @@ def unused(entries: DataFrame, reconciled: DataFrame) -> DataFrame:
     return entries.join(reconciled.select(F.col("query_id")).where("query_id IS NOT NULL").distinct(), "query_id", "left_anti")
 
 
-def ancestors(edges: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
-    """(root, id, depth) of everything upstream of the roots, breadth first, each once; edges are (id, parent)."""
-    seen = frontier = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
-    for depth in range(1, most + 1):
-        step = frontier.join(edges.select("id", "parent"), "id").select("root", F.col("parent").alias("id")).distinct()
-        frontier = step.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)).persist()
-        if frontier.isEmpty():
-            break
+def ancestors(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id, depth) of everything upstream of the roots, breadth first, each once; edges are (id, parent).
+
+    It ends when a level brings nothing new, which cycles do not prevent; each level is written to the shared folder.
+    """
+    edges = stored(edges.select("id", "parent").where("id IS NOT NULL AND parent IS NOT NULL"), "edges")
+    seen = frontier = stored(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")), "lineage")
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
+        step = frontier.join(edges, "id").select("root", F.col("parent").alias("id")).distinct()
+        frontier = stored(step.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)), "lineage")
         seen = seen.unionAll(frontier)
     return seen
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions import tails as tl
+
 from .ordering import one_row, quantiles
 from .profiling import spine
 
@@ -112,9 +114,20 @@ def cohorts(df: DataFrame, user: str, day: str, unit: str = "month", small: int
     return out.select("cohort", "offset", "users", "size", F.try_divide("users", "size").alias("rate"), (F.col("size") < small).alias("small"))
 
 
-def retention_curve(cells: DataFrame) -> DataFrame:
-    """Mean rate per offset with its standard deviation and number of cohorts."""
-    return cells.groupBy("offset").agg(F.avg("rate").alias("mean"), F.stddev_samp("rate").alias("sd"), F.count("*").alias("n_cohorts"))
+def retention_curve(cells: DataFrame, confidence: float | None = None, mature: int = 0) -> DataFrame:
+    """Mean rate per offset with its standard deviation and number of cohorts.
+
+    With a confidence, low and high of its t interval within 0 and 1; only cohorts observed for mature periods count.
+    """
+    if mature:
+        old = cells.groupBy("cohort").agg(F.max("offset").alias("m")).where(F.col("m") >= mature).select("cohort")
+        cells = cells.join(old, "cohort", "left_semi")
+    g = cells.groupBy("offset").agg(F.avg("rate").alias("mean"), F.stddev_samp("rate").alias("sd"), F.count("*").alias("n_cohorts"))
+    if confidence is None:
+        return g
+    half = tl.q_t(F.lit((1 + confidence) / 2), F.when(F.col("n_cohorts") > 1, F.col("n_cohorts") - 1).cast("double")) * F.col("sd") / F.sqrt("n_cohorts")
+    known = half.isNotNull()
+    return g.withColumns({"low": F.when(known, F.greatest(F.lit(0.0), F.col("mean") - half)), "high": F.when(known, F.least(F.lit(1.0), F.col("mean") + half))})
 
 
 def cohort_trend(cells: DataFrame) -> DataFrame:
@@ -168,6 +181,12 @@ def funnel(df: DataFrame, user: str, at: str, kind: str, steps: Sequence[str]) -
     return out.select("step", "name", "users", F.try_divide("users", "before").alias("step_rate"), F.try_divide("users", "start").alias("overall_rate"), (F.col("before") - F.col("users")).alias("drop"), "median_seconds")
 
 
+def largest_drops(steps: DataFrame) -> DataFrame:
+    """The step of a funnel that loses most users, and the one that loses the greatest share."""
+    later = steps.where("step > 0").withColumn("lost", 1 - F.col("step_rate"))
+    return later.agg(F.max_by("name", F.struct("drop", -F.col("step"))).alias("most_users"), F.max("drop").alias("users_lost"), F.max_by("name", F.struct("lost", -F.col("step"))).alias("most_share"), F.max("lost").alias("share_lost"))
+
+
 def drivers(df: DataFrame, target: str, columns: Sequence[str], k: int = 5) -> DataFrame:
     """Columns by the strength of their correlation with a target."""
     wide = df.agg(*[F.corr(target, c).alias(c) for c in columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -101,17 +101,28 @@ def name_score(column: str, key: str, table: str) -> float:
     return 0.5 if table.startswith(stem) and len(stem) >= 3 else 0.0
 
 
-def alias_tags(texts: DataFrame, aliases: DataFrame, most: int = 3) -> DataFrame:
+def plain_words(text: str) -> Column:
+    """Lower-case letters and digits, everything between them one space."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def alias_tags(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """(doc_id, entity, alias, at): word-bounded, case-insensitive, longest alias first, no overlaps.
 
-    Word n-grams are joined with the aliases by equality, so neither side is looped over.
+    Texts and aliases are reduced to words alike, so punctuation does not matter. Runs of as many words as some alias has
+    are joined with the aliases by equality; the lengths come from the aliases, however long.
     """
-    words = F.split(F.regexp_replace(F.lower(F.trim("text")), r"[^\p{L}\p{N}]+", " "), " ")
-    rows = texts.select("doc_id", F.posexplode(words).alias("at", "w"))
-    by = Window.partitionBy("doc_id").orderBy("at")
-    grams = F.array(*[F.struct(F.lit(n).alias("n"), F.concat_ws(" ", "w", *[F.lead("w", i).over(by) for i in range(1, n)]).alias("gram"), (F.lead("w", n - 1).over(by) if n > 1 else F.col("w")).alias("last")) for n in range(1, most + 1)])
-    grams = rows.withColumn("g", grams).select("doc_id", "at", F.explode("g").alias("g")).where("g.last IS NOT NULL").select("doc_id", "at", "g.n", "g.gram")
-    hits = grams.join(aliases.select(F.lower("alias").alias("gram"), "entity"), "gram")
+    known = aliases.select(plain_words("alias").alias("gram"), "entity").where("gram <> ''").distinct()
+    lengths = sorted(r["n"] for r in known.select(F.size(F.split("gram", " ")).alias("n")).distinct().collect())  # one row a length
+    if not lengths:
+        lengths = [1]
+    most = lengths[-1]
+    rows = texts.select("doc_id", F.split(plain_words("text"), " ").alias("ws")).select("doc_id", "ws", F.posexplode("ws").alias("at", "w"))
+    first = known.select(F.split("gram", " ")[0].alias("w")).distinct()
+    rows = rows.join(first, "w", "left_semi")  # only words that begin an alias go on
+    grams = F.filter(F.array(*[F.when(F.col("at") + n <= F.size("ws"), F.struct(F.lit(n).alias("n"), F.array_join(F.slice("ws", F.col("at") + 1, n), " ").alias("gram"))) for n in lengths]), lambda g: g.isNotNull())
+    grams = rows.select("doc_id", "at", F.explode(grams).alias("g")).select("doc_id", "at", "g.n", "g.gram")
+    hits = grams.join(known, "gram")
     span = Window.partitionBy("doc_id").orderBy("at").rangeBetween(-(most - 1), most - 1)
     near = F.collect_list(F.struct("at", "n")).over(span)
     beaten = F.exists(near, lambda o: (o["n"] > F.col("n")) & (o["at"] < F.col("at") + F.col("n")) & (o["at"] + o["n"] > F.col("at")) | (o["n"] == F.col("n")) & (o["at"] < F.col("at")) & (o["at"] + o["n"] > F.col("at")))

@@ -224,13 +224,13 @@ def e_value(df: DataFrame, metric: str, by: str, order: Sequence[str], null_mean
 
 
 def beta_posterior(df: DataFrame, group: str, hit: Column, a, b, prior: tuple[float, float] = (1.0, 1.0), tails: bool = True) -> DataFrame:
-    """Beta posteriors of two rates, and P(b > a) by the normal approximation of their difference."""
+    """Beta posteriors of two rates, and P(b > a) by quadrature over their densities (z is that of the normal approximation)."""
     g = df.agg(*[x for v, s in ((a, "a"), (b, "b")) for x in ((F.count_if((F.col(group) == F.lit(v)) & hit) + prior[0]).alias(f"al_{s}"), (F.count_if((F.col(group) == F.lit(v)) & ~hit) + prior[1]).alias(f"be_{s}"))])
     for s in "ab":
         al, be = F.col(f"al_{s}"), F.col(f"be_{s}")
         g = g.withColumns({f"mean_{s}": al / (al + be), f"var_{s}": al * be / ((al + be) ** 2 * (al + be + 1))})
     g = g.withColumn("z", F.try_divide(F.col("mean_b") - F.col("mean_a"), F.sqrt(F.col("var_a") + F.col("var_b"))))
-    return g.withColumn("p_better", tl.phi("z")) if tails else g
+    return g.withColumn("p_better", tl.p_beta_better("al_a", "be_a", "al_b", "be_b")) if tails else g
 
 
 def normal_posterior(df: DataFrame, group: str, metric: str, a, b, prior_mean: float = 0.0, prior_var: float = 1e6, tails: bool = True) -> DataFrame:

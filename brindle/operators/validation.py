@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ordering import one_row
-from .profiling import family, spine, unpivot
+from .profiling import family, islands, spine, unpivot
 
 
 def band(rate: Column, *steps: tuple[float, str], strict: bool = True) -> Column:
@@ -227,13 +227,24 @@ def freshness(df: DataFrame, day: str, as_of: str) -> DataFrame:
     return out.withColumn("status", F.when(F.col("age") > 90, "historical").when(stale, "stale").otherwise("fresh"))
 
 
-def coverage(df: DataFrame, day: str, unit: str = "day", max_gap: int = 1) -> DataFrame:
-    """Periods present of those expected; complete PASS, 95 percent WARN, else FAIL."""
+def coverage(df: DataFrame, day: str, unit: str = "day", max_gap: int | None = None) -> DataFrame:
+    """Periods present of those expected; complete PASS, 95 percent WARN, else FAIL; more than max_gap missing in a row FAIL."""
     d = df.where(F.col(day).isNotNull()).select(F.date_trunc(unit, day).cast("date").alias("day")).distinct()
     span = d.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
     out = spine(span, unit).join(d.withColumn("have", F.lit(1)), "day", "left").agg(F.count("*").alias("n_expected"), F.count("have").alias("n_present"))
     out = out.withColumn("coverage", F.try_divide("n_present", "n_expected"))
-    return out.withColumn("status", F.when(F.col("n_present") == F.col("n_expected"), "PASS").when(F.col("coverage") >= 0.95, "WARN").otherwise("FAIL"))
+    status = F.when(F.col("n_present") == F.col("n_expected"), "PASS").when(F.col("coverage") >= 0.95, "WARN").otherwise("FAIL")
+    if max_gap is None:
+        return out.withColumn("status", status)
+    longest = coverage_gaps(df, day, unit).agg(F.coalesce(F.max("n"), F.lit(0)).alias("longest_gap"))
+    return out.crossJoin(longest).withColumn("status", F.when(F.col("longest_gap") > max_gap, "FAIL").otherwise(status))  # one row each
+
+
+def coverage_gaps(df: DataFrame, day: str, unit: str = "day") -> DataFrame:
+    """(first, last, n) of every run of missing periods."""
+    d = df.where(F.col(day).isNotNull()).select(F.date_trunc(unit, day).cast("date").alias("day")).distinct()
+    missing = spine(d.agg(F.min("day").alias("lo"), F.max("day").alias("hi")), unit).join(d, "day", "left_anti")
+    return islands(missing, unit)
 
 
 def dominance(df: DataFrame, columns: Sequence[str], share: float = 0.5) -> DataFrame:

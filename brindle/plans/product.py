@@ -65,6 +65,16 @@ QUERIES = {
     "pa14_cohort_benchmark": (lambda s, d: rounded(pa.cohort_benchmark(weekly_cohorts(s, d), 1)), f"WITH {COH}, r AS (SELECT *, dense_rank() OVER (ORDER BY cohort) AS k FROM co), b AS (SELECT \"offset\", avg(rate) AS benchmark FROM r WHERE k <= 1 GROUP BY 1) SELECT cohort, \"offset\", round(rate, 6) AS rate, round(benchmark, 6) AS benchmark FROM r JOIN b USING (\"offset\") WHERE k > 1 AND abs(rate - benchmark) > 0.05"),
     "pa15_cohort_checks": (lambda s, d: rounded(pa.cohort_checks(weekly_cohorts(s, d))), f"WITH {COH}, r AS (SELECT *, rate > lag(rate) OVER (PARTITION BY cohort ORDER BY \"offset\") AS up FROM co) SELECT count(DISTINCT CASE WHEN small THEN cohort END) AS n_small, count(*) FILTER (up) AS n_rises, round(max(size) / min(size), 6) AS size_ratio, count(DISTINCT cohort) AS n_cohorts FROM r"),
     "pa16_funnel": (lambda s, d: rounded(pa.funnel(E(s, d), "user_id", "ts", "event_type", ["view", "click", "purchase"]), 4), "WITH a AS (SELECT user_id, min(ts) AS t0 FROM events WHERE event_type = 'view' GROUP BY 1), b AS (SELECT user_id, t0, min(ts) AS t1 FROM a LEFT JOIN events e USING (user_id) WHERE e.event_type = 'click' AND e.ts >= t0 GROUP BY 1, 2), c AS (SELECT user_id, t1, min(ts) AS t2 FROM b JOIN events e USING (user_id) WHERE e.event_type = 'purchase' AND e.ts >= t1 GROUP BY 1, 2), n AS (SELECT (SELECT count(*) FROM a) AS x, (SELECT count(*) FROM b) AS y, (SELECT count(*) FROM c) AS z, (SELECT median((epoch_us(t1) - epoch_us(t0)) / 1e6) FROM b) AS p, (SELECT median((epoch_us(t2) - epoch_us(t1)) / 1e6) FROM c) AS q) SELECT 0 AS step, 'view' AS name, x AS users, 1.0::DOUBLE AS step_rate, 1.0::DOUBLE AS overall_rate, 0::BIGINT AS \"drop\", NULL::DOUBLE AS median_seconds FROM n UNION ALL SELECT 1, 'click', y, round(y / x, 4), round(y / x, 4), x - y, round(p, 4) FROM n UNION ALL SELECT 2, 'purchase', z, round(z / y, 4), round(z / x, 4), y - z, round(q, 4) FROM n"),
+    "pa16_largest_drops": (
+        lambda s, d: rounded(pa.largest_drops(pa.funnel(E(s, d), "user_id", "ts", "event_type", ["view", "click", "purchase"])), 4),
+        """WITH a AS (SELECT user_id, min(ts) AS t0 FROM events WHERE event_type = 'view' GROUP BY 1),
+        b AS (SELECT user_id, min(ts) AS t1 FROM a JOIN events USING (user_id) WHERE event_type = 'click' AND ts >= t0 GROUP BY 1),
+        c AS (SELECT user_id, min(ts) AS t2 FROM b JOIN events USING (user_id) WHERE event_type = 'purchase' AND ts >= t1 GROUP BY 1),
+        n AS (SELECT (SELECT count(*) FROM a) AS x, (SELECT count(*) FROM b) AS y, (SELECT count(*) FROM c) AS z)
+        SELECT CASE WHEN x - y >= y - z THEN 'click' ELSE 'purchase' END AS most_users, greatest(x - y, y - z) AS users_lost,
+        CASE WHEN 1 - y / x >= 1 - z / y THEN 'click' ELSE 'purchase' END AS most_share, round(greatest(1 - y / x, 1 - z / y), 4) AS share_lost FROM n""",
+    ),
+    "pa11_retention_interval": (lambda s, d: rounded(pa.retention_curve(weekly_cohorts(s, d), confidence=0.95, mature=1), 4), None),
     "pa17_drivers": (lambda s, d: rounded(pa.drivers(L(s, d), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])), "SELECT 'l_quantity' AS \"column\", round(corr(l_extendedprice, l_quantity), 6) AS r FROM lineitem UNION ALL SELECT 'l_discount', round(corr(l_extendedprice, l_discount), 6) FROM lineitem UNION ALL SELECT 'l_tax', round(corr(l_extendedprice, l_tax), 6) FROM lineitem"),
     "pa18_high_low": (lambda s, d: rounded(pa.high_low(L(s, d), "l_extendedprice", ["l_quantity", "l_tax"])), "WITH c AS (SELECT median(l_extendedprice) AS m FROM lineitem) SELECT 'l_quantity' AS attribute, round(avg(l_quantity) FILTER (l_extendedprice > m), 6) AS high, round(avg(l_quantity) FILTER (l_extendedprice <= m), 6) AS low FROM lineitem, c UNION ALL SELECT 'l_tax', round(avg(l_tax) FILTER (l_extendedprice > m), 6), round(avg(l_tax) FILTER (l_extendedprice <= m), 6) FROM lineitem, c"),
     "pa19_feature_importance": (lambda s, d: rounded(pa.feature_importance(L(s, d), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])), None),

@@ -126,7 +126,7 @@ def set_operations(s, d):
 
 
 def tagged(s, d):
-    a = s.createDataFrame([("the of", "pair"), ("the", "article"), ("of the", "pair2"), ("and the of", "triple")], "alias string, entity string")
+    a = s.createDataFrame([("the of", "pair"), ("the", "article"), ("of-the", "pair2"), ("and the of", "triple"), ("and, the of the", "four")], "alias string, entity string")
     return sets.alias_tags(table(s, d, "documents"), a).groupBy("entity").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 

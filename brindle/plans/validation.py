@@ -97,6 +97,13 @@ QUERIES = {
     "val29_freshness": (lambda s, d: val.freshness(E(s, d), "ts", "2024-02-05"), "WITH x AS (SELECT DISTINCT ts::DATE AS day FROM events), g AS (SELECT day - lag(day) OVER (ORDER BY day) AS gap FROM x), r AS (SELECT gap, row_number() OVER (ORDER BY gap) AS r, count(*) OVER () AS m FROM g WHERE gap IS NOT NULL) SELECT max(day) AS last, (SELECT gap::INT FROM r WHERE r = m // 2 + 1) AS middle_gap, (DATE '2024-02-05' - max(day))::INT AS age, 'daily' AS cadence, CASE WHEN DATE '2024-02-05' - max(day) > 90 THEN 'historical' WHEN DATE '2024-02-05' - max(day) > 2 THEN 'stale' ELSE 'fresh' END AS status FROM x"),
     "val30_date_bounds": (lambda s, d: val.rule_checks(O(s, d), {"before": F.col("o_orderdate").cast("date") < F.lit("1995-02-01").cast("date"), "after": F.col("o_orderdate").cast("date") > F.lit("2001-01-01").cast("date")}), rule_sql({"before": "o_orderdate::DATE < DATE '1995-02-01'", "after": "o_orderdate::DATE > DATE '2001-01-01'"}, "orders")),
     "val31_srt3_duplicates": (lambda s, d: val.duplicate_keys(L(s, d), ["l_orderkey", "l_linenumber"]), "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1 ORDER BY n DESC, l_orderkey, l_linenumber LIMIT 5"),
+    "val32_coverage_gaps": (
+        lambda s, d: val.coverage_gaps(O(s, d).where("o_totalprice > 300000"), "o_orderdate", "week"),
+        """WITH x AS (SELECT DISTINCT date_trunc('week', o_orderdate)::DATE AS day FROM orders WHERE o_totalprice > 300000),
+        m AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 7 DAY))::DATE AS day FROM x),
+        g AS (SELECT day, day - (7 * row_number() OVER (ORDER BY day))::INT AS k FROM m WHERE day NOT IN (SELECT day FROM x))
+        SELECT min(day) AS first, max(day) AS last, count(*) AS n FROM g GROUP BY k""",
+    ),
     "val32_coverage": (lambda s, d: val.coverage(O(s, d).where("o_totalprice > 300000"), "o_orderdate", "week"), "WITH x AS (SELECT DISTINCT date_trunc('week', o_orderdate)::DATE AS day FROM orders WHERE o_totalprice > 300000), s AS (SELECT (max(day) - min(day)) // 7 + 1 AS e, count(*) AS p FROM x) SELECT e AS n_expected, p AS n_present, p / e AS coverage, CASE WHEN p = e THEN 'PASS' WHEN p / e >= 0.95 THEN 'WARN' ELSE 'FAIL' END AS status FROM s"),
     "val33_dominance": (lambda s, d: val.dominance(O(s, d), ["o_orderstatus", "o_orderpriority"]), "WITH c AS (SELECT 'o_orderstatus' AS \"column\", o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2) SELECT \"column\", arg_max(value, (n, value)) AS value, max(n) AS n, sum(n)::BIGINT AS total, max(n) > 0.5 * sum(n) AS dominant FROM c GROUP BY 1"),
     "val34_parts_to_whole": (lambda s, d: val.parts_to_whole(L(s, d).withColumn("o_orderkey", F.col("l_orderkey")), O(s, d), "o_orderkey", "l_extendedprice", "o_totalprice").groupBy("status").agg(F.count("*").alias("n")), "WITH p AS (SELECT l_orderkey, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1) SELECT CASE WHEN g <= 0.01 THEN 'PASS' WHEN g <= 0.1 THEN 'WARN' ELSE 'FAIL' END AS status, count(*) AS n FROM (SELECT abs(coalesce(v, 0) - o_totalprice) / abs(o_totalprice) AS g FROM orders LEFT JOIN p ON o_orderkey = l_orderkey) GROUP BY 1"),

@@ -200,3 +200,31 @@ def test_a_warehouse_table_is_read_in_ranges(spark):
     spark.range(100).selectExpr("id", "id * 2 AS twice").write.format("jdbc").options(url=url, dbtable="numbers").save()
     df = src.jdbc(spark, url, "numbers", "id", 0, 100, 4)
     assert df.rdd.getNumPartitions() == 4 and df.where("twice >= 100").count() == 50
+
+
+def test_aliases_of_any_length_and_punctuation(spark):
+    texts = spark.createDataFrame([(1, "The United States of America, and the U.S. too; united states."), (2, None), (3, "")], "doc_id int, text string")
+    aliases = spark.createDataFrame([("United States of America", "us"), ("united-states", "us"), ("U.S.", "us"), ("", "none")], "alias string, entity string")
+    got = sorted((r["at"], r["alias"]) for r in sets.alias_tags(texts, aliases).collect())
+    assert got == [(1, "united states of america"), (7, "u s"), (10, "united states")]
+    assert sets.alias_tags(texts, aliases.limit(0)).isEmpty()
+
+
+def test_lineage_of_a_long_chain_with_a_cycle(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(60, 0)], "id int, parent int")
+    got = logs.ancestors(edges, spark.createDataFrame([(0,)], "id int")).collect()
+    assert {(r["id"], r["depth"]) for r in got} == {(i, i) for i in range(61)}
+
+
+def test_small_beta_posteriors_are_exact():
+    assert tails.beta_better(1, 1, 1, 1) == pytest.approx(0.5, abs=1e-6)
+    assert tails.beta_better(1, 2, 2, 1) == pytest.approx(5 / 6, abs=1e-4)
+
+
+def test_retention_interval_and_gaps(spark):
+    cells = spark.createDataFrame([(c, o, 0.1 * c / (o + 1)) for c in (1, 2, 3) for o in range(4 - c)], "cohort int, offset int, rate double")
+    rows = {r["offset"]: r for r in product.retention_curve(cells, 0.95).collect()}
+    assert rows[0]["low"] == 0.0 and rows[0]["high"] == pytest.approx(0.2 + 4.3027 * 0.1 / 3**0.5, abs=1e-3) and rows[2]["low"] is None
+    assert {r["n_cohorts"] for r in product.retention_curve(cells, mature=2).collect()} == {1}
+    days = spark.createDataFrame([("2024-01-01",), ("2024-01-02",), ("2024-01-06",)], "d string").withColumn("d", F.to_date("d"))
+    assert validation.coverage(days, "d", "day", max_gap=2).first()["status"] == "FAIL" and validation.coverage_gaps(days, "d").first()["n"] == 3
