@@ -748,3 +748,32 @@ def test_edge_rows_and_empty_tables(name, edge, empty, labels):
     else:
         assert ids == sorted((r[0] for r in EDGE), key=str)
     assert run(empty).count() == 0
+
+
+def test_very_long_texts_go_through_whole(spark, labels):
+    n = 120_000
+    long = " ".join(f"w{i % 7919}x{i % 104729}" for i in range(n))
+    rows = [(1, long, "en", "s", len(long)), (2, "a short text of some words " * 10, "en", "s", 270), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    by_id = lambda df: {r["doc_id"]: r for r in df.collect()}
+    assert by_id(substrings.remove_repeats(docs))[1]["n_words"] == n
+    assert by_id(quality_rules.quality_rules(docs))[1]["n_words"] == n
+    assert by_id(mixing.mix(docs))[1]["size"] == n
+    assert by_id(secrets.find_secrets(docs))[1]["n_assign"] == 0
+    assert by_id(kneser_ney.classify(docs, labels))[1]["n_symbols"] == len(long)
+    assert by_id(minhash.near_duplicates(docs))[1]["class_id"] == 1
+    pieces = [r for r in packing.pack(docs).collect() if r["doc_id"] == 1]
+    assert sum(r["length"] for r in pieces) == pieces[0]["doc_tokens"] > n
+    page = f"<html><body><article>{''.join(f'<p>line {i}</p>' for i in range(20_000))}</article></body></html>"
+    html = html_diff.extract(spark.createDataFrame([(1, "http://a.x/1", page), (2, "http://a.x/2", page.replace("line 7<", "other<"))], "page_id long, url string, html string"))
+    assert {r["text"].count("\n") for r in html.collect()} == {19_999}
+
+
+def test_fingerprints_of_nothing_and_of_nulls(spark):
+    rows = [(0, None), (50, [None] * 30), (51, [0.1, None, 0.3] * 10), (52, [0.1, None, 0.3] * 10), (53, []), (53, [])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = chroma.search(chroma.fingerprints(df, chroma.vector_batches), F.col("id") % 50 == 0)
+    members = sorted((r["id_a"], r["id_b"]) for r in got.where("kind = 'member'").collect())
+    assert members == [(0, 0), (50, 50), (51, 51), (52, 51), (53, 53), (53, 53)]
+    empty = chroma.search(chroma.fingerprints(df.limit(0), chroma.vector_batches), F.col("id") % 50 == 0)
+    assert empty.isEmpty()
