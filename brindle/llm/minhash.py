@@ -300,7 +300,16 @@ def linked(spark: SparkSession, shared: DataFrame, nodes: DataFrame, store: str,
     near = left.join(right, (left.key == right.key) & (F.col("label_a") < F.col("label_b")) & close("wide_a", "wide_b", least))
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = check(through_table(near.join(done, ["a", "b"], "left_anti"), "pairs"))
-    return labels if more.isEmpty() else components(links.unionAll(more))
+    return labels if more.isEmpty() else merged(labels, more)
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) with further links: only components and nodes without one are linked anew."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
+    up = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    top = components(up.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")))
+    known = labels.join(top.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return known.unionAll(top.join(labels.select("node"), "node", "left_anti").select("node", "label"))
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
