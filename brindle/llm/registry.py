@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chroma, html_diff, kneser_ney, minhash, mixing, packing, quality_rules, secrets, substrings, toxicity
+from . import chroma, codes, html_diff, kneser_ney, minhash, mixing, packing, quality_rules, secrets, substrings, toxicity, vantage, winnowing
 
 
 def queries() -> dict[str, Callable]:
@@ -19,6 +19,9 @@ def queries() -> dict[str, Callable]:
         "op8_packing": packing.query,
         "op9_quality_rules": quality_rules.query,
         "op10_mixing": mixing.query,
+        "op11_vector_codes": codes.query,
+        "op12_vantage_clusters": vantage.query,
+        "op13_winnowing": winnowing.query,
     }
 
 
@@ -26,4 +29,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op9_quality_rules": quality_rules.oracle(),
         "op10_mixing": mixing.oracle(),
+        "op11_vector_codes": codes.oracle(),
+        "op12_vantage_clusters": vantage.oracle(),
+        "op13_winnowing": winnowing.oracle(),
     }
