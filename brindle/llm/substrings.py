@@ -26,9 +26,10 @@ them and writes all rows to the shared folder; the run and the copies are read
 from there.
 
 Defined cases: a null text has no words; a text of fewer than 20 words loses
-none; repeated rows are one document (equal ids and starts are not earlier); a
-null doc_id counts as the greatest; an empty table gives an empty result; other
-columns are ignored.
+none; rows of one doc_id, repeated or with different texts, are one document
+(equal ids and starts are not earlier, a later start is) of which each row is
+cut by its own words; a null doc_id counts as the greatest, so all such rows are
+one document; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,7 +54,8 @@ MAX_RUNS = 1
 BATCHES = 3  # the third batch meets a compacted run
 LAST = 2**63 - 1
 WORD = re.compile(r"[^ \t-\r]+")
-ROW = "anchor long, ctx long, k long, lo int, n int, again boolean"
+PLACE = ("k", "v", "lo", "n")
+ROW = "anchor long, ctx long, k long, v long, lo int, n int, again boolean"
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -94,8 +96,9 @@ def anchors(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def repeats(keys: tuple[np.ndarray, np.ndarray], k: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Rows whose key pair stands before in the same arrays, which are ordered by (k, lo)."""
-    order = np.argsort(keys[0] ^ mixed(keys[1]), kind="stable")
+    """Rows whose key pair stands at a smaller (k, lo) in the same arrays, which are ordered by k."""
+    by_place = np.lexsort((lo, k))  # rows of one id follow one another, so their starts may not be in order
+    order = by_place[np.argsort((keys[0] ^ mixed(keys[1]))[by_place], kind="stable")]
     a, b = keys[0][order], keys[1][order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -108,31 +111,31 @@ def repeats(keys: tuple[np.ndarray, np.ndarray], k: np.ndarray, lo: np.ndarray)
 def anchor_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Anchor rows; those that are not the first of their words in the batch are flagged."""
     for batch in batches:
-        batch = batch.sort_values("k", kind="stable")
-        ids, parts = batch["k"].to_numpy(np.int64), []
+        batch = batch.drop_duplicates(["k", "v"]).sort_values("k", kind="stable")  # the same row again tells nothing new
+        ids, own, parts = batch["k"].to_numpy(np.int64), batch["v"].to_numpy(np.int64), []
         for at, _, h, count in hashed_words(list(batch["text"])):
             doc, anchor, ctx, lo, n = anchors(h, count)
-            parts.append((ids[at + doc], anchor, ctx, lo, n))
+            parts.append((ids[at + doc], own[at + doc], anchor, ctx, lo, n))
         if parts:
-            k, anchor, ctx, lo, n = map(np.concatenate, zip(*parts, strict=True))
-            yield pd.DataFrame({"anchor": anchor.view(np.int64), "ctx": ctx.view(np.int64), "k": k, "lo": lo.astype(np.int32), "n": n.astype(np.int32), "again": repeats((anchor, ctx), k, lo)})
+            k, v, anchor, ctx, lo, n = map(np.concatenate, zip(*parts, strict=True))
+            yield pd.DataFrame({"anchor": anchor.view(np.int64), "ctx": ctx.view(np.int64), "k": k, "v": v, "lo": lo.astype(np.int32), "n": n.astype(np.int32), "again": repeats((anchor, ctx), k, lo)})
 
 
 def window_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Full hashes of the windows of the given groups; local repeats are flagged."""
     for batch in batches:
         batch = batch.sort_values("k", kind="stable")
-        ids, groups, parts = batch["k"].to_numpy(np.int64), batch["groups"].to_list(), []
+        ids, own, groups, parts = batch["k"].to_numpy(np.int64), batch["v"].to_numpy(np.int64), batch["groups"].to_list(), []
         for at, size, h, count in hashed_words(list(batch["text"])):
             one, two = running(h), running(mixed(h ^ U(0xA5A5A5A5A5A5A5A5)))
             first = np.cumsum(count) - count
             for d in range(size):
                 got = sorted({(x["lo"], x["n"]) for x in groups[at + d]})
                 start = np.concatenate([np.arange(a, a + m) for a, m in got]) + first[d]
-                parts.append((np.full(len(start), ids[at + d]), span_hash(one, start, start + WINDOW), span_hash(two, start, start + WINDOW), start - first[d]))
+                parts.append((np.full(len(start), ids[at + d]), np.full(len(start), own[at + d]), span_hash(one, start, start + WINDOW), span_hash(two, start, start + WINDOW), start - first[d]))
         if parts:
-            k, a, b, lo = map(np.concatenate, zip(*parts, strict=True))
-            yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64), "k": k, "lo": lo.astype(np.int32), "again": repeats((a, b), k, lo)})
+            k, v, a, b, lo = map(np.concatenate, zip(*parts, strict=True))
+            yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64), "k": k, "v": v, "lo": lo.astype(np.int32), "again": repeats((a, b), k, lo)})
 
 
 def removal_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,7 +156,13 @@ def removal_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), "text")
+    """doc_id, k (the id, the greatest for a null one), v, text: rows of one k and different texts differ in v.
+
+    v is 0 for all rows when no id stands with two texts, and costs the index nothing then; else it is a hash of the text.
+    """
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("v"), "text")
+    several = not rows.select("k", "v").groupBy("k").agg((F.min("v") != F.max("v")).alias("several")).where("several").isEmpty()
+    return rows if several else rows.withColumn("v", F.lit(0).cast("long"))
 
 
 @dataclass
@@ -202,9 +211,9 @@ class FingerprintIndex:
         """Index a batch of keyed documents; (k, lo, n): its window groups that start earlier, in history or in the batch."""
         if len(self.runs) > MAX_RUNS:
             self.compact()
-        marked = through_table(docs.select("k", "text").mapInPandas(anchor_batches, ROW), "marked")
+        marked = through_table(docs.select("k", "v", "text").mapInPandas(anchor_batches, ROW), "marked")
         run = self._write(marked.where("NOT again").drop("again"))
-        here = marked.where("again").select("k", "lo", "n")
+        here = marked.where("again").select(*PLACE)
         new = self.spark.table(run)  # bucketed by anchor as all runs are, so nothing moves in these joins
         new = new.join(self.spark.table(run).groupBy("anchor").agg(F.count("*").alias("c")), "anchor")
         past = []
@@ -218,33 +227,34 @@ class FingerprintIndex:
             rows = rows.unionByName(p)
         by = Window.partitionBy("anchor", "ctx").orderBy("k", "lo")
         rows = rows.withColumns({"rank": F.rank().over(by), "head": (F.row_number().over(by) == 1).cast("int")})
-        rows = through_table(rows.select("anchor", "k", "lo", "n", "old", "rank", "head"), "anchors")
-        same = rows.where("rank > 1 AND NOT old").select("k", "lo", "n")
-        heads = rows.where("head = 1")
-        several = heads.groupBy("anchor").count().where("count > 1").select("anchor")  # one anchor in different words
+        rows = through_table(rows.select("anchor", *PLACE, "old", "rank", "head"), "anchors")
+        same = rows.where("rank > 1 AND NOT old").select(*PLACE)
+        several = rows.where("head = 1").groupBy("anchor").count().where("count > 1").select("anchor")  # one anchor in different words
         self.runs.append(run)
         self.documents.append(docs)
-        windows = self._windows(heads.join(several, "anchor", "left_semi").select("k", "lo", "n"))
+        first = rows.where("rank = 1").join(several, "anchor", "left_semi")  # more than the head, if rows of one id tie
+        windows = self._windows(first.select(*PLACE))
         return here.unionAll(same).unionAll(windows)
 
     def _windows(self, groups: DataFrame) -> DataFrame:
-        """(k, lo, n = 1) of windows that start earlier elsewhere among the given groups."""
-        groups = groups.groupBy("k").agg(F.collect_list(F.struct("lo", "n")).alias("groups"))  # at most a document's windows
+        """(k, v, lo, n = 1) of windows that start earlier elsewhere among the given groups."""
+        groups = groups.groupBy("k", "v").agg(F.collect_set(F.struct("lo", "n")).alias("groups"))  # at most a document's windows
         hashed = None
         for docs in self.documents:  # the columns of the join with all groups in remove_repeats, so that texts are shuffled once for both
-            part = docs.join(groups, "k").select("doc_id", "k", "text", "groups").mapInPandas(window_batches, "a long, b long, k long, lo int, again boolean")
+            part = docs.join(groups, ["k", "v"]).select("k", "v", "text", "groups").mapInPandas(window_batches, "a long, b long, k long, v long, lo int, again boolean")
             hashed = part if hashed is None else hashed.unionAll(part)
         rank = F.rank().over(Window.partitionBy("a", "b").orderBy("k", "lo"))
         later = hashed.where("NOT again").withColumn("rank", rank).where("rank > 1")
-        return later.select("k", "lo", F.lit(1).alias("n")).unionAll(hashed.where("again").select("k", "lo", F.lit(1).alias("n")))
+        one = ("k", "v", "lo", F.lit(1).alias("n"))
+        return later.select(*one).unionAll(hashed.where("again").select(*one))
 
     def compact(self) -> None:
         """Merge all runs into one, keeping the first row of equal words."""
         rows = self.spark.table(self.runs[0])
         for name in self.runs[1:]:
             rows = rows.unionByName(self.spark.table(name))
-        first = rows.groupBy("anchor", "ctx").agg(F.min(F.struct("k", "lo", "n")).alias("f"))
-        merged = self._write(first.select("anchor", "ctx", "f.k", "f.lo", "f.n"))
+        first = rows.groupBy("anchor", "ctx").agg(F.min(F.struct("k", "lo", "v", "n")).alias("f"))
+        merged = self._write(first.select("anchor", "ctx", "f.k", "f.v", "f.lo", "f.n"))
         self.close()
         self.runs = [merged]
 
@@ -257,9 +267,9 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     index, out = FingerprintIndex(docs.sparkSession), None
     for low, high in zip(edges, edges[1:], strict=False):
         part = rows.where((F.col("k") > low if low is not None else F.lit(True)) & (F.col("k") <= high if high is not None else F.lit(True)))
-        gone = index.add(part).groupBy("k").agg(F.collect_list(F.struct("lo", "n")).alias("groups"))
+        gone = index.add(part).groupBy("k", "v").agg(F.collect_list(F.struct("lo", "n")).alias("groups"))
         kind = docs.schema["doc_id"].dataType.simpleString()
-        done = part.join(gone, "k", "left").select("doc_id", "k", "text", "groups").mapInPandas(removal_batches, f"doc_id {kind}, n_words long, n_removed long, kept_text string")
+        done = part.join(gone, ["k", "v"], "left").select("doc_id", "k", "text", "groups").mapInPandas(removal_batches, f"doc_id {kind}, n_words long, n_removed long, kept_text string")
         out = done if out is None else out.unionAll(done)
     index.close()  # what is left to do reads texts and written rows only
     return out

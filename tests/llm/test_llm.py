@@ -526,6 +526,26 @@ def test_repetitive_and_shifted_texts(spark):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["h"]) for r in rows.collect()} == brute_removal(texts)
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_rows_of_one_id_and_of_none(spark, batches):
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(70)]
+    cut = lambda: " ".join([f"x{rng.randrange(9)}"] * rng.randint(0, 3) + base[(a := rng.randint(0, 40)) : a + rng.randint(15, 45)])
+    rows = [(rng.choice([None, None, 1, 2, 3, 4, 5]), cut()) for _ in range(40)]
+    rows += [rows[0], rows[0], (1, None), (None, None), (2, ""), (None, " ".join(base)), (None, " ".join(base[3:]))]
+    first = {}
+    words = [(substrings.LAST if i is None else i, (t or "").split()) for i, t in rows]
+    for k, w in words:
+        for p in range(len(w) - 19):
+            first[key] = min(first.get(key := tuple(w[p : p + 20]), (k, p)), (k, p))
+    want = []
+    for (i, _), (k, w) in zip(rows, words, strict=True):
+        gone = {q for p in range(len(w) - 19) if first[tuple(w[p : p + 20])] < (k, p) for q in range(p, p + 20)}
+        want.append((i, len(w), len(gone), " ".join(x for q, x in enumerate(w) if q not in gone)))
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), batches)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_repeats_do_not_depend_on_how_batches_are_cut(spark, monkeypatch):
     compacted, compact = [], substrings.FingerprintIndex.compact
     monkeypatch.setattr(substrings.FingerprintIndex, "compact", lambda self: (compacted.append(len(self.runs)), compact(self)))
