@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import asof, least_within
 from .ordering import stored
 
 from brindle.functions.scalars import within
@@ -16,14 +17,13 @@ def match_claims(entries: DataFrame, claims: DataFrame, relative: float = 0.001)
     """Claims (claim_id, value, cited: array of ids, bucket) with the query that supports them.
 
     Cited ids come first; claims without a hit are matched by value within the same
-    bucket (an equi key that both logs carry, such as a day), first by id.
+    bucket (an equality key that both logs carry, such as a day), first by id, in time linear in both logs.
     """
     ids = entries.select(F.col("query_id").alias("cited_id"), F.col("query_id").alias("hit"))
     cited = claims.select("claim_id", F.explode_outer("cited").alias("cited_id")).join(ids, "cited_id").groupBy("claim_id").agg(F.min("hit").alias("query_id")).withColumn("how", F.lit("cited"))
     rest = claims.join(cited, "claim_id", "left_anti")
-    near = rest.join(entries.select("bucket", F.col("value").alias("seen"), F.col("query_id").alias("hit")), "bucket").where(within(F.col("seen"), F.col("value"), relative=relative))
-    near = near.groupBy("claim_id").agg(F.min("hit").alias("query_id")).withColumn("how", F.lit("value"))
-    return claims.select("claim_id").join(cited.unionAll(near), "claim_id", "left")
+    near = least_within(rest, entries, "claim_id", ["bucket"], "value", "query_id", relative).withColumn("how", F.lit("value"))
+    return claims.select("claim_id").join(cited.unionByName(near), "claim_id", "left")
 
 
 def coverage(matched: DataFrame, least: float = 0.8) -> DataFrame:
@@ -35,10 +35,10 @@ def coverage(matched: DataFrame, least: float = 0.8) -> DataFrame:
 def reconcile(findings: DataFrame, entries: DataFrame) -> DataFrame:
     """Findings (claim_id, at, by, value, cited, bucket) with a cited, value-matched or latest earlier query of the same author."""
     first = match_claims(entries, findings).where("query_id IS NOT NULL")
-    rest = findings.join(first, "claim_id", "left_anti")
-    asof = rest.select("claim_id", "by", "at").join(entries.select("by", F.col("at").alias("q_at"), F.col("query_id").alias("hit")), "by").where("q_at <= at")
-    asof = asof.groupBy("claim_id").agg(F.max_by("hit", F.struct("q_at", "hit")).alias("query_id")).withColumn("how", F.lit("latest"))
-    return findings.select("claim_id").join(first.unionAll(asof), "claim_id", "left").withColumn("how", F.coalesce("how", F.lit("orphan")))
+    rest = findings.join(first, "claim_id", "left_anti").where("at IS NOT NULL AND by IS NOT NULL")
+    latest = asof(rest.select("claim_id", "by", "at"), entries.where("by IS NOT NULL").select("by", "at", "query_id"), ["by"], "at", "query_id")
+    latest = latest.where("query_id IS NOT NULL").select("claim_id", "query_id", F.lit("latest").alias("how"))
+    return findings.select("claim_id").join(first.unionByName(latest), "claim_id", "left").withColumn("how", F.coalesce("how", F.lit("orphan")))
 
 
 def unused(entries: DataFrame, reconciled: DataFrame) -> DataFrame:

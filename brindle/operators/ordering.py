@@ -43,18 +43,66 @@ def cumulated(counts: DataFrame, keys: Sequence[str], value: str = "v", weight:
     return joined.select(*[F.col(f"r.{c}") for c in counts.columns], (F.col("r.upto") + F.col("s._before")).alias("upto"), "s.total")
 
 
-def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: dict[str, Column], maxima: dict[str, Column] | None = None) -> DataFrame:
-    """df with running sums and maxima within by along order (a total one), spread like cumulated()."""
-    maxima = maxima or {}
-    parts = stored(df.withColumns(sums | maxima).repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()), "ordered")
-    local = Window.partitionBy("_p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    past = parts.groupBy(*by, "_p").agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in maxima])
-    past = past.select(*by, "_p", *[F.sum(c).over(before).alias(f"_{c}") for c in sums], *[F.max(c).over(before).alias(f"_{c}") for c in maxima])
-    rows = parts.withColumns({c: F.sum(c).over(local) for c in sums} | {c: F.max(c).over(local) for c in maxima}).alias("r")
-    rows = rows.join(past.alias("s"), reduce(lambda p, k: p & F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")), by, F.col("r._p") == F.col("s._p")))
-    plus = [(F.coalesce(F.col(f"r.{c}"), F.lit(0)) + F.coalesce(f"s._{c}", F.lit(0))).alias(c) for c in sums]
-    return rows.select(*[F.col(f"r.{c}") for c in df.columns], *plus, *[F.greatest(f"r.{c}", f"s._{c}").alias(c) for c in maxima])
+def dealt(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df written in range partitions by (by, order), with their number _p: what scanned() runs over, as often as wanted."""
+    return stored(df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()), "ordered")
+
+
+#: how a running value goes on over rows, and how the values of partitions before are put together
+STEPS = {"sum": (F.sum, F.sum), "max": (F.max, F.max), "min": (F.min, F.min)}
+
+
+def scanned(parts: DataFrame, by: Sequence[str], order: Sequence[str], steps: dict[str, tuple[str, Column]], backwards: bool = False) -> DataFrame:
+    """Dealt rows with running columns within by along order (a total one), the row itself included: name -> (kind, column).
+
+    Kinds are sum, max, min, last (the last value that is not null) and moments (a struct of n, mean and m2, the sum of
+    squared deviations, merged as centred moments, so large means lose nothing). A partition scans its own rows, and one
+    row for a key and partition carries the state of the partitions before; so a key with most of the rows is spread.
+    Backwards, the scan goes from the greatest to the least.
+    """
+    turn = (lambda c: F.col(c).desc()) if backwards else (lambda c: F.col(c).asc())
+    local = Window.partitionBy("_p", *by).orderBy(*map(turn, order)).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy(turn("_p")).rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct(*order)
+    rows, own, past, done = {}, [], [], []
+    for name, (kind, c) in steps.items():
+        mine, theirs = F.col(f"r.{name}"), F.col(f"s._{name}")
+        if kind in STEPS:
+            along, across = STEPS[kind]
+            rows[name] = along(c).over(local)
+            own.append(along(c).alias(name))
+            past.append(across(name).over(before).alias(f"_{name}"))
+            both = {"sum": F.when(mine.isNotNull() | theirs.isNotNull(), F.coalesce(mine, F.lit(0)) + F.coalesce(theirs, F.lit(0))), "max": F.greatest(mine, theirs), "min": F.least(mine, theirs)}[kind]
+        elif kind == "last":
+            rows[name] = F.last(c, ignorenulls=True).over(local)
+            own.append((F.min_by if backwards else F.max_by)(F.when(c.isNotNull(), F.struct(c.alias("x"))), F.when(c.isNotNull(), place)).alias(name))
+            past.append(F.last(F.col(name)["x"], ignorenulls=True).over(before).alias(f"_{name}"))
+            both = F.coalesce(mine, theirs)
+        else:  # moments
+            state = lambda f: F.struct(f(F.count(c)).alias("n"), f(F.avg(c)).alias("mean"), (f(F.var_pop(c)) * f(F.count(c))).alias("m2"))
+            rows[name] = state(lambda f: f.over(local))
+            own.append(state(lambda f: f).alias(name))
+            none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("m2"))
+            past.append(F.aggregate(F.collect_list(name).over(before), none, merged).alias(f"_{name}"))  # at most a row a partition
+            both = merged(F.coalesce(theirs, none), mine)
+        done.append(both.alias(name))
+    states = parts.groupBy(*by, "_p").agg(*own).select(*by, "_p", *past)
+    joined = parts.withColumns(rows).alias("r").join(states.alias("s"), reduce(lambda p, k: p & F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")), by, F.col("r._p") == F.col("s._p")))
+    return joined.select(*[F.col(f"r.{c}") for c in parts.columns if c not in steps], *done)
+
+
+def merged(a: Column, b: Column) -> Column:
+    """Two moments as one."""
+    n = a["n"] + b["n"]
+    gap = F.coalesce(b["mean"] - a["mean"], F.lit(0.0))
+    mean = F.when(a["n"] == 0, b["mean"]).when(b["n"] == 0, a["mean"]).otherwise(a["mean"] + gap * b["n"] / n)
+    m2 = F.when(n > 0, F.coalesce(a["m2"], F.lit(0.0)) + F.coalesce(b["m2"], F.lit(0.0)) + gap * gap * F.try_divide(a["n"] * b["n"], n))
+    return F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"))
+
+
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], steps: dict[str, tuple[str, Column]]) -> DataFrame:
+    """df with the running columns of scanned()."""
+    return scanned(dealt(df, by, order), by, order, steps).drop("_p")
 
 
 def quantile_columns(at: dict[str, float], value: str = "v") -> list[Column]:

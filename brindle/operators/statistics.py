@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import tails as tl
 
-from .ordering import cumulated, one_row, running
+from .ordering import cumulated, dealt, one_row, running, scanned
 
 
 def two_groups(df: DataFrame, group: str, metric: str, a, b) -> DataFrame:
@@ -198,10 +198,12 @@ def cuped(df: DataFrame, group: str, pre: str, post: str, a, b, tails: bool = Tr
 
 
 def confidence_sequence(df: DataFrame, metric: str, by: str, order: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """Running mean with an anytime interval at each observation; null bounds before the second."""
-    rows = df.select(by, *order, F.col(metric).cast("double").alias("x"))
-    rows = running(rows, [by], order, {"n": F.col("x").isNotNull().cast("long"), "s1": F.coalesce("x", F.lit(0.0)), "s2": F.coalesce(F.col("x") ** 2, F.lit(0.0))})
-    rows = rows.withColumn("mean", F.try_divide("s1", "n")).withColumn("v", F.try_divide(F.greatest(F.lit(0.0), F.col("s2") - F.col("s1") * F.col("mean")), F.col("n") - 1)).drop("s1", "s2")
+    """Running mean with an anytime interval at each observation; null bounds before the second.
+
+    The variance is that of merged centred moments, so a mean far from zero does not swallow it.
+    """
+    rows = running(df.select(by, *order, F.col(metric).cast("double").alias("x")), [by], order, {"m": ("moments", F.col("x"))})
+    rows = rows.select(by, *order, "x", F.col("m.n").alias("n"), F.col("m.mean").alias("mean"), F.try_divide("m.m2", F.col("m.n") - 1).alias("v"))
     half = F.sqrt(2 * F.col("v") * F.log(2 * F.log2(2 * F.col("n")) / alpha * 1.7) / F.col("n") * 1.1)
     return rows.withColumns({"low": F.when(F.col("n") >= 2, F.col("mean") - half), "high": F.when(F.col("n") >= 2, F.col("mean") + half)}).drop("v")
 
@@ -209,17 +211,18 @@ def confidence_sequence(df: DataFrame, metric: str, by: str, order: Sequence[str
 def e_value(df: DataFrame, metric: str, by: str, order: Sequence[str], null_mean: float = 0.0) -> DataFrame:
     """Anytime-valid p: a betting martingale whose stake at t depends on earlier observations only.
 
-    Two chained passes: sums of the past, then the running log e-value (floor 1e-10 under the logarithm, cap 500).
+    One ordering of the rows and three scans over it: sums of the past, the running log e-value (floor 1e-10 under the
+    logarithm, cap 500), and its maximum so far.
     """
     d = F.col(metric).cast("double") - null_mean
     zero = F.coalesce("d", F.lit(0.0))
-    rows = running(df.select(by, *order, d.alias("d")), [by], order, {"s1": zero, "s2": zero**2})
+    parts = dealt(df.select(by, *order, d.alias("d")), [by], order)
+    rows = scanned(parts, [by], order, {"s1": ("sum", zero), "s2": ("sum", zero**2)})
     rows = rows.withColumns({"s1": F.col("s1") - zero, "s2": F.col("s2") - zero**2})
     stake = F.when(F.col("s2") > 0, F.greatest(F.lit(-0.5), F.least(F.lit(0.5), F.col("s1") / F.col("s2")))).otherwise(0.0)
-    rows = rows.withColumn("gain", F.log(F.greatest(F.lit(1e-10), 1 + stake * F.col("d"))))
-    rows = running(rows.select(by, *order, "gain"), [by], order, {"e": F.col("gain")})
-    rows = rows.select(by, *order, F.least(F.lit(500.0), F.col("e")).alias("log_e"))
-    rows = running(rows, [by], order, {}, {"best": F.col("log_e")})
+    rows = rows.select(by, *order, "_p", F.log(F.greatest(F.lit(1e-10), 1 + stake * F.col("d"))).alias("gain"))
+    rows = scanned(rows, [by], order, {"e": ("sum", F.col("gain"))}).withColumn("log_e", F.least(F.lit(500.0), F.coalesce("e", F.lit(0.0))))
+    rows = scanned(rows, [by], order, {"best": ("max", F.col("log_e"))})
     return rows.select(by, *order, "log_e", F.least(F.lit(1.0), F.exp(-F.col("best"))).alias("p"))
 
 
