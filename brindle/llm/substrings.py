@@ -241,7 +241,7 @@ class FingerprintIndex:
         groups = groups.groupBy("k", "v").agg(F.collect_set(F.struct("lo", "n")).alias("groups"))  # at most a document's windows
         hashed = None
         for docs in self.documents:  # the columns of the join with all groups in remove_repeats, so that texts are shuffled once for both
-            part = docs.join(groups, ["k", "v"]).select("k", "v", "text", "groups").mapInPandas(window_batches, "a long, b long, k long, v long, lo int, again boolean")
+            part = docs.join(groups, ["k", "v"]).select("doc_id", "k", "v", "text", "groups").mapInPandas(window_batches, "a long, b long, k long, v long, lo int, again boolean")
             hashed = part if hashed is None else hashed.unionAll(part)
         rank = F.rank().over(Window.partitionBy("a", "b").orderBy("k", "lo"))
         later = hashed.where("NOT again").withColumn("rank", rank).where("rank > 1")
@@ -269,7 +269,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         part = rows.where((F.col("k") > low if low is not None else F.lit(True)) & (F.col("k") <= high if high is not None else F.lit(True)))
         gone = index.add(part).groupBy("k", "v").agg(F.collect_list(F.struct("lo", "n")).alias("groups"))
         kind = docs.schema["doc_id"].dataType.simpleString()
-        done = part.join(gone, ["k", "v"], "left").select("doc_id", "k", "text", "groups").mapInPandas(removal_batches, f"doc_id {kind}, n_words long, n_removed long, kept_text string")
+        done = part.join(gone, ["k", "v"], "left").select("doc_id", "k", "v", "text", "groups").mapInPandas(removal_batches, f"doc_id {kind}, n_words long, n_removed long, kept_text string")
         out = done if out is None else out.unionAll(done)
     index.close()  # what is left to do reads texts and written rows only
     return out
