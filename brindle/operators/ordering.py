@@ -55,8 +55,9 @@ STEPS = {"sum": (F.sum, F.sum), "max": (F.max, F.max), "min": (F.min, F.min)}
 def scanned(parts: DataFrame, by: Sequence[str], order: Sequence[str], steps: dict[str, tuple[str, Column]], backwards: bool = False) -> DataFrame:
     """Dealt rows with running columns within by along order (a total one), the row itself included: name -> (kind, column).
 
-    Kinds are sum, max, min, last (the last value that is not null) and moments (a struct of n, mean and m2, the sum of
-    squared deviations, merged as centred moments, so large means lose nothing). A partition scans its own rows, and one
+    Kinds are sum, max, min, last (the last value that is not null), lag (the value of the row before, also a null) and
+    moments (a struct of n, mean and m2, the sum of squared deviations, merged as centred moments, so large means lose
+    nothing). A partition scans its own rows, and one
     row for a key and partition carries the state of the partitions before; so a key with most of the rows is spread.
     Backwards, the scan goes from the greatest to the least.
     """
@@ -66,24 +67,30 @@ def scanned(parts: DataFrame, by: Sequence[str], order: Sequence[str], steps: di
     place = F.struct(*order)
     rows, own, past, done = {}, [], [], []
     for name, (kind, c) in steps.items():
-        mine, theirs = F.col(f"r.{name}"), F.col(f"s._{name}")
+        mine, theirs = F.col(f"r.{name}"), F.col(f"s._past_{name}")
         if kind in STEPS:
             along, across = STEPS[kind]
             rows[name] = along(c).over(local)
             own.append(along(c).alias(name))
-            past.append(across(name).over(before).alias(f"_{name}"))
+            past.append(across(name).over(before).alias(f"_past_{name}"))
             both = {"sum": F.when(mine.isNotNull() | theirs.isNotNull(), F.coalesce(mine, F.lit(0)) + F.coalesce(theirs, F.lit(0))), "max": F.greatest(mine, theirs), "min": F.least(mine, theirs)}[kind]
         elif kind == "last":
             rows[name] = F.last(c, ignorenulls=True).over(local)
             own.append((F.min_by if backwards else F.max_by)(F.when(c.isNotNull(), F.struct(c.alias("x"))), F.when(c.isNotNull(), place)).alias(name))
-            past.append(F.last(F.col(name)["x"], ignorenulls=True).over(before).alias(f"_{name}"))
+            past.append(F.last(F.col(name)["x"], ignorenulls=True).over(before).alias(f"_past_{name}"))
             both = F.coalesce(mine, theirs)
+        elif kind == "lag":
+            line = Window.partitionBy("_p", *by).orderBy(*map(turn, order))
+            rows[name] = F.struct(F.lag(c).over(line).alias("x"), F.lag(F.lit(True)).over(line).alias("inside"))
+            own.append((F.min_by if backwards else F.max_by)(F.struct(c.alias("x")), place).alias(name))
+            past.append(F.last(F.col(name)["x"]).over(before).alias(f"_past_{name}"))
+            both = F.when(mine["inside"], mine["x"]).otherwise(theirs)
         else:  # moments
             state = lambda f: F.struct(f(F.count(c)).alias("n"), f(F.avg(c)).alias("mean"), (f(F.var_pop(c)) * f(F.count(c))).alias("m2"))
             rows[name] = state(lambda f: f.over(local))
             own.append(state(lambda f: f).alias(name))
             none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("m2"))
-            past.append(F.aggregate(F.collect_list(name).over(before), none, merged).alias(f"_{name}"))  # at most a row a partition
+            past.append(F.aggregate(F.collect_list(name).over(before), none, merged).alias(f"_past_{name}"))  # at most a row a partition
             both = merged(F.coalesce(theirs, none), mine)
         done.append(both.alias(name))
     states = parts.groupBy(*by, "_p").agg(*own).select(*by, "_p", *past)

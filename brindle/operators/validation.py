@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordering import one_row
+from .ordering import one_row, running
 from .profiling import family, islands, spine, unpivot
 
 
@@ -256,11 +256,11 @@ def dominance(df: DataFrame, columns: Sequence[str], share: float = 0.5) -> Data
 
 
 def monotonic(df: DataFrame, order: str, value: str, strict: bool = False, by: Sequence[str] = ()) -> DataFrame:
-    """Steps that go down (or stay, if strict) in the order of a column, and the first of them."""
-    w = Window.partitionBy(*by).orderBy(order)
-    bad = F.col(value) <= F.col("p") if strict else F.col(value) < F.col("p")
-    steps = df.withColumn("p", F.lag(value).over(w)).where("p IS NOT NULL")
-    return steps.groupBy(*by).agg(F.count_if(bad).alias("n_bad"), F.min(F.when(bad, F.col(order))).alias("first_bad"), F.count("*").alias("n_steps"))
+    """Steps that go down (or stay, if strict) in the order of a column, and the first of them; rows of equal order by value."""
+    rows = df.select(*by, F.col(order).alias("at"), F.col(value).alias("v"))
+    steps = running(rows, by, ["at", "v"], {"p": ("lag", F.col("v"))}).where("p IS NOT NULL")
+    bad = F.col("v") <= F.col("p") if strict else F.col("v") < F.col("p")
+    return steps.groupBy(*by).agg(F.count_if(bad).alias("n_bad"), F.min(F.when(bad, F.col("at"))).alias("first_bad"), F.count("*").alias("n_steps"))
 
 
 def rolling_z(series: DataFrame, order: str, value: str, window: int, most: float) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.operators import segments as sg
 from brindle.operators import suites as su
@@ -12,78 +13,125 @@ from brindle.sources.tables import table
 
 
 def short(rows):
-    return rows.select("check", "ok", "status")
+    return rows.select("check", "ok", "status", "n", "n_bad")
 
 
 def structural(s, d):
     o = table(s, d, "orders")
     config = {
-        "schema": o.schema, "primary_key": ["o_orderkey"], "required": ["o_custkey", "o_totalprice"], "dates": {"day": "o_orderdate", "start": "1995-01-01", "end": "2000-01-01", "max_gap": 10},
-        "parent": {"df": table(s, d, "customer"), "child_key": "o_custkey", "key": "c_custkey"}, "domains": {"status": ~F.col("o_orderstatus").isin("F", "O")}, "rows": (1, None),
-    }
+        "schema": T.StructType().add("o_orderkey", "long").add("o_totalprice", "string").add("o_note", "string"),
+        "primary_key": ["o_custkey", "o_orderdate"],
+        "required": ["o_custkey", "o_totalprice"],
+        "dates": {"day": "o_orderdate", "start": "1995-02-01", "end": "2000-01-01", "max_gap": 1},
+        "parent": {"df": table(s, d, "customer").where("c_custkey % 7 > 0"), "child_key": "o_custkey", "key": "c_custkey"},
+        "domains": {"status": ~F.col("o_orderstatus").isin("F", "O"), "price": F.col("o_totalprice") > 100000},
+        "rows": (1, 10),
+    }
     return short(su.structural(o, config))
 
 
-def logical(s, d):
+def shares(s, d):
+    """Sums of a day and flag, with a share of the flag's gross that is 2 percent too high for one flag."""
     li = table(s, d, "lineitem").withColumns({"net": F.col("l_extendedprice") * (1 - F.col("l_discount")), "day": F.col("l_shipdate").cast("date")})
     daily = li.groupBy("l_returnflag", "day").agg(F.sum("net").alias("net"), F.sum("l_extendedprice").alias("gross"))
-    share = daily.withColumn("pct", F.lit(100.0) / F.count("*").over(Window.partitionBy("l_returnflag")))
-    config = {"metric": "net", "percentages": {"pct": "pct", "group": "l_returnflag"}, "ratio": {"num": "net", "den": "gross", "low": 0.9, "high": 1.0}, "future": {"day": "day", "as_of": "1999-01-01"}, "balance": "l_returnflag"}
-    return short(su.logical(share, config, summary=li.groupBy("l_returnflag").agg(F.sum("net").alias("net"))))
+    high = F.when(F.col("l_returnflag") == "R", 1.02).otherwise(1.0)
+    return daily.withColumn("pct", 100.0 * high * F.col("gross") / F.sum("gross").over(Window.partitionBy("l_returnflag")))
+
+
+def logical(s, d):
+    config = {
+        "metric": "net",
+        "tolerance": 0.05,
+        "percentages": {"pct": "pct", "group": "l_returnflag"},
+        "monotonic": {"order": "day", "value": "net"},
+        "trend": {"day": "day", "metric": "net", "window": 7, "max_z": 3.0},
+        "continuity": {"day": "day", "metric": "net", "jump": 0.5},
+        "ratio": {"num": "net", "den": "gross", "low": 0.93, "high": 1.0},
+        "future": {"day": "day", "as_of": "1998-01-01"},
+        "balance": "l_returnflag",
+    }
+    return short(su.logical(shares(s, d), config, summary=table(s, d, "lineitem").select(F.col("l_extendedprice").alias("net"))))
 
 
 def business(s, d):
     o = table(s, d, "orders")
     rules = {
-        "ranges": {"o_totalprice": (0.0, 100000.0)}, "no_negative": ["o_totalprice"], "segments": {"o_orderstatus": ["F", "O", "P", "X"]}, "cardinality": {"o_orderpriority": (1, 5)},
+        "ranges": {"o_totalprice": (0.0, 100000.0)},
+        "no_negative": ["o_totalprice"],
         "identities": {"late": F.year("o_orderdate") > 1998},
-    }
+        "metrics": {"aov": F.avg("o_totalprice"), "orders": F.count("*"), "revenue": F.sum("o_totalprice")},
+        "relationships": [*su.DEFAULT_RELATIONSHIPS, {"left": "aov", "right": "revenue / (orders + 1)", "tolerance": 1e-9}],
+        "segments": {"o_orderstatus": ["F", "O", "P", "X"]},
+        "cardinality": {"o_orderpriority": (1, 4)},
+        "temporal": {"day": "o_orderdate", "metric": "o_totalprice", "limit": 100.0},
+    }
     return short(su.business(o, rules))
 
 
 def verdicts(s, d):
-    frames = {"structural": su.structural(table(s, d, "orders")), "business": su.business(table(s, d, "lineitem"))}
-    parts = [su.verdict(f).select(F.lit(k).alias("suite"), "*") for k, f in frames.items()]
-    return parts[0].unionByName(parts[1])
+    """Default rules on a table whose columns bear the known names, beside columns that only hold parts of them."""
+    e = table(s, d, "lineitem").select(
+        F.col("l_quantity").cast("double").alias("quantity"), (F.col("l_extendedprice") - 20000).alias("revenue"), (F.col("l_discount") * 12).alias("bounce_rate"), F.col("l_returnflag").alias("device"),
+        (-F.col("l_tax")).alias("account_balance"), (F.col("l_tax") - 1).alias("discount"), (F.col("l_linenumber") - 9).alias("n_orders_total"),
+    )
+    frames = {"structural": su.structural(table(s, d, "orders")), "business": su.business(e), "nothing": su.business(table(s, d, "nation"))}
+    rows = [su.verdict(f).select(F.lit(k).alias("suite"), "*") for k, f in frames.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 ORDERS = "(SELECT o_orderpriority AS seg, o_totalprice AS x FROM orders)"
 STATUS = "CASE WHEN rate > 0.05 THEN 'BLOCKER' WHEN rate > 0 THEN 'WARNING' ELSE 'PASS' END"
-OK = "SELECT name AS \"check\", status IN ('PASS', 'WARNING', 'WARN') AS ok, status FROM ("
+OK = "SELECT name AS \"check\", status IN ('PASS', 'WARNING', 'WARN') AS ok, status, n::BIGINT AS n, n_bad::BIGINT AS n_bad FROM ("
 
 QUERIES = {
     "val7_structural_runner": (
         structural,
-        f"""WITH k AS (SELECT count(*) AS n, count(DISTINCT o_orderkey) AS u, count(*) FILTER (o_orderkey IS NULL) AS z FROM orders),
+        f"""WITH k AS (SELECT count(*) AS c, o_custkey IS NULL OR o_orderdate IS NULL AS z FROM orders GROUP BY o_custkey, o_orderdate),
         dy AS (SELECT day, day - lag(day) OVER (ORDER BY day) AS gap FROM (SELECT DISTINCT o_orderdate::DATE AS day FROM orders)),
-        r AS (SELECT count(*) FILTER (c_custkey IS NULL AND o_custkey IS NOT NULL) / count(*) AS rate FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
-        v AS (SELECT count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) / count(*) AS rate FROM orders),
-        m AS (SELECT greatest(count(*) FILTER (o_custkey IS NULL), count(*) FILTER (o_totalprice IS NULL)) / count(*) AS rate FROM orders)
-        {OK} SELECT 'schema' AS name, 'PASS' AS status
-        UNION ALL SELECT 'primary_key', CASE WHEN u < n OR z > 0 THEN 'BLOCKER' ELSE 'PASS' END FROM k
-        UNION ALL SELECT 'completeness', CASE WHEN rate > 0.5 THEN 'BLOCKER' WHEN rate > 0.2 THEN 'SEVERE' WHEN rate >= 0.05 THEN 'WARNING' ELSE 'PASS' END FROM m
-        UNION ALL SELECT 'date_range', CASE WHEN count(*) FILTER (day < DATE '1995-01-01' OR day > DATE '2000-01-01') > 0 THEN 'FAIL' WHEN max(gap) > 10 THEN 'WARNING' ELSE 'PASS' END FROM dy
-        UNION ALL SELECT 'referential_integrity', {STATUS} FROM r UNION ALL SELECT 'value_domain', {STATUS} FROM v
-        UNION ALL SELECT 'row_count', CASE WHEN n < 1 THEN 'BLOCKER' ELSE 'PASS' END FROM k)""",
+        dr AS (SELECT count(*) AS n, count(*) FILTER (day < DATE '1995-02-01' OR day > DATE '2000-01-01') AS outside, count(*) FILTER (gap > 1) AS gaps FROM dy),
+        r AS (SELECT count(*) AS n, count(*) FILTER (c_custkey IS NULL AND o_custkey IS NOT NULL) AS n_bad, n_bad / n AS rate FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 > 0) ON o_custkey = c_custkey),
+        v AS (SELECT count(*) AS n, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS a, count(*) FILTER (o_totalprice > 100000) AS b, greatest(a, b) / n AS rate FROM orders),
+        m AS (SELECT count(*) AS n, count(*) FILTER (o_custkey IS NULL) AS a, count(*) FILTER (o_totalprice IS NULL) AS b, greatest(a, b) / n AS rate FROM orders)
+        {OK} SELECT 'schema' AS name, 'BLOCKER' AS status, 3 AS n, 2 AS n_bad
+        UNION ALL SELECT 'primary_key', CASE WHEN bool_or(c > 1 OR z) THEN 'BLOCKER' ELSE 'PASS' END, sum(c), coalesce(sum(c) FILTER (z), 0) + coalesce(sum(c) FILTER (c > 1), 0) FROM k
+        UNION ALL SELECT 'completeness', CASE WHEN rate > 0.5 THEN 'BLOCKER' WHEN rate > 0.2 THEN 'SEVERE' WHEN rate >= 0.05 THEN 'WARNING' ELSE 'PASS' END, n, a + b FROM m
+        UNION ALL SELECT 'date_range', CASE WHEN outside > 0 THEN 'FAIL' WHEN gaps > 0 THEN 'WARNING' ELSE 'PASS' END, n, outside + gaps FROM dr
+        UNION ALL SELECT 'referential_integrity', {STATUS}, n, n_bad FROM r UNION ALL SELECT 'value_domain', {STATUS}, n, a + b FROM v
+        UNION ALL SELECT 'row_count', CASE WHEN count(*) NOT BETWEEN 1 AND 10 THEN 'BLOCKER' ELSE 'PASS' END, count(*), (count(*) NOT BETWEEN 1 AND 10)::INT FROM orders)""",
     ),
     "val17_logical_runner": (
         logical,
-        f"""WITH l AS (SELECT l_returnflag AS f, l_shipdate::DATE AS day, sum(l_extendedprice * (1 - l_discount)) AS net, sum(l_extendedprice) AS gross FROM lineitem GROUP BY 1, 2),
-        b AS (SELECT f, count(*) AS n FROM l GROUP BY 1)
-        {OK} SELECT 'aggregation_consistency' AS name, CASE WHEN abs((SELECT sum(net) FROM l) - sum(l_extendedprice * (1 - l_discount))) > 0.01 * abs(sum(l_extendedprice * (1 - l_discount))) THEN 'BLOCKER' ELSE 'PASS' END AS status FROM lineitem
-        UNION ALL SELECT 'percentages_sum', CASE WHEN max(abs(n * (100.0 / n) - 100)) <= 0.5 THEN 'PASS' ELSE 'FAIL' END FROM b
-        UNION ALL SELECT 'ratio_bounds', CASE WHEN count(*) FILTER (net / gross NOT BETWEEN 0.9 AND 1.0) > 0 THEN 'BLOCKER' ELSE 'PASS' END FROM l
-        UNION ALL SELECT 'no_future_dates', CASE WHEN max(day) > DATE '1999-01-01' THEN 'BLOCKER' ELSE 'PASS' END FROM l
-        UNION ALL SELECT 'group_balance', CASE WHEN min(n) < 10 OR max(n) / min(n) > 100 THEN 'WARNING' ELSE 'PASS' END FROM b)""",
+        f"""WITH g AS (SELECT l_returnflag AS f, l_shipdate::DATE AS day, sum(l_extendedprice * (1 - l_discount)) AS net, sum(l_extendedprice) AS gross FROM lineitem GROUP BY 1, 2),
+        p AS (SELECT f, abs(sum(pct) - 100) AS off FROM (SELECT f, 100.0 * CASE WHEN f = 'R' THEN 1.02 ELSE 1.0 END * gross / sum(gross) OVER (PARTITION BY f) AS pct FROM g) GROUP BY 1),
+        b AS (SELECT f, count(*) AS n FROM g GROUP BY 1),
+        t AS (SELECT (SELECT sum(net) FROM g) AS a, (SELECT sum(l_extendedprice) FROM lineitem) AS b, (SELECT count(*) FROM g) AS n),
+        st AS (SELECT net < lag(net) OVER (ORDER BY day, net) AS down FROM g),
+        dy AS (SELECT day, sum(net) AS v FROM g GROUP BY 1),
+        w AS (SELECT v, lag(v) OVER (ORDER BY day) AS prev, avg(v) OVER s AS m, stddev_samp(v) OVER s AS sd, count(*) OVER s AS k FROM dy WINDOW s AS (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+        x AS (SELECT count(*) AS n, count(*) FILTER (k = 7 AND sd > 0 AND abs(v - m) > 3 * sd) AS far, count(*) FILTER (abs(v - prev) > 0.5::DOUBLE * abs(prev)) AS jumps FROM w)
+        {OK} SELECT 'aggregation_consistency' AS name, CASE WHEN abs(b - a) > 0.05::DOUBLE * abs(b) THEN 'BLOCKER' ELSE 'PASS' END AS status, n, (abs(b - a) > 0.05::DOUBLE * abs(b))::INT AS n_bad FROM t
+        UNION ALL SELECT 'percentages_sum', CASE WHEN max(off) <= 0.5 THEN 'PASS' WHEN max(off) <= 1 THEN 'WARN' ELSE 'FAIL' END, count(*), count(*) FILTER (off > 0.5) FROM p
+        UNION ALL SELECT 'monotonic', CASE WHEN bool_or(down) THEN 'FAIL' ELSE 'PASS' END, count(down), count(*) FILTER (down) FROM st
+        UNION ALL SELECT 'trend_consistency', CASE WHEN far > 0 THEN 'WARNING' ELSE 'PASS' END, n, far FROM x
+        UNION ALL SELECT 'trend_continuity', CASE WHEN jumps = 0 THEN 'PASS' WHEN jumps <= 2 THEN 'WARNING' ELSE 'BLOCKER' END, n, jumps FROM x
+        UNION ALL SELECT 'ratio_bounds', CASE WHEN count(*) FILTER (net / gross NOT BETWEEN 0.93 AND 1.0) > 0 THEN 'BLOCKER' ELSE 'PASS' END, count(*), count(*) FILTER (net / gross NOT BETWEEN 0.93 AND 1.0) FROM g
+        UNION ALL SELECT 'no_future_dates', CASE WHEN max(day) > DATE '1998-01-01' THEN 'BLOCKER' ELSE 'PASS' END, count(day), count(*) FILTER (day > DATE '1998-01-01') FROM g
+        UNION ALL SELECT 'group_balance', CASE WHEN min(n) < 10 OR max(n) > 100 * min(n) THEN 'WARNING' ELSE 'PASS' END, count(*), count(*) FILTER (n < 10) FROM b)""",
     ),
     "val24_business_runner": (
         business,
-        f"""WITH r AS (SELECT 'range_o_totalprice' AS name, count(*) FILTER (o_totalprice NOT BETWEEN 0 AND 100000) / count(*) AS rate FROM orders
-        UNION ALL SELECT 'negative_o_totalprice', count(*) FILTER (o_totalprice < 0) / count(*) FROM orders
-        UNION ALL SELECT 'late', count(*) FILTER (year(o_orderdate) > 1998) / count(*) FROM orders)
-        {OK} SELECT name, {STATUS} AS status FROM r
-        UNION ALL SELECT 'segments_o_orderstatus', CASE WHEN count(DISTINCT o_orderstatus) FILTER (o_orderstatus IN ('F', 'O', 'P', 'X')) < 4 THEN 'FAIL' WHEN count(*) FILTER (o_orderstatus NOT IN ('F', 'O', 'P', 'X')) > 0 THEN 'WARN' ELSE 'PASS' END FROM orders
-        UNION ALL SELECT 'cardinality_o_orderpriority', CASE WHEN count(DISTINCT o_orderpriority) BETWEEN 1 AND 5 THEN 'PASS' ELSE 'WARNING' END FROM orders)""",
+        f"""WITH r AS (SELECT 'range_o_totalprice' AS name, count(*) FILTER (o_totalprice NOT BETWEEN 0 AND 100000) AS n_bad, count(*) AS n FROM orders
+        UNION ALL SELECT 'negative_o_totalprice', count(*) FILTER (o_totalprice < 0), count(*) FROM orders
+        UNION ALL SELECT 'late', count(*) FILTER (year(o_orderdate) > 1998), count(*) FROM orders),
+        q AS (SELECT *, n_bad / n AS rate FROM r),
+        dy AS (SELECT o_orderdate::DATE AS day, sum(o_totalprice) AS v FROM orders GROUP BY 1), c AS (SELECT v, lag(v) OVER (ORDER BY day) AS p FROM dy),
+        h AS (SELECT count(*) AS n, count(*) FILTER (CASE WHEN p = 0 THEN v <> 0 ELSE abs(v - p) > abs(p) END) AS n_bad FROM c)
+        {OK} SELECT name, {STATUS} AS status, n, n_bad FROM q
+        UNION ALL SELECT 'relationship_1', 'PASS', 1, 0 UNION ALL SELECT 'relationship_2', CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END, 1, 1 FROM orders
+        UNION ALL SELECT 'segments_o_orderstatus', CASE WHEN count(DISTINCT o_orderstatus) FILTER (o_orderstatus IN ('F', 'O', 'P', 'X')) < 4 THEN 'FAIL' WHEN count(*) FILTER (o_orderstatus NOT IN ('F', 'O', 'P', 'X')) > 0 THEN 'WARN' ELSE 'PASS' END,
+            count(DISTINCT o_orderstatus), count(DISTINCT o_orderstatus) FILTER (o_orderstatus NOT IN ('F', 'O', 'P', 'X')) + 4 - count(DISTINCT o_orderstatus) FILTER (o_orderstatus IN ('F', 'O', 'P', 'X')) FROM orders
+        UNION ALL SELECT 'cardinality_o_orderpriority', CASE WHEN count(DISTINCT o_orderpriority) BETWEEN 1 AND 4 THEN 'PASS' ELSE 'WARNING' END, count(DISTINCT o_orderpriority), (count(DISTINCT o_orderpriority) NOT BETWEEN 1 AND 4)::INT FROM orders
+        UNION ALL SELECT 'period_change', CASE WHEN n_bad > 0 THEN 'FAIL' ELSE 'PASS' END, n, n_bad FROM h)""",
     ),
     "val24_default_rules": (
         verdicts,
@@ -91,10 +139,11 @@ QUERIES = {
         UNION ALL SELECT 'structural', (SELECT greatest(count(*) FILTER (o_orderkey IS NULL), count(*) FILTER (o_custkey IS NULL), count(*) FILTER (o_orderstatus IS NULL), count(*) FILTER (o_totalprice IS NULL),
             count(*) FILTER (o_orderdate IS NULL), count(*) FILTER (o_orderpriority IS NULL)) / count(*) FROM orders) <= 0.2
         UNION ALL SELECT 'business', (SELECT count(*) FILTER (l_quantity < 0) / count(*) FROM lineitem) <= 0.05
-        UNION ALL SELECT 'business', (SELECT count(*) FILTER (l_extendedprice < 0) / count(*) FROM lineitem) <= 0.05
-        UNION ALL SELECT 'business', (SELECT count(*) FILTER (l_discount < 0) / count(*) FROM lineitem) <= 0.05
-        UNION ALL SELECT 'business', (SELECT count(*) FILTER (l_discount NOT BETWEEN 0 AND 1) / count(*) FROM lineitem) <= 0.05)
-        SELECT suite, count(*) AS checks_run, count(*) FILTER (ok) AS checks_passed, count(*) FILTER (NOT ok) AS checks_failed, bool_and(ok) AS overall_ok FROM c GROUP BY suite""",
+        UNION ALL SELECT 'business', (SELECT count(*) FILTER (l_extendedprice < 20000) / count(*) FROM lineitem) <= 0.05
+        UNION ALL SELECT 'business', (SELECT count(*) FILTER (l_discount * 12 NOT BETWEEN 0 AND 1) / count(*) FROM lineitem) <= 0.05
+        UNION ALL SELECT 'business', (SELECT count(DISTINCT l_returnflag) BETWEEN 2 AND 10 FROM lineitem) OR true)
+        SELECT suite, count(*) AS checks_run, count(*) FILTER (ok) AS checks_passed, count(*) FILTER (NOT ok) AS checks_failed, bool_and(ok) AS overall_ok FROM c GROUP BY suite
+        UNION ALL SELECT 'nothing', 0, 0, 0, true""",
     ),
     "pa5_segment_summary": (
         lambda s, d: rounded(sg.segment_summary(table(s, d, "orders"), "o_orderpriority", "o_totalprice"), 4),

@@ -173,11 +173,51 @@ def test_best_variant_and_expected_loss(spark):
 def test_suites_find_what_is_wrong(spark):
     rows = [(1, 5.0, "a"), (2, -1.0, "b"), (2, 7.0, None), (3, None, "z")]
     df = spark.createDataFrame(rows, "k int, price double, kind string")
-    got = {r["check"]: r["ok"] for r in suites.structural(df, {"primary_key": ["k"], "required": ["price"], "domains": {"kind": ~F.col("kind").isin("a", "b")}, "rows": (1, 3)}).collect()}
-    assert got == {"primary_key": False, "completeness": False, "value_domain": False, "row_count": False}
+    got = {r["check"]: (r["ok"], r["n_bad"]) for r in suites.structural(df, {"primary_key": ["k"], "required": ["price"], "domains": {"kind": ~F.col("kind").isin("a", "b")}, "rows": (1, 3)}).collect()}
+    assert got == {"primary_key": (False, 2), "completeness": (False, 1), "value_domain": (False, 1), "row_count": (False, 1)}
     assert suites.verdict(suites.structural(df.where("k = 1"))).first().asDict() == {"checks_run": 2, "checks_passed": 2, "checks_failed": 0, "overall_ok": True}
-    rules = suites.default_rules(df)
-    assert rules == {"no_negative": ["price"], "ranges": {}} and not suites.business(df, rules).first()["ok"]
+
+
+def test_default_rules_name_columns_exactly(spark):
+    df = spark.createDataFrame([(5, -5.0, 0.5, -0.1, "x")], "quantity int, account_balance double, discount double, revenue double, users string")
+    assert suites.default_rules(df) == {"ranges": {}, "no_negative": ["revenue", "quantity"], "cardinality": {}}
+    assert {r["check"]: r["status"] for r in suites.business(df).collect()} == {"negative_revenue": "BLOCKER", "negative_quantity": "PASS"}
+
+
+def test_suites_without_rules_give_no_rows(spark):
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    for rows in (suites.business(df), suites.business(df, {}), suites.logical(df, {}), suites.logical(df, {"metric": "k"})):
+        assert rows.count() == 0 and rows.columns == ["check", "ok", "status", "n", "n_bad", "detail"]
+    assert suites.verdict(suites.logical(df, {})).first()["overall_ok"]
+
+
+def test_suites_on_empty_tables(spark):
+    df = spark.createDataFrame([], "k int, x double, day date")
+    full = {"primary_key": ["k", "day"], "required": ["x"], "dates": {"day": "day", "start": "2024-01-01"}, "domains": {"x": F.col("x") < 0}, "rows": (0, 5)}
+    assert all(r["ok"] and r["n_bad"] == 0 for r in suites.structural(df, full).collect())
+    config = {"metric": "x", "percentages": {"pct": "x", "group": "k"}, "trend": {"day": "day", "metric": "x"}, "continuity": {"day": "day", "metric": "x"}, "monotonic": {"order": "day", "value": "x"}, "balance": "k"}
+    assert all(r["ok"] for r in suites.logical(df, config, df).collect())
+    rules = {"segments": {"k": []}, "cardinality": {"k": (0, 1)}, "temporal": {"day": "day", "metric": "x"}, "metrics": {"a": F.sum("x")}, "relationships": [{"left": "a", "right": "a"}]}
+    assert all(r["ok"] for r in suites.business(df, rules).collect())
+
+
+def test_a_suite_reads_its_table_at_most_twice(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0].count("FileScan parquet")
+    one = {"required": o.columns, "domains": {f"r{i}": F.col("o_totalprice") < i for i in range(9)}, "rows": (1, None)}
+    both = one | {"primary_key": ["o_orderkey"], "dates": {"day": "o_orderdate", "max_gap": 3}}
+    assert scans(suites.structural(o, one)) == 1 and scans(suites.structural(o, both)) == 2
+    rules = {"ranges": {"o_totalprice": (0, 1)}, "segments": {"o_orderstatus": ["F"]}, "cardinality": {"o_orderpriority": (1, 2), "o_custkey": (1, 9)}, "temporal": {"day": "o_orderdate", "metric": "o_totalprice"}}
+    assert scans(suites.business(o, rules)) == 2 and suites.business(o, rules).count() == 5
+
+
+def test_series_checks_by_hand(spark):
+    values = [10.0, 10.5, 9.5, 10.0, 40.0, 0.0, 5.0, 5.1]
+    rows = [(f"2024-01-{i + 1:02}", v / 2, "x") for i, v in enumerate(values) for _ in range(2)] + [(None, 99.0, "x")]
+    df = spark.createDataFrame(rows, "d string, v double, seg string").withColumn("day", F.col("d").cast("date"))
+    got = {r["check"]: (r["n"], r["n_bad"], r["status"]) for r in suites.logical(df, {"trend": {"day": "day", "metric": "v", "window": 3, "max_z": 3.0}, "continuity": {"day": "day", "metric": "v"}}).collect()}
+    assert got == {"trend_consistency": (8, 1, "WARNING"), "trend_continuity": (8, 3, "BLOCKER")}
+    assert [(r["n_bad"], r["status"]) for r in suites.business(df, {"temporal": {"day": "day", "metric": "v", "limit": 200}}).collect()] == [(2, "FAIL")]
 
 
 def test_order_statistics_with_ties_nulls_and_empty_frames(spark):
