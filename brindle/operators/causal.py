@@ -10,12 +10,13 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import tails as tl
 
-from .ordering import cumulated, stored
+from .joins import asof
+from .ordering import cumulated, dealt, running, scanned, stored
 
 
 def did(df: DataFrame, outcome: str, treated: str, post: str, tails: bool = True) -> DataFrame:
@@ -89,36 +90,98 @@ def propensity(df: DataFrame, treated: str, covariates: Sequence[str]) -> DataFr
     return model.transform(data.withColumn(treated, F.col(treated).cast("double"))).withColumn("logit", vector_to_array("_raw")[1]).drop("_x", "_pr", "_pb", "_raw")
 
 
-def nearest(own: DataFrame, other: DataFrame) -> DataFrame:
-    """(s, o): the nearest other score within w of each own score, the lower of two; by sorted neighbours in caliper-wide buckets."""
-    near = own.select(F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), "s", "w", F.lit(None).cast("double").alias("o"))
-    rows, by = near.unionByName(other.select("b", "s", "w", F.col("s").alias("o"))), Window.partitionBy("b").orderBy("s")
-    low, high = F.last("o", True).over(by.rangeBetween(Window.unboundedPreceding, 0)), F.first("o", True).over(by.rangeBetween(0, Window.unboundedFollowing))
-    g = rows.withColumns({"low": low, "high": high}).where("o IS NULL").groupBy("s", "w").agg(F.max("low").alias("low"), F.min("high").alias("high"))
-    return g.select("s", "w", F.expr("CASE WHEN high IS NULL OR s - low <= high - s THEN low ELSE high END").alias("o")).where("abs(s - o) <= w").select("s", "o")
+def neighbours(rows: DataFrame) -> DataFrame:
+    """Rows (t, s, ...) of distinct scores with o: the nearest score of the other arm, the lower of two; null if there is none.
 
-
-def match(scored: DataFrame, treated: str, key: str, score: str = "logit", caliper: float = 0.2) -> DataFrame:
-    """(treated key, control key, distance) pairs without replacement, by rounds of mutual nearest scores until no pair is won.
-
-    Rows of two scores that are nearest to each other pair off k-th with k-th by key,
-    so equal scores take one round.
+    All scores are sorted into ranges once; scans up and down carry the last score of each arm from range to range.
+    """
+    order = ["s", "t"]  # of equal scores the control comes first: it is below the treated one, which is above it
+    parts = dealt(rows, [], order)
+    for name, backwards in (("below", False), ("above", True)):
+        other = {f"{name}_{arm}": ("last", F.when(F.col("t") == (arm == "t"), F.col("s"))) for arm in "tc"}
+        parts = scanned(parts, [], order, other, backwards)
+    low, high = (F.when(F.col("t"), F.col(f"{side}_c")).otherwise(F.col(f"{side}_t")) for side in ("below", "above"))
+    out = parts.select(*rows.columns, low.alias("low"), high.alias("high"))
+    return out.select(*rows.columns, F.expr("CASE WHEN high IS NULL OR s - low <= high - s THEN low ELSE high END").alias("o"))
+
+
+def arms(scored: DataFrame, treated: str, key: str, score: str, caliper: float) -> tuple[DataFrame, float]:
+    """(k, t, s) of the rows that have a score, stored, and the caliper in units of the score."""
+    rows = scored.where(F.col(score).isNotNull()).select(F.col(key).alias("k"), (F.col(treated) == 1).alias("t"), F.col(score).cast("double").alias("s"))
+    rows = stored(rows.where("t IS NOT NULL AND NOT isnan(s)"))
+    sd = rows.agg(F.stddev_samp("s")).first()[0]
+    return rows, caliper * sd if sd else caliper
+
+
+def match(scored: DataFrame, treated: str, key: str, score: str = "logit", caliper: float = 0.2, replacement: bool = False, nearest_of: int | None = None) -> DataFrame:
+    """(treated_key, control_key, distance) pairs within a caliper of so many standard deviations (so many units if all scores are equal).
+
+    With replacement every treated row takes its nearest control: of two as near the lower score, of equal scores the
+    smallest key. Without it, pairs are mutually nearest scores in rounds until none is left, and rows of such scores pair
+    off k-th with k-th by key. With nearest_of a treated row only takes one of its so many nearest controls, closest
+    pairs first (``match_among``). Keys must be unique; rows without a score or arm take no part.
+    """
+    rows, width = arms(scored, treated, key, score, caliper)
+    if replacement:
+        first = rows.where("NOT t").groupBy(F.col("s").alias("o")).agg(F.min("k").alias("control_key"))
+        near = neighbours(rows.select("t", "s").distinct()).where(F.col("t") & (F.abs(F.col("s") - F.col("o")) <= width))
+        won = rows.where("t").select(F.col("k").alias("treated_key"), "s").join(near.select("s", "o"), "s").join(first, "o")
+        return won.select("treated_key", "control_key", F.abs(F.col("s") - F.col("o")).alias("distance"))
+    if nearest_of is not None:
+        return match_among(candidates(rows, nearest_of, width))
+    return match_scores(rows, width)
+
+
+def match_scores(rows: DataFrame, width: float) -> DataFrame:
+    """Mutually nearest scores pair off until none is left. Rounds see distinct scores and how many rows of each are left, so
+    equal scores take one round and no row moves; rows join by their place among equals at the end."""
+    left = stored(rows.groupBy("t", "s").agg(F.count("*").alias("n")).withColumn("used", F.lit(0).cast("long")))
+    deals = None
+    while True:
+        near = stored(neighbours(left.where("n > used")).where(F.abs(F.col("s") - F.col("o")) <= width))
+        a, b = (near.where(side).select(F.col("s").alias(x), F.col("o").alias(y), (F.col("n") - F.col("used")).alias(f"n_{x}"), F.col("used").alias(f"from_{x}")) for side, x, y in (("t", "st", "sc"), ("NOT t", "sc", "st")))
+        won = stored(a.join(b, ["st", "sc"]).withColumn("m", F.least("n_st", "n_sc")).select("st", "sc", "from_st", "from_sc", "m"))
+        if won.isEmpty():
+            break
+        deals = won if deals is None else deals.unionAll(won)
+        taken = won.select(F.explode(F.array(F.struct(F.lit(True).alias("t"), F.col("st").alias("s"), "m"), F.struct(F.lit(False).alias("t"), F.col("sc").alias("s"), "m"))).alias("x")).select("x.*")
+        left = stored(left.join(taken, ["t", "s"], "left").select("t", "s", "n", (F.col("used") + F.coalesce("m", F.lit(0))).alias("used")))
+    if deals is None:
+        return rows.where("false").select(F.col("k").alias("treated_key"), F.col("k").alias("control_key"), F.col("s").alias("distance"))
+    placed = running(rows, ["t", "s"], ["k"], {"i": ("sum", F.lit(1).cast("long"))}).withColumn("i", F.col("i") - 1)
+    deal = deals.select(F.col("st").alias("s"), F.col("from_st").alias("i"), F.struct("from_st", "sc", "from_sc", "m").alias("deal"))
+    own = asof(placed.where("t").select("k", "s", "i"), deal, ["s"], "i", "deal").where(F.col("i") < F.col("deal.from_st") + F.col("deal.m"))
+    own = own.select(F.col("k").alias("treated_key"), F.col("s").alias("ts"), F.col("deal.sc").alias("s"), (F.col("i") - F.col("deal.from_st") + F.col("deal.from_sc")).alias("i"))
+    return own.join(placed.where("NOT t").select("s", "i", F.col("k").alias("control_key")), ["s", "i"]).select("treated_key", "control_key", F.abs(F.col("ts") - F.col("s")).alias("distance"))
+
+
+def candidates(rows: DataFrame, k: int, width: float) -> DataFrame:
+    """(treated_key, control_key, distance): the k nearest controls of each treated row within the width, ties by key.
+
+    They are among the k controls before and the k after it in the order of (score, key), which their ranks name: every
+    treated row asks for 2 k ranks and meets each in one row.
     """
-    width = scored.agg(F.stddev_samp(score).alias("w")).select((caliper * F.col("w")).alias("w"))
-    rows = scored.where(F.col(score).isNotNull()).crossJoin(F.broadcast(width))  # one row
-    rows = stored(rows.select(F.col(key).alias("k"), (F.col(treated) == 1).alias("t"), F.col(score).cast("double").alias("s"), "w", F.coalesce(F.floor(F.try_divide(F.col(score), F.col("w"))), F.lit(0)).alias("b")))
-    pairs = None
+    order = ["s", "t", "k"]
+    ranked = stored(running(rows, [], order, {"r": ("sum", (~F.col("t")).cast("long"))}), "ranked")
+    near = F.explode(F.sequence(F.col("r") - k + 1, F.col("r") + k)).alias("r")
+    asked = ranked.where("t").select(F.col("k").alias("treated_key"), F.col("s").alias("ts"), near)
+    met = asked.join(ranked.where("NOT t").select("r", F.col("k").alias("control_key"), "s"), "r")
+    met = met.withColumn("distance", F.abs(F.col("ts") - F.col("s"))).where(F.col("distance") <= width)
+    best = met.groupBy("treated_key").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "control_key"))), 1, k).alias("best"))  # of 2 k at most
+    return best.select("treated_key", F.explode("best").alias("x")).select("treated_key", "x.control_key", "x.distance")
+
+
+def match_among(edges: DataFrame) -> DataFrame:
+    """Greedy matching of candidate pairs, closest first (ties by keys): in rounds, a pair is won when it is the least of both."""
+    left, pairs = stored(edges, "edges"), edges.where("false")
+    rank = F.struct("distance", "treated_key", "control_key")
     while True:
-        scores = [rows.where(side).select("s", "w", "b").distinct() for side in ("t", "NOT t")]
-        mutual = nearest(*scores).join(nearest(*scores[::-1]).select(F.col("s").alias("o"), F.col("o").alias("s")), ["s", "o"])
-        ranked = rows.withColumn("i", F.row_number().over(Window.partitionBy("t", "s").orderBy("k")))
-        won = mutual.join(ranked.where("t").select("s", "i", F.col("k").alias("treated_key")), "s")
-        won = won.join(ranked.where("NOT t").select(F.col("s").alias("o"), "i", F.col("k").alias("control_key")), ["o", "i"])
-        won = stored(won.select("treated_key", "control_key", F.abs(F.col("s") - F.col("o")).alias("distance")))
-        pairs = won if pairs is None else pairs.unionAll(won)
+        best = [left.groupBy(side).agg(F.min(rank).alias("x")).select("x.*") for side in ("treated_key", "control_key")]
+        won = stored(best[0].join(best[1].select("treated_key", "control_key"), ["treated_key", "control_key"]).select(*edges.columns))
         if won.isEmpty():
             return pairs
-        rows = stored(rows.join(won.select(F.explode(F.array("treated_key", "control_key")).alias("k")), "k", "left_anti").select(*rows.columns))
+        pairs = pairs.unionAll(won)
+        left = stored(left.join(won.select("treated_key"), "treated_key", "left_anti").join(won.select("control_key"), "control_key", "left_anti").select(*edges.columns), "edges")
 
 
 def att(pairs: DataFrame, outcomes: DataFrame, key: str, outcome: str, tails: bool = True) -> DataFrame:

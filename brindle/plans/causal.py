@@ -38,6 +38,13 @@ QUERIES = {
     "cau3_event_study": (lambda s, d: rounded(ca.event_study(panel(s, d), "y", "t", F.col("week"), -1, tails=False), 5), f"WITH c AS (SELECT week AS period, avg(y) FILTER (t = 1) - avg(y) FILTER (t = 0) AS gap, var_pop(y) FILTER (t = 1) / count(*) FILTER (t = 1) + var_pop(y) FILTER (t = 0) / count(*) FILTER (t = 0) AS v FROM {PAN} GROUP BY 1) SELECT a.period, round(a.gap - b.gap, 5) AS effect, round(sqrt(a.v + b.v), 5) AS se, round((a.gap - b.gap) / sqrt(a.v + b.v), 5) AS z FROM c a, c b WHERE b.period = -1 AND a.period <> -1"),
     "cau5_propensity_match": (lambda s, d: matched(s, d), None),
     "cau5_att": (lambda s, d: ca.att(matched(s, d), users(s, d), "user_id", "outcome"), None),
+    "cau5_match_among_ten": (lambda s, d: ca.match(scored(s, d), "t", "user_id", nearest_of=10), None),
+    "cau5_match_with_replacement": (
+        lambda s, d: rounded(ca.match(users(s, d).withColumn("score", F.round("pre", 2)), "t", "user_id", "score", replacement=True), 4),
+        f"""WITH u AS (SELECT user_id, t, round(pre, 2) AS s FROM {USR}), w AS (SELECT 0.2::DOUBLE * stddev_samp(s) AS w FROM u),
+        p AS (SELECT a.user_id AS treated_key, b.user_id AS control_key, abs(a.s - b.s) AS distance, row_number() OVER (PARTITION BY a.user_id ORDER BY round(abs(a.s - b.s), 6), b.s, b.user_id) AS k FROM u a, u b, w WHERE a.t = 1 AND b.t = 0 AND abs(a.s - b.s) <= w)
+        SELECT treated_key, control_key, round(distance, 4) AS distance FROM p WHERE k = 1""",
+    ),
     "cau6_common_support": (lambda s, d: rounded(ca.support(users(s, d), "pre", "t"), 4), f"WITH s AS (SELECT greatest(min(pre) FILTER (t = 1), min(pre) FILTER (t = 0)) AS low, least(max(pre) FILTER (t = 1), max(pre) FILTER (t = 0)) AS high FROM {USR}), r AS (SELECT low, high, count(*) AS n, count(*) FILTER (pre < low - 1e-9 * greatest(1, abs(low)) OR pre > high + 1e-9 * greatest(1, abs(high))) AS k FROM {USR}, s GROUP BY 1, 2) SELECT round(low, 4) AS low, round(high, 4) AS high, n, k AS n_outside, CASE WHEN k / n <= 0.05 THEN 'PASS' WHEN k / n <= 0.2 THEN 'WARNING' ELSE 'FAIL' END AS status FROM r"),
     "cau7_balance": (lambda s, d: rounded(ca.balance(users(s, d), ["pre", "n"], "t")), " UNION ALL ".join(f"SELECT '{c}' AS covariate, round(abs((avg({c}) FILTER (t = 1) - avg({c}) FILTER (t = 0)) / sqrt((var_samp({c}) FILTER (t = 1) + var_samp({c}) FILTER (t = 0)) / 2)), 6) AS smd, round(var_samp({c}) FILTER (t = 1) / var_samp({c}) FILTER (t = 0), 6) AS variance_ratio, abs((avg({c}) FILTER (t = 1) - avg({c}) FILTER (t = 0)) / sqrt((var_samp({c}) FILTER (t = 1) + var_samp({c}) FILTER (t = 0)) / 2)) < 0.1 AS balanced FROM {USR}" for c in ("pre", "n"))),
     "cau7_balance_change": (lambda s, d: ca.balance_change(ca.balance(users(s, d), ["pre", "n"], "t"), ca.balance(users(s, d).where("n > 10"), ["pre", "n"], "t")).select("covariate", "change"), None),

@@ -9,7 +9,7 @@ import statistics as plain
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import joins, logs
+from brindle.operators import causal, joins, logs
 from brindle.operators import statistics as st
 from brindle.operators.ordering import dealt, running, scanned
 
@@ -105,3 +105,69 @@ def test_scans_in_both_directions(spark, backwards):
         own = state.setdefault(k, [])
         own += [] if x is None else [x]
         assert got[i] == ((sum(own), max(own), min(own), own[-1]) if own else (None,) * 4)
+
+
+def sample_arms(spark, seed, n=160, values=None):
+    rng = random.Random(seed)
+    rows = [(i, int(rng.random() < 0.4), rng.choice(values) if values else rng.gauss(0, 1)) for i in range(n)] + [(1000, 1, None), (1001, 0, math.nan), (1002, None, 0.1)]
+    return spark.createDataFrame(rows, "k int, t int, s double").repartition(5), [r for r in rows if r[1] is not None and r[2] is not None and not math.isnan(r[2])]
+
+
+def width_of(rows):
+    return 0.2 * (plain.stdev([s for _, _, s in rows]) or 5.0)
+
+
+@pytest.mark.parametrize("values", [None, [0.0, 1.0, 1.1, 1.2, 5.0], [2.0]])
+def test_matching_with_replacement(spark, values):
+    df, rows = sample_arms(spark, 1, values=values)
+    w = width_of(rows) if values != [2.0] else 0.2
+    want = []
+    for k, t, s in rows:
+        near = [(abs(s - u), u, c) for c, v, u in rows if t and not v and abs(s - u) <= w]
+        if near:
+            want.append((k, min(near)[2], min(near)[0]))
+    assert sorted(tuple(r) for r in causal.match(df, "t", "k", "s", replacement=True).collect()) == want
+
+
+@pytest.mark.parametrize("values", [None, [0.0, 1.0, 1.1, 1.2, 5.0]])
+def test_matching_without_replacement_takes_mutually_nearest_scores(spark, values):
+    df, rows = sample_arms(spark, 2, values=values)
+    w, left, want = width_of(rows), [list(r) for r in rows], []
+    while True:
+        arm = {v: {s: sorted(k for k, t, u in left if t == v and u == s) for _, t, s in left if t == v} for v in (0, 1)}
+        near = lambda s, others: min(((abs(s - u), u) for u in others), default=(math.inf, 0))
+        won = [(s, o) for s in arm[1] for d, o in [near(s, arm[0])] if d <= w and near(o, arm[1])[1] == s]
+        if not won:
+            break
+        for s, o in won:
+            want += [(a, b, abs(s - o)) for a, b in zip(arm[1][s], arm[0][o], strict=False)]
+        gone = {k for p in want for k in p[:2]}
+        left = [r for r in left if r[0] not in gone]
+    assert sorted(tuple(r) for r in causal.match(df, "t", "k", "s").collect()) == sorted(want)
+
+
+def test_matching_among_the_nearest(spark):
+    df, rows = sample_arms(spark, 3)
+    w, edges = width_of(rows), []
+    controls = sorted((s, k) for k, t, s in rows if not t)
+    for k, t, s in rows:
+        if t:
+            at = sum(u <= s for u, _ in controls)
+            near = sorted((abs(s - u), c) for u, c in controls[max(0, at - 3) : at + 3] if abs(s - u) <= w)[:3]
+            edges += [(d, k, c) for d, c in near]
+    used, want = set(), []
+    for d, a, b in sorted(edges):
+        if a not in used and b - 10_000 not in used:
+            used |= {a, b - 10_000}
+            want.append((a, b, d))
+    got = sorted(tuple(r) for r in causal.match(df, "t", "k", "s", nearest_of=3).collect())
+    assert got == sorted(want) and len({r[1] for r in got}) == len(got)
+
+
+def test_matching_of_a_hot_score_and_of_nothing(spark):
+    """Ten thousand rows of one score pair off in one round."""
+    df = spark.range(10_000).select(F.col("id").alias("k"), (F.col("id") % 4 == 0).cast("int").alias("t"), F.lit(1.0).alias("s"))
+    got = causal.match(df, "t", "k", "s")
+    assert got.agg(F.count("*"), F.count_distinct("control_key"), F.max("distance")).first() == (2500, 2500, 0.0)
+    for how in ({}, {"replacement": True}, {"nearest_of": 2}):
+        assert causal.match(df.where("t = 1"), "t", "k", "s", **how).isEmpty() and causal.match(df.limit(0), "t", "k", "s", **how).isEmpty()
