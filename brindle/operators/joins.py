@@ -21,9 +21,10 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, take: st
     Of right rows at the same time the greatest ``take`` counts. Null keys equal each other; left rows without a time and
     right rows without a time or ``take`` meet nothing.
     """
-    own = left.select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("row"), *by, F.col(at).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(right.schema[take].dataType).alias("hit"), F.monotonically_increasing_id().alias("tie"))
-    seen = right.where(F.col(at).isNotNull() & F.col(take).isNotNull()).select(F.lit(None).cast(own.schema["row"].dataType).alias("row"), *by, F.col(at).alias("at"), F.lit(0).alias("side"), F.col(take).alias("hit"), F.lit(0).cast("long").alias("tie"))
-    order = ["at", "side", "hit", "tie"]
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]  # no clash with columns of the caller
+    own = left.select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("row"), *keys, F.col(at).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(right.schema[take].dataType).alias("hit"), F.monotonically_increasing_id().alias("tie"))
+    seen = right.where(F.col(at).isNotNull() & F.col(take).isNotNull()).select(F.lit(None).cast(own.schema["row"].dataType).alias("row"), *keys, F.col(at).alias("at"), F.lit(0).alias("side"), F.col(take).alias("hit"), F.lit(0).cast("long").alias("tie"))
+    by, order = [f"_k{i}" for i in range(len(by))], ["at", "side", "hit", "tie"]
     rows = scanned(dealt(own.unionByName(seen), by, order), by, order, {"found": ("last", F.col("hit"))})
     rows = rows.where("side = 1").select("row", F.when(F.col("at").isNotNull(), F.col("found")).alias(take))
     return rows.select("row.*", take)
@@ -51,13 +52,15 @@ def least_within(left: DataFrame, right: DataFrame, key: str, by: Sequence[str],
         raise ValueError("relative must lie between 0 and 0.5")
     width = math.log1p(relative)
     v = F.when(F.abs(F.col(value).cast("double")) < TINY, 0.0).otherwise(F.col(value).cast("double"))
+    named = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]  # no clash with columns of the caller
     known = lambda df: df.dropna(subset=list(by)).where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf)))
     sign, size = F.signum(v).cast("int").alias("sign"), F.abs(v).alias("x")
     cell = F.when(F.col("sign") == 0, 0).otherwise(cells(F.col("x"), width)).cast("long")
-    seen = known(right).where(F.col(take).isNotNull()).groupBy(*by, sign, size).agg(F.min(take).alias("hit")).withColumn("cell", cell)
-    asked = known(left).select(F.col(key).alias("key"), *by, sign, size).withColumn("t", relative * F.col("x"))
+    seen = known(right).where(F.col(take).isNotNull()).groupBy(*named, sign, size).agg(F.min(take).alias("hit")).withColumn("cell", cell)
+    asked = known(left).select(F.col(key).alias("key"), *named, sign, size).withColumn("t", relative * F.col("x"))
     asked = asked.withColumns({"low": F.col("x") - F.col("t"), "high": F.col("x") + F.col("t")})
     asked = asked.withColumns({"from": F.when(F.col("sign") == 0, 0).otherwise(cells(F.col("low"), width)).cast("long"), "to": F.when(F.col("sign") == 0, 0).otherwise(cells(F.col("high"), width)).cast("long")})
+    by = [f"_k{i}" for i in range(len(by))]
     group = [*by, "sign", "cell"]
     inner = F.when(F.col("sign") == 0, F.array(F.lit(0).cast("long"))).when(F.col("to") - F.col("from") > 1, F.sequence(F.col("from") + 1, F.col("to") - 1))
     whole = asked.select("key", *by, "sign", F.explode(inner).alias("cell")).join(seen.groupBy(*group).agg(F.min("hit").alias("hit")), group).select("key", "hit")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import tails as tl
 
-from .ordering import one_row, quantiles
+from .ordering import dealt, one_row, quantiles, scanned
 from .profiling import spine
 
 
@@ -289,6 +289,32 @@ def excess(series: DataFrame, order: str, value: str, split: str) -> DataFrame:
     return rows.select(order, value, "expected", (F.col(value) - F.col("expected")).alias("excess"), F.try_divide(F.col(value) - F.col("expected"), F.col("sd")).alias("z"))
 
 
+def anomaly_period(series: DataFrame, day: str, value: str, by: Sequence[str] = (), drift: float = 0.5) -> DataFrame:
+    """(by, direction, first_day, last_day, n_days, score, actual, expected, excess, excess_pct) of the most anomalous run of days.
+
+    A day scores how many standard deviations it lies above its segment's mean less ``drift`` (for drops: below it), so a run
+    grows while days stay off on one side, and the run with the greatest sum is the anomaly; of equal sums the one that
+    ends first, begun earliest. The sum of a run is that of all days up to its end less the least before it: two running
+    states over days sorted once, however many the segments are. Days without a value are left out; a segment whose
+    days are all equal, or none of which is off by more than drift, has no row.
+    """
+    names, by = dict(zip(own := [f"_k{i}" for i in range(len(by))], by, strict=True)), own  # no clash with columns of the caller
+    rows = series.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for k, c in names.items()], F.col(day).alias("day"), F.col(value).cast("double").alias("v"))
+    base = rows.groupBy(*by).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd")).where("sd > 0")
+    keys = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]
+    z = rows.alias("r").join(base.alias("b"), reduce(lambda p, q: p & q, keys, F.lit(True))).select(*[f"r.{k}" for k in by], "day", "v", "mean", ((F.col("v") - F.col("mean")) / F.col("sd")).alias("z"))
+    z = z.withColumn("direction", F.explode(F.array(F.lit("above"), F.lit("below"))))
+    z = z.withColumn("score", F.when(F.col("direction") == "above", F.col("z")).otherwise(-F.col("z")) - drift).drop("z")
+    line = [*by, "direction"]
+    parts = scanned(dealt(z, line, ["day"]), line, ["day"], {"s": ("sum", F.col("score")), "sv": ("sum", F.col("v")), "n": ("sum", F.lit(1).cast("long"))})
+    start = F.struct(F.round(F.col("s") - F.col("score"), 6).alias("s"), F.col("day").alias("day"), (F.col("sv") - F.col("v")).alias("sv"), (F.col("n") - 1).alias("n"))
+    runs = scanned(parts, line, ["day"], {"begin": ("min", start)})
+    runs = runs.select(*by, "direction", F.col("begin.day").alias("first_day"), F.col("day").alias("last_day"), (F.col("n") - F.col("begin.n")).alias("n_days"), F.round(F.col("s") - F.col("begin.s"), 6).alias("score"), (F.col("sv") - F.col("begin.sv")).alias("actual"), "mean")
+    best = runs.groupBy(*by).agg(F.max_by(F.struct(*[c for c in runs.columns if c not in by]), F.struct("score", -F.unix_date(F.col("last_day").cast("date")), F.when(F.col("direction") == "above", 1).otherwise(0))).alias("x"))
+    out = best.select(*[F.col(k).alias(c) for k, c in names.items()], "x.*").where("score > 0").withColumn("expected", F.col("mean") * F.col("n_days")).drop("mean")
+    return out.withColumn("excess", F.col("actual") - F.col("expected")).withColumn("excess_pct", 100 * F.try_divide(F.col("excess"), F.abs("expected")))
+
+
 def opportunity(df: DataFrame, affected: Column, value: str, improvement: float, factors: Sequence[float] = (0.5, 0.75, 1.0, 1.25, 1.5)) -> DataFrame:
     """Affected rows x improvement x mean value over a grid of factors."""
     base = df.agg(F.count_if(affected).alias("n"), F.avg(F.when(affected, F.col(value))).alias("unit"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table_summary(df: DataFrame, number: str, day: str) -> DataFrame:
@@ -69,36 +72,65 @@ def value_sets(df: DataFrame, column: str, expected: Sequence) -> DataFrame:
 
 
 def foreign_keys(tables: dict[str, DataFrame], least: float = 0.3) -> DataFrame:
-    """Candidate keys by name rules, weighed with the exact overlap of their distinct values."""
-    out = None
-    for a, left in tables.items():
-        for b, right in tables.items():
-            if a == b:
-                continue
-            for x in left.columns:
-                for y in right.columns:
-                    name = name_score(x, y, b)
-                    if not name or left.schema[x].dataType != right.schema[y].dataType:
-                        continue
-                    u, v = left.select(F.col(x).alias("k")).dropna().distinct(), right.select(F.col(y).alias("k")).dropna().distinct()
-                    both = u.join(v.withColumn("hit", F.lit(1)), "k", "left").agg(F.count("*").alias("n_from"), F.count("hit").alias("n_shared"))
-                    both = both.join(v.agg(F.count("*").alias("n_to")))  # one row each
-                    row = both.select(F.lit(a).alias("from_table"), F.lit(x).alias("from_column"), F.lit(b).alias("to_table"), F.lit(y).alias("to_column"), ((name + F.try_divide("n_shared", "n_from")) / 2 + 0.1).alias("confidence"), (F.col("n_from") > 0.9 * F.col("n_to")).alias("one_to_one"))
-                    out = row if out is None else out.unionAll(row)
-    return out.where(F.col("confidence") >= least)
+    """Candidate keys of a whole source by name rules, weighed with the exact overlap of their distinct values.
+
+    One inverted index serves all pairs: each value of each column that some rule names goes, with the columns that hold it,
+    into one group; equal sets of columns are counted, and overlaps and distinct counts are sums over those few sets. So
+    every named column is read once and shuffled once as distinct values, whatever the number of pairs. Columns of
+    different type families never pair; of two directions of a pair the first stands. Without candidates: no rows.
+    """
+    kinds = {(t, f.name): "n" if isinstance(f.dataType, T.IntegralType) else f.dataType.simpleString() for t, df in tables.items() for f in df.schema}
+    pairs: dict[tuple, float] = {}
+    for one, other in itertools.permutations(tables, 2):
+        for x, y in itertools.product(tables[one].columns, tables[other].columns):
+            name = name_score(x, y, other) if kinds[one, x] == kinds[other, y] else 0.0
+            if name and (other, y, one, x) not in pairs:
+                pairs[one, x, other, y] = name
+    spark = next(iter(tables.values())).sparkSession
+    schema = "from_table string, from_column string, to_table string, to_column string, confidence double, method string, one_to_one boolean"
+    if not pairs:
+        return spark.createDataFrame([], schema)
+    sides = sorted({p[:2] for p in pairs} | {p[2:] for p in pairs})
+    number = {side: i for i, side in enumerate(sides)}
+    cells = []
+    for t, group in itertools.groupby(sides, lambda side: side[0]):
+        columns = [F.struct(F.lit(kinds[t, c]).alias("kind"), F.col(f"`{c}`").cast("string").alias("v"), F.lit(number[t, c]).alias("c")) for _, c in group]
+        cells.append(tables[t].select(F.explode(F.array(*columns)).alias("x")).select("x.*").where("v IS NOT NULL"))
+    index = reduce(lambda a, b: a.unionAll(b), cells).groupBy("kind", "v").agg(F.sort_array(F.collect_set("c")).alias("held"))  # at most all columns
+    sets = index.groupBy("held").agg(F.count("*").alias("n"))
+    rules = spark.createDataFrame([(*p, number[p[:2]], number[p[2:]], name) for p, name in pairs.items()], "from_table string, from_column string, to_table string, to_column string, a int, b int, name double")
+    held = lambda c: F.coalesce(F.array_contains("held", F.col(c)), F.lit(False))
+    both = F.broadcast(rules).join(sets, held("a") | held("b"), "left")  # a row a rule, against the few sets
+    count = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    sums = both.groupBy(*rules.columns).agg(count(held("a")).alias("n_from"), count(held("b")).alias("n_to"), count(held("a") & held("b")).alias("n_shared"))
+    overlap = F.coalesce(F.try_divide("n_shared", "n_from"), F.lit(0.0))
+    out = sums.withColumns({"confidence": F.when(overlap > 0, F.least(F.lit(1.0), (F.col("name") + overlap) / 2 + 0.1)).otherwise(F.col("name")), "method": F.when(overlap > 0, "both").otherwise("name_match")})
+    one_to_one = (F.col("n_from") > 0) & (F.col("n_to") > 0) & (F.col("n_from") > 0.9 * F.col("n_to"))
+    return out.select("from_table", "from_column", "to_table", "to_column", "confidence", "method", one_to_one.alias("one_to_one")).where(F.col("confidence") >= least)
 
 
 def name_score(column: str, key: str, table: str) -> float:
-    """How well a column's name points at a table's key: bare names are compared after their table prefix."""
-    x, y = column.split("_", 1)[-1], key.split("_", 1)[-1]
-    if not y.endswith(("id", "key")):
-        return 0.0
-    stem = x.removesuffix("key").removesuffix("id").removesuffix("_")
-    if not stem:
-        return 0.0
-    if stem in (table, f"{table}s") or x == y and table.startswith(stem[:4]):
-        return 0.8
-    return 0.5 if table.startswith(stem) and len(stem) >= 3 else 0.0
+    """How well a column's name points at a table's key.
+
+    ``x_id`` points at the key (``id``, or a column of that very name) of the table x or xs (0.8) or of one whose name
+    holds x (0.5), and a column with the name of a table at its id (0.4). Columns with a letter before an underscore and
+    the same rest (``o_custkey``, ``c_custkey``) are compared by that rest, whose stem must begin the table's name (0.8).
+    """
+    column, key, table = column.lower(), key.lower(), table.lower()
+    if column.endswith("_id") and key in ("id", column):
+        prefix = column.removesuffix("_id")
+        if table in (prefix, f"{prefix}s"):
+            return 0.8
+        if prefix in table:
+            return 0.5
+    x, y = (n.split("_", 1) for n in (column, key))
+    if len(x) == len(y) == 2 and len(x[0]) <= 2 and x[1] == y[1] and x[1].endswith(("id", "key")):
+        stem = x[1].removesuffix("key").removesuffix("id").removesuffix("_")
+        if len(stem) >= 3 and table.startswith(stem[:4]) and table.startswith(y[0]):
+            return 0.8
+    if column in (table, table.rstrip("s")) or f"{column}s" == table:
+        return 0.4 if key in ("id", f"{column}_id", f"{table}_id") else 0.0
+    return 0.0
 
 
 def plain_words(text: str) -> Column:

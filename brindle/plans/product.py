@@ -87,6 +87,16 @@ QUERIES = {
     "pa26_contributions": (lambda s, d: rounded(pa.contributions(two_years(s, d), ["o_orderstatus", "o_orderpriority"], "o_totalprice", year_is(2000)), 2), f"WITH {SHARES} SELECT dim, value, round(now, 2) AS now, round(before, 2) AS before, round(excess, 2) AS excess, round(share, 2) AS share FROM sh"),
     "pa26_explained": (lambda s, d: rounded(pa.explained(pa.contributions(two_years(s, d), ["o_orderstatus", "o_orderpriority"], "o_totalprice", year_is(2000))), 5), f"WITH {SHARES}, k AS (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY share DESC, value) AS k FROM sh) SELECT dim, max(CASE WHEN k = 1 THEN value END) AS top_value, round(max(CASE WHEN k = 1 THEN share END), 5) AS top1, round(sum(share), 5) AS top2, CASE WHEN max(CASE WHEN k = 1 THEN share END) > 0.5 THEN 'HIGH' WHEN sum(share) > 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS power FROM k WHERE k <= 2 GROUP BY 1"),
     "pa26_root_cause_path": (lambda s, d: pa.root_cause(two_years(s, d), ["o_orderstatus", "o_orderpriority"], "o_totalprice", year_is(2000)), None),
+    "pa27_anomaly_period": (
+        lambda s, d: rounded(pa.anomaly_period(E(s, d).groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("v")), "day", "v", ["event_type"]), 4),
+        """WITH d AS (SELECT event_type, ts::DATE AS day, sum(value) AS v FROM events GROUP BY 1, 2), b AS (SELECT event_type, avg(v) AS m, stddev_samp(v) AS sd FROM d GROUP BY 1 HAVING stddev_samp(v) > 0),
+        z AS (SELECT event_type, day, v, m, direction, CASE direction WHEN 'above' THEN (v - m) / sd ELSE (m - v) / sd END - 0.5::DOUBLE AS score FROM d JOIN b USING (event_type), (SELECT unnest(['above', 'below']) AS direction)),
+        s AS (SELECT *, sum(score) OVER w AS s, sum(v) OVER w AS sv, row_number() OVER w AS n FROM z WINDOW w AS (PARTITION BY event_type, direction ORDER BY day ROWS UNBOUNDED PRECEDING)),
+        r AS (SELECT j.event_type, j.direction, i.day AS first_day, j.day AS last_day, j.n - i.n + 1 AS n_days, round(j.s - round(i.s - i.score, 6), 6) AS score, j.sv - i.sv + i.v AS actual, j.m * (j.n - i.n + 1) AS expected
+            FROM s i JOIN s j ON i.event_type = j.event_type AND i.direction = j.direction AND i.day <= j.day),
+        k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY score DESC, last_day, direction, first_day) AS k FROM r WHERE score > 0)
+        SELECT event_type, direction, first_day, last_day, n_days, round(score, 4) AS score, round(actual, 4) AS actual, round(expected, 4) AS expected, round(actual - expected, 4) AS excess, round(100 * (actual - expected) / abs(expected), 4) AS excess_pct FROM k WHERE k = 1""",
+    ),
     "pa27_excess": (lambda s, d: rounded(pa.excess(daily(s, d), "day", "v", "2024-01-20"), 5), f"WITH b AS (SELECT avg(v) AS m, stddev_samp(v) AS sd FROM {DV} WHERE day < DATE '2024-01-20') SELECT day, round(v, 5) AS v, round(m, 5) AS expected, round(v - m, 5) AS excess, round((v - m) / sd, 5) AS z FROM {DV}, b WHERE day >= DATE '2024-01-20'"),
     "pa28_opportunity": (lambda s, d: rounded(pa.opportunity(O(s, d), F.col("o_orderstatus") == "O", "o_totalprice", 0.1), 2), "SELECT n, round(u, 2) AS unit, f AS factor, round(n * 0.1::DOUBLE * u * f, 2) AS size FROM (SELECT count(*) FILTER (o_orderstatus = 'O') AS n, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS u FROM orders), (SELECT unnest([0.5, 0.75, 1.0, 1.25, 1.5]::DOUBLE[]) AS f)"),
     "pa29_mix_rate": (lambda s, d: rounded(pa.mix_rate(two_years(s, d), "o_orderpriority", F.col("o_orderstatus") == "F", year_is(2000)), 8), "WITH g AS (SELECT o_orderpriority, count(*) FILTER (year(o_orderdate) = 1999) AS n0, count(*) FILTER (year(o_orderdate) = 2000) AS n1, count(*) FILTER (o_orderstatus = 'F' AND year(o_orderdate) = 1999) AS h0, count(*) FILTER (o_orderstatus = 'F' AND year(o_orderdate) = 2000) AS h1 FROM orders GROUP BY 1), s AS (SELECT *, n0 / sum(n0) OVER () AS s0, n1 / sum(n1) OVER () AS s1, coalesce(h0 / nullif(n0, 0), 0) AS r0, coalesce(h1 / nullif(n1, 0), 0) AS r1 FROM g) SELECT o_orderpriority, round(s0 * (r1 - r0), 8) AS rate_effect, round((s1 - s0) * r0, 8) AS mix_effect, round((s1 - s0) * (r1 - r0), 8) AS interaction FROM s"),

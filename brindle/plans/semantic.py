@@ -133,6 +133,20 @@ def tagged(s, d):
 LIFE = "(SELECT user_id, CASE WHEN event_type = 'signup' THEN 'start' ELSE 'end' END AS role, ts FROM events WHERE event_type IN ('signup', 'error'))"
 SPANS = f"(SELECT * FROM (SELECT user_id, min(CASE WHEN role = 'start' THEN ts END) AS a, min(CASE WHEN role = 'end' THEN ts END) AS b FROM {LIFE} GROUP BY 1) WHERE a IS NOT NULL)"
 
+SOURCE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+#: the pairs that the name rules give for the test tables
+KEYS = [
+    ("nation", "n_regionkey", "region", "r_regionkey", 0.8),
+    ("customer", "c_nationkey", "nation", "n_nationkey", 0.8),
+    ("supplier", "s_nationkey", "nation", "n_nationkey", 0.8),
+    ("orders", "o_custkey", "customer", "c_custkey", 0.8),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey", 0.8),
+    ("lineitem", "l_partkey", "part", "p_partkey", 0.8),
+    ("lineitem", "l_orderkey", "orders", "o_orderkey", 0.8),
+    ("labels", "doc_id", "documents", "doc_id", 0.5),
+]
+
 QUERIES = {
     "agg1_declared_metric": (lambda s, d: ORDER_VALUE.compile(table(s, d, "orders"), ["status", "year"], ["large"]), "SELECT o_orderstatus AS status, year(o_orderdate)::INT AS year, round(sum(o_totalprice), 2) AS value FROM orders WHERE o_totalprice > 100000 GROUP BY ALL"),
     "agg2_ratio_metric": (lambda s, d: URGENT_RATE.compile(table(s, d, "orders"), ["year"]), "SELECT year(o_orderdate)::INT AS year, count(*) FILTER (o_orderpriority = '1-URGENT') / nullif(count(*), 0) AS value FROM orders GROUP BY 1"),
@@ -167,7 +181,15 @@ QUERIES = {
     "joi6_first_return": (retention, "WITH f AS (SELECT o_custkey, min(o_orderdate)::DATE AS f, max((o_orderdate::DATE >= DATE '1995-07-01' AND o_orderdate::DATE < DATE '1996-01-01')::INT) AS b FROM orders GROUP BY 1) SELECT count(*) AS eligible, coalesce(sum(b), 0)::BIGINT AS returning, 100.0::DOUBLE * sum(b) / nullif(count(*), 0) AS pct FROM f WHERE f >= DATE '1995-01-01' AND f < DATE '1995-07-01'"),
     "joi8_cardinality": (lambda s, d: sets.cardinality(table(s, d, "orders"), table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))), "SELECT (SELECT count(*) FROM orders) AS n_before, count(*) AS n_after, count(*) / (SELECT count(*) FROM orders) AS ratio, CASE WHEN count(*) / (SELECT count(*) FROM orders) > 2 THEN 'FAIL' ELSE 'PASS' END AS status FROM orders JOIN lineitem ON o_orderkey = l_orderkey"),
     "joi9_detail_summary": (lambda s, d: sets.detail_against_summary(table(s, d, "orders").withColumn("v", F.round("o_totalprice", 2)), table(s, d, "orders").groupBy("o_orderpriority").agg((F.sum("o_totalprice") * F.when(F.col("o_orderpriority") == "1-URGENT", 1.1).otherwise(1.0)).alias("v")), "o_orderpriority", "v").select("o_orderpriority", F.round("detail", 1).alias("detail"), F.round("summary", 1).alias("summary"), "status"), "SELECT o_orderpriority, round(sum(round(o_totalprice, 2)), 1) AS detail, round(sum(o_totalprice) * CASE WHEN o_orderpriority = '1-URGENT' THEN 1.1::DOUBLE ELSE 1.0 END, 1) AS summary, CASE WHEN o_orderpriority = '1-URGENT' THEN 'differs' ELSE 'equal' END AS status FROM orders GROUP BY 1"),
-    "joi11_foreign_keys": (lambda s, d: sets.foreign_keys({t: table(s, d, t) for t in ("nation", "customer", "orders")}).withColumn("confidence", F.round("confidence", 6)), None),
+    "joi11_foreign_keys": (
+        lambda s, d: sets.foreign_keys({t: table(s, d, t) for t in SOURCE}).withColumn("confidence", F.round("confidence", 6)),
+        " UNION ALL ".join(
+            f"""SELECT '{a}' AS from_table, '{x}' AS from_column, '{b}' AS to_table, '{y}' AS to_column, round(CASE WHEN shared > 0 THEN least(1.0, ({name}::DOUBLE + shared / f) / 2 + 0.1) ELSE {name}::DOUBLE END, 6) AS confidence,
+            CASE WHEN shared > 0 THEN 'both' ELSE 'name_match' END AS method, f > 0 AND t > 0 AND f > 0.9 * t AS one_to_one
+            FROM (SELECT (SELECT count(DISTINCT {x}) FROM {a}) AS f, (SELECT count(DISTINCT {y}) FROM {b}) AS t, (SELECT count(DISTINCT {x}) FROM {a} WHERE {x} IN (SELECT {y} FROM {b})) AS shared)"""
+            for a, x, b, y, name in KEYS
+        ),
+    ),
     "joi12_calendar_join": (lambda s, d: table(s, d, "orders").groupBy(F.dayofweek("o_orderdate").isin(1, 7).alias("weekend")).agg(F.count("*").alias("n")), "SELECT dayofweek(o_orderdate) IN (0, 6) AS weekend, count(*) AS n FROM orders GROUP BY 1"),
     "joi13_alias_tags": (tagged, None),
     "fn1_fn2_fn6_fn9_dates": (dates, "SELECT o_orderkey, date_trunc('month', o_orderdate)::DATE AS month, round((epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1995-01-01')) / (1e6 * 604800), 6) AS weeks, dayname(o_orderdate) AS weekday, month(o_orderdate)::INT AS month_no, o_orderdate::DATE AS day FROM orders"),

@@ -9,7 +9,7 @@ import statistics as plain
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import causal, joins, logs
+from brindle.operators import causal, joins, logs, product, sets
 from brindle.operators import statistics as st
 from brindle.operators.ordering import dealt, running, scanned
 
@@ -171,3 +171,39 @@ def test_matching_of_a_hot_score_and_of_nothing(spark):
     assert got.agg(F.count("*"), F.count_distinct("control_key"), F.max("distance")).first() == (2500, 2500, 0.0)
     for how in ({}, {"replacement": True}, {"nearest_of": 2}):
         assert causal.match(df.where("t = 1"), "t", "k", "s", **how).isEmpty() and causal.match(df.limit(0), "t", "k", "s", **how).isEmpty()
+
+
+def test_foreign_keys_of_a_source(spark):
+    a = spark.createDataFrame([(1, 7, "x"), (2, 7, "y"), (3, 9, None), (4, None, "z")], "id int, team_id long, name string")
+    b = spark.createDataFrame([(7, "x", 1), (8, "y", 2), (9, "z", 3)], "id int, name string, users_id int")
+    c = spark.createDataFrame([("7", 1.5)], "team_id string, user double")
+    got = {(r["from_table"], r["from_column"], r["to_table"], r["to_column"]): (r["confidence"], r["method"], r["one_to_one"]) for r in sets.foreign_keys({"users": a, "teams": b, "logs": c}).collect()}
+    assert got == {("users", "team_id", "teams", "id"): (pytest.approx((0.8 + 1) / 2 + 0.1), "both", False), ("teams", "users_id", "users", "id"): (pytest.approx((0.8 + 1) / 2 + 0.1), "both", False)}
+    assert sets.foreign_keys({"a": a.select("name")}).isEmpty() and sets.foreign_keys({"users": a.limit(0), "teams": b.limit(0)}).count() == 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_anomaly_period_against_all_runs(spark, seed):
+    rng = random.Random(seed)
+    rows = [(s, f"2024-{1 + d // 28:02}-{1 + d % 28:02}", rng.gauss(100, 5) + (s == "up") * 40 * (30 <= d < 37) - (s == "down") * 30 * (50 <= d < 60)) for s in ("up", "down", "calm", None) for d in range(84)]
+    rows += [("flat", f"2024-01-{d:02}", 5.0) for d in range(1, 9)] + [("up", "2024-05-01", None)]
+    df = spark.createDataFrame(rows, "s string, d string, v double").withColumn("d", F.col("d").cast("date"))
+    got = {r["s"]: r for r in product.anomaly_period(df, "d", "v", ["s"]).collect()}
+    want = {}
+    for s in ("up", "down", "calm", None):
+        days = [(d, v) for x, d, v in rows if x == s and v is not None]
+        m, sd = plain.fmean(v for _, v in days), plain.stdev([v for _, v in days])
+        runs = []
+        for sign in (1, -1):
+            for i in range(len(days)):
+                total = 0.0
+                for j in range(i, len(days)):
+                    total += sign * (days[j][1] - m) / sd - 0.5
+                    runs.append((total, days[i][0], days[j][0], sum(v for _, v in days[i : j + 1])))
+        want[s] = max(runs)
+    assert got.keys() == want.keys()
+    for s, (score, first, last, actual) in want.items():
+        r = got[s]
+        assert (str(r["first_day"]), str(r["last_day"])) == (first, last) and r["score"] == pytest.approx(score, abs=1e-5) and r["actual"] == pytest.approx(actual)
+    assert (str(got["up"]["first_day"]), got["up"]["n_days"], got["up"]["direction"]) == ("2024-02-03", 7, "above") and got["down"]["direction"] == "below"
+    assert product.anomaly_period(df.where("s = 'calm'").drop("s"), "d", "v").count() == 1 and product.anomaly_period(df.limit(0), "d", "v").isEmpty()
