@@ -23,7 +23,8 @@ Copies within a batch of rows are settled before the shuffle, so a passage that
 a third of all documents share is one row a batch and not one a document. Which
 rows are copies depends on how the input is cut into batches, so one pass flags
 them and writes all rows to the shared folder; the run and the copies are read
-from there.
+from there. What a run replaces is deleted: the rows it was sorted from, and on
+compaction the runs it was merged from.
 
 Defined cases: a null text has no words; a text of fewer than 20 words loses
 none; rows of one doc_id, repeated or with different texts, are one document
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .hashing import U, hashed_words, mixed, powers, window_hashes
-from .text import shared_dir, table, through_table
+from .text import remove_folder, shared_dir, table, through_table
 
 WINDOW = 20
 GRAM = 8
@@ -173,6 +174,7 @@ class FingerprintIndex:
     buckets: int = 0
     runs: list[str] = field(default_factory=list)
     documents: list[DataFrame] = field(default_factory=list)
+    own: dict[str, str] = field(default_factory=dict)  # folders of the runs that this index wrote and no manifest names
 
     def __post_init__(self):
         self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -180,7 +182,8 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         name = f"brindle_run_{uuid.uuid4().hex}"
         dealt = rows.repartition(self.buckets, "anchor").sortWithinPartitions("anchor", "ctx")
-        out = dealt.write.format("parquet").option("compression", "zstd").option("path", shared_dir(self.spark, "run"))
+        self.own[name] = folder = shared_dir(self.spark, "run")
+        out = dealt.write.format("parquet").option("compression", "zstd").option("path", folder)
         out.bucketBy(self.buckets, "anchor").sortBy("anchor", "ctx").saveAsTable(name)
         return name
 
@@ -188,6 +191,7 @@ class FingerprintIndex:
         """The manifest: one row a run, with its folder and buckets."""
         where = lambda name: self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"]
         self.spark.createDataFrame([(k, where(n), self.buckets) for k, n in enumerate(self.runs)], "run int, folder string, buckets int").coalesce(1).write.parquet(path)
+        self.own = {}
 
     @classmethod
     def reopen(cls, spark: SparkSession, path: str, documents: DataFrame) -> FingerprintIndex:
@@ -211,8 +215,11 @@ class FingerprintIndex:
         """Index a batch of keyed documents; (k, lo, n): its window groups that start earlier, in history or in the batch."""
         if len(self.runs) > MAX_RUNS:
             self.compact()
-        marked = through_table(docs.select("k", "v", "text").mapInPandas(anchor_batches, ROW), "marked")
+        folder = shared_dir(self.spark, "marked")
+        docs.select("k", "v", "text").mapInPandas(anchor_batches, ROW).write.partitionBy("again").option("compression", "zstd").parquet(folder)
+        marked = self.spark.read.schema(ROW).parquet(folder)
         run = self._write(marked.where("NOT again").drop("again"))
+        remove_folder(self.spark, f"{folder}/again=false")  # the run holds them now
         here = marked.where("again").select(*PLACE)
         new = self.spark.table(run)  # bucketed by anchor as all runs are, so nothing moves in these joins
         new = new.join(self.spark.table(run).groupBy("anchor").agg(F.count("*").alias("c")), "anchor")
@@ -249,13 +256,16 @@ class FingerprintIndex:
         return later.select(*one).unionAll(hashed.where("again").select(*one))
 
     def compact(self) -> None:
-        """Merge all runs into one, keeping the first row of equal words."""
+        """Merge all runs into one, keeping the first row of equal words; what it replaces goes, unless a manifest names it."""
         rows = self.spark.table(self.runs[0])
         for name in self.runs[1:]:
             rows = rows.unionByName(self.spark.table(name))
         first = rows.groupBy("anchor", "ctx").agg(F.min(F.struct("k", "lo", "v", "n")).alias("f"))
         merged = self._write(first.select("anchor", "ctx", "f.k", "f.v", "f.lo", "f.n"))
+        replaced = [self.own.pop(name) for name in self.runs if name in self.own]
         self.close()
+        for folder in replaced:
+            remove_folder(self.spark, folder)
         self.runs = [merged]
 
 

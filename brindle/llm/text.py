@@ -34,6 +34,12 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/brindle-{purpose}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote and nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def bound_batches(spark: SparkSession, most: int = 2000) -> None:
     """At most so many texts, or pairs of them, in a Python worker at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
