@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.operators import records
 from brindle.operators import validation as val
 from brindle.plans.profiling import rounded
 from brindle.sources.tables import table
@@ -64,6 +65,15 @@ STRUCTURAL = {"null_key": "o_orderkey IS NULL", "status_domain": "o_orderstatus
 BUSINESS = {"discount_range": "l_discount < 0 OR l_discount > 0.05", "no_negative_price": "l_extendedprice < 0", "quantity_range": "l_quantity < 1 OR l_quantity > 49"}
 SPEC = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_totalprice", T.StringType()), T.StructField("o_missing", T.DateType())])
 
+def misspelt(s, d):
+    """Parts, and every fortieth once more with the third letter of its name missing."""
+    p = table(s, d, "part").select("p_partkey", "p_name", "p_brand", F.col("p_retailprice").cast("decimal(10,2)").alias("p_retailprice"))
+    typo = p.where("p_partkey % 40 = 0").withColumn("p_name", F.concat(F.substring("p_name", 1, 2), F.expr("substring(p_name, 4)")))
+    return p.unionAll(typo).drop("p_partkey")
+
+
+MISSPELT = "SELECT p_name, p_brand, p_retailprice::DECIMAL(10, 2)::VARCHAR AS price FROM part UNION ALL SELECT p_name[1:2] || p_name[4:], p_brand, p_retailprice::DECIMAL(10, 2)::VARCHAR FROM part WHERE p_partkey % 40 = 0"
+
 QUERIES = {
     "val1_schema": (lambda s, d: val.schema_check(O(s, d), SPEC).crossJoin(O(s, d).agg(F.count("*").alias("n"))), "SELECT *, (SELECT count(*) FROM orders) AS n FROM (VALUES ('o_orderkey', 'ok', 'PASS'), ('o_totalprice', 'type', 'WARNING'), ('o_missing', 'missing', 'BLOCKER'), ('o_custkey', 'extra', 'PASS'), ('o_orderstatus', 'extra', 'PASS'), ('o_orderdate', 'extra', 'PASS'), ('o_orderpriority', 'extra', 'PASS')) v(\"column\", finding, status)"),
     "val2_primary_key": (lambda s, d: val.primary_key(L(s, d), ["l_orderkey", "l_linenumber"]), "SELECT 0::BIGINT AS n_null, (SELECT count(*) FROM lineitem) AS n, count(*) AS n_dup_keys, coalesce(sum(c), 0)::BIGINT AS n_dup_rows, CASE WHEN count(*) > 0 THEN 'BLOCKER' ELSE 'PASS' END AS status FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)"),
@@ -105,6 +115,22 @@ QUERIES = {
         SELECT min(day) AS first, max(day) AS last, count(*) AS n FROM g GROUP BY k""",
     ),
     "val32_coverage": (lambda s, d: val.coverage(O(s, d).where("o_totalprice > 300000"), "o_orderdate", "week"), "WITH x AS (SELECT DISTINCT date_trunc('week', o_orderdate)::DATE AS day FROM orders WHERE o_totalprice > 300000), s AS (SELECT (max(day) - min(day)) // 7 + 1 AS e, count(*) AS p FROM x) SELECT e AS n_expected, p AS n_present, p / e AS coverage, CASE WHEN p = e THEN 'PASS' WHEN p / e >= 0.95 THEN 'WARN' ELSE 'FAIL' END AS status FROM s"),
+    "val33_near_records": (
+        lambda s, d: rounded(records.near_records(misspelt(s, d), ["p_name", "p_brand", "p_retailprice"], 0.93, 4)),
+        f"""WITH t AS ({MISSPELT}), r AS (SELECT lower(trim(p_name)) || '|' || lower(trim(p_brand)) || '|' || price AS text, lower(trim(p_name)) AS x, lower(trim(p_brand)) AS y, price AS z, count(*) AS n FROM t GROUP BY ALL),
+        o AS (SELECT 1 AS k, text, n, text AS o FROM r UNION ALL SELECT 2, text, n, y || '|' || z || '|' || x FROM r UNION ALL SELECT 3, text, n, z || '|' || x || '|' || y FROM r UNION ALL SELECT 4, text, n, reverse(text) FROM r),
+        q AS (SELECT k, text, n, row_number() OVER (PARTITION BY k ORDER BY o, text) AS i FROM o),
+        p AS (SELECT DISTINCT least(a.text, b.text) AS a, greatest(a.text, b.text) AS b, CASE WHEN a.text < b.text THEN a.n ELSE b.n END AS n_a, CASE WHEN a.text < b.text THEN b.n ELSE a.n END AS n_b,
+            1 - levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text)) AS similarity FROM q a JOIN q b ON a.k = b.k AND a.i - b.i BETWEEN 1 AND 3)
+        SELECT a, b, n_a, n_b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.93::DOUBLE""",
+    ),
+    "val33_volume_anomalies": (
+        lambda s, d: rounded(records.volume_anomalies(E(s, d).where("NOT (dayofmonth(ts) = 25 AND event_id % 3 > 0)"), "ts", 10, 3.0)),
+        """WITH d AS (SELECT ts::DATE AS day, count(*) AS n FROM events WHERE NOT (dayofmonth(ts) = 25 AND event_id % 3 > 0) GROUP BY 1),
+        f AS (SELECT g.day::DATE AS day, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series((SELECT min(day) FROM d)::TIMESTAMP, (SELECT max(day) FROM d)::TIMESTAMP, INTERVAL 1 DAY)) AS day) g LEFT JOIN d ON d.day = g.day::DATE),
+        w AS (SELECT day, n, avg(n) OVER v AS mean, stddev_samp(n) OVER v AS sd, count(*) OVER v AS k FROM f WINDOW v AS (ORDER BY day ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
+        SELECT day, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round((n - mean) / sd, 6) AS z FROM w WHERE k = 10 AND sd > 0 AND abs((n - mean) / sd) > 3""",
+    ),
     "val33_dominance": (lambda s, d: val.dominance(O(s, d), ["o_orderstatus", "o_orderpriority"]), "WITH c AS (SELECT 'o_orderstatus' AS \"column\", o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2) SELECT \"column\", arg_max(value, (n, value)) AS value, max(n) AS n, sum(n)::BIGINT AS total, max(n) > 0.5 * sum(n) AS dominant FROM c GROUP BY 1"),
     "val34_parts_to_whole": (lambda s, d: val.parts_to_whole(L(s, d).withColumn("o_orderkey", F.col("l_orderkey")), O(s, d), "o_orderkey", "l_extendedprice", "o_totalprice").groupBy("status").agg(F.count("*").alias("n")), "WITH p AS (SELECT l_orderkey, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1) SELECT CASE WHEN g <= 0.01 THEN 'PASS' WHEN g <= 0.1 THEN 'WARN' ELSE 'FAIL' END AS status, count(*) AS n FROM (SELECT abs(coalesce(v, 0) - o_totalprice) / abs(o_totalprice) AS g FROM orders LEFT JOIN p ON o_orderkey = l_orderkey) GROUP BY 1"),
     "val35_ratio_recompute": (lambda s, d: val.ratio_recompute(L(s, d).withColumn("stated", F.round(F.try_divide("l_extendedprice", "l_quantity"), -1)), "l_extendedprice", "l_quantity", "stated").groupBy("status").agg(F.count("*").alias("n")), "WITH r AS (SELECT l_extendedprice / l_quantity AS r, round(l_extendedprice / l_quantity, -1) AS s FROM lineitem) SELECT CASE WHEN g <= 0.001 THEN 'PASS' WHEN g <= 0.01 THEN 'WARN' ELSE 'FAIL' END AS status, count(*) AS n FROM (SELECT CASE WHEN s = 0 THEN abs(r) ELSE abs(r - s) / abs(s) END AS g FROM r) GROUP BY 1"),

@@ -9,7 +9,7 @@ import statistics as plain
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import causal, joins, logs, product, sets
+from brindle.operators import causal, joins, logs, product, records, sets
 from brindle.operators import statistics as st
 from brindle.operators.ordering import dealt, running, scanned
 
@@ -207,3 +207,28 @@ def test_anomaly_period_against_all_runs(spark, seed):
         assert (str(r["first_day"]), str(r["last_day"])) == (first, last) and r["score"] == pytest.approx(score, abs=1e-5) and r["actual"] == pytest.approx(actual)
     assert (str(got["up"]["first_day"]), got["up"]["n_days"], got["up"]["direction"]) == ("2024-02-03", 7, "above") and got["down"]["direction"] == "below"
     assert product.anomaly_period(df.where("s = 'calm'").drop("s"), "d", "v").count() == 1 and product.anomaly_period(df.limit(0), "d", "v").isEmpty()
+
+
+def test_planted_typos_are_found_in_a_large_block(spark):
+    """Half of the records begin alike; every record has a copy with a typo, some at the front, and a third are exact copies."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    people = [(("common" if i % 2 else word(6)) + " " + word(8), word(10), str(rng.randrange(10**6))) for i in range(150)]
+    typo = lambda s, k: s[:k] + "#" + s[k + 1 :]
+    planted = {}
+    for i, (a, b, c) in enumerate(people):
+        x = (typo(a, rng.choice([0, len(a) - 1])), b, c) if i % 3 == 0 else (a, typo(b, rng.randrange(10)), c) if i % 3 == 1 else (a, b, typo(c, 0))
+        planted["|".join((a, b, c))] = "|".join(x)
+    rows = people + [tuple(x.split("|")) for x in planted.values()] + [people[0]] * 100 + [(None, None, None), (None, None, None)]
+    got = {(r["a"], r["b"]): (r["n_a"], r["n_b"]) for r in records.near_records(spark.createDataFrame(rows, "a string, b string, c string"), ["a", "b", "c"], 0.93, 4).collect()}
+    want = {tuple(sorted(p)) for p in planted.items()}
+    assert want <= got.keys() and len(got) <= len(want) + 5
+    first = "|".join(people[0])
+    assert {n for p, n in got.items() if first in p} in ({(1, 101)}, {(101, 1)})
+    assert records.near_records(spark.createDataFrame([], "a string, b string"), ["a", "b"]).isEmpty()
+
+
+def test_volume_anomalies_count_missing_days(spark):
+    rows = [f"2024-01-{d:02}" for d in range(1, 29) for _ in range(20 + d % 3) if d != 25] + [None]
+    got = records.volume_anomalies(spark.createDataFrame([(r,) for r in rows], "d string"), "d", 10, 3.0).collect()
+    assert [(str(r["day"]), r["n"]) for r in got] == [("2024-01-25", 0)]
