@@ -40,19 +40,37 @@ def parse_date(c: Column) -> Column:
     return F.try_to_timestamp(c).cast("date")
 
 
-def parse_number(c: Column) -> tuple[Column, Column, Column]:
-    """(value, unit, status) of a reported number: percent to rate, k/m/b and words, (negative), currency."""
-    t = F.lower(F.trim(c))
-    negative = t.rlike(r"^\(.*\)$")
-    body = F.regexp_replace(t, r"[()\s]", "")
-    digits = F.regexp_extract(body, r"^[$€£]?(-?[0-9][0-9,]*\.?[0-9]*)(%|percent|k|thousand|m|million|b|billion)?$", 1)
-    suffix = F.regexp_extract(body, r"^[$€£]?(-?[0-9][0-9,]*\.?[0-9]*)(%|percent|k|thousand|m|million|b|billion)?$", 2)
-    number = F.regexp_replace(digits, ",", "").try_cast("double")
-    scale = (
-        F.when(suffix.isin("%", "percent"), 0.01).when(suffix.isin("k", "thousand"), 1e3).when(suffix.isin("m", "million"), 1e6).when(suffix.isin("b", "billion"), 1e9).otherwise(1.0)
-    )
-    unit = F.when(suffix.isin("%", "percent"), "rate").when(body.rlike(r"^[$€£]"), "currency").otherwise("number")
-    value = number * scale * F.when(negative, -1.0).otherwise(1.0)
+#: fixed values: what a letter after a number and a word behind it multiply by
+SUFFIXES = {"k": 1_000.0, "m": 1_000_000.0, "b": 1_000_000_000.0}
+WORDS = {"thousand": 1_000.0, "million": 1_000_000.0, "billion": 1_000_000_000.0}
+
+
+def parse_number(c: Column, hint: str | None = None) -> tuple[Column, Column, Column]:
+    """(value, unit, status) of a reported number, the first one in the text; thousands separators are dropped.
+
+    A percent sign or word makes it a rate (12% is 0.12), a number in parentheses is negative, k, m, b or thousand,
+    million, billion multiply, and a currency sign or code names the unit. A hint (rate, ratio, fraction, percent,
+    percentage) makes a plain number a rate, and of the last two one above 1 in size is divided by 100; any other hint
+    is the unit of what names none itself, which is "number" without a hint.
+    """
+    t = F.regexp_replace(F.lower(F.trim(c)), ",", "")
+    digits = F.regexp_extract(t, r"[-+]?[0-9]+(\.[0-9]+)?", 0)
+    rest = F.regexp_extract(t, r"[-+]?[0-9]+(\.[0-9]+)?(.*)", 2)
+    number = digits.try_cast("double")
+    value = F.when(t.rlike(r"^\(.*\)$"), -F.abs(number)).otherwise(number)
+    scale = F.lit(1.0)
+    for word, by in reversed(WORDS.items()):
+        scale = F.when(rest.rlike(rf"\b{word}\b"), by).otherwise(scale)
+    for suffix, by in SUFFIXES.items():
+        scale = F.when(F.substring(rest, 1, 1) == suffix, by).otherwise(scale)
+    value = value * scale
+    percent = t.rlike("%| percent| percentage point")
+    currency = t.rlike(r"[$£€]|\b(usd|eur|gbp)\b")
+    kind = (hint or "").lower()
+    rate = kind in ("rate", "ratio", "fraction", "percent", "percentage")
+    hinted = F.when(F.abs(value) > 1, value / 100).otherwise(value) if kind in ("percent", "percentage") else value
+    unit = F.when(percent, "rate").otherwise(F.lit("rate") if rate else F.when(currency, "currency").otherwise(hint or "number"))
+    value = F.when(percent, value / 100).otherwise(hinted)
     return value, F.when(value.isNotNull(), unit), F.when(value.isNotNull(), "parsed").otherwise("unparsed")
 
 

@@ -222,6 +222,12 @@ def ols(df: DataFrame, outcome: str, terms: dict[str, Column], robust: bool = Tr
     return out.withColumn("p", tl.p_normal("z")) if tails else out
 
 
+def did_adjusted(df: DataFrame, outcome: str, treated: str, post: str, covariates: dict[str, Column], robust: bool = True, tails: bool = True) -> DataFrame:
+    """Difference in differences with covariates: the terms of the regression, of which ``effect`` is that of treated x post."""
+    t, p = F.col(treated).cast("double"), F.col(post).cast("double")
+    return ols(df, outcome, {"treated": t, "post": p, "effect": t * p, **covariates}, robust, tails)
+
+
 def dummies(df: DataFrame, column: str, most: int = 50) -> dict[str, Column]:
     """0/1 terms for all values but the first."""
     values = [r[0] for r in df.select(column).distinct().orderBy(column).limit(most + 1).collect()]
@@ -243,9 +249,12 @@ def rosenbaum(pairs: DataFrame, treated: str, control: str, gammas: Sequence[flo
 
 
 def confounds(df: DataFrame, day: str, split: str, columns: Sequence[str]) -> DataFrame:
-    """Change of each column's mean and null rate around a date."""
+    """Around a date: change of each numeric column's mean in standard deviations and of its null rate in points."""
     late = F.col(day).cast("date") >= F.lit(split).cast("date")
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
     rows = df.select(late.alias("late"), F.explode(cells).alias("c")).select("late", "c.column", "c.x")
-    g = rows.groupBy("column").agg(F.avg(F.when(~F.col("late"), F.col("x"))).alias("before"), F.avg(F.when(F.col("late"), F.col("x"))).alias("after"), F.stddev_samp("x").alias("sd"))
-    return g.withColumn("shift", F.try_divide(F.col("after") - F.col("before"), F.col("sd"))).withColumn("flag", F.abs("shift") > 0.1)
+    side = {"before": ~F.col("late"), "after": F.col("late")}
+    nulls = {f"null_{n}": F.coalesce(F.try_divide(F.count_if(at & F.col("x").isNull()), F.count_if(at)), F.lit(0.0)) for n, at in side.items()}
+    g = rows.groupBy("column").agg(*[F.avg(F.when(at, F.col("x"))).alias(n) for n, at in side.items()], F.stddev_samp("x").alias("sd"), *[c.alias(n) for n, c in nulls.items()])
+    shift = F.try_divide(F.col("after") - F.col("before"), F.col("sd"))
+    return g.withColumn("shift", shift).withColumn("flag", F.coalesce(F.abs("shift") > 0.1, F.lit(False)) | (F.abs(F.col("null_after") - F.col("null_before")) > 0.05))

@@ -68,6 +68,15 @@ def concentration(df: DataFrame, value: str, entity: str) -> DataFrame:
     return rows.agg(F.max("n").alias("n"), gini, *tops, pareto)
 
 
+def lorenz(df: DataFrame, value: str, entity: str, points: int = 10) -> DataFrame:
+    """(point, entities, share): what share of all value the lowest point / points of the entities hold."""
+    per = df.groupBy(entity).agg(F.sum(value).alias("v")).where("v > 0")
+    rows = ranked_sums(per, "v", entity).crossJoin(F.broadcast(per.agg(F.count("*").alias("n"), F.sum("v").alias("t"))))  # one row
+    at = F.explode(F.sequence(F.lit(1), F.lit(points))).alias("point")
+    grid = per.agg(F.count("*").alias("n")).select(at, "n").withColumn("rank", F.ceil(F.col("n") * F.col("point") / points)).where("n > 0").drop("n")
+    return rows.join(F.broadcast(grid), "rank").select("point", F.col("rank").alias("entities"), (F.col("running") / F.col("t")).alias("share"))
+
+
 def segment_pairs(df: DataFrame, segment: str, metric: str) -> DataFrame:
     """Pairs of segments: difference of means, Welch t and degrees of freedom, Cohen's d."""
     g = df.where(F.col(metric).isNotNull()).groupBy(segment).agg(F.count("*").alias("n"), F.avg(metric).alias("m"), F.var_samp(metric).alias("v"), F.percentile(metric, 0.5).alias("md"))
@@ -98,6 +107,15 @@ def control_chart(series: DataFrame, order: str, value: str, sigma: float = 3.0)
     return rows.withColumns({"ucl": F.col("mean") + sigma * F.col("sd"), "lcl": F.col("mean") - sigma * F.col("sd"), **rules})
 
 
+def trailing_chart(series: DataFrame, order: str, value: str, window: int = 20, sigma: float = 3.0) -> DataFrame:
+    """Limits of each point from the window of points before it (null until that is full), and whether it lies beyond them."""
+    w = Window.orderBy(order).rowsBetween(-window, -1)  # an aggregated series
+    full = F.count(value).over(w) == window
+    rows = series.select(order, value, F.when(full, F.avg(value).over(w)).alias("mean"), F.when(full, F.stddev_samp(value).over(w)).alias("sd"))
+    rows = rows.withColumns({"lcl": F.col("mean") - sigma * F.col("sd"), "ucl": F.col("mean") + sigma * F.col("sd")}).drop("sd")
+    return rows.withColumn("outside", F.coalesce((F.col(value) < F.col("lcl")) | (F.col(value) > F.col("ucl")), F.lit(False)))
+
+
 def cohorts(df: DataFrame, user: str, day: str, unit: str = "month", small: int = 50) -> DataFrame:
     """(cohort, offset, users, size, rate, small): distinct users active so many periods after their first.
 
@@ -167,18 +185,29 @@ def cohort_checks(cells: DataFrame) -> DataFrame:
     return rows.agg(F.count_distinct(F.when(F.col("small"), F.col("cohort"))).alias("n_small"), F.coalesce(F.sum("up"), F.lit(0)).alias("n_rises"), F.try_divide(F.max("size"), F.min("size")).alias("size_ratio"), F.count_distinct("cohort").alias("n_cohorts"))
 
 
-def funnel(df: DataFrame, user: str, at: str, kind: str, steps: Sequence[str]) -> DataFrame:
-    """Users per step in order of time, step and overall rate, median seconds from the step before."""
-    e = df.where(F.col(user).isNotNull() & F.col(kind).isin(list(steps))).select(F.col(user).alias("u"), F.col(at).alias("t"), F.col(kind).alias("k"))
-    done = e.where(F.col("k") == steps[0]).groupBy("u").agg(F.min("t").alias("t0"))
+def cohort_gaps(cells: DataFrame, unit: str = "month") -> DataFrame:
+    """(kind, cohort, offset): periods between the first and the last cohort without one, and offsets of a cohort at which nobody
+    was active though someone was later."""
+    have = cells.select("cohort").distinct()
+    missing = spine(have.agg(F.min("cohort").alias("lo"), F.max("cohort").alias("hi")), unit).withColumnRenamed("day", "cohort").join(have, "cohort", "left_anti")
+    later = F.sum("users").over(Window.partitionBy("cohort").orderBy("offset").rowsBetween(1, Window.unboundedFollowing))  # a row an offset
+    silent = cells.withColumn("later", later).where("users = 0 AND later > 0")
+    return missing.select(F.lit("cohort").alias("kind"), "cohort", F.lit(None).cast("int").alias("offset")).unionAll(silent.select(F.lit("offset").alias("kind"), "cohort", F.col("offset").cast("int").alias("offset")))
+
+
+def funnel(df: DataFrame, user: str, at: str, kind: str, steps: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Users per step in order of time, step and overall rate, median seconds from the step before; by segments of the rows."""
+    keys = [*by, "u"]
+    e = df.where(F.col(user).isNotNull() & F.col(kind).isin(list(steps))).select(*by, F.col(user).alias("u"), F.col(at).alias("t"), F.col(kind).alias("k"))
+    done = e.where(F.col("k") == steps[0]).groupBy(*keys).agg(F.min("t").alias("t0"))
     for i, step in enumerate(steps[1:], 1):
-        nxt = e.where(F.col("k") == step).select("u", "t").join(done.select("u", F.col(f"t{i - 1}").alias("p")), "u").where("t >= p").groupBy("u").agg(F.min("t").alias(f"t{i}"))
-        done = done.join(nxt, "u", "left")
+        nxt = e.where(F.col("k") == step).select(*keys, "t").join(done.select(*keys, F.col(f"t{i - 1}").alias("p")), keys).where("t >= p").groupBy(*keys).agg(F.min("t").alias(f"t{i}"))
+        done = done.join(nxt, keys, "left")
     secs = lambda i: F.percentile((F.unix_micros(F.col(f"t{i}").cast("timestamp")) - F.unix_micros(F.col(f"t{i - 1}").cast("timestamp"))) / 1e6, 0.5)
-    row = done.agg(*[F.count(f"t{i}").alias(f"n{i}") for i in range(len(steps))], *[secs(i).alias(f"s{i}") for i in range(1, len(steps))])
+    row = done.groupBy(*by).agg(*[F.count(f"t{i}").alias(f"n{i}") for i in range(len(steps))], *[secs(i).alias(f"s{i}") for i in range(1, len(steps))])
     cells = [F.struct(F.lit(i).alias("step"), F.lit(s).alias("name"), F.col(f"n{i}").alias("users"), (F.col(f"n{i - 1}") if i else F.col("n0")).alias("before"), F.col("n0").alias("start"), (F.col(f"s{i}") if i else F.lit(None).cast("double")).alias("median_seconds")) for i, s in enumerate(steps)]
-    out = row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
-    return out.select("step", "name", "users", F.try_divide("users", "before").alias("step_rate"), F.try_divide("users", "start").alias("overall_rate"), (F.col("before") - F.col("users")).alias("drop"), "median_seconds")
+    out = row.select(*by, F.explode(F.array(*cells)).alias("x")).select(*by, "x.*")
+    return out.select(*by, "step", "name", "users", F.try_divide("users", "before").alias("step_rate"), F.try_divide("users", "start").alias("overall_rate"), (F.col("before") - F.col("users")).alias("drop"), "median_seconds")
 
 
 def largest_drops(steps: DataFrame) -> DataFrame:
@@ -221,6 +250,22 @@ def period_change(df: DataFrame, day: str, unit: str, value: Column) -> DataFram
     return full.select("day", "v", "previous", F.try_divide(F.col("v") - F.col("previous"), F.abs("previous")).alias("change"), F.when((F.col("previous") == 0) & (F.col("v") != 0), "new").otherwise("known").alias("kind"))
 
 
+def comparisons(df: DataFrame, day: str, unit: str, num: Column, den: Column | None = None) -> DataFrame:
+    """(day, value, previous, year_ago, change, change_of_year): a measure a month or quarter against the period before and the
+    same one a year before.
+
+    A rate is the sum of num over that of den within the period, so rates are re-aggregated and never averaged. Periods
+    without rows have no value and still take their place.
+    """
+    back = {"month": 12, "quarter": 4}[unit]
+    g = df.groupBy(F.date_trunc(unit, day).cast("date").alias("day")).agg((F.sum(num) if den is None else F.try_divide(F.sum(num), F.sum(den))).alias("value"))
+    full = spine(g.agg(F.min("day").alias("lo"), F.max("day").alias("hi")), unit).join(g, "day", "left")
+    w = Window.orderBy("day")  # an aggregated series
+    full = full.withColumns({"previous": F.lag("value").over(w), "year_ago": F.lag("value", back).over(w)})
+    change = lambda c: F.try_divide(F.col("value") - F.col(c), F.abs(c))
+    return full.select("day", "value", "previous", "year_ago", change("previous").alias("change"), change("year_ago").alias("change_of_year"))
+
+
 def rolling(series: DataFrame, order: str, value: str, k: int) -> DataFrame:
     w = Window.orderBy(order)  # an aggregated series
     return series.select(order, value, F.avg(value).over(w.rowsBetween(-(k - 1), 0)).alias("rolling"), F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative"))

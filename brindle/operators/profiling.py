@@ -50,6 +50,18 @@ def columns_profile(df: DataFrame) -> DataFrame:
     return profile.select("column", "type", "n_null", "null_pct", "n_unique", "min", "max", "mean", "sd", "min_length", "max_length", "mean_length")
 
 
+def sample_values(df: DataFrame, k: int = 5, spread: int = 256) -> DataFrame:
+    """(column, values): the k least distinct values of each column as text, so a rerun shows the same.
+
+    Values are counted once and cut to k in so many parts by hash before the k of a column meet.
+    """
+    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").cast("string").alias("v")) for f in df.schema])
+    rows = df.select(F.explode(cells).alias("x")).select("x.column", "x.v").where("v IS NOT NULL").distinct()
+    part = F.pmod(F.xxhash64("v"), F.lit(spread))
+    few = rows.withColumn("k", F.row_number().over(Window.partitionBy("column", part).orderBy("v"))).where(F.col("k") <= k)
+    return few.groupBy("column").agg(F.slice(F.sort_array(F.collect_list("v")), 1, k).alias("values"))  # of k x spread at most
+
+
 def date_span(df: DataFrame, name: str) -> DataFrame:
     """Rows, date columns and the range of all of them."""
     days = [f.name for f in df.schema if family(f.dataType) == "datetime"]
@@ -119,13 +131,24 @@ def two_peaks(hist: DataFrame, valley: float = 0.6) -> DataFrame:
     return best.crossJoin(low).select("n_peaks", F.coalesce((F.col("n_peaks") == 2) & (F.col("valley") < valley * F.col("lower")), F.lit(False)).alias("bimodal"))
 
 
+def shape_class(df: DataFrame, column: str) -> DataFrame:
+    """(column, skew, kurtosis, n_unique, shape) with the class bimodal: two peaks in a smoothed histogram of at most 50 bins, if
+    there are more than ten values and neither the uniform nor the heavy-tailed rule applies."""
+    row = distributions(df, [column]).select("column", "skew", "kurtosis", "n_unique", "shape")
+    bins = row.first()["n_unique"]  # one row
+    if not bins or bins <= 10:
+        return row
+    peaked = two_peaks(histogram(df, column, min(50, bins))).select("bimodal")
+    return row.crossJoin(peaked).withColumn("shape", F.when(F.col("bimodal") & ~F.col("shape").isin("uniform", "heavy_tailed"), "bimodal").otherwise(F.col("shape"))).drop("bimodal")  # one row each
+
+
 def daily(df: DataFrame, day: str, metric: str) -> DataFrame:
     return df.where(F.col(day).isNotNull()).groupBy(F.col(day).cast("date").alias("day")).agg(F.avg(metric).alias("value"))
 
 
 def spine(span: DataFrame, unit: str = "day") -> DataFrame:
     """Every period from lo to hi of a one-row frame."""
-    return span.select(F.explode(F.sequence(F.col("lo"), F.col("hi"), F.expr(f"interval 1 {unit}"))).alias("day"))
+    return span.select(F.explode(F.sequence(F.col("lo"), F.col("hi"), F.expr("interval 3 months" if unit == "quarter" else f"interval 1 {unit}"))).alias("day"))
 
 
 def temporal(df: DataFrame, day: str, unit: str = "day") -> DataFrame:

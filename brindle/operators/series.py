@@ -105,8 +105,8 @@ def smooth_one(y: np.ndarray, alpha: float, beta: float | None, gamma: float, se
     return ahead, level, trend, seasonal
 
 
-def holt_winters(df: DataFrame, periods: int, season: int, alphas: Sequence[float] = (0.1, 0.3, 0.5, 0.7, 0.9), beta: float = 0.1, gamma: float = 0.1) -> DataFrame:
-    """(series, alpha, mse, mae, h, forecast): alpha of the grid with the least one-step-ahead error; one series a call."""
+def holt_winters(df: DataFrame, periods: int, season: int, alphas: Sequence[float] = tuple(i / 100 for i in range(1, 100)), beta: float = 0.1, gamma: float = 0.1) -> DataFrame:
+    """(series, alpha, mse, mae, h, forecast): alpha of the grid (0.01 to 0.99) with the least one-step-ahead error; one series a call."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("day")["value"].to_numpy(float)
@@ -118,3 +118,26 @@ def holt_winters(df: DataFrame, periods: int, season: int, alphas: Sequence[floa
         return pd.DataFrame({"series": pdf["series"].iloc[0], "alpha": alpha, "mse": mse, "mae": float(np.mean(np.abs(y - ahead))), "h": h, "forecast": f})
 
     return df.groupBy("series").applyInPandas(run, f"series {df.schema['series'].dataType.simpleString()}, alpha double, mse double, mae double, h int, forecast double")
+
+
+def simple_fitted(df: DataFrame, alpha: float) -> DataFrame:
+    """(series, day, value, fitted, residual) of simple smoothing: each value against the level before it, the first against itself."""
+    one = lambda x, level: F.struct(x["day"].alias("day"), x["value"].cast("double").alias("value"), level.alias("fitted"))
+    rows = df.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("day", "value"))).alias("y"))  # a series of days
+    first = F.get("y", F.lit(0))
+    start = F.struct(first["value"].cast("double").alias("level"), F.array(one(first, first["value"].cast("double"))).alias("out"))
+    fold = F.aggregate(F.slice("y", 2, F.greatest(F.size("y") - 1, F.lit(0))), start, lambda s, x: F.struct((alpha * x["value"].cast("double") + (1 - alpha) * s["level"]).alias("level"), F.concat(s["out"], F.array(one(x, s["level"]))).alias("out")))
+    out = rows.select("series", F.explode(fold["out"]).alias("x")).select("series", "x.*")
+    return out.withColumn("residual", F.col("value") - F.col("fitted"))
+
+
+def holt_winters_fitted(df: DataFrame, season: int, alpha: float, beta: float | None = 0.1, gamma: float = 0.1) -> DataFrame:
+    """(series, day, value, fitted, residual) of additive smoothing with given weights; one series a call."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day")
+        y = pdf["value"].to_numpy(float)
+        ahead = smooth_one(y, alpha, beta, gamma, season if len(y) >= 2 * season else None)[0]
+        return pd.DataFrame({"series": pdf["series"], "day": pdf["day"], "value": y, "fitted": ahead, "residual": y - ahead})
+
+    return df.groupBy("series").applyInPandas(run, f"series {df.schema['series'].dataType.simpleString()}, day {df.schema['day'].dataType.simpleString()}, value double, fitted double, residual double")

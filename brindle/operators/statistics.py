@@ -182,6 +182,26 @@ def by_segment(df: DataFrame, segments: Sequence[str], keep: Sequence[str]) -> D
     return df.select(*keep, F.explode(cells).alias("x")).select("x.dim", "x.value", *keep)
 
 
+def few_valued(df: DataFrame, columns: Sequence[str] | None = None, most: int = 19) -> list[str]:
+    """Columns of 2 to ``most`` values, in order: an approximate count rules out most, the rest are counted exactly."""
+    names = [f.name for f in df.schema if columns is None or f.name in columns]
+    if not names:
+        return []
+    about = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in names]).first()
+    near = [c for c in names if about[c] <= 2 * most]
+    exact = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in near]).first() if near else {}
+    return [c for c in near if 2 <= exact[c] <= most]
+
+
+def srm_by_segments(df: DataFrame, group: str, expected: dict, columns: Sequence[str] | None = None, threshold: float = 0.01, tails: bool = True) -> DataFrame:
+    """SRM within every value of every column that has few of them (all but the group's own unless named)."""
+    found = few_valued(df.drop(group) if columns is None else df, columns)
+    if not found:
+        found = []
+        df = df.where("false").withColumn("_none", F.lit(None).cast("string"))
+    return srm(by_segment(df, found or ["_none"], [group]), group, expected, threshold, ["dim", "value"], tails)
+
+
 def cuped(df: DataFrame, group: str, pre: str, post: str, a, b, tails: bool = True) -> DataFrame:
     """theta over all rows; adjusted means and variances by algebra on the same moments."""
     def side(v, s):

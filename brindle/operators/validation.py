@@ -298,6 +298,13 @@ def simpson(df: DataFrame, metric: str, segments: Sequence[str], group: str) ->
     return out.withColumns({"paradox": F.col("n_reversed") > F.col("n_agree"), "severity": F.when(ratio > 0.5, "BLOCKER").when(ratio > 0.25, "WARNING").otherwise("PASS")})
 
 
+def split_at_median(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
+    """df with a group 'high' (above the exact median of a numeric column) or 'low' under ``name``; null stays null."""
+    cut = one_row(df, {"c": F.col(column)}, {"median": 0.5}).toDF("_median")
+    side = F.when(F.col(column) > F.col("_median"), "high").when(F.col(column) <= F.col("_median"), "low")
+    return df.crossJoin(F.broadcast(cut)).withColumn(name or f"{column}_half", side).drop("_median")  # one row
+
+
 def suggest_segments(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
     """Columns of 2 to 50 values by the variation of their group sizes, weighed down by how many values they have."""
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("x.*").where("v IS NOT NULL")

@@ -19,6 +19,10 @@ def users(s, d):
     return panel(s, d).groupBy("user_id", "t").agg(F.sum(F.when(F.col("post") == 0, F.col("y")).otherwise(0.0)).alias("pre"), F.sum(F.when(F.col("post") == 1, F.col("y")).otherwise(0.0)).alias("outcome"), F.sum("n").alias("n"))
 
 
+def holes(s, d):
+    return table(s, d, "orders").withColumn("partial", F.when((F.col("o_orderdate") < "1998-01-01") | (F.col("o_orderkey") % 7 > 0), F.col("o_totalprice")))
+
+
 def scored(s, d):
     return ca.propensity(users(s, d), "t", ["pre", "n"])
 
@@ -53,5 +57,15 @@ QUERIES = {
     "cau11_regression": (lambda s, d: rounded(ca.ols(users(s, d), "outcome", {"t": F.col("t")}, tails=False), 4), OLS),
     "cau11_with_dummies": (lambda s, d: ca.ols(table(s, d, "orders"), "o_totalprice", {"late": (F.year("o_orderdate") >= 1998).cast("int"), **ca.dummies(table(s, d, "orders"), "o_orderpriority")}), None),
     "cau12_rosenbaum": (lambda s, d: rounded(ca.rosenbaum(users(s, d), "outcome", "pre", [1.0, 1.5, 2.0], tails=False), 5), f"WITH d AS (SELECT outcome - pre AS d FROM {USR} WHERE outcome <> pre), p AS (SELECT abs(d) AS a, count(*) AS ties, count(*) FILTER (d > 0) AS up FROM d GROUP BY 1), r AS (SELECT *, sum(ties) OVER (ORDER BY a ROWS UNBOUNDED PRECEDING) - (ties - 1) / 2 AS rank FROM p), s AS (SELECT sum(rank * up) AS t, sum(rank * ties) AS s1, sum(rank * rank * ties) AS s2 FROM r) SELECT g AS gamma, round(t, 5) AS t, round((t - g / (1 + g) * s1) / sqrt(g / (1 + g) * (1 / (1 + g)) * s2), 5) AS z_upper FROM s, (SELECT unnest([1.0, 1.5, 2.0]::DOUBLE[]) AS g)"),
-    "cau14_confounds": (lambda s, d: rounded(ca.confounds(table(s, d, "orders"), "o_orderdate", "1998-01-01", ["o_totalprice", "o_custkey"]), 5), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg({c}) FILTER (o_orderdate < DATE '1998-01-01'), 5) AS before, round(avg({c}) FILTER (o_orderdate >= DATE '1998-01-01'), 5) AS after, round(stddev_samp({c}), 5) AS sd, round((avg({c}) FILTER (o_orderdate >= DATE '1998-01-01') - avg({c}) FILTER (o_orderdate < DATE '1998-01-01')) / stddev_samp({c}), 5) AS shift, abs((avg({c}) FILTER (o_orderdate >= DATE '1998-01-01') - avg({c}) FILTER (o_orderdate < DATE '1998-01-01')) / stddev_samp({c})) > 0.1 AS flag FROM orders" for c in ("o_totalprice", "o_custkey"))),
+    "cau14_confounds": (
+        lambda s, d: rounded(ca.confounds(holes(s, d), "o_orderdate", "1998-01-01", ["o_totalprice", "o_custkey", "partial"]), 5),
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS "column", round(avg({c}) FILTER (NOT late), 5) AS before, round(avg({c}) FILTER (late), 5) AS after, round(stddev_samp({c}), 5) AS sd, round(count(*) FILTER (NOT late AND {c} IS NULL) / count(*) FILTER (NOT late), 5) AS null_before,
+            round(count(*) FILTER (late AND {c} IS NULL) / count(*) FILTER (late), 5) AS null_after, round((avg({c}) FILTER (late) - avg({c}) FILTER (NOT late)) / stddev_samp({c}), 5) AS shift,
+            abs((avg({c}) FILTER (late) - avg({c}) FILTER (NOT late)) / stddev_samp({c})) > 0.1 OR abs(count(*) FILTER (late AND {c} IS NULL) / count(*) FILTER (late) - count(*) FILTER (NOT late AND {c} IS NULL) / count(*) FILTER (NOT late)) > 0.05 AS flag
+            FROM (SELECT *, o_orderdate >= DATE '1998-01-01' AS late, CASE WHEN o_orderdate < DATE '1998-01-01' OR o_orderkey % 7 > 0 THEN o_totalprice END AS partial FROM orders)"""
+            for c in ("o_totalprice", "o_custkey", "partial")
+        ),
+    ),
+    "cau1_did_covariates": (lambda s, d: rounded(ca.did_adjusted(panel(s, d), "y", "t", "post", {"n": F.col("n")}, tails=False), 6), None),
 }

@@ -24,6 +24,10 @@ def weekly_cohorts(s, d):
     return pa.cohorts(E(s, d), "user_id", "ts", "week")
 
 
+def monthly_cohorts(s, d):
+    return pa.cohorts(O(s, d).where("o_custkey % 5 > 0 OR month(o_orderdate) <> 3"), "o_custkey", "o_orderdate", "month")
+
+
 def year_is(y):
     return F.year("o_orderdate") == y
 
@@ -36,6 +40,11 @@ LTV = """e AS (SELECT o_custkey AS u, date_trunc('month', o_orderdate)::DATE AS
 ce AS (SELECT cohort, datediff('month', cohort, p)::INT AS "offset", sum(r) AS r FROM e JOIN fi USING (u) GROUP BY 1, 2), lt AS (SELECT cohort, "offset", sum(r) OVER (PARTITION BY cohort ORDER BY "offset") / size AS ltv FROM ce JOIN si USING (cohort))"""
 
 
+COM = """e AS (SELECT DISTINCT o_custkey AS u, date_trunc('month', o_orderdate)::DATE AS p FROM orders WHERE o_custkey % 5 > 0 OR month(o_orderdate) <> 3), fi AS (SELECT u, min(p) AS cohort FROM e GROUP BY 1), si AS (SELECT cohort, count(*) AS size FROM fi GROUP BY 1),
+ce AS (SELECT cohort, datediff('month', cohort, p)::INT AS "offset", count(*) AS users FROM e JOIN fi USING (u) GROUP BY 1, 2), gr AS (SELECT cohort, size, unnest(range(0, datediff('month', cohort, (SELECT max(p) FROM e)) + 1))::INT AS "offset" FROM si),
+co AS (SELECT cohort, "offset", coalesce(users, 0) AS users, size, coalesce(users, 0) / size AS rate FROM gr LEFT JOIN ce USING (cohort, "offset"))"""
+
+
 def score_sql(c, name, reverse=False):
     """Quantile bins: the most of 5, 4, 3, 2 whose edges are distinct."""
     q = lambda n: f"(SELECT quantile_cont({c}, {[i / n for i in range(n + 1)]}) FROM p)"
@@ -53,6 +62,47 @@ def two_years(s, d):
 
 
 QUERIES = {
+    "pa4_lorenz": (
+        lambda s, d: rounded(pa.lorenz(O(s, d), "o_totalprice", "o_custkey")),
+        """WITH p AS (SELECT o_custkey AS e, sum(o_totalprice) AS v FROM orders GROUP BY 1), r AS (SELECT row_number() OVER w AS rank, sum(v) OVER w AS running, count(*) OVER () AS n, sum(v) OVER () AS t FROM p WINDOW w AS (ORDER BY v, e ROWS UNBOUNDED PRECEDING))
+        SELECT k::INT AS point, rank AS entities, round(running / t, 6) AS share FROM r JOIN range(1, 11) g(k) ON rank = ceil(n * k / 10)""",
+    ),
+    "pa6_trailing_chart": (
+        lambda s, d: rounded(pa.trailing_chart(daily(s, d), "day", "v", 7, 1.5), 5),
+        f"""WITH x AS (SELECT day, v, avg(v) OVER w AS m, stddev_samp(v) OVER w AS sd, count(*) OVER w AS k FROM {DV} WINDOW w AS (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)), y AS (SELECT day, v, CASE WHEN k = 7 THEN m END AS m, CASE WHEN k = 7 THEN sd END AS sd FROM x)
+        SELECT day, round(v, 5) AS v, round(m, 5) AS mean, round(m - 1.5 * sd, 5) AS lcl, round(m + 1.5 * sd, 5) AS ucl, coalesce(abs(v - m) > 1.5 * sd, false) AS outside FROM y""",
+    ),
+    "pa14_three_oldest_cohorts": (
+        lambda s, d: rounded(pa.cohort_benchmark(monthly_cohorts(s, d), 3, 0.001)),
+        f"""WITH {COM}, r AS (SELECT *, dense_rank() OVER (ORDER BY cohort) AS k FROM co), b AS (SELECT "offset", avg(rate) AS benchmark FROM r WHERE k <= 3 GROUP BY 1)
+        SELECT cohort, "offset", round(rate, 6) AS rate, round(benchmark, 6) AS benchmark FROM r JOIN b USING ("offset") WHERE k > 3 AND abs(rate - benchmark) > 0.001""",
+    ),
+    "pa15_cohort_gaps": (
+        lambda s, d: pa.cohort_gaps(monthly_cohorts(s, d)),
+        f"""WITH {COM}, h AS (SELECT DISTINCT cohort FROM co), g AS (SELECT unnest(generate_series(min(cohort)::TIMESTAMP, max(cohort)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS cohort FROM h),
+        l AS (SELECT *, sum(users) OVER (PARTITION BY cohort ORDER BY "offset" ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM co)
+        SELECT 'cohort' AS kind, cohort, NULL::INT AS "offset" FROM g WHERE cohort NOT IN (SELECT cohort FROM h) UNION ALL SELECT 'offset', cohort, "offset" FROM l WHERE users = 0 AND later > 0""",
+    ),
+    "pa16_funnel_by_segment": (
+        lambda s, d: rounded(pa.funnel(E(s, d).withColumn("seg", (F.col("user_id") % 3).cast("int")), "user_id", "ts", "event_type", ["view", "click", "purchase"], ["seg"]), 4),
+        """WITH e AS (SELECT *, (user_id % 3)::INT AS seg FROM events), a AS (SELECT seg, user_id, min(ts) AS t0 FROM e WHERE event_type = 'view' GROUP BY 1, 2),
+        b AS (SELECT a.seg, user_id, t0, min(ts) AS t1 FROM a LEFT JOIN (SELECT user_id, ts FROM e WHERE event_type = 'click') x USING (user_id) WHERE ts >= t0 GROUP BY 1, 2, 3),
+        c AS (SELECT seg, user_id, t1, min(ts) AS t2 FROM b JOIN (SELECT user_id, ts FROM e WHERE event_type = 'purchase') x USING (user_id) WHERE ts >= t1 GROUP BY 1, 2, 3),
+        n AS (SELECT seg, (SELECT count(*) FROM a x WHERE x.seg = s.seg) AS n0, (SELECT count(*) FROM b x WHERE x.seg = s.seg) AS n1, (SELECT count(*) FROM c x WHERE x.seg = s.seg) AS n2,
+            (SELECT median((epoch_us(t1) - epoch_us(t0)) / 1e6) FROM b x WHERE x.seg = s.seg) AS s1, (SELECT median((epoch_us(t2) - epoch_us(t1)) / 1e6) FROM c x WHERE x.seg = s.seg) AS s2 FROM (SELECT DISTINCT seg FROM a) s)
+        SELECT seg, 0 AS step, 'view' AS name, n0 AS users, 1.0::DOUBLE AS step_rate, 1.0::DOUBLE AS overall_rate, 0 AS drop, NULL::DOUBLE AS median_seconds FROM n
+        UNION ALL SELECT seg, 1, 'click', n1, round(n1 / n0, 4), round(n1 / n0, 4), n0 - n1, round(s1, 4) FROM n UNION ALL SELECT seg, 2, 'purchase', n2, round(n2 / n1, 4), round(n2 / n0, 4), n1 - n2, round(s2, 4) FROM n""",
+    ),
+    "pa20_quarter_and_year": (
+        lambda s, d: rounded(pa.comparisons(O(s, d), "o_orderdate", "quarter", F.col("o_totalprice"))),
+        """WITH g AS (SELECT date_trunc('quarter', o_orderdate)::DATE AS day, sum(o_totalprice) AS v FROM orders GROUP BY 1), l AS (SELECT day, v, lag(v) OVER (ORDER BY day) AS p, lag(v, 4) OVER (ORDER BY day) AS y FROM g)
+        SELECT day, round(v, 6) AS value, round(p, 6) AS previous, round(y, 6) AS year_ago, round((v - p) / abs(p), 6) AS change, round((v - y) / abs(y), 6) AS change_of_year FROM l""",
+    ),
+    "pa20_rate_of_month_and_year": (
+        lambda s, d: rounded(pa.comparisons(O(s, d), "o_orderdate", "month", (F.col("o_orderstatus") == "F").cast("int"), F.lit(1))),
+        """WITH g AS (SELECT date_trunc('month', o_orderdate)::DATE AS day, count(*) FILTER (o_orderstatus = 'F') / count(*) AS v FROM orders GROUP BY 1), l AS (SELECT day, v, lag(v) OVER (ORDER BY day) AS p, lag(v, 12) OVER (ORDER BY day) AS y FROM g)
+        SELECT day, round(v, 6) AS value, round(p, 6) AS previous, round(y, 6) AS year_ago, CASE WHEN p <> 0 THEN round((v - p) / abs(p), 6) END AS change, CASE WHEN y <> 0 THEN round((v - y) / abs(y), 6) END AS change_of_year FROM l""",
+    ),
     "pa1_rfm": (lambda s, d: rounded(pa.rfm(O(s, d), "o_custkey", "o_orderdate", "o_totalprice", "2001-12-31"), 2), f"WITH {RFM} SELECT o_custkey, recency, frequency, round(monetary, 2) AS monetary, r, f, m, CASE WHEN r >= 4 AND f >= 4 AND m >= 4 THEN 'Champions' WHEN f >= 4 THEN 'Loyal' WHEN r <= 2 AND f >= 3 THEN 'At Risk' WHEN r <= 2 AND f <= 2 THEN 'Lost' ELSE 'Other' END AS segment FROM s"),
     "pa4_concentration": (lambda s, d: rounded(pa.concentration(O(s, d), "o_totalprice", "o_custkey")), "WITH p AS (SELECT o_custkey AS e, sum(o_totalprice) AS v FROM orders GROUP BY 1), r AS (SELECT v, row_number() OVER w AS rank, sum(v) OVER w AS running, count(*) OVER () AS n, sum(v) OVER () AS t FROM p WINDOW w AS (ORDER BY v DESC, e ROWS UNBOUNDED PRECEDING)) SELECT max(n) AS n, round(sum((n + 1 - 2 * rank) * v) / (max(n) * max(t)), 6) AS gini, round(max(CASE WHEN rank = ceil(n * 0.1) THEN running / t END), 6) AS top10, round(max(CASE WHEN rank = ceil(n * 0.2) THEN running / t END), 6) AS top20, round(max(CASE WHEN rank = ceil(n * 0.5) THEN running / t END), 6) AS top50, round(100.0 * min(CASE WHEN running >= 0.8 * t THEN rank END) / max(n), 6) AS pareto_pct FROM r"),
     "pa5_segment_pairs": (lambda s, d: rounded(pa.segment_pairs(O(s, d), "o_orderpriority", "o_totalprice"), 4), "WITH g AS (SELECT o_orderpriority AS s, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY 1) SELECT a.s AS a, b.s AS b, round(b.m - a.m, 4) AS difference, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 4) AS t, round(power(a.v / a.n + b.v / b.n, 2) / (power(a.v / a.n, 2) / (a.n - 1) + power(b.v / b.n, 2) / (b.n - 1)), 4) AS df, round((b.m - a.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)), 4) AS d FROM g a JOIN g b ON a.s < b.s"),

@@ -47,6 +47,18 @@ PEAKS = "SELECT bin, n FROM (SELECT bin, n, coalesce(lag(n) OVER (ORDER BY bin),
 
 QUERIES = {
     "prf1_column_profile": (lambda s, d: prof.columns_profile(table(s, d, "orders")), ORDERS_PROFILE),
+    "prf1_sample_values": (
+        lambda s, d: prof.sample_values(table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")).withColumn("values", F.array_join("values", ",")),
+        " UNION ALL ".join(f"SELECT '{c}' AS \"column\", array_to_string(list(v ORDER BY v)[1:5], ',') AS values FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM orders WHERE {c} IS NOT NULL)" for c in ("o_orderkey", "o_orderstatus", "o_orderpriority")),
+    ),
+    "prf6_bimodal": (
+        lambda s, d: prof.shape_class(table(s, d, "events").select(F.when(F.col("event_id") % 4 == 0, 400 + F.col("value") / 5).otherwise(F.col("value") / 5).alias("x")), "x").select("n_unique", "shape"),
+        f"""WITH x AS (SELECT CASE WHEN event_id % 4 = 0 THEN 400 + value / 5 ELSE value / 5 END AS x FROM events), e AS (SELECT min(x) AS lo, max(x) AS hi FROM x),
+        h AS (SELECT b.bin, coalesce(n, 0) AS n FROM (SELECT unnest(range(1, 51))::INT AS bin) b LEFT JOIN (SELECT least(50, floor((x - lo) / (hi - lo) * 50)::INT + 1) AS bin, count(*) AS n FROM x, e GROUP BY 1) USING (bin)),
+        sm AS (SELECT bin, avg(n) OVER (ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM h), p AS ({PEAKS.format('sm')}), b AS (SELECT count(*) AS n_peaks, min(bin) AS a, max(bin) AS b, min(n) AS lower FROM (SELECT * FROM p ORDER BY n DESC, bin LIMIT 2)),
+        t AS (SELECT coalesce(n_peaks = 2 AND (SELECT min(n) FROM sm WHERE bin > a AND bin < b) < 0.6::DOUBLE * lower, false) AS two FROM b), m AS (SELECT count(DISTINCT x) AS u, skewness(x) AS sk, kurtosis(x) AS ku FROM x)
+        SELECT u AS n_unique, CASE WHEN abs(sk) < 0.5 AND ku < -1 THEN 'uniform' WHEN ku > 3 THEN 'heavy_tailed' WHEN two THEN 'bimodal' WHEN sk > 1 THEN 'right_skewed' WHEN sk < -1 THEN 'left_skewed' ELSE 'normal' END AS shape FROM m, t""",
+    ),
     "prf2_table_profile": (lambda s, d: prof.date_span(table(s, d, "orders"), "orders"), "SELECT 'orders' AS \"table\", count(*) AS n_rows, 1 AS n_date_columns, min(o_orderdate)::DATE AS first_day, max(o_orderdate)::DATE AS last_day FROM orders"),
     "prf3_source_profile": (lambda s, d: prof.source_profile({t: table(s, d, t) for t in ("orders", "nation")}), f"SELECT 'orders' AS \"table\", * FROM ({ORDERS_PROFILE}) UNION ALL SELECT 'nation', * FROM ({_profile_sql('nation', {'n_nationkey': 'int', 'n_regionkey': 'int'}, ['n_name'], {})})"),
     "prf4_snapshot_diff": (lambda s, d: prof.snapshot_diff(*changed_snapshot(s, d)), "SELECT * FROM (VALUES ('orders', 'o_orderpriority', 'string', NULL, 'removed', true), ('orders', 'extra', NULL, 'string', 'added', false), ('orders', 'o_orderstatus', 'string', 'int', 'type_changed', false)) v(\"table\", \"column\", old_type, new_type, change, breaking) WHERE (SELECT count(*) FROM orders) > 0"),

@@ -27,6 +27,12 @@ QUERIES = {
     "fc3_autocorrelation": (lambda s, d: rounded(se.autocorrelation(daily(s, d)).drop("n")), f"WITH {FILL}, {ACF} SELECT series, lag, round(acf, 6) AS acf FROM a"),
     "fc3_peaks": (lambda s, d: rounded(se.acf_peaks(se.autocorrelation(daily(s, d)))), f"WITH {FILL}, {ACF}, p AS (SELECT *, lag(acf) OVER w AS l, lead(acf) OVER w AS r FROM a WINDOW w AS (PARTITION BY series ORDER BY lag)) SELECT series, lag, round(acf, 6) AS acf FROM p WHERE acf > coalesce(l, 1) AND acf > coalesce(r, -2) AND acf > 2 / sqrt(n)"),
     "fc5_simple_smoothing": (lambda s, d: rounded(se.simple(daily(s, d), 0.3)), f"WITH {FILL} SELECT series, round(sum(value * CASE WHEN i = 0 THEN power(0.7, n - 1) ELSE 0.3::DOUBLE * power(0.7, n - 1 - i) END), 6) AS level FROM i GROUP BY 1"),
+    "fc9_simple_fitted": (
+        lambda s, d: rounded(se.simple_fitted(daily(s, d), 0.3)),
+        f"""WITH {FILL}, l AS (SELECT a.series, a.day, a.value, CASE WHEN a.i = 0 THEN a.value ELSE (SELECT sum(b.value * CASE WHEN b.i = 0 THEN power(0.7::DOUBLE, a.i - 1) ELSE 0.3::DOUBLE * power(0.7::DOUBLE, a.i - 1 - b.i) END) FROM i b WHERE b.series = a.series AND b.i < a.i) END AS fitted FROM i a)
+        SELECT series, day, round(value, 6) AS value, round(fitted, 6) AS fitted, round(value - fitted, 6) AS residual FROM l""",
+    ),
+    "fc9_holt_winters_fitted": (lambda s, d: rounded(se.holt_winters_fitted(daily(s, d), 7, 0.3)), None),
     "fc6_holt": (lambda s, d: rounded(se.holt(daily(s, d), 0.3, 0.1)), None),
     "fc7_fc8_fc9_holt_winters": (lambda s, d: rounded(se.holt_winters(daily(s, d), 7, 7)), None),
 }

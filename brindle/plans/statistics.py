@@ -60,6 +60,11 @@ QUERIES = {
     "exp4_srm": (lambda s, d: rounded(st.srm(users(s, d), "variant", {0: 0.5, 1: 0.5}, tails=False)), f"SELECT count(*) AS n, round(power(count(*) FILTER (variant = 0) - count(*) / 2, 2) / (count(*) / 2) + power(count(*) FILTER (variant = 1) - count(*) / 2, 2) / (count(*) / 2), 6) AS chi2, 1 AS df FROM {US}"),
     "exp4_srm_verdict": (lambda s, d: st.srm(users(s, d), "variant", {0: 0.5, 1: 0.5}), None),
     "exp5_srm_by_segment": (lambda s, d: rounded(st.srm(st.by_segment(ab(s, d).withColumn("hour", F.hour("ts")), ["event_type", "hour"], ["variant"]), "variant", {0: 0.5, 1: 0.5}, by=["dim", "value"], tails=False)), f"WITH x AS (SELECT 'event_type' AS dim, event_type AS value, variant FROM {AB} UNION ALL SELECT 'hour', hour(ts)::VARCHAR, variant FROM {AB}) SELECT dim, value, count(*) AS n, round(power(count(*) FILTER (variant = 0) - count(*) / 2, 2) / (count(*) / 2) + power(count(*) FILTER (variant = 1) - count(*) / 2, 2) / (count(*) / 2), 6) AS chi2, 1 AS df FROM x GROUP BY 1, 2"),
+    "exp5_srm_all_segments": (
+        lambda s, d: rounded(st.srm_by_segments(ab(s, d).withColumns({"weekday": F.dayofweek("ts"), "hour": F.hour("ts")}).drop("props"), "variant", {0: 0.5, 1: 0.5}, tails=False)),
+        f"""WITH e AS (SELECT *, dayofweek(ts) + 1 AS weekday FROM {AB}), x AS (SELECT 'event_type' AS dim, event_type AS value, variant FROM e UNION ALL SELECT 'bought', bought::VARCHAR, variant FROM e UNION ALL SELECT 'weekday', weekday::VARCHAR, variant FROM e)
+        SELECT dim, value, count(*) AS n, round(power(count(*) FILTER (variant = 0) - count(*) / 2, 2) / (count(*) / 2) + power(count(*) FILTER (variant = 1) - count(*) / 2, 2) / (count(*) / 2), 6) AS chi2, 1 AS df FROM x GROUP BY 1, 2""",
+    ),
     "exp6_cuped": (lambda s, d: rounded(st.cuped(users(s, d), "variant", "pre", "post", 0, 1, tails=False), 4), f"WITH a AS (SELECT covar_samp(pre, post) / var_samp(pre) AS theta, avg(pre) AS xm, power(corr(pre, post), 2) AS red FROM {US}), g AS (SELECT variant, count(*) AS n, avg(pre) AS x, avg(post) AS y, var_samp(pre) AS vx, var_samp(post) AS vy, covar_samp(pre, post) AS c FROM {US} GROUP BY 1), m AS (SELECT variant, n, y - theta * (x - xm) AS m, (vy - 2 * theta * c + theta * theta * vx) / n AS s FROM g, a) SELECT round(theta, 4) AS theta, round(red, 4) AS reduction, round(p.m, 4) AS m_a, round(q.m, 4) AS m_b, round(q.m - p.m, 4) AS effect, round(sqrt(p.s + q.s), 4) AS se, round(power(p.s + q.s, 2) / (p.s * p.s / (p.n - 1) + q.s * q.s / (q.n - 1)), 4) AS df FROM a, m p, m q WHERE p.variant = 0 AND q.variant = 1"),
     "exp8_confidence_sequence": (lambda s, d: rounded(st.confidence_sequence(E(s, d), "value", "event_type", ["ts", "event_id"]).drop("ts", "x", "mean"), 4), "WITH r AS (SELECT event_type, event_id, value AS x, count(value) OVER w AS n, avg(value) OVER w AS mean, var_samp(value) OVER w AS v FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), h AS (SELECT *, sqrt(2 * v * ln(2 * log2(2 * n) / 0.05::DOUBLE * 1.7::DOUBLE) / n * 1.1::DOUBLE) AS h FROM r) SELECT event_type, event_id, n, CASE WHEN n >= 2 THEN round(mean - h, 4) END AS low, CASE WHEN n >= 2 THEN round(mean + h, 4) END AS high FROM h"),
     "exp9_e_value": (lambda s, d: rounded(st.e_value(E(s, d), "value", "event_type", ["ts", "event_id"], 10.0).groupBy("event_type").agg(F.max("log_e").alias("top_log_e"), F.min("p").alias("least_p")), 4), "WITH r AS (SELECT event_type, ts, event_id, value - 10 AS d FROM events), s AS (SELECT *, coalesce(sum(d) OVER w, 0) AS s1, coalesce(sum(d * d) OVER w, 0) AS s2 FROM r WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), g AS (SELECT *, ln(greatest(1e-10, 1 + CASE WHEN s2 > 0 THEN greatest(-0.5, least(0.5, s1 / s2)) ELSE 0 END * d)) AS gain FROM s), l AS (SELECT event_type, least(500.0, sum(gain) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS e FROM g) SELECT event_type, round(max(e), 4) AS top_log_e, round(least(1.0, exp(-max(e))), 4) AS least_p FROM l GROUP BY 1"),

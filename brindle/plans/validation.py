@@ -136,6 +136,10 @@ QUERIES = {
     "val35_ratio_recompute": (lambda s, d: val.ratio_recompute(L(s, d).withColumn("stated", F.round(F.try_divide("l_extendedprice", "l_quantity"), -1)), "l_extendedprice", "l_quantity", "stated").groupBy("status").agg(F.count("*").alias("n")), "WITH r AS (SELECT l_extendedprice / l_quantity AS r, round(l_extendedprice / l_quantity, -1) AS s FROM lineitem) SELECT CASE WHEN g <= 0.001 THEN 'PASS' WHEN g <= 0.01 THEN 'WARN' ELSE 'FAIL' END AS status, count(*) AS n FROM (SELECT CASE WHEN s = 0 THEN abs(r) ELSE abs(r - s) / abs(s) END AS g FROM r) GROUP BY 1"),
     "val37_claim_bounds": (lambda s, d: val.claim_bounds(claims(s, d)).groupBy("kind", "status").agg(F.count("*").alias("n")), "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'money' ELSE 'percent' END AS kind, CASE WHEN c_custkey % 2 = 0 AND c_acctbal < 0 OR c_custkey % 2 <> 0 AND c_acctbal NOT BETWEEN 0 AND 100 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS n FROM customer GROUP BY ALL"),
     "val40_scorecard": (lambda s, d: rounded(val.scorecard(check_rows(s, d))), "WITH r AS (SELECT count(*) FILTER (l_discount NOT BETWEEN 0 AND 0.08) / count(*) AS a, count(*) FILTER (l_tax < 0) AS b FROM lineitem), c AS (SELECT CASE WHEN a > 0.05 THEN 0.0 WHEN a > 0 THEN 0.6 ELSE 1.0 END AS ranges, CASE WHEN b > 0 THEN 0.0 ELSE 1.0 END AS consistency FROM r), k AS (SELECT CASE WHEN count(*) > 0 THEN 0.0 ELSE 1.0 END AS uniq FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)), s AS (SELECT round(100::DOUBLE * (ranges + consistency + uniq) / 3, 6) AS score FROM c, k) SELECT 'lineitem' AS \"table\", score, 2::BIGINT AS n_layers, CASE WHEN score >= 55 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM s UNION ALL SELECT 'orders', 100.0, 1, 'C' FROM (SELECT count(*) FROM orders)"),
+    "val42_median_split": (
+        lambda s, d: rounded(val.simpson(val.split_at_median(L(s, d), "l_quantity", "half"), "l_discount", ["l_returnflag", "l_linenumber"], "half")),
+        simpson_sql(["l_returnflag", "l_linenumber"], "l_discount", "half", "(SELECT *, CASE WHEN l_quantity > (SELECT median(l_quantity) FROM lineitem) THEN 'high' ELSE 'low' END AS half FROM lineitem)"),
+    ),
     "val42_val43_simpson": (lambda s, d: rounded(val.simpson(L(s, d), "l_discount", ["l_returnflag", "l_linenumber"], "l_linestatus")), simpson_sql(["l_returnflag", "l_linenumber"], "l_discount", "l_linestatus", "lineitem")),
     "val44_suggest_segments": (lambda s, d: rounded(val.suggest_segments(L(s, d), ["l_returnflag", "l_linestatus", "l_linenumber", "l_partkey"])), "WITH c AS (SELECT 'l_returnflag' AS \"column\", count(*) AS n FROM lineitem GROUP BY l_returnflag UNION ALL SELECT 'l_linestatus', count(*) FROM lineitem GROUP BY l_linestatus UNION ALL SELECT 'l_linenumber', count(*) FROM lineitem GROUP BY l_linenumber UNION ALL SELECT 'l_partkey', count(*) FROM lineitem GROUP BY l_partkey) SELECT \"column\", count(*) AS n_values, round(stddev_pop(n) / avg(n), 6) AS cv, round(stddev_pop(n) / avg(n) / (1 + count(*) / 50), 6) AS score FROM c GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50"),
     "val46_reproducibility": (lambda s, d: val.reproducible(O(s, d), O(s, d).orderBy(F.desc("o_orderkey"))), "SELECT count(*) AS n_a, count(*) AS n_b, 'identical' AS verdict FROM orders"),

@@ -3,11 +3,12 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import scalars, tails
-from brindle.operators import logs, ordering, product, suites, profiling, semantic, series, sets, statistics, validation
+from brindle.operators import causal, logs, ordering, product, suites, profiling, semantic, series, sets, statistics, validation
 from brindle.sources import tables as src
 
 
@@ -268,3 +269,64 @@ def test_retention_interval_and_gaps(spark):
     assert {r["n_cohorts"] for r in product.retention_curve(cells, mature=2).collect()} == {1}
     days = spark.createDataFrame([("2024-01-01",), ("2024-01-02",), ("2024-01-06",)], "d string").withColumn("d", F.to_date("d"))
     assert validation.coverage(days, "d", "day", max_gap=2).first()["status"] == "FAIL" and validation.coverage_gaps(days, "d").first()["n"] == 3
+
+
+def test_numbers_in_phrases_with_hints(spark):
+    rows = ["about 12 apples", "-3.5%", "4 percent of users", "up 2 percentage points", "EUR 1,200", "5 million users", "($1.5m)", "+7", "no number", None]
+    df = spark.createDataFrame([(r,) for r in rows], "s string")
+
+    def parsed(hint=None):
+        v, u, _ = scalars.parse_number(F.col("s"), hint)
+        return [(None if r["v"] is None else round(r["v"], 9), r["u"]) for r in df.select(v.alias("v"), u.alias("u")).collect()]
+
+    want = [(12.0, "number"), (-0.035, "rate"), (0.04, "rate"), (0.02, "rate"), (1200.0, "currency"), (5e6, "number"), (-1.5e6, "currency"), (7.0, "number"), (None, None), (None, None)]
+    assert parsed() == want
+    assert parsed("percent")[0] == (0.12, "rate") and parsed("percent")[1] == (-0.035, "rate") and parsed("ratio")[0] == (12.0, "rate") and parsed("count")[0] == (12.0, "count")
+
+
+def test_did_with_covariates_is_least_squares(spark):
+    rng = np.random.default_rng(2)
+    t, p, x = rng.integers(0, 2, 300), rng.integers(0, 2, 300), rng.normal(5, 2, 300)
+    y = 1 + 0.5 * t + 2 * p + 3 * t * p + 0.7 * x + rng.normal(0, 1, 300)
+    df = spark.createDataFrame([(int(a), int(b), float(c), float(d)) for a, b, c, d in zip(t, p, x, y, strict=True)], "t int, p int, x double, y double")
+    got = {r["term"]: (r["estimate"], r["se"]) for r in causal.did_adjusted(df, "y", "t", "p", {"x": F.col("x")}, tails=False).collect()}
+    m = np.column_stack([np.ones(300), t, p, t * p, x])
+    beta = np.linalg.lstsq(m, y, rcond=None)[0]
+    e, inv = y - m @ beta, np.linalg.inv(m.T @ m)
+    se = np.sqrt(np.diag(inv @ (m.T * e**2) @ m @ inv * 300 / 295))
+    for k, name in enumerate(["intercept", "treated", "post", "effect", "x"]):
+        assert got[name] == (pytest.approx(beta[k], abs=1e-8), pytest.approx(se[k], abs=1e-8))
+
+
+def test_null_rates_are_a_confound(spark):
+    df = spark.createDataFrame([("2024-01-01", 1.0), ("2024-01-02", 3.0), ("2024-02-01", None), ("2024-02-02", 2.0)], "d string, x double")
+    r = causal.confounds(df, "d", "2024-01-15", ["x"]).first()
+    assert (r["null_before"], r["null_after"], r["shift"], r["flag"]) == (0.0, 0.5, 0.0, True)
+
+
+def test_few_valued_columns(spark):
+    df = spark.createDataFrame([(i, i % 19, i % 20, "x", i % 2 == 0) for i in range(400)], "id int, a int, b int, c string, d boolean")
+    assert statistics.few_valued(df) == ["a", "d"] and statistics.few_valued(df, ["b"], 20) == ["b"] and statistics.few_valued(df.select("c")) == []
+    assert statistics.srm_by_segments(df.select("id", "d"), "d", {True: 1, False: 1}, tails=False).isEmpty()
+
+
+def test_fitted_rows_agree_with_the_smoother(spark):
+    y = [float((i * 7) % 11 + i % 7) for i in range(30)]
+    df = spark.createDataFrame([("a", f"2024-01-{i + 1:02}", v) for i, v in enumerate(y)] + [("b", "2024-01-01", 4.0)], "series string, day string, value double")
+    rows = series.holt_winters_fitted(df, 7, 0.3).orderBy("series", "day").collect()
+    want = series.smooth_one(np.array(y), 0.3, 0.1, 0.1, 7)[0]
+    assert [r["fitted"] for r in rows[:30]] == pytest.approx(want.tolist()) and rows[30]["residual"] == 0.0
+    simple = series.simple_fitted(df, 0.3).orderBy("series", "day").collect()
+    assert [r["fitted"] for r in simple[:30]] == pytest.approx(series.smooth_one(np.array(y), 0.3, None, 0.0, None)[0].tolist()) and len(simple) == 31
+    best = series.holt_winters(df.where("series = 'a'"), 3, 7).first()
+    errors = {a: float(np.mean((np.array(y) - series.smooth_one(np.array(y), a, 0.1, 0.1, 7)[0]) ** 2)) for a in (i / 100 for i in range(1, 100))}
+    assert best["mse"] == pytest.approx(min(errors.values())) and best["alpha"] == pytest.approx(min(errors, key=errors.get))
+
+
+def test_sample_values_and_shapes(spark):
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([(float(v), str(i % 7), None) for i, v in enumerate(np.concatenate([rng.normal(0, 1, 900), rng.normal(8, 1, 300)]))], "x double, s string, n int")
+    assert {r["column"]: r["values"] for r in profiling.sample_values(df.select("s", "n")).collect()} == {"s": ["0", "1", "2", "3", "4"]}
+    assert profiling.shape_class(df, "x").first()["shape"] == "bimodal"
+    assert profiling.shape_class(df.where("x < 4"), "x").first()["shape"] == "normal"
+    assert profiling.shape_class(df.limit(0), "x").count() <= 1
