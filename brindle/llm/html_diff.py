@@ -46,26 +46,35 @@ from .text import table, through_table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-NEVER = frozenset("nav aside form menu head svg math button select object audio video canvas dialog datalist fieldset".split())
+NEVER = frozenset("nav aside form menu head svg button select object audio video canvas dialog datalist fieldset".split())
 OUTER = frozenset(["header", "footer"])
 CLOSES_P = BLOCK - frozenset(["html", "body", "head", "option"])
 
-#: Words of class and id that name what is no article, wherever they stand in a name.
+#: Words of class and id that name what is no article, at the end of a name or among none but WEAK and NEUTRAL words and numbers.
 STRONG = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr newsletter subscribe comment comments disqus respond replies sidebar navbar navigation breadcrumb breadcrumbs pagination masthead popup modal".split())
-#: Words that do so only in names of which every word is one of these or NEUTRAL.
+#: Words that do so only in names of which every word is one of these or of PLACES.
 WEAK = frozenset("promo banner notice overlay aside widget widgets menu nav pager footer header related recommended share sharing social toolbar login signup side skip".split())
-NEUTRAL = frozenset("site page global top bottom left right box bar block area wrap wrapper container section list item items links link buttons button unit slot main primary secondary".split())
+PLACES = frozenset("site page global top bottom left right box bar block area wrap wrapper container section list item items links link buttons button unit slot main primary secondary".split())
+NEUTRAL = PLACES | frozenset("content form body thread text title inner outer author date meta count post entry row column col grid small large".split())
 REPLY = frozenset("comment comments reply replies".split())
 LAYOUT = re.compile(r"(?:^|[-_])(?:has|with|without|no|not|is)[-_]|[-_](?:wrap|wrapper|layout|container|page|theme|template)$")
 NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.DOTALL)
-ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>]|$)""", re.IGNORECASE)
+#: A comment, a declaration, or a tag with its attributes: quotes only count where a value begins, and an unquoted one ends at white space.
+TAG = re.compile(
+    r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)
+    |<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]|[^\s/>=][^\s/>=]*+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+))?|=)*+)(?:>|$)""",
+    re.DOTALL | re.VERBOSE,
+)
+ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?(?=[\s/>]|$)""", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 
 
 def noisy_name(name: str) -> bool:
-    words = [w for w in re.split(r"[-_]+", name) if w]
-    return any(w in STRONG for w in words) or any(w in WEAK for w in words) and all(w in WEAK or w in NEUTRAL for w in words)
+    """Whether the words of a name say so: ``post-comments`` and ``ad-slot-2`` do, ``ad-hoc`` and ``comments-policy`` do not."""
+    words = [w for w in re.split(r"[-_]+", name) if w and not w.isdigit()]
+    known = all(w in STRONG or w in WEAK or w in NEUTRAL for w in words)
+    strong = any(w in STRONG for w in words) and (known or words[-1] in STRONG)
+    return strong or any(w in WEAK for w in words) and all(w in WEAK or w in PLACES for w in words)
 
 
 def is_noise(attrs: str, article: bool = False) -> bool:
@@ -86,6 +95,15 @@ def text_lines(html: str | None) -> list[tuple[int, str]]:
     stack: list[tuple[str, bool, int]] = []  # element, ruled out, number of the outermost marked article
     buffer: list[str] = []
     off, inside, articles = False, 0, 0
+    open_: dict[str, int] = {}  # how many elements of each name the stack holds
+
+    def cut(depth: int) -> None:
+        """Close the elements from a depth on."""
+        nonlocal off, inside
+        for x in stack[depth:]:
+            open_[x[0]] -= 1
+        del stack[depth:]
+        off, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
 
     def flush() -> None:
         if buffer:
@@ -119,18 +137,14 @@ def text_lines(html: str | None) -> list[tuple[int, str]]:
         if name == "br":
             buffer.append(" ")
             continue
-        if name in BLOCK or name in NEVER:
+        if name in BLOCK:  # elements inside a line leave it whole
             flush()
         if closing:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None:
-                del stack[depth:]
-                off, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            if open_.get(name):
+                cut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
         elif name not in VOID:
             if name in CLOSES_P and "p" in (x[0] for x in stack[-4:]):
-                depth = max(k for k in range(len(stack)) if stack[k][0] == "p")
-                del stack[depth:]
-                off, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+                cut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"))
             attrs = m[3] or ""
             marked = name in ("article", "main") or "role" in attrs and re.search(r"""role\s*=\s*["']?(main|article)\b""", attrs) is not None
             body = name in ("html", "body")
@@ -140,6 +154,7 @@ def text_lines(html: str | None) -> list[tuple[int, str]]:
                 inside = articles
             if not attrs.rstrip().endswith("/") or name in BLOCK:
                 stack.append((name, off, inside))
+                open_[name] = open_.get(name, 0) + 1
             else:
                 off, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
     flush()

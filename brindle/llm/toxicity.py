@@ -8,13 +8,15 @@ taken, and a document's logit is its largest. Training is by multiple instances:
 in every epoch all windows are scored and the largest of each document learns
 the document's label.
 
-Labels are learnt from at most ``MOST`` rows of each label (the documented bound
-of the sample, picked by a hash of doc_id) among those whose crc32(doc_id) mod 5
-is not 0; scoring covers all windows of all documents.
+Labels are learnt from at most ``MOST`` documents of each label (the documented
+bound of the sample, picked by a hash of doc_id) among those whose crc32(doc_id)
+mod 5 is not 0, of a longer text from ``MOST_WORDS`` words in evenly spaced runs (so
+the driver holds 2 x MOST x MOST_WORDS words at most, of 100 characters at most in
+a text that is cut); scoring covers all windows of all documents whole.
 
 Defined cases: a null text is empty; an empty text is one window of one blank
 word; without labelled rows every score is the blank model's; repeated rows give
-repeated result rows; an empty table gives an empty result; other columns are
+repeated result rows, and repeated labels or documents train once; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -33,6 +35,7 @@ from .text import table
 
 WINDOW, STRIDE = 24, 16
 MOST = 1500
+MOST_WORDS = 8192
 VOCABULARY = 4000
 GRAMS = 1 << 14
 D, H = 8, 8
@@ -229,12 +232,31 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     return model
 
 
+def shortened(text: str) -> str:
+    """A text of more than ``MOST_WORDS`` words by evenly spaced runs of ``STRIDE`` words, as many words in all."""
+    words = text.split()
+    if len(words) <= MOST_WORDS:
+        return text if len(text) <= 100 * MOST_WORDS else " ".join(w[:100] for w in words)
+    starts = np.linspace(0, len(words) - STRIDE, MOST_WORDS // STRIDE).astype(int)
+    return " ".join(w[:100] for at in starts.tolist() for w in words[at : at + STRIDE])
+
+
+def shorten_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.assign(text=[shortened(t or "") for t in batch["text"]])
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST) -> pd.DataFrame:
-    """At most ``most`` texts of each label, by hash of doc_id, never of a held-out row."""
-    seen = labels.where((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
+    """At most ``most`` texts of each label, by hash of doc_id, never of a held-out row, each of ``MOST_WORDS`` words at most.
+
+    A doc_id counts once: toxic if any of its labels is, with the least of its texts.
+    """
+    seen = labels.where((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [seen.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     ids = F.broadcast(picked[0].unionAll(picked[1]))  # 2 x most rows at most
-    return docs.select("doc_id", "text").join(ids, "doc_id").toPandas().sort_values("doc_id")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (docs.schema["doc_id"], labels.schema["toxic"]))
+    found = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "toxic", "text").mapInPandas(shorten_batches, f"{kinds}, text string")
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
 
 
 def score_batches(shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

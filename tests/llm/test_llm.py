@@ -109,6 +109,27 @@ def test_structure_rules_out_noise():
     assert [t for i, t in html_diff.text_lines(page) if i] == ["A", "one", "two x", "kept"]
 
 
+def test_attributes_names_and_inline_elements():
+    lines = lambda html: [t for _, t in html_diff.text_lines(html)]
+    assert lines("<p title=don't>Second</p><p>Third isn't</p>") == ["Second", "Third isn't"]
+    assert lines("<a href=x/y?a=\"b>t</a><p a='>' b=\">\">q</p><p a=\"unclosed>r</p>") == ["t", "q", "r"]
+    assert lines("<p>Press <button>OK</button> now</p><p>x <math><mi>y</mi></math> z <svg><text>no</text></svg></p>") == ["Press now", "x y z"]
+    kept, gone = ("comments-policy", "ad-hoc", "subscribe-to-science", "no-sidebar"), ("post-comments", "comment-12", "ad-slot-2", "newsletter-signup", "sidebar", "cookie-bar")
+    assert lines("".join(f'<div class="{c}"><p>{c}</p></div>' for c in kept + gone)) == list(kept)
+
+
+def test_tags_are_read_in_linear_time():
+    import time
+
+    def seconds(html):
+        began = time.process_time()
+        html_diff.text_lines(html)
+        return time.process_time() - began
+
+    for html in ("<div>", "<p a=\"", "<a b=' <p x= ", "<b>"):
+        assert seconds(html * 16_000 + "</span>" * 16_000) < 2
+
+
 def test_marks_weigh_and_shared_lines_go(spark):
     page = lambda i: f"""<body><div>Shop</div><main><section><h1>Post {i}</h1><p>Prose of {i} is here, and more of it.</p><p>Licence</p></section></main>
     <div role="article"><p>Follow us</p></div><p>Tip {i}</p></body>"""
@@ -481,6 +502,19 @@ def test_windows_cover_every_word():
         assert {int(b.word[i]) for i in b.rows.ravel() if i >= 0} == set(range(1, n + 1))
 
 
+def test_the_training_sample_is_bounded(spark):
+    long = " ".join(f"w{i}" for i in range(50_000)) + " end"
+    docs = [(i, f"text {i % 3}") for i in range(60)] * 20 + [(1, None), (7, long)] * 3 + [(8, "x" * 2_000_000)]
+    labels = [(i, i % 2) for i in range(60)] * 50 + [(2, 1), (8, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    rows = toxicity.training_rows(*df, most=10)
+    assert rows["doc_id"].is_unique and rows["toxic"].value_counts().to_dict() == {0: 10, 1: 10}
+    every = toxicity.training_rows(*df).set_index("doc_id")
+    assert {i for i in range(60) if zlib.crc32(str(i).encode()) % 5} == set(every.index) and every["toxic"].get(2, 1) == 1
+    assert every["text"].str.len().max() <= 100 * (toxicity.MOST_WORDS + 1) and all(len(t.split()) <= toxicity.MOST_WORDS for t in every["text"])
+    assert toxicity.shortened("a b") == "a b" and toxicity.shortened(long).split()[0] == "w0" and toxicity.shortened(long).endswith(" end")
+
+
 def test_held_out_accuracy(spark):
     got = llm.queries()["op6_toxicity"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").toPandas()
     assert (got["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got["doc_id"]]).all()
