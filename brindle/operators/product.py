@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,29 +14,37 @@ from .ordering import dealt, one_row, quantiles, scanned
 from .profiling import spine
 
 
-def cut_points(df: DataFrame, column: str) -> DataFrame:
-    """Edges for 5, 4, 3 or 2 quantile bins: the most whose edges are all distinct (one row)."""
+def cut_points(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: for each column the edges of 5, 4, 3 or 2 quantile bins, the most whose edges are all distinct; null if none are.
+
+    All columns are counted and ordered together.
+    """
     levels = {q: [i / q for i in range(q + 1)] for q in (5, 4, 3, 2)}
     at = {f"q{q}_{i}": x for q, xs in levels.items() for i, x in enumerate(xs)}
-    row = quantiles(df, {column: F.col(column)}, at).select(*[F.array(*[f"q{q}_{i}" for i in range(q + 1)]).alias(f"q{q}") for q in levels])
+    rows = quantiles(df, {c: F.col(c) for c in columns}, at).select("column", *[F.array(*[f"q{q}_{i}" for i in range(q + 1)]).alias(f"q{q}") for q in levels])
     pick = F.lit(None).cast("array<double>")
     for q in (2, 3, 4, 5):
         pick = F.when(F.size(F.array_distinct(f"q{q}")) == q + 1, F.col(f"q{q}")).otherwise(pick)
-    return row.agg(F.first(pick).alias("edges"))  # one row, also without values
+    return rows.agg(*[F.max(F.when(F.col("column") == c, pick)).alias(c) for c in columns])  # one row, also without values
 
 
-def quantile_score(df: DataFrame, column: str, name: str, reverse: bool = False) -> DataFrame:
-    """1 to q by quantile bin (5 downwards if reversed); a constant column scores 3."""
-    cut = cut_points(df, column).withColumnRenamed("edges", f"_{name}")
-    above = F.size(F.filter(F.slice(f"_{name}", 2, F.greatest(F.size(f"_{name}") - 2, F.lit(0))), lambda e: e < F.col(column)))
-    score = F.when(F.col(f"_{name}").isNull(), 3).otherwise(5 - above if reverse else above + 1)
-    return df.crossJoin(F.broadcast(cut)).withColumn(name, score.cast("int")).drop(f"_{name}")  # edges are one row
+def quantile_scores(df: DataFrame, scores: dict[str, tuple[str, bool]]) -> DataFrame:
+    """df with scores name -> (column, reversed): 1 to q by quantile bin, 5 downwards if reversed; a constant column scores 3."""
+    cuts = cut_points(df, list(dict.fromkeys(c for c, _ in scores.values())))
+    cuts = cuts.select(*[F.col(c).alias(f"_cut_{c}") for c in cuts.columns])
+    out = {}
+    for name, (column, down) in scores.items():
+        edges = F.col(f"_cut_{column}")
+        below = F.transform(F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0))), partial(lambda value, e: (e < value).cast("int"), F.col(column)))
+        above = F.aggregate(below, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
+        out[name] = F.when(edges.isNull(), 3).otherwise(5 - above if down else above + 1).cast("int")
+    return df.crossJoin(F.broadcast(cuts)).withColumns(out).drop(*cuts.columns)  # one row
 
 
 def rfm(df: DataFrame, customer: str, day: str, revenue: str, as_of: str) -> DataFrame:
     """Recency, frequency, monetary value, their scores and a segment per customer."""
     per = df.where(F.col(customer).isNotNull()).groupBy(customer).agg(F.datediff(F.lit(as_of).cast("date"), F.max(F.col(day).cast("date"))).alias("recency"), F.count("*").alias("frequency"), F.sum(revenue).alias("monetary"))
-    per = quantile_score(quantile_score(quantile_score(per, "recency", "r", True), "frequency", "f"), "monetary", "m")
+    per = quantile_scores(per, {"r": ("recency", True), "f": ("frequency", False), "m": ("monetary", False)})
     seg = F.when((F.col("r") >= 4) & (F.col("f") >= 4) & (F.col("m") >= 4), "Champions").when(F.col("f") >= 4, "Loyal").when((F.col("r") <= 2) & (F.col("f") >= 3), "At Risk").when((F.col("r") <= 2) & (F.col("f") <= 2), "Lost").otherwise("Other")
     return per.withColumn("segment", seg)
 

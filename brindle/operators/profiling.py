@@ -45,7 +45,8 @@ def columns_profile(df: DataFrame) -> DataFrame:
         }
     cells = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("string").alias("v")) for f in df.schema])
     rows = df.select(F.explode(cells).alias("x")).select("x.column", "x.v").where("v IS NOT NULL")
-    unique = rows.groupBy("column", "v").count().groupBy("column").agg(F.count("*").alias("n_unique"))
+    same = F.struct(F.xxhash64("v"), F.xxhash64(F.lit(7), "v"))  # 128 bits of a value are shuffled, not the value
+    unique = rows.groupBy("column", same.alias("v")).count().groupBy("column").agg(F.count("*").alias("n_unique"))
     profile = unpivot(df, out).join(F.broadcast(unique), "column", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))  # a row a column
     return profile.select("column", "type", "n_null", "null_pct", "n_unique", "min", "max", "mean", "sd", "min_length", "max_length", "mean_length")
 

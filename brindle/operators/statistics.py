@@ -67,15 +67,18 @@ def mann_whitney(df: DataFrame, group: str, metric: str, a, b, tails: bool = Tru
     """U of the first group, tie-corrected normal z with continuity, medians and rank-biserial correlation."""
     two = df.where(F.col(group).isin(a, b) & F.col(metric).isNotNull()).select(F.when(F.col(group) == F.lit(a), 1).otherwise(0).alias("is_a"), F.col(metric).cast("double").alias("x"))
     per = two.groupBy("x").agg(F.sum("is_a").alias("ka"), F.count("*").alias("ties"))
-    ranked = cumulated(per, [], "x", "ties").withColumn("rank", F.col("upto") - (F.col("ties") - 1) / 2)
-    g = ranked.agg(F.sum("ka").alias("n_a"), F.sum(F.col("ties") - F.col("ka")).alias("n_b"), F.sum(F.col("rank") * F.col("ka")).alias("r"), F.sum(F.col("ties").cast("double") ** 3 - F.col("ties")).alias("tie"))
+    parts = dealt(per.withColumn("kb", F.col("ties") - F.col("ka")), [], ["x"])
+    totals = parts.agg(F.sum("ka").alias("n_a"), F.sum("kb").alias("n_b"))
+    ranked = scanned(parts, [], ["x"], {"upto_a": ("sum", F.col("ka")), "upto_b": ("sum", F.col("kb"))}).crossJoin(F.broadcast(totals))  # one row
+    ranked = ranked.withColumn("rank", F.col("upto_a") + F.col("upto_b") - (F.col("ties") - 1) / 2)
+    at = lambda s, place: F.min(F.when(F.col(f"upto_{s}") > place((F.col(f"n_{s}") - 1) / 2), F.col("x")))
+    medians = [((at(s, F.floor) + at(s, F.ceil)) / 2).alias(f"median_{s}") for s in "ab"]
+    g = ranked.agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), *medians, F.sum(F.col("rank") * F.col("ka")).alias("r"), F.sum(F.col("ties").cast("double") ** 3 - F.col("ties")).alias("tie"))
     n, prod = F.col("n_a") + F.col("n_b"), F.col("n_a") * F.col("n_b")
     g = g.withColumn("u", F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2)
     sd = F.sqrt(prod / 12.0 * ((n + 1) - F.col("tie") / (n * (n - 1.0))))
     off = F.col("u") - prod / 2
     g = g.withColumns({"z": F.try_divide(F.signum(off) * F.greatest(F.abs(off) - 0.5, F.lit(0.0)), sd), "rank_biserial": 2 * F.col("u") / prod - 1}).drop("r", "tie")
-    med = one_row(two, {s: F.when(F.col("is_a") == v, F.col("x")) for s, v in (("a", 1), ("b", 0))}, {"median": 0.5}).toDF("median_a", "median_b")
-    g = g.crossJoin(med)  # one row each
     return g.withColumn("p", tl.p_normal("z")) if tails else g
 
 

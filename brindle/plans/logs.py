@@ -9,6 +9,9 @@ from brindle.plans.profiling import rounded
 from brindle.sources.tables import table
 
 
+SOURCE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
 def entries(s, d):
     """A query log: one entry an event."""
     e = table(s, d, "events")
@@ -61,7 +64,7 @@ QUERIES = {
     "log9_grade_exact": (lambda s, d: lo.grade_exact(table(s, d, "nation").select("n_nationkey", F.upper("n_name").alias("observed")), table(s, d, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 4 > 0, F.lower("n_name")).otherwise("x").alias("expected")), "n_nationkey"), "SELECT n_nationkey, CASE WHEN n_nationkey % 4 > 0 THEN 'pass' ELSE 'fail' END AS grade FROM nation"),
     "log10_grade_fields": (lambda s, d: table(s, d, "events").select(lo.grade_fields("props", ["k"], ["z"]).alias("grade")).groupBy("grade").agg(F.count("*").alias("n")), "SELECT CASE WHEN json_extract(props, '$.k') IS NOT NULL AND json_extract(props, '$.z') IS NULL THEN 'pass' ELSE 'fail' END AS grade, count(*) AS n FROM events GROUP BY 1"),
     "log11_compare_tables": (lambda s, d: lo.compare_tables(table(s, d, "customer").where("c_custkey % 13 <> 0"), table(s, d, "customer").where("c_custkey % 17 <> 0").withColumn("c_acctbal", F.col("c_acctbal") + F.when(F.col("c_custkey") % 10 == 0, 1.0).otherwise(0.0)), ["c_custkey"]), "SELECT 'only_left' AS what, count(*) FILTER (c_custkey % 13 <> 0 AND c_custkey % 17 = 0) AS n FROM customer UNION ALL SELECT 'only_right', count(*) FILTER (c_custkey % 13 = 0 AND c_custkey % 17 <> 0) FROM customer UNION ALL SELECT 'c_name', 0 FROM customer GROUP BY 1 UNION ALL SELECT 'c_nationkey', 0 FROM customer GROUP BY 1 UNION ALL SELECT 'c_acctbal', count(*) FILTER (c_custkey % 13 <> 0 AND c_custkey % 17 <> 0 AND c_custkey % 10 = 0) FROM customer UNION ALL SELECT 'c_mktsegment', 0 FROM customer GROUP BY 1"),
-    "log11b_dataset_fingerprint": (lambda s, d: lo.dataset_fingerprint({t: table(s, d, t) for t in ("orders", "customer", "part")}), "SELECT sha256('customer=' || (SELECT count(*) FROM customer) || ';orders=' || (SELECT count(*) FROM orders) || ';part=' || (SELECT count(*) FROM part)) AS fingerprint"),
+    "log11b_dataset_fingerprint": (lambda s, d: lo.dataset_fingerprint({t: table(s, d, t) for t in SOURCE}), "SELECT sha256(" + " || ';' || ".join(f"'{t}=' || (SELECT count(*) FROM {t})" for t in sorted(SOURCE)) + ") AS fingerprint"),
     "log13_alignment": (lambda s, d: rounded(lo.alignment(table(s, d, "labels").select(F.col("quality").alias("human"), F.when(F.col("doc_id") % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("grader")), "human", "grader")), "WITH g AS (SELECT quality AS human, CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE quality END AS grader, count(*) AS n FROM labels GROUP BY 1, 2) SELECT human, grader, n, round(sum(CASE WHEN human = grader THEN n ELSE 0 END) OVER () / sum(n) OVER (), 6) AS agreement FROM g"),
     "log14_label_stability": (lambda s, d: lo.label_stability(table(s, d, "lineitem"), "l_orderkey", "l_returnflag"), "SELECT count(*) AS n_repeated, count(*) FILTER (k > 1) AS n_unstable FROM (SELECT count(*) AS n, count(DISTINCT l_returnflag) AS k FROM lineitem GROUP BY l_orderkey) WHERE n > 1"),
     "log16_compare_runs": (lambda s, d: rounded(lo.compare_runs(run(s, d, 0), run(s, d, 1), "case_id"), 5), "WITH a AS (SELECT o_orderkey AS k, o_orderkey % 5 > 0 AS p, o_totalprice / 1000 AS l, CASE WHEN o_orderkey % 4 > 0 THEN 1.0::DOUBLE END AS c FROM orders WHERE o_orderkey % 11 <> 0), b AS (SELECT o_orderkey AS k, (o_orderkey + 1) % 5 > 0 AS p, o_totalprice / 1000 + 1 AS l, CASE WHEN o_orderkey % 4 > 0 THEN 2.0::DOUBLE END AS c FROM orders WHERE o_orderkey % 11 <> 1) SELECT count(a.k) AS n_a, count(b.k) AS n_b, round(avg(a.p::INT), 5) AS pass_a, round(avg(b.p::INT), 5) AS pass_b, round(median(a.l), 5) AS latency_a, round(median(b.l), 5) AS latency_b, sum(a.c) AS cost_a, sum(b.c) AS cost_b, count(*) FILTER (a.p <> b.p) AS n_changed, count(*) FILTER (a.k IS NULL OR b.k IS NULL) AS n_unpaired FROM a FULL JOIN b ON a.k = b.k"),

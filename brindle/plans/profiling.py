@@ -30,6 +30,26 @@ def _profile_sql(t, nums, texts, others):
 
 
 ORDERS_PROFILE = _profile_sql("orders", {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double"}, ["o_orderstatus", "o_orderpriority"], {"o_orderdate": "timestamp_ntz"})
+NUMBERS = ("int", "bigint", "double")
+KINDS = {
+    t: dict(x.split(":") for x in columns.split())
+    for t, columns in {
+        "region": "r_regionkey:int r_name:string",
+        "nation": "n_nationkey:int n_name:string n_regionkey:int",
+        "customer": "c_custkey:bigint c_name:string c_nationkey:int c_acctbal:double c_mktsegment:string",
+        "supplier": "s_suppkey:bigint s_name:string s_nationkey:int s_acctbal:double",
+        "part": "p_partkey:bigint p_name:string p_brand:string p_type:string p_size:int p_retailprice:double",
+        "orders": "o_orderkey:bigint o_custkey:bigint o_orderstatus:string o_totalprice:double o_orderdate:timestamp_ntz o_orderpriority:string",
+        "lineitem": "l_orderkey:bigint l_partkey:bigint l_suppkey:bigint l_linenumber:int l_quantity:double l_extendedprice:double l_discount:double l_tax:double l_returnflag:string l_linestatus:string l_shipdate:timestamp_ntz",
+        "events": "event_id:bigint ts:timestamp_ntz user_id:bigint event_type:string value:double props:string",
+        "documents": "doc_id:bigint text:string lang:string source:string n_chars:bigint",
+        "embeddings": "vec_id:bigint embedding:array<float> label:int",
+        "pages": "page_id:bigint url:string html:string",
+        "benchmark": "item_id:bigint text:string",
+        "labels": "doc_id:bigint quality:int toxic:int",
+        "conversations": "conv_id:bigint turn:bigint role:string text:string",
+    }.items()
+}
 DAILY = "(SELECT ts::DATE AS day, avg(value) AS value FROM events GROUP BY 1)"
 
 
@@ -60,7 +80,10 @@ QUERIES = {
         SELECT u AS n_unique, CASE WHEN abs(sk) < 0.5 AND ku < -1 THEN 'uniform' WHEN ku > 3 THEN 'heavy_tailed' WHEN two THEN 'bimodal' WHEN sk > 1 THEN 'right_skewed' WHEN sk < -1 THEN 'left_skewed' ELSE 'normal' END AS shape FROM m, t""",
     ),
     "prf2_table_profile": (lambda s, d: prof.date_span(table(s, d, "orders"), "orders"), "SELECT 'orders' AS \"table\", count(*) AS n_rows, 1 AS n_date_columns, min(o_orderdate)::DATE AS first_day, max(o_orderdate)::DATE AS last_day FROM orders"),
-    "prf3_source_profile": (lambda s, d: prof.source_profile({t: table(s, d, t) for t in ("orders", "nation")}), f"SELECT 'orders' AS \"table\", * FROM ({ORDERS_PROFILE}) UNION ALL SELECT 'nation', * FROM ({_profile_sql('nation', {'n_nationkey': 'int', 'n_regionkey': 'int'}, ['n_name'], {})})"),
+    "prf3_source_profile": (
+        lambda s, d: prof.source_profile({t: table(s, d, t) for t in KINDS}),
+        " UNION ALL ".join(f"SELECT '{t}' AS \"table\", * FROM ({_profile_sql(t, {c: k for c, k in kinds.items() if k in NUMBERS}, [c for c, k in kinds.items() if k == 'string'], {c: k for c, k in kinds.items() if k not in (*NUMBERS, 'string')})})" for t, kinds in KINDS.items()),
+    ),
     "prf4_snapshot_diff": (lambda s, d: prof.snapshot_diff(*changed_snapshot(s, d)), "SELECT * FROM (VALUES ('orders', 'o_orderpriority', 'string', NULL, 'removed', true), ('orders', 'extra', NULL, 'string', 'added', false), ('orders', 'o_orderstatus', 'string', 'int', 'type_changed', false)) v(\"table\", \"column\", old_type, new_type, change, breaking) WHERE (SELECT count(*) FROM orders) > 0"),
     "prf4_row_change": (lambda s, d: prof.row_change(*changed_snapshot(s, d)), "SELECT 'orders' AS \"table\", count(*) AS old_rows, count(*) FILTER (o_orderkey % 2 = 0) AS new_rows, 100.0::DOUBLE * (count(*) FILTER (o_orderkey % 2 = 0) - count(*)) / count(*) AS change_pct FROM orders UNION ALL SELECT 'part', count(*), count(*), 0 FROM part"),
     "prf5_prf6_prf8_distribution": (lambda s, d: rounded(prof.distributions(table(s, d, "events"), ["value"])), dist_sql("events", "value")),
