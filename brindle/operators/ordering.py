@@ -6,19 +6,32 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_written: list[str] = []  # what this process has written for intermediate steps
+
+
 def stored(df: DataFrame, purpose: str = "stored") -> DataFrame:
-    """Write to the folder of spark.checkpoint.dir (or the warehouse) and read back."""
+    """Write to the folder of spark.checkpoint.dir (or the warehouse, where it is unset) and read back; release() deletes it."""
     conf = df.sparkSession.conf
     root = conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir')}/_shared"
     path = f"{root.rstrip('/')}/brindle-{purpose}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete every intermediate table of this process, and say how many; call it when no result is still to be read."""
+    gone = 0
+    while _written:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return gone
+
+
 def value_counts(df: DataFrame, columns: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
     """(by, column, v, n): how often each value of each column stands, nulls left out; one pass, summed map-side."""
     cells = F.array(*[F.struct(F.lit(name).alias("column"), c.cast("double").alias("v")) for name, c in columns.items()])

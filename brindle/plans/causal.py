@@ -35,6 +35,8 @@ PAN = "(SELECT *, (user_id % 2)::INT AS t, (day >= 16)::INT AS post, floor((day
 USR = f"(SELECT user_id, t, sum(CASE WHEN post = 0 THEN y ELSE 0 END) AS pre, sum(CASE WHEN post = 1 THEN y ELSE 0 END) AS outcome, sum(n) AS n FROM {PAN} GROUP BY 1, 2)"
 OLS = f"WITH u AS (SELECT outcome AS y, t::DOUBLE AS x FROM {USR}), m AS (SELECT x, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS sse FROM u GROUP BY 1), a AS (SELECT max(CASE WHEN x = 0 THEN m END) AS m0, max(CASE WHEN x = 1 THEN m END) AS m1, sum(n) AS n, max(CASE WHEN x = 0 THEN sse / n / n END) AS v0, max(CASE WHEN x = 1 THEN sse / n / n END) AS v1 FROM m) SELECT 'intercept' AS term, round(m0, 4) AS estimate, round(sqrt(v0 * n / (n - 2)), 4) AS se, round(m0 / sqrt(v0 * n / (n - 2)), 4) AS z FROM a UNION ALL SELECT 't', round(m1 - m0, 4), round(sqrt((v0 + v1) * n / (n - 2)), 4), round((m1 - m0) / sqrt((v0 + v1) * n / (n - 2)), 4) FROM a"
 
+SMD = "abs((avg({c}) FILTER (t = 1{w}) - avg({c}) FILTER (t = 0{w})) / sqrt((var_samp({c}) FILTER (t = 1{w}) + var_samp({c}) FILTER (t = 0{w})) / 2))"
+
 QUERIES = {
     "cau1_did": (lambda s, d: rounded(ca.did(panel(s, d), "y", "t", "post", tails=False), 5), f"WITH c AS (SELECT t, post AS p, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS sse FROM {PAN} GROUP BY 1, 2), g AS (SELECT sum(n)::BIGINT AS n, sum(CASE WHEN t = p THEN m ELSE -m END) AS e, sum(sse / n / n) AS v FROM c) SELECT n, round(e, 5) AS effect, round(sqrt(v * n / (n - 4)), 5) AS se, round(e / sqrt(v * n / (n - 4)), 5) AS z FROM g"),
     "cau1_did_p": (lambda s, d: ca.did(panel(s, d), "y", "t", "post"), None),
@@ -51,9 +53,16 @@ QUERIES = {
     ),
     "cau6_common_support": (lambda s, d: rounded(ca.support(users(s, d), "pre", "t"), 4), f"WITH s AS (SELECT greatest(min(pre) FILTER (t = 1), min(pre) FILTER (t = 0)) AS low, least(max(pre) FILTER (t = 1), max(pre) FILTER (t = 0)) AS high FROM {USR}), r AS (SELECT low, high, count(*) AS n, count(*) FILTER (pre < low - 1e-9 * greatest(1, abs(low)) OR pre > high + 1e-9 * greatest(1, abs(high))) AS k FROM {USR}, s GROUP BY 1, 2) SELECT round(low, 4) AS low, round(high, 4) AS high, n, k AS n_outside, CASE WHEN k / n <= 0.05 THEN 'PASS' WHEN k / n <= 0.2 THEN 'WARNING' ELSE 'FAIL' END AS status FROM r"),
     "cau7_balance": (lambda s, d: rounded(ca.balance(users(s, d), ["pre", "n"], "t")), " UNION ALL ".join(f"SELECT '{c}' AS covariate, round(abs((avg({c}) FILTER (t = 1) - avg({c}) FILTER (t = 0)) / sqrt((var_samp({c}) FILTER (t = 1) + var_samp({c}) FILTER (t = 0)) / 2)), 6) AS smd, round(var_samp({c}) FILTER (t = 1) / var_samp({c}) FILTER (t = 0), 6) AS variance_ratio, abs((avg({c}) FILTER (t = 1) - avg({c}) FILTER (t = 0)) / sqrt((var_samp({c}) FILTER (t = 1) + var_samp({c}) FILTER (t = 0)) / 2)) < 0.1 AS balanced FROM {USR}" for c in ("pre", "n"))),
-    "cau7_balance_change": (lambda s, d: ca.balance_change(ca.balance(users(s, d), ["pre", "n"], "t"), ca.balance(users(s, d).where("n > 10"), ["pre", "n"], "t")).select("covariate", "change"), None),
+    "cau7_balance_change": (lambda s, d: ca.balance_change(ca.balance(users(s, d), ["pre", "n"], "t"), ca.balance(users(s, d).where("n > 10"), ["pre", "n"], "t")).select("covariate", "change"), " UNION ALL ".join(f"SELECT '{c}' AS covariate, CASE WHEN {SMD.format(c=c, w=' AND n > 10')} < {SMD.format(c=c, w='')} THEN 'improved' ELSE 'worsened' END AS change FROM {USR}" for c in ("pre", "n"))),
     "cau9_pre_post": (lambda s, d: rounded(ca.paired(users(s, d), "pre", "outcome", tails=False), 5), f"SELECT count(*) AS n, round(avg(outcome - pre), 5) AS effect, round(stddev_samp(outcome - pre) / sqrt(count(*)), 5) AS se, round(avg(outcome - pre) / (stddev_samp(outcome - pre) / sqrt(count(*))), 5) AS t FROM {USR}"),
-    "cau10_timeseries_pre_post": (lambda s, d: ca.ols(panel(s, d).groupBy("day", "post").agg(F.sum("y").alias("y")), "y", {"post": F.col("post"), "trend": F.col("day")}, robust=False), None),
+    "cau10_timeseries_pre_post": (
+        lambda s, d: rounded(ca.ols(panel(s, d).groupBy("day", "post").agg(F.sum("y").alias("y")), "y", {"post": F.col("post"), "trend": F.col("day")}, robust=False, tails=False), 4),
+        f"""WITH d AS (SELECT day::DOUBLE AS x, post::DOUBLE AS p, sum(y) AS y FROM {PAN} GROUP BY 1, 2), m AS (SELECT count(*) AS n, avg(x) AS mx, avg(p) AS mp, avg(y) AS my, var_pop(x) * count(*) AS xx, var_pop(p) * count(*) AS pp, var_pop(y) * count(*) AS yy,
+            covar_pop(x, p) * count(*) AS xp, covar_pop(x, y) * count(*) AS xy, covar_pop(p, y) * count(*) AS py FROM d),
+        b AS (SELECT *, pp * xx - xp * xp AS det, (xx * py - xp * xy) / det AS bp, (pp * xy - xp * py) / det AS bx, (yy - bp * py - bx * xy) / (n - 3) AS s2, my - bp * mp - bx * mx AS b0 FROM m),
+        t AS (SELECT 'intercept' AS term, b0 AS e, sqrt(s2 * (1 / n + (mp * mp * xx + mx * mx * pp - 2 * mp * mx * xp) / det)) AS se FROM b UNION ALL SELECT 'post', bp, sqrt(s2 * xx / det) FROM b UNION ALL SELECT 'trend', bx, sqrt(s2 * pp / det) FROM b)
+        SELECT term, round(e, 4) AS estimate, round(se, 4) AS se, round(e / se, 4) AS z FROM t""",
+    ),
     "cau11_regression": (lambda s, d: rounded(ca.ols(users(s, d), "outcome", {"t": F.col("t")}, tails=False), 4), OLS),
     "cau11_with_dummies": (lambda s, d: ca.ols(table(s, d, "orders"), "o_totalprice", {"late": (F.year("o_orderdate") >= 1998).cast("int"), **ca.dummies(table(s, d, "orders"), "o_orderpriority")}), None),
     "cau12_rosenbaum": (lambda s, d: rounded(ca.rosenbaum(users(s, d), "outcome", "pre", [1.0, 1.5, 2.0], tails=False), 5), f"WITH d AS (SELECT outcome - pre AS d FROM {USR} WHERE outcome <> pre), p AS (SELECT abs(d) AS a, count(*) AS ties, count(*) FILTER (d > 0) AS up FROM d GROUP BY 1), r AS (SELECT *, sum(ties) OVER (ORDER BY a ROWS UNBOUNDED PRECEDING) - (ties - 1) / 2 AS rank FROM p), s AS (SELECT sum(rank * up) AS t, sum(rank * ties) AS s1, sum(rank * rank * ties) AS s2 FROM r) SELECT g AS gamma, round(t, 5) AS t, round((t - g / (1 + g) * s1) / sqrt(g / (1 + g) * (1 / (1 + g)) * s2), 5) AS z_upper FROM s, (SELECT unnest([1.0, 1.5, 2.0]::DOUBLE[]) AS g)"),

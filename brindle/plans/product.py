@@ -124,7 +124,9 @@ QUERIES = {
         SELECT CASE WHEN x - y >= y - z THEN 'click' ELSE 'purchase' END AS most_users, greatest(x - y, y - z) AS users_lost,
         CASE WHEN 1 - y / x >= 1 - z / y THEN 'click' ELSE 'purchase' END AS most_share, round(greatest(1 - y / x, 1 - z / y), 4) AS share_lost FROM n""",
     ),
-    "pa11_retention_interval": (lambda s, d: rounded(pa.retention_curve(weekly_cohorts(s, d), confidence=0.95, mature=1), 4), None),
+    "pa11_retention_interval": (lambda s, d: rounded(pa.retention_curve(weekly_cohorts(s, d), confidence=0.95, mature=1), 4), f"""WITH {COH}, k AS (SELECT cohort FROM co GROUP BY 1 HAVING max("offset") >= 1), g AS (SELECT "offset", avg(rate) AS m, stddev_samp(rate) AS sd, count(*) AS n FROM co WHERE cohort IN (SELECT cohort FROM k) GROUP BY 1),
+        h AS (SELECT *, sd / sqrt(n) * CASE n WHEN 2 THEN 12.706204736432095 WHEN 3 THEN 4.302652729911275 WHEN 4 THEN 3.182446305284263 WHEN 5 THEN 2.776445105197799 WHEN 6 THEN 2.570581835636197 END AS h FROM g)
+        SELECT "offset", round(m, 4) AS mean, round(sd, 4) AS sd, n AS n_cohorts, CASE WHEN h IS NOT NULL THEN round(greatest(0, m - h), 4) END AS low, CASE WHEN h IS NOT NULL THEN round(least(1, m + h), 4) END AS high FROM h"""),
     "pa17_drivers": (lambda s, d: rounded(pa.drivers(L(s, d), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])), "SELECT 'l_quantity' AS \"column\", round(corr(l_extendedprice, l_quantity), 6) AS r FROM lineitem UNION ALL SELECT 'l_discount', round(corr(l_extendedprice, l_discount), 6) FROM lineitem UNION ALL SELECT 'l_tax', round(corr(l_extendedprice, l_tax), 6) FROM lineitem"),
     "pa18_high_low": (lambda s, d: rounded(pa.high_low(L(s, d), "l_extendedprice", ["l_quantity", "l_tax"])), "WITH c AS (SELECT median(l_extendedprice) AS m FROM lineitem) SELECT 'l_quantity' AS attribute, round(avg(l_quantity) FILTER (l_extendedprice > m), 6) AS high, round(avg(l_quantity) FILTER (l_extendedprice <= m), 6) AS low FROM lineitem, c UNION ALL SELECT 'l_tax', round(avg(l_tax) FILTER (l_extendedprice > m), 6), round(avg(l_tax) FILTER (l_extendedprice <= m), 6) FROM lineitem, c"),
     "pa19_feature_importance": (lambda s, d: rounded(pa.feature_importance(L(s, d), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])), None),

@@ -98,7 +98,7 @@ QUERIES = {
     "prf13_completeness": (lambda s, d: prof.completeness(table(s, d, "lineitem").select("l_discount", "l_returnflag", F.when(F.col("l_orderkey") % 10 != 0, F.col("l_partkey")).alias("holes"))), "SELECT 'l_discount' AS \"column\", count(*) AS n, count(*) FILTER (l_discount IS NULL) AS n_null, count(*) FILTER (l_discount = 0) AS n_zero, 0::BIGINT AS n_blank, false AS constant, 'complete' AS band FROM lineitem UNION ALL SELECT 'l_returnflag', count(*), 0, 0, count(*) FILTER (trim(l_returnflag) = ''), false, 'complete' FROM lineitem UNION ALL SELECT 'holes', count(*), count(*) FILTER (l_orderkey % 10 = 0), count(*) FILTER (l_orderkey % 10 <> 0 AND l_partkey = 0), 0, false, CASE WHEN count(*) FILTER (l_orderkey % 10 = 0) / count(*) < 0.05 THEN 'minor' ELSE 'major' END FROM lineitem"),
     "prf14_win1_anomalies": (lambda s, d: rounded(prof.anomalies(table(s, d, "events").withColumn("one", F.lit(1.0)), "ts", ["value", "one"], 14, 0.1), 4), "WITH r AS (SELECT ts::DATE AS day, 'value' AS metric, sum(value) AS value FROM events GROUP BY 1 UNION ALL SELECT ts::DATE, 'one', count(*)::DOUBLE FROM events GROUP BY 1), w AS (SELECT *, CASE WHEN count(value) OVER x >= 3 THEN avg(value) OVER x END AS mean, CASE WHEN count(value) OVER x >= 3 THEN stddev_samp(value) OVER x END AS sd FROM r WINDOW x AS (PARTITION BY metric ORDER BY day ROWS 13 PRECEDING)) SELECT day, metric, round(value, 4) AS value, round(mean, 4) AS mean, round(sd, 4) AS sd, round((value - mean) / abs(mean), 4) AS deviation FROM w WHERE mean <> 0 AND abs((value - mean) / abs(mean)) > 0.1"),
     "prf15_modality": (lambda s, d: prof.peaks(prof.histogram(table(s, d, "events"), "value", 20)), f"{HIST} {PEAKS.format('h')}"),
-    "prf17_schema_checksum": (lambda s, d: s.createDataFrame([(t, prof.schema_checksum(table(s, d, t))) for t in ("orders", "part")], "table string, checksum string").join(prof.snapshot({t: table(s, d, t) for t in ("orders", "part")}).groupBy("table").agg(F.max("n_rows").alias("n_rows")), "table"), None),
+    "prf17_schema_checksum": (lambda s, d: s.createDataFrame([(t, prof.schema_checksum(table(s, d, t))) for t in ("orders", "part")], "table string, checksum string").join(prof.snapshot({t: table(s, d, t) for t in ("orders", "part")}).groupBy("table").agg(F.max("n_rows").alias("n_rows")), "table"), " UNION ALL ".join(f"SELECT '{t}' AS \"table\", substr(sha256('{','.join(sorted(f'{c}:{k}' for c, k in KINDS[t].items()))}'), 1, 16) AS checksum, count(*) AS n_rows FROM {t}" for t in ("orders", "part"))),
     "prf18_schema_drift": (lambda s, d: prof.drift(s, {t: table(s, d, t) for t in ("orders", "part")}, {"orders": "0" * 16, "part": prof.schema_checksum(table(s, d, "part"))}).select("table", "quarantined").join(prof.snapshot({t: table(s, d, t) for t in ("orders", "part")}).groupBy("table").agg(F.max("n_rows").alias("n_rows")), "table"), "SELECT 'orders' AS \"table\", true AS quarantined, count(*) AS n_rows FROM orders UNION ALL SELECT 'part', false, count(*) FROM part"),
     "win8_missing_date_islands": (lambda s, d: prof.islands(table(s, d, "orders").where("o_totalprice > 300000").select(F.col("o_orderdate").cast("date").alias("day")).distinct()), "SELECT min(day) AS first, max(day) AS last, count(*) AS n FROM (SELECT day, day - row_number() OVER (ORDER BY day)::INT AS g FROM (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_totalprice > 300000)) GROUP BY g"),
 }

@@ -33,6 +33,11 @@ QUERIES = {
         SELECT series, day, round(value, 6) AS value, round(fitted, 6) AS fitted, round(value - fitted, 6) AS residual FROM l""",
     ),
     "fc9_holt_winters_fitted": (lambda s, d: rounded(se.holt_winters_fitted(daily(s, d), 7, 0.3)), None),
-    "fc6_holt": (lambda s, d: rounded(se.holt(daily(s, d), 0.3, 0.1)), None),
+    "fc6_holt": (
+        lambda s, d: rounded(se.holt(daily(s, d), 0.3, 0.1)),
+        f"""WITH RECURSIVE {FILL}, h AS (SELECT a.series, 0::BIGINT AS i, a.value AS l, coalesce(b.value - a.value, 0) AS b FROM i a LEFT JOIN i b ON b.series = a.series AND b.i = 1 WHERE a.i = 0
+            UNION ALL SELECT h.series, h.i + 1, 0.3::DOUBLE * x.value + 0.7::DOUBLE * (h.l + h.b), 0.1::DOUBLE * (0.3::DOUBLE * x.value + 0.7::DOUBLE * (h.l + h.b) - h.l) + 0.9::DOUBLE * h.b FROM h JOIN i x ON x.series = h.series AND x.i = h.i + 1)
+        SELECT series, round(arg_max(l, i), 6) AS level, round(arg_max(b, i), 6) AS trend FROM h GROUP BY 1""",
+    ),
     "fc7_fc8_fc9_holt_winters": (lambda s, d: rounded(se.holt_winters(daily(s, d), 7, 7)), None),
 }

@@ -53,8 +53,8 @@ QUERIES = {
     "sta5_chi_square": (lambda s, d: rounded(st.chi_square(O(s, d), "o_orderstatus", "o_orderpriority", tails=False)), "WITH c AS (SELECT o_orderstatus AS r, o_orderpriority AS c, count(*) AS n FROM orders GROUP BY 1, 2), g AS (SELECT a.r, b.c, coalesce(n, 0) AS n, nr * nc / t AS e FROM (SELECT r, sum(n) AS nr FROM c GROUP BY 1) a CROSS JOIN (SELECT c, sum(n) AS nc FROM c GROUP BY 1) b CROSS JOIN (SELECT sum(n) AS t FROM c) LEFT JOIN c ON c.r = a.r AND c.c = b.c) SELECT round(sum(power(n - e, 2) / e), 6) AS chi2, (count(DISTINCT r) - 1) * (count(DISTINCT c) - 1) AS df, sum(n)::BIGINT AS n FROM g"),
     "sta6_bootstrap": (lambda s, d: st.bootstrap(E(s, d), "event_id", "value", 100), None),
     "sta7_adjusted_p": (lambda s, d: rounded(pvalues(s, d), 9), "WITH t AS (SELECT o_orderpriority AS test, (count(*) % 97 / 1000.0)::DOUBLE AS p FROM orders GROUP BY 1), k AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, test) AS k FROM t) SELECT test, p, round(least(1.0, p * m), 9) AS bonferroni, round(least(1.0, max(p * (m - k + 1)) OVER (ORDER BY p, test)), 9) AS holm, round(least(1.0, min(p * m / k) OVER (ORDER BY p DESC, test DESC)), 9) AS bh FROM k"),
-    "sta8_normality": (lambda s, d: rounded(st.jarque_bera(E(s, d), "value", ["event_type"], tails=False), 3), None),
-    "prf16_describe_shape": (lambda s, d: st.describe_shape(E(s, d), "value"), None),
+    "sta8_normality": (lambda s, d: rounded(st.jarque_bera(E(s, d), "value", ["event_type"], tails=False), 3), "WITH x AS (SELECT event_type, value, avg(value) OVER (PARTITION BY event_type) AS m FROM events WHERE value IS NOT NULL), g AS (SELECT event_type, count(*) AS n, avg(pow(value - m, 3)) / pow(avg(pow(value - m, 2)), 1.5) AS sk, avg(pow(value - m, 4)) / pow(avg(pow(value - m, 2)), 2) - 3 AS ku FROM x GROUP BY 1) SELECT event_type, n, round(sk, 3) AS skew, round(ku, 3) AS kurtosis, round(n / 6.0 * (sk * sk + ku * ku / 4), 3) AS jb FROM g"),
+    "prf16_describe_shape": (lambda s, d: rounded(st.describe_shape(E(s, d), "value")), "WITH x AS (SELECT value, avg(value) OVER () AS m FROM events WHERE value IS NOT NULL), g AS (SELECT count(*) AS n, avg(value) AS mean, median(value) AS median, stddev_samp(value) AS sd, avg(pow(value - m, 3)) / pow(avg(pow(value - m, 2)), 1.5) AS sk, avg(pow(value - m, 4)) / pow(avg(pow(value - m, 2)), 2) - 3 AS ku FROM x) SELECT n, round(mean, 6) AS mean, round(median, 6) AS median, round(sd, 6) AS sd, round(sk, 6) AS skew, round(ku, 6) AS kurtosis, CASE WHEN abs(sk) < 0.5 THEN 'symmetric' WHEN sk > 0 THEN 'right-skewed' ELSE 'left-skewed' END AS shape FROM g"),
     "sta9_rank_dimensions": (lambda s, d: rounded(st.rank_dimensions(L(s, d), "l_extendedprice", ["l_returnflag", "l_linenumber", "l_partkey"], tails=False)), "WITH x AS (SELECT 'l_returnflag' AS dim, l_returnflag AS v, l_extendedprice AS x FROM lineitem UNION ALL SELECT 'l_linenumber', l_linenumber::VARCHAR, l_extendedprice FROM lineitem UNION ALL SELECT 'l_partkey', l_partkey::VARCHAR, l_extendedprice FROM lineitem), t AS (SELECT dim, count(*) AS n, avg(x) AS mean, var_pop(x) * count(*) AS st FROM x GROUP BY 1), g AS (SELECT dim, v, count(*) AS k, avg(x) AS m FROM x GROUP BY 1, 2 HAVING count(*) > 1), b AS (SELECT dim, sum(k * power(m - mean, 2)) AS sb, count(*) AS gr FROM g JOIN t USING (dim) GROUP BY 1) SELECT dim, n, gr AS groups, round(sb / st, 6) AS eta2, round((sb / (gr - 1)) / ((st - sb) / (n - gr)), 6) AS f FROM t JOIN b USING (dim)"),
     "exp3_ratio_metric": (lambda s, d: rounded(st.ratio_metric(users(s, d), "variant", "post", "n", 0, 1, tails=False)), f"WITH g AS (SELECT variant, count(*) AS n, avg(post) AS x, avg(n) AS y, var_samp(post) AS vx, var_samp(n) AS vy, covar_samp(post, n) AS c FROM {US} GROUP BY 1), r AS (SELECT variant, n, x / y AS r, (vx - 2 * x / y * c + power(x / y, 2) * vy) / (power(y, 2) * n) AS v FROM g) SELECT a.n AS n_a, b.n AS n_b, round(a.r, 6) AS r_a, round(b.r, 6) AS r_b, round(b.r - a.r, 6) AS difference, round((b.r - a.r) / sqrt(a.v + b.v), 6) AS z FROM r a, r b WHERE a.variant = 0 AND b.variant = 1"),
     "exp4_srm": (lambda s, d: rounded(st.srm(users(s, d), "variant", {0: 0.5, 1: 0.5}, tails=False)), f"SELECT count(*) AS n, round(power(count(*) FILTER (variant = 0) - count(*) / 2, 2) / (count(*) / 2) + power(count(*) FILTER (variant = 1) - count(*) / 2, 2) / (count(*) / 2), 6) AS chi2, 1 AS df FROM {US}"),

@@ -330,3 +330,9 @@ def test_sample_values_and_shapes(spark):
     assert profiling.shape_class(df, "x").first()["shape"] == "bimodal"
     assert profiling.shape_class(df.where("x < 4"), "x").first()["shape"] == "normal"
     assert profiling.shape_class(df.limit(0), "x").count() <= 1
+
+
+def test_intermediate_tables_are_released(spark):
+    df = spark.createDataFrame([(i, float(i % 5)) for i in range(30)], "i int, x double")
+    assert ordering.one_row(df, {"x": F.col("x")}, {"mid": 0.5}).first()[0] == 2.0
+    assert ordering.release(spark) >= 1 and ordering.release(spark) == 0
