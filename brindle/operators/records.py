@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import dealt, scanned
+from .ordering import running
 from .profiling import spine
 
 
+BLOCK = 10_000  # records of an order that a task compares at once
+
+
 def record_texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(text, n): the distinct records of the columns as one text (lower case, trimmed, nulls empty), and how often each stands."""
     text = F.array_join(F.array(*[F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in columns]), "|")
@@ -28,8 +31,8 @@ def near_records(df: DataFrame, columns: Sequence[str], least: float = 0.9, wind
 
     Records are sorted once for each order (each column first in turn, and the text from its end), and each is compared
     with the ``window - 1`` before it; similarity is one less the edit distance over the longer length. Copies are one
-    record (``n`` counts them), so the most frequent ones fill no window, and an order is cut into ranges wherever it
-    has many records, with the last of a range carried to the next: no block grows with the data. Two records that differ
+    record (``n`` counts them), so the most frequent ones fill no window, and an order is cut into blocks of ``BLOCK`` ranks,
+    each with the last records of the block before: no block grows with the data. Two records that differ
     in one column stand near each other in the orders that begin with the others; alike records that are far apart in
     every order are not found, which a wider window mends.
     """
@@ -37,11 +40,13 @@ def near_records(df: DataFrame, columns: Sequence[str], least: float = 0.9, wind
     records = record_texts(df, columns)
     for k in range(len(columns) + 1):
         order = F.reverse("text") if k == len(columns) else rotated(F.col("text"), k)
-        rows = dealt(records.withColumn("o", order), [], ["o", "text"])
-        value = F.struct("text", "n")
-        for step in range(1, window):
-            rows = scanned(rows, [], ["o", "text"], {f"p{step}": ("lag", value if step == 1 else F.col(f"p{step - 1}"))})
-        pairs = rows.select("text", "n", F.explode(F.array(*[F.col(f"p{s}") for s in range(1, window)])).alias("p")).where("p IS NOT NULL")
+        ranked = running(records.withColumn("o", order), [], ["o", "text"], {"r": ("sum", F.lit(1).cast("long"))}).select("text", "n", (F.col("r") - 1).alias("r"))
+        own = F.floor(F.col("r") / BLOCK)
+        next_too = F.when(F.pmod("r", F.lit(BLOCK)) >= BLOCK - window + 1, F.array(own, own + 1)).otherwise(F.array(own))  # the halo of the next block
+        line = Window.partitionBy("block").orderBy("r")
+        before = F.array(*[F.lag(F.struct("text", "n"), step).over(line) for step in range(1, window)])
+        rows = ranked.withColumn("block", F.explode(next_too)).withColumn("before", before).where(F.col("block") == own)
+        pairs = rows.select("text", "n", F.explode("before").alias("p")).where("p IS NOT NULL")
         size = F.greatest(F.length("text"), F.length("p.text"))
         distance = F.levenshtein(F.col("text"), F.col("p.text"))
         pairs = pairs.where(F.abs(F.length("text") - F.length("p.text")) <= (1 - least) * size).select("text", "n", "p", (1 - distance / size).alias("similarity")).where(F.col("similarity") >= least)

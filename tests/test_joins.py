@@ -209,8 +209,10 @@ def test_anomaly_period_against_all_runs(spark, seed):
     assert product.anomaly_period(df.where("s = 'calm'").drop("s"), "d", "v").count() == 1 and product.anomaly_period(df.limit(0), "d", "v").isEmpty()
 
 
-def test_planted_typos_are_found_in_a_large_block(spark):
+@pytest.mark.parametrize("block", [7, 10_000])
+def test_planted_typos_are_found_in_a_large_block(spark, block, monkeypatch):
     """Half of the records begin alike; every record has a copy with a typo, some at the front, and a third are exact copies."""
+    monkeypatch.setattr(records, "BLOCK", block)
     rng = random.Random(9)
     word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     people = [(("common" if i % 2 else word(6)) + " " + word(8), word(10), str(rng.randrange(10**6))) for i in range(150)]
