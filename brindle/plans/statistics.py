@@ -61,7 +61,7 @@ QUERIES = {
     "exp4_srm_verdict": (lambda s, d: st.srm(users(s, d), "variant", {0: 0.5, 1: 0.5}), None),
     "exp5_srm_by_segment": (lambda s, d: rounded(st.srm(st.by_segment(ab(s, d).withColumn("hour", F.hour("ts")), ["event_type", "hour"], ["variant"]), "variant", {0: 0.5, 1: 0.5}, by=["dim", "value"], tails=False)), f"WITH x AS (SELECT 'event_type' AS dim, event_type AS value, variant FROM {AB} UNION ALL SELECT 'hour', hour(ts)::VARCHAR, variant FROM {AB}) SELECT dim, value, count(*) AS n, round(power(count(*) FILTER (variant = 0) - count(*) / 2, 2) / (count(*) / 2) + power(count(*) FILTER (variant = 1) - count(*) / 2, 2) / (count(*) / 2), 6) AS chi2, 1 AS df FROM x GROUP BY 1, 2"),
     "exp5_srm_all_segments": (
-        lambda s, d: rounded(st.srm_by_segments(ab(s, d).withColumns({"weekday": F.dayofweek("ts"), "hour": F.hour("ts")}).drop("props"), "variant", {0: 0.5, 1: 0.5}, tails=False)),
+        lambda s, d: rounded(st.srm_by_segments(ab(s, d).withColumns({"weekday": F.dayofweek("ts"), "hour": F.hour("ts")}).drop("props", "user_id"), "variant", {0: 0.5, 1: 0.5}, tails=False)),
         f"""WITH e AS (SELECT *, dayofweek(ts) + 1 AS weekday FROM {AB}), x AS (SELECT 'event_type' AS dim, event_type AS value, variant FROM e UNION ALL SELECT 'bought', bought::VARCHAR, variant FROM e UNION ALL SELECT 'weekday', weekday::VARCHAR, variant FROM e)
         SELECT dim, value, count(*) AS n, round(power(count(*) FILTER (variant = 0) - count(*) / 2, 2) / (count(*) / 2) + power(count(*) FILTER (variant = 1) - count(*) / 2, 2) / (count(*) / 2), 6) AS chi2, 1 AS df FROM x GROUP BY 1, 2""",
     ),
