@@ -138,23 +138,31 @@ def plain_words(text: str) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+SMALL_LIST = 4_000_000  # letters of an alias list that is broadcast
+
+
 def alias_tags(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """(doc_id, entity, alias, at): word-bounded, case-insensitive, longest alias first, no overlaps.
 
     Texts and aliases are reduced to words alike, so punctuation does not matter. Runs of as many words as some alias has
-    are joined with the aliases by equality; the lengths come from the aliases, however long.
+    are joined with the aliases by equality; the lengths come from the aliases, however long. A word takes along the words
+    that follow it up to the longest alias, never its text, so what is shuffled is linear in the text; a list of aliases of
+    at most ``SMALL_LIST`` letters is broadcast, and then only hits are shuffled.
     """
     known = aliases.select(plain_words("alias").alias("gram"), "entity").where("gram <> ''").distinct()
-    lengths = sorted(r["n"] for r in known.select(F.size(F.split("gram", " ")).alias("n")).distinct().collect())  # one row a length
-    if not lengths:
-        lengths = [1]
+    about = known.agg(F.sort_array(F.collect_set(F.size(F.split("gram", " ")))).alias("lengths"), F.sum(F.length("gram") + F.length("entity")).alias("letters")).first()  # one entry a length
+    lengths = about["lengths"] or [1]
     most = lengths[-1]
-    rows = texts.select("doc_id", F.split(plain_words("text"), " ").alias("ws")).select("doc_id", "ws", F.posexplode("ws").alias("at", "w"))
-    first = known.select(F.split("gram", " ")[0].alias("w")).distinct()
-    rows = rows.join(first, "w", "left_semi")  # only words that begin an alias go on
-    grams = F.filter(F.array(*[F.when(F.col("at") + n <= F.size("ws"), F.struct(F.lit(n).alias("n"), F.array_join(F.slice("ws", F.col("at") + 1, n), " ").alias("gram"))) for n in lengths]), lambda g: g.isNotNull())
+    listed = F.broadcast if (about["letters"] or 0) <= SMALL_LIST else lambda df: df
+    runs = F.arrays_zip(*[F.slice("ws", k + 1, F.size("ws")).alias(f"w{k}") for k in range(most)])  # a slice inside a lambda would copy the text for each word
+    rows = texts.select("doc_id", F.split(plain_words("text"), " ").alias("ws")).select("doc_id", F.posexplode(runs).alias("at", "x"))
+    rows = rows.select("doc_id", "at", *[F.col("x")[f"w{k}"].alias(f"w{k}") for k in range(most)])
+    first = known.select(F.split("gram", " ")[0].alias("w0")).distinct()
+    rows = rows.join(listed(first), "w0", "left_semi")  # only words that begin an alias go on
+    grams = [F.when(F.col(f"w{n - 1}").isNotNull(), F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *[f"w{k}" for k in range(n)]).alias("gram"))) for n in lengths]
+    grams = F.filter(F.array(*grams), lambda g: g.isNotNull())
     grams = rows.select("doc_id", "at", F.explode(grams).alias("g")).select("doc_id", "at", "g.n", "g.gram")
-    hits = grams.join(known, "gram")
+    hits = grams.join(listed(known), "gram")
     span = Window.partitionBy("doc_id").orderBy("at").rangeBetween(-(most - 1), most - 1)
     near = F.collect_list(F.struct("at", "n")).over(span)
     beaten = F.exists(near, lambda o: (o["n"] > F.col("n")) & (o["at"] < F.col("at") + F.col("n")) & (o["at"] + o["n"] > F.col("at")) | (o["n"] == F.col("n")) & (o["at"] < F.col("at")) & (o["at"] + o["n"] > F.col("at")))

@@ -234,3 +234,12 @@ def test_volume_anomalies_count_missing_days(spark):
     rows = [f"2024-01-{d:02}" for d in range(1, 29) for _ in range(20 + d % 3) if d != 25] + [None]
     got = records.volume_anomalies(spark.createDataFrame([(r,) for r in rows], "d string"), "d", 10, 3.0).collect()
     assert [(str(r["day"]), r["n"]) for r in got] == [("2024-01-25", 0)]
+
+
+def test_alias_tags_carry_no_text_with_a_word(spark, tmp_path):
+    """A word took its whole text along, so one long text made rows of the square of its length."""
+    long = " ".join(["the", "end", "of", "it"] * 20_000)
+    spark.createDataFrame([(1, long)], "doc_id int, text string").write.parquet(f"{tmp_path}/texts")
+    names = spark.createDataFrame([("the end", "te"), ("end of it the", "eoit"), ("it", "i")], "alias string, entity string")
+    got = {r["entity"]: r["count"] for r in sets.alias_tags(spark.read.parquet(f"{tmp_path}/texts"), names).groupBy("entity").count().collect()}
+    assert got == {"eoit": 19_999, "i": 1}
