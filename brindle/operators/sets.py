@@ -133,6 +133,16 @@ def name_score(column: str, key: str, table: str) -> float:
     return 0.0
 
 
+def count_distinct(df: DataFrame, column: str, rsd: float = 0.02) -> DataFrame:
+    """One row (exact, approximate): distinct values, nulls left out.
+
+    Values are grouped first and both counts come from the groups: a sketch of distinct values is that of all rows, and side
+    by side with a distinct aggregate it would travel with every value.
+    """
+    values = df.groupBy(column).agg(F.lit(1).alias("_one"))
+    return values.agg(F.count(column).alias("exact"), F.approx_count_distinct(column, rsd).alias("approximate"))
+
+
 def plain_words(text: str) -> Column:
     """Lower-case letters and digits, everything between them one space."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))

@@ -243,3 +243,12 @@ def test_alias_tags_carry_no_text_with_a_word(spark, tmp_path):
     names = spark.createDataFrame([("the end", "te"), ("end of it the", "eoit"), ("it", "i")], "alias string, entity string")
     got = {r["entity"]: r["count"] for r in sets.alias_tags(spark.read.parquet(f"{tmp_path}/texts"), names).groupBy("entity").count().collect()}
     assert got == {"eoit": 19_999, "i": 1}
+
+
+def test_distinct_counts_come_from_groups(spark):
+    """The sketch travelled with every distinct value: an Expand and a sketch in each of its rows."""
+    df = spark.range(5000).select(F.when(F.col("id") % 7 > 0, F.col("id") % 1000).alias("v"))
+    out = sets.count_distinct(df, "v")
+    got = out.first()
+    assert got["exact"] == 1000 and abs(got["approximate"] - 1000) <= 60
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
