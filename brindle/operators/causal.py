@@ -12,6 +12,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.functions import tails as tl
 
@@ -106,8 +107,9 @@ def neighbours(rows: DataFrame) -> DataFrame:
 
 
 def arms(scored: DataFrame, treated: str, key: str, score: str, caliper: float) -> tuple[DataFrame, float]:
-    """(k, t, s) of the rows that have a score, stored, and the caliper in units of the score."""
-    rows = scored.where(F.col(score).isNotNull()).select(F.col(key).alias("k"), (F.col(treated) == 1).alias("t"), F.col(score).cast("double").alias("s"))
+    """(k, t, s) of the rows that have a score, stored, and the caliper in units of the score. Decimal scores stay exact."""
+    s = F.col(score) if isinstance(scored.schema[score].dataType, T.DecimalType) else F.col(score).cast("double")
+    rows = scored.where(F.col(score).isNotNull()).select(F.col(key).alias("k"), (F.col(treated) == 1).alias("t"), s.alias("s"))
     rows = stored(rows.where("t IS NOT NULL AND NOT isnan(s)"))
     sd = rows.agg(F.stddev_samp("s")).first()[0]
     return rows, caliper * sd if sd else caliper
@@ -117,7 +119,7 @@ def match(scored: DataFrame, treated: str, key: str, score: str = "logit", calip
     """(treated_key, control_key, distance) pairs within a caliper of so many standard deviations (so many units if all scores are equal).
 
     With replacement every treated row takes its nearest control: of two as near the lower score, of equal scores the
-    smallest key. Without it, pairs are mutually nearest scores in rounds until none is left, and rows of such scores pair
+    smallest key. Differences of doubles carry noise in their last bits; decimal scores are compared exactly. Without it, pairs are mutually nearest scores in rounds until none is left, and rows of such scores pair
     off k-th with k-th by key. With nearest_of a treated row only takes one of its so many nearest controls, closest
     pairs first (``match_among``). Keys must be unique; rows without a score or arm take no part.
     """
@@ -126,7 +128,7 @@ def match(scored: DataFrame, treated: str, key: str, score: str = "logit", calip
         first = rows.where("NOT t").groupBy(F.col("s").alias("o")).agg(F.min("k").alias("control_key"))
         near = neighbours(rows.select("t", "s").distinct()).where(F.col("t") & (F.abs(F.col("s") - F.col("o")) <= width))
         won = rows.where("t").select(F.col("k").alias("treated_key"), "s").join(near.select("s", "o"), "s").join(first, "o")
-        return won.select("treated_key", "control_key", F.abs(F.col("s") - F.col("o")).alias("distance"))
+        return won.select("treated_key", "control_key", F.abs(F.col("s") - F.col("o")).cast("double").alias("distance"))
     if nearest_of is not None:
         return match_among(candidates(rows, nearest_of, width))
     return match_scores(rows, width)

@@ -46,7 +46,7 @@ QUERIES = {
     "cau5_att": (lambda s, d: ca.att(matched(s, d), users(s, d), "user_id", "outcome"), None),
     "cau5_match_among_ten": (lambda s, d: ca.match(scored(s, d), "t", "user_id", nearest_of=10), None),
     "cau5_match_with_replacement": (
-        lambda s, d: rounded(ca.match(users(s, d).withColumn("score", F.round("pre", 2)), "t", "user_id", "score", replacement=True), 4),
+        lambda s, d: rounded(ca.match(users(s, d).withColumn("score", F.round("pre", 2).cast("decimal(18,2)")), "t", "user_id", "score", replacement=True), 4),
         f"""WITH u AS (SELECT user_id, t, round(pre, 2) AS s FROM {USR}), w AS (SELECT 0.2::DOUBLE * stddev_samp(s) AS w FROM u),
         p AS (SELECT a.user_id AS treated_key, b.user_id AS control_key, abs(a.s - b.s) AS distance, row_number() OVER (PARTITION BY a.user_id ORDER BY round(abs(a.s - b.s), 6), b.s, b.user_id) AS k FROM u a, u b, w WHERE a.t = 1 AND b.t = 0 AND abs(a.s - b.s) <= w)
         SELECT treated_key, control_key, round(distance, 4) AS distance FROM p WHERE k = 1""",

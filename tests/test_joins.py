@@ -252,3 +252,11 @@ def test_distinct_counts_come_from_groups(spark):
     got = out.first()
     assert got["exact"] == 1000 and abs(got["approximate"] - 1000) <= 60
     assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_decimal_scores_are_matched_exactly(spark):
+    """As doubles 8.3 is nearer to 8.5 than to 8.1, by the last bit, so the greater of two as near was taken."""
+    rows = [(1, 1, "8.30"), (2, 0, "8.10"), (3, 0, "8.50"), (4, 0, "99.00")]
+    df = spark.createDataFrame(rows, "k int, t int, s string").withColumn("s", F.col("s").cast("decimal(18,2)"))
+    got = [tuple(r) for r in causal.match(df, "t", "k", "s", replacement=True).collect()]
+    assert got == [(1, 2, pytest.approx(0.2))]
