@@ -6,10 +6,13 @@ matrices and cell tables reach the driver.
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,27 +137,118 @@ def match(scored: DataFrame, treated: str, key: str, score: str = "logit", calip
     return match_scores(rows, width)
 
 
-def match_scores(rows: DataFrame, width: float) -> DataFrame:
+SEGMENT = 200_000  # distinct scores that one task pairs off
+
+
+def pair_off(arm: list, s: list, n: list, used: list, width: float, closed: bool) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
+    """Mutually nearest scores of a stretch in the order of (s, arm), closest first: deals (i, j, used of i, of j, m) and what stays open.
+
+    Counts used are changed in place. Unless the stretch is closed, what lies beyond its ends is unknown: a score that could
+    prefer something there to all that is left inside stays open, and so counts as unknown itself. Of two scores
+    as near the lower one is preferred. Pairs that are each other's nearest stay so whatever pairs off elsewhere, so
+    the deals are those of the whole line.
+    """
+    size, last = len(s), len(s) - 1
+    before, after, alive, opened, deals = list(range(-1, last)), list(range(1, size + 1)), [True] * size, [], []
+    heap = [(s[i + 1] - s[i], i, i + 1) for i in range(last) if arm[i] != arm[i + 1]]
+    heapq.heapify(heap)
+    ends, beyond = [0, last], [{True: s[0], False: s[0]}, {True: s[-1], False: s[-1]}]  # nearest that each arm can be beyond an end
+
+    def watch_ends() -> None:
+        if not closed and 0 <= ends[0] < size and alive[ends[0]]:
+            i, j = ends
+            heapq.heappush(heap, (s[i] - beyond[0][not arm[i]], -1, i))
+            heapq.heappush(heap, (beyond[1][not arm[j]] - s[j], j, size))
+
+    def remove(i: int) -> None:
+        alive[i] = False
+        low, high = before[i], after[i]
+        if low >= 0:
+            after[low] = high
+        else:
+            ends[0] = high
+        if high < size:
+            before[high] = low
+        else:
+            ends[1] = low
+        if low >= 0 and high < size:
+            if arm[low] != arm[high]:
+                heapq.heappush(heap, (s[high] - s[low], low, high))
+        else:
+            watch_ends()
+
+    watch_ends()
+    while heap:
+        distance, i, j = heapq.heappop(heap)
+        if distance > width:
+            break
+        if i < 0 or j == size:
+            side, at = (0, j) if i < 0 else (1, i)
+            if alive[at] and ends[side] == at:
+                opened.append(at)
+                beyond[side][arm[at]] = s[at]
+                remove(at)
+        elif alive[i] and alive[j] and after[i] == j:
+            m = min(n[i] - used[i], n[j] - used[j])
+            deals.append((i, j, used[i], used[j], m))
+            for at in (i, j):
+                used[at] += m
+                if used[at] == n[at]:
+                    remove(at)
+    return deals, opened
+
+
+def pair_off_batches(width: float, closed: bool):
+    def run(batches):
+        rows = pd.concat([pd.DataFrame({"t": [], "s": [], "n": [], "used": []}, dtype=object), *(b.astype(object) for b in batches)]).sort_values(["s", "t"])
+        if not len(rows):
+            return
+        arm, s, n, used = (rows[c].tolist() for c in ("t", "s", "n", "used"))
+        deals, opened = pair_off(arm, s, n, used, width, closed)
+        ordered = [(i, j, x, y, m) if arm[i] else (j, i, y, x, m) for i, j, x, y, m in deals]
+        out = pd.DataFrame([(s[i], s[j], x, y, m) for i, j, x, y, m in ordered], columns=["st", "sc", "from_st", "from_sc", "m"], dtype=object)
+        yield out.assign(t=None, s=None, n=None, used=None)
+        yield pd.DataFrame([(arm[i], s[i], n[i], used[i]) for i in opened], columns=["t", "s", "n", "used"], dtype=object).assign(st=None, sc=None, from_st=None, from_sc=None, m=None)[["st", "sc", "from_st", "from_sc", "m", "t", "s", "n", "used"]]
+
+    return run
+
+
+def mutual_round(left: DataFrame, width: float) -> tuple[DataFrame, DataFrame]:
+    """Deals of the scores that are each other's nearest now, and the scores left over that have one of the other arm within the width."""
+    near = stored(neighbours(left).where(F.abs(F.col("s") - F.col("o")) <= width))
+    a, b = (near.where(side).select(F.col("s").alias(x), F.col("o").alias(y), (F.col("n") - F.col("used")).alias(f"n_{x}"), F.col("used").alias(f"from_{x}")) for side, x, y in (("t", "st", "sc"), ("NOT t", "sc", "st")))
+    won = stored(a.join(b, ["st", "sc"]).withColumn("m", F.least("n_st", "n_sc")).select("st", "sc", "from_st", "from_sc", "m"))
+    taken = won.select(F.explode(F.array(F.struct(F.lit(True).alias("t"), F.col("st").alias("s"), "m"), F.struct(F.lit(False).alias("t"), F.col("sc").alias("s"), "m"))).alias("x")).select("x.*")
+    rest = near.join(taken, ["t", "s"], "left").select("t", "s", "n", (F.col("used") + F.coalesce("m", F.lit(0))).alias("used"))
+    return won, stored(rest.where("n > used"))
+
+
+def match_scores(rows: DataFrame, width: float, segment: int = SEGMENT) -> DataFrame:
     """Mutually nearest scores pair off until none is left. Rounds see distinct scores and how many rows of each are left, so
-    equal scores take one round and no row moves; rows join by their place among equals at the end."""
+    equal scores take one deal and no row moves; rows join by their place among equals at the end.
+
+    The sorted scores are cut into stretches that tasks pair off (``pair_off``); what the cuts leave open goes on to the
+    next round, with other cuts. While that is more than half of a round, a round over the whole line (``mutual_round``) follows.
+    """
     left = stored(rows.groupBy("t", "s").agg(F.count("*").alias("n")).withColumn("used", F.lit(0).cast("long")))
-    deals = None
-    while True:
-        near = stored(neighbours(left.where("n > used")).where(F.abs(F.col("s") - F.col("o")) <= width))
-        a, b = (near.where(side).select(F.col("s").alias(x), F.col("o").alias(y), (F.col("n") - F.col("used")).alias(f"n_{x}"), F.col("used").alias(f"from_{x}")) for side, x, y in (("t", "st", "sc"), ("NOT t", "sc", "st")))
-        won = stored(a.join(b, ["st", "sc"]).withColumn("m", F.least("n_st", "n_sc")).select("st", "sc", "from_st", "from_sc", "m"))
-        if won.isEmpty():
-            break
+    kind, size, deals = rows.schema["s"].dataType.simpleString(), left.count(), None
+    while size:
+        closed = size <= segment
+        stretches = left.coalesce(1) if closed else left.repartitionByRange(math.ceil(size / segment) + 1, "s", "t")
+        out = stored(stretches.mapInPandas(pair_off_batches(width, closed), f"st {kind}, sc {kind}, from_st long, from_sc long, m long, t boolean, s {kind}, n long, used long"))
+        won, left = out.where("m IS NOT NULL").select("st", "sc", "from_st", "from_sc", "m"), out.where("m IS NULL").select("t", "s", "n", "used")
         deals = won if deals is None else deals.unionAll(won)
-        taken = won.select(F.explode(F.array(F.struct(F.lit(True).alias("t"), F.col("st").alias("s"), "m"), F.struct(F.lit(False).alias("t"), F.col("sc").alias("s"), "m"))).alias("x")).select("x.*")
-        left = stored(left.join(taken, ["t", "s"], "left").select("t", "s", "n", (F.col("used") + F.coalesce("m", F.lit(0))).alias("used")))
+        size, was = left.count(), size
+        if size > was / 2:
+            won, left = mutual_round(left, width)
+            deals, size = deals.unionAll(won), left.count()
     if deals is None:
-        return rows.where("false").select(F.col("k").alias("treated_key"), F.col("k").alias("control_key"), F.col("s").alias("distance"))
+        return rows.where("false").select(F.col("k").alias("treated_key"), F.col("k").alias("control_key"), F.col("s").cast("double").alias("distance"))
     placed = running(rows, ["t", "s"], ["k"], {"i": ("sum", F.lit(1).cast("long"))}).withColumn("i", F.col("i") - 1)
     deal = deals.select(F.col("st").alias("s"), F.col("from_st").alias("i"), F.struct("from_st", "sc", "from_sc", "m").alias("deal"))
     own = asof(placed.where("t").select("k", "s", "i"), deal, ["s"], "i", "deal").where(F.col("i") < F.col("deal.from_st") + F.col("deal.m"))
     own = own.select(F.col("k").alias("treated_key"), F.col("s").alias("ts"), F.col("deal.sc").alias("s"), (F.col("i") - F.col("deal.from_st") + F.col("deal.from_sc")).alias("i"))
-    return own.join(placed.where("NOT t").select("s", "i", F.col("k").alias("control_key")), ["s", "i"]).select("treated_key", "control_key", F.abs(F.col("ts") - F.col("s")).alias("distance"))
+    return own.join(placed.where("NOT t").select("s", "i", F.col("k").alias("control_key")), ["s", "i"]).select("treated_key", "control_key", F.abs(F.col("ts") - F.col("s")).cast("double").alias("distance"))
 
 
 def candidates(rows: DataFrame, k: int, width: float) -> DataFrame:

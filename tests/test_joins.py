@@ -260,3 +260,24 @@ def test_decimal_scores_are_matched_exactly(spark):
     df = spark.createDataFrame(rows, "k int, t int, s string").withColumn("s", F.col("s").cast("decimal(18,2)"))
     got = [tuple(r) for r in causal.match(df, "t", "k", "s", replacement=True).collect()]
     assert got == [(1, 2, pytest.approx(0.2))]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stretches_pair_off_as_the_whole_line_does(spark, seed):
+    """Cut at any place, a stretch only deals what the whole line deals, and rounds over short stretches end with the same pairs."""
+    rng = random.Random(seed)
+    for size in (1, 2, 7, 60, 300):
+        items = sorted({(rng.randrange(400 if seed else 40), rng.random() < 0.3 + 0.2 * seed) for _ in range(size)})
+        arm, s, n = [a for _, a in items], [float(x) for x, _ in items], [rng.randrange(1, 4) for _ in items]
+        whole, opened = causal.pair_off(arm, s, n, [0] * len(items), 6.0, True)
+        assert not opened
+        for low, high in ((0, len(items) // 2), (len(items) // 3, len(items)), (len(items) // 4, len(items) // 2)):
+            if low < high:
+                used = [0] * (high - low)
+                deals, opened = causal.pair_off(arm[low:high], s[low:high], n[low:high], used, 6.0, False)
+                assert {(i + low, j + low, *rest) for i, j, *rest in deals} <= set(whole)
+                settled = {i + low for i in range(high - low)} - {i + low for i in opened}
+                assert all(d in {(i + low, j + low, *rest) for i, j, *rest in deals} for d in whole if d[0] in settled or d[1] in settled)
+    rows = spark.createDataFrame([(k, rng.random() < 0.5, float(rng.randrange(300))) for k in range(600)], "k int, t boolean, s double")
+    short, long = (sorted(map(tuple, causal.match_scores(rows, 6.0, segment=most).collect())) for most in (40, 1000))
+    assert short == long and len(short) > 200
