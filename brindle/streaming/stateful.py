@@ -6,16 +6,17 @@ RocksDB beside the checkpoint and moves with its partition when an executor is l
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+WAITS = np.dtype([("us", np.int64), ("id", np.int64), ("value", np.float64)])
 
 
 @contextmanager
@@ -33,52 +34,95 @@ class OrderedTest(StatefulProcessor):
     """Sequential test in event time: rows wait until the watermark has passed them and are then taken in order.
 
     Yields what is final (n, log_e) and what it comes to with the rows that wait (n_seen, log_e_seen). What waits of a key
-    is bounded by the rows of the watermark's delay; the test itself is four numbers.
+    is bounded by the rows of the watermark's delay, and lies in the state packed by spans of time, a span in chunks; Python
+    holds the rows of one span at once, 24 bytes each. The test itself is four numbers.
     """
 
+    SPAN = 3_600_000_000  # microseconds
+    HELD = 500_000  # rows of a key and batch before they are packed
+
     def __init__(self, null_mean: float):
         self.null_mean = null_mean
 
     def init(self, handle) -> None:
         self.handle = handle
         self.done = handle.getValueState("done", "n long, s1 double, s2 double, log_e double")
-        self.waiting = handle.getListState("waiting", "us long, id long, value double")
+        self.spans = handle.getMapState("spans", "span long", "chunks int, first long")
+        self.waiting = handle.getMapState("waiting", "span long, chunk int", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held, n = [], 0
         for frame in rows:
             frame = frame.dropna(subset=["us", "value"])
-            if len(frame):
-                self.waiting.appendList(list(zip(frame["us"].tolist(), frame["id"].tolist(), frame["value"].astype(float).tolist(), strict=True)))
+            held.append(self._packed(frame))
+            n += len(frame)
+            if n >= self.HELD:
+                self._put(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            self._put(np.concatenate(held))
         yield self._released(key, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         yield self._released(key, timerValues)
 
+    def _packed(self, frame: pd.DataFrame) -> np.ndarray:
+        out = np.empty(len(frame), WAITS)
+        out["us"], out["value"] = frame["us"].to_numpy(np.int64), frame["value"].to_numpy(float)
+        out["id"] = frame["id"].fillna(np.iinfo(np.int64).max).to_numpy(np.int64)  # rows without one come last
+        return out
+
+    def _put(self, rows: np.ndarray) -> None:
+        """Add rows to their spans, a chunk a span."""
+        rows = rows[np.argsort(rows["us"], kind="stable")]
+        span = rows["us"] // self.SPAN
+        starts = np.flatnonzero(np.concatenate([[True], span[1:] != span[:-1]]))
+        for low, high in zip(starts, [*starts[1:], len(rows)], strict=True):
+            at, first = int(span[low]), int(rows["us"][low])
+            chunks, least = self.spans.getValue((at,)) if self.spans.containsKey((at,)) else (0, first)
+            self.waiting.updateValue((at, chunks), (rows[low:high].tobytes(),))
+            self.spans.updateValue((at,), (chunks + 1, min(least, first)))
+
+    def _span(self, at: int, chunks: int) -> np.ndarray:
+        """Rows of a span in order."""
+        rows = np.concatenate([np.frombuffer(self.waiting.getValue((at, i))[0], WAITS) for i in range(chunks)])
+        return rows[np.lexsort((rows["value"], rows["id"], rows["us"]))]
+
     def _released(self, key, timers) -> pd.DataFrame:
         mark = timers.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        ready = [r for r in rows if r[0] <= mark]
-        rest = rows[len(ready) :]
-        state = self.done.get() if self.done.exists() else (0, 0.0, 0.0, 0.0)
-        if ready:
-            state = self._taken(tuple(state), ready)
+        state = tuple(self.done.get()) if self.done.exists() else (0, 0.0, 0.0, 0.0)
+        seen, first = state, None
+        for at, chunks in sorted((k[0], v[0]) for k, v in self.spans.iterator()):
+            rows = self._span(at, chunks)
+            ready = int(np.searchsorted(rows["us"], mark, side="right"))
+            if ready:
+                state = seen = self._taken(state, rows[:ready])
+                for i in range(chunks):
+                    self.waiting.removeKey((at, i))
+                self.spans.removeKey((at,))
+                rows = rows[ready:]
+                if len(rows):
+                    self._put(rows)
+            if len(rows):
+                first = int(rows["us"][0]) if first is None else first
+                seen = self._taken(seen, rows)
+        if state[0]:
             self.done.update(state)
-            self.waiting.put(rest) if rest else self.waiting.clear()
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
-        if rest:
-            self.handle.registerTimer(rest[0][0] // 1000 + 1)
-        seen = self._taken(tuple(state), rest)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
         return pd.DataFrame({"key": [key[0]], "n": [state[0]], "log_e": [state[3]], "n_seen": [seen[0]], "log_e_seen": [seen[3]]})
 
-    def _taken(self, state: tuple, rows: list) -> tuple:
+    def _taken(self, state: tuple, rows: np.ndarray) -> tuple:
+        """The test after some more rows, added up one by one in their order."""
         n, s1, s2, log_e = state
-        for _, _, value in rows:
-            d = value - self.null_mean
-            stake = max(-0.5, min(0.5, s1 / s2)) if s2 > 0 else 0.0
-            log_e += math.log(max(1e-10, 1 + stake * d))
-            n, s1, s2 = n + 1, s1 + d, s2 + d * d
-        return n, s1, s2, log_e
+        d = rows["value"] - self.null_mean
+        s1, s2 = np.cumsum(np.concatenate([[s1], d])), np.cumsum(np.concatenate([[s2], d * d]))
+        some = s2[:-1] > 0
+        stake = np.where(some, np.clip(s1[:-1] / np.where(some, s2[:-1], 1.0), -0.5, 0.5), 0.0)
+        gain = np.log(np.maximum(1e-10, 1 + stake * d))
+        return n + len(rows), float(s1[-1]), float(s2[-1]), float(np.cumsum(np.concatenate([[log_e], gain]))[-1])
 
     def close(self) -> None:
         pass

@@ -6,7 +6,9 @@ import math
 import random
 import time
 import uuid
+from unittest import mock
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,3 +83,46 @@ def test_split_sinks_take_a_batch_again(spark):
     put(frame([]), 2)
     assert rows() == want
     assert sinks.split_rows(spark, root, frame(first).schema, "late").count() == 2
+
+
+class Held(dict):
+    """A map or value state of one key."""
+
+    containsKey, removeKey, exists = dict.__contains__, dict.pop, dict.__len__  # noqa: N815
+
+    def getValue(self, key):  # noqa: N802
+        return self[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self[key] = value
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def get(self):
+        return self["value"]
+
+    def update(self, value):
+        self["value"] = value
+
+
+def test_waiting_rows_are_read_one_span_at_once():
+    """All rows that wait were one list of tuples in Python, which grew with the input."""
+    rng = random.Random(1)
+    rows = [(1_700_000_000_000_000 + rng.randrange(30 * 86_400) * 1_000_000, i, rng.gauss(1.1, 1)) for i in range(40_000)]
+    states, most = {}, []
+    handle = mock.Mock(listTimers=lambda: [], getValueState=lambda n, s: states.setdefault(n, Held()), getMapState=lambda n, *s: states.setdefault(n, Held()))
+    test = stateful.OrderedTest(1.0)
+    test.HELD = 7_000
+    test.init(handle)
+    span = test._span
+    test._span = lambda *a: (most.append(len(out := span(*a))), out)[1]
+    frames = [pd.DataFrame(rows[i : i + 5_000], columns=["us", "id", "value"]) for i in range(0, 40_000, 5_000)]
+    mark = 1_700_000_000_000 + 10 * 86_400_000 + 1234
+    got = next(test.handleInputRows(("a",), iter(frames), mock.Mock(getCurrentWatermarkInMs=lambda: mark))).iloc[0]
+    rows.sort()
+    final = [v for us, _, v in rows if us <= mark * 1000]
+    assert (got["n"], got["n_seen"]) == (len(final), len(rows)) and max(most) < 200
+    assert got["log_e"] == pytest.approx(log_e(final, 1.0)) and got["log_e_seen"] == pytest.approx(log_e([v for *_, v in rows], 1.0))
+    again = next(test.handleExpiredTimer(("a",), mock.Mock(getCurrentWatermarkInMs=lambda: mark + 10**12), None)).iloc[0]
+    assert again["n"] == len(rows) and again["log_e"] == pytest.approx(got["log_e_seen"]) and not states["waiting"] and not states["spans"]
