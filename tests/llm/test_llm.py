@@ -177,9 +177,12 @@ def test_nearest_page_against_brute_force(spark):
 def test_probabilities_sum_to_one_and_match_counts(spark):
     docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(["the cat sat on the mat", "the dog sat", "a cat and a dog", "mat and cat"])], "doc_id long, text string, lang string, source string")
     good = spark.createDataFrame([(i, 1) for i in range(4)], "doc_id long, quality int")
-    model = np.exp(kneser_ney.train(docs, good)[kneser_ney.ALL].astype(float)).reshape(-1, kneser_ney.A)
-    assert np.allclose(model.sum(1), 1, atol=1e-5)
-    grams = Counter(int(g) for r in docs.collect() for g in kneser_ney.grams(r["text"]))
+    rows = kneser_ney.counted(*kneser_ney.buckets(docs), good)
+    joined = {r["g"]: r["p"] for r in kneser_ney.probabilities(rows).where(F.col("model") == kneser_ney.ALL).collect()}
+    grams = Counter(int(g) for r in docs.collect() for part in kneser_ney.grams(r["text"]) for g in part)
+    assert joined.keys() == grams.keys()
+    plain, units = plain_model([r["text"] for r in docs.collect()]), lambda g: tuple(g >> 16 * k & 0xFFFF for k in (3, 2, 1, 0))
+    assert all(joined[g] == pytest.approx(plain(units(g)), rel=1e-9) for g in grams)
     counts = list(Counter(grams.values()).get(k, 0) for k in range(1, 5))
     y = counts[0] / (counts[0] + 2 * counts[1])
     d = [max(0, min(k, k - (k + 1) * y * counts[k] / counts[k - 1] if counts[k - 1] else 0.5 * k)) for k in (1, 2, 3)]
@@ -188,8 +191,31 @@ def test_probabilities_sum_to_one_and_match_counts(spark):
         context[g // kneser_ney.A][g] += n
     h, own = max(context.items(), key=lambda x: sum(x[1].values()))
     left = sum(d[min(n, 3) - 1] for n in own.values()) / sum(own.values())
-    lower = model[h] - np.array([max(0, own.get(h * kneser_ney.A + w, 0) - (d[min(own[h * kneser_ney.A + w], 3) - 1] if own.get(h * kneser_ney.A + w) else 0)) / sum(own.values()) for w in range(kneser_ney.A)])
-    assert lower.sum() == pytest.approx(left, abs=1e-4) and (lower > 0).all()
+    model = np.array([joined.get(g, plain(units(g))) for g in range(h * kneser_ney.A, (h + 1) * kneser_ney.A)])
+    assert model.sum() == pytest.approx(1, abs=1e-6)
+    lower = model - np.array([max(0, own[g] - d[min(own[g], 3) - 1]) / sum(own.values()) if g in own else 0 for g in range(h * kneser_ney.A, (h + 1) * kneser_ney.A)])
+    assert lower.sum() == pytest.approx(left, abs=1e-6) and (lower > 0).all()
+
+
+def test_no_symbol_is_folded_with_another(spark):
+    good = "café in room 11, the 日本 house"
+    texts = [good, good.replace("é", "e"), good.replace("1", "9"), good.replace("日", chr(ord("日") - 1024)), good.replace("日", chr(ord("日") + 0x10000))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts + [good] * 5)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in (0, *range(5, 10))], "doc_id long, quality int")
+    got = {r["doc_id"]: r["perplexity"] for r in kneser_ney.classify(docs, labels).collect()}
+    assert all(got[i] > 1.01 * got[0] for i in range(1, len(texts)))
+
+
+def test_every_language_has_its_model(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "MIN_TRUSTED", 2)
+    rng = random.Random(8)
+    words = ["".join(chr(rng.randrange(12)) for _ in range(rng.randint(2, 6))) for _ in range(20)]
+    drawn = [[rng.choice(words) for _ in range(40)] for _ in range(3)]
+    rows = [(3 * i + j, " ".join("".join(chr(0x4E00 + 1024 * (i % 16) + 16 * (i // 16) + ord(c)) for c in w) for w in t), f"x{i:02}") for i in range(40) for j, t in enumerate(drawn)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i, _, _ in rows if i % 3], "doc_id long, quality int")
+    got = {r["doc_id"]: r["perplexity"] for r in kneser_ney.classify(docs, labels).collect()}
+    for i in range(3, len(rows)):  # the same texts in 40 scripts
+        assert got[i] == pytest.approx(got[i % 3], rel=1e-9)
 
 
 def test_clean_documents_stay_and_junk_goes(spark, sf):
