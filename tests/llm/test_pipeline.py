@@ -32,6 +32,27 @@ def test_quality_stage(spark, sf, staged):
     assert ids(staged[1]) == ids(kept) and len(ids(staged[1])) < staged[0].count()
 
 
+def test_quality_stage_gathers_no_model(spark, sf, staged, monkeypatch):
+    """Probabilities reach the documents by joins: the driver sees single rows, and nothing is broadcast from Python."""
+    frame, collect = type(staged[0]), type(staged[0]).collect
+
+    def few(df):
+        rows = collect(df)
+        assert len(rows) <= 1
+        return rows
+
+    def none(*_):
+        raise AssertionError("a model was gathered")
+
+    want = ids(staged[1])
+    monkeypatch.setattr(frame, "collect", few)
+    monkeypatch.setattr(frame, "toPandas", none)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", none)
+    kept = corpus_pipeline.quality(spark, staged[0], sf)
+    monkeypatch.undo()
+    assert ids(kept) == want
+
+
 def test_one_document_of_each_class_stays(staged):
     classes = minhash.near_duplicates(staged[1]).collect()
     assert ids(staged[2]) == sorted({r["class_id"] for r in classes})
