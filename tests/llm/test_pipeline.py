@@ -1,10 +1,15 @@
 """The stages of the corpus pipeline against plain versions on the small tables."""
 
+import math
 import re
+from array import array
+from collections import Counter
+from functools import cache
 
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
+from test_llm import plain_model
 
 from brindle.llm import kneser_ney, minhash, mixing, secrets
 from brindle.llm.text import through_table
@@ -53,6 +58,31 @@ def test_quality_stage_gathers_no_model(spark, sf, staged, monkeypatch):
     assert ids(kept) == want
 
 
+def test_quality_stage_against_a_plain_model(spark, sf, staged, monkeypatch):
+    """The stage's perplexities on the given tables are those of Kneser-Ney by its definition, and its verdicts follow from them."""
+    rows = staged[0].select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).collect()
+    good = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+    trusted = Counter(r["lang"] for r in rows if r["doc_id"] in good)
+    langs = {x for x in trusted if x and trusted[x] > min(trusted.values())}  # the rarest has no model of its own
+    seen, classify = [], kneser_ney.classify
+    monkeypatch.setattr(kneser_ney, "MIN_TRUSTED", min(trusted.values()) + 1)
+    monkeypatch.setattr(kneser_ney, "BUCKET", 1 << 17)  # several buckets
+    monkeypatch.setattr(kneser_ney, "classify", lambda *x, **y: seen.append(classify(*x, **y)) or seen[-1])
+    kept = ids(corpus_pipeline.quality(spark, staged[0], sf))
+    got = {r["doc_id"]: r for r in seen[0].collect()}
+    assert len(rows) == len(got) and langs
+    units = {r["doc_id"]: array("H", re.sub(r"\s+", " ", r["text"].lower()).encode("utf-16-le", "surrogatepass")).tolist() for r in rows}
+    models = {x: cache(plain_model([r["text"] for r in rows if r["doc_id"] in good and x in (r["lang"], "*")])) for x in (*langs, "*")}
+    group = {r["doc_id"]: r["lang"] if r["lang"] in langs else "*" for r in rows}
+    loss = {i: -sum(math.log(models[group[i]](g)) for g in zip([0, 0, 0, *u], [0, 0, *u], [0, *u], u)) for i, u in units.items()}
+    of = {x: [i for i in loss if i in good and x in (group[i], "*")] for x in models}
+    mean = {x: sum(loss[i] for i in of[x]) / sum(len(units[i]) for i in of[x]) for x in models}
+    perplexity = {i: math.exp((loss[i] + kneser_ney.PRIOR * mean[group[i]]) / (len(units[i]) + kneser_ney.PRIOR)) for i in loss}
+    assert {i: r["perplexity"] for i, r in got.items()} == pytest.approx(perplexity, rel=1e-9)
+    cut = {x: kneser_ney.MARGIN * sorted(perplexity[i] for i in of[x])[math.ceil(kneser_ney.QUANTILE * len(of[x])) - 1] for x in models}
+    assert kept == sorted(i for i, x in perplexity.items() if x <= cut[group[i]]) and len(kept) < len(rows)
+
+
 def test_one_document_of_each_class_stays(staged):
     classes = minhash.near_duplicates(staged[1]).collect()
     assert ids(staged[2]) == sorted({r["class_id"] for r in classes})
