@@ -19,7 +19,8 @@ quantum of each source) is laid end to end, cut into windows, and the rest into
 lengths that are powers of two, so nothing is padded.
 
 Documents are tokenized once; ids go to a table in the shared folder, whose
-partitions and row order define the queues. The driver holds one row per
+partitions and row order define the queues. Where the queue of each partition
+and source begins goes to a short table of its own. The driver holds one row per
 source (documented bound: sources, not documents).
 
 Defined cases: a null or empty text is the end id alone; a null source is a
@@ -262,12 +263,13 @@ def pack(
     tokens = through_table(tokenized(docs, path, end_id), "tokens")
     queues = tokens.groupBy("skey", "pid").agg(F.sum("n").alias("queued"))
     before = F.sum("queued").over(Window.partitionBy("skey").orderBy("pid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("queued")
-    base = queues.select("skey", "pid", before.alias("base"))
-    totals = queues.groupBy("skey").agg(F.sum("queued").alias("n")).orderBy("skey").collect()  # one row per source
+    # written, so that the size of this short table is known when the join is planned and ids need no shuffle
+    base = through_table(queues.select("skey", "pid", "queued", before.alias("base")), "queues")
+    totals = base.groupBy("skey").agg(F.sum("queued").alias("n")).orderBy("skey").collect()  # one row per source
     weight = None if targets is None else {"" if k is None else f"={k}": v for k, v in targets.items()}
     weights = None if weight is None else tuple(weight.get(r["skey"], 0.0) for r in totals)
     plan = Schedule(tuple(r["n"] for r in totals), window, quantum, weights)
-    placed = tokens.join(base, ["skey", "pid"]).select("doc_id", "skey", (F.col("base") + F.col("place")).alias("at"), "n", "wide", "ids")
+    placed = tokens.join(base.drop("queued"), ["skey", "pid"]).select("doc_id", "skey", (F.col("base") + F.col("place")).alias("at"), "n", "wide", "ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return placed.mapInPandas(
         piece_batches([r["skey"] for r in totals], plan),

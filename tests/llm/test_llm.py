@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -719,6 +720,26 @@ def test_windows_meet_unequal_targets_until_a_queue_ends(totals, targets):
         left.subtract(window[k])
 
 
+def test_packing_shuffles_no_ids(spark, corpus, monkeypatch):
+    """What is joined to the documents is one row a partition and source, of known size, so their ids stay where they are; without a broadcast the rows are the same."""
+    limit, pieces = "spark.sql.autoBroadcastJoinThreshold", {}
+    through, written = packing.through_table, {}
+    monkeypatch.setattr(packing, "through_table", lambda df, purpose: written.setdefault(purpose, through(df, purpose)))
+    try:
+        for size in ("16k", "-1"):
+            written.clear()
+            spark.conf.set(limit, size)
+            df = packing.pack(corpus)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan, "hashpartitioning" in plan) == (size != "-1", size == "-1")
+            pieces[size] = sorted(map(tuple, df.collect()))
+            rows = sum(os.path.getsize(f.removeprefix("file:")) for f in written["tokens"].inputFiles())
+            assert rows > 16 << 10  # no join takes these for the short side
+    finally:
+        spark.conf.unset(limit)
+    assert pieces["16k"] == pieces["-1"]
+
+
 def test_packing_with_targets_loses_nothing(spark, corpus, texts):
     names = sorted(r["source"] for r in corpus.select("source").distinct().collect() if r["source"] is not None)
     check_packing(packing.pack(corpus, targets={n: 1 + k % 3 for k, n in enumerate(names[:-1])}).collect(), texts)
