@@ -7,10 +7,12 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -870,6 +872,61 @@ def test_very_long_texts_go_through_whole(spark, labels):
     assert {r["text"].count("\n") for r in html.collect()} == {19_999}
 
 
+def quickest(f):
+    took = []
+    for _ in range(3):
+        began = time.perf_counter()
+        f()
+        took.append(time.perf_counter() - began)
+    return min(took)
+
+
+def test_notes_have_the_codes_of_their_sound_without_making_it():
+    rng = np.random.default_rng(11)
+    notes = [rng.integers(-1, 12, n) for n in (64,) * 150 + (9, 20, 300)]
+    sounds = [chroma.codes(chroma.chroma(chroma.synthesize(x))) for x in notes]
+    assert all((chroma.codes(chroma.chroma_of_notes(x[None]))[0] == c).all() for x, c in zip(notes, sounds, strict=True))
+    assert (chroma.codes(chroma.chroma_of_notes(np.stack(notes[:150]))) == np.stack(sounds[:150])).all()
+    batch = pd.DataFrame({"id": range(150), "v": list(rng.normal(0, 0.125, (150, 64)))})
+    from_table = quickest(lambda: list(chroma.vector_batches(iter([batch]))))
+    assert 5 * from_table < quickest(lambda: [chroma.codes(chroma.chroma(chroma.synthesize(x))) for x in notes[:150]])
+
+
+def test_matches_of_blocks_are_those_of_every_offset_at_a_fraction_of_its_time():
+    rng = np.random.default_rng(12)
+    tape = rng.integers(0, 1 << 32, 700, dtype=np.uint32)
+
+    def cuts(count, size):
+        out = []
+        for _ in range(count):
+            at = rng.integers(0, len(tape) - size + 1)
+            flips = (rng.random((size, 32)) < rng.uniform(0, 0.35)).astype(np.uint64) << np.arange(32, dtype=np.uint64)
+            out.append(tape[at : at + size] ^ flips.sum(1).astype(np.uint32))
+        return out
+
+    def block(rows, first, names):
+        ids, sizes, codes = names
+        return {ids: [list(range(first, first + len(rows)))], sizes: [[len(x) for x in rows]], codes: [np.concatenate(rows).astype("<u4").tobytes()]}
+
+    def matches(asked, rows):
+        both = pd.DataFrame(block(rows, 0, ("ids", "sizes", "codes")) | block(asked, 10_000, ("q_ids", "q_sizes", "q_codes")))
+        return {(r.id_a, r.id_b): (r.offset, r.votes, r.bit_error) for x in chroma.match_batches(iter([both])) for r in x.itertuples()}
+
+    sizes = (1, 2, 7, 56, 57, 200, 300, 520)  # pairs of the last are tried offset by offset
+    asked, rows, want = [x for n in sizes for x in cuts(4, n)], [x for n in sizes for x in cuts(25, n)], {}
+    for i, p in enumerate(asked):
+        for j, q in enumerate(rows):
+            error, offset = (v[0] for v in chroma.alignments(p, q[:, None]))
+            if error <= chroma.MAX_BIT_ERROR:
+                a, b = max(offset, 0), max(-offset, 0)
+                n = min(len(p) - a, len(q) - b)
+                want[10_000 + i, j] = (offset, sum(int(x) >> 12 == int(y) >> 12 for x, y in zip(p[a : a + n], q[b : b + n], strict=True)), error)
+    assert matches(asked, rows) == want and len(want) > 1000
+    tunes = chroma.codes(chroma.chroma_of_notes(rng.integers(0, 12, (900, 64)))).astype(np.uint32)
+    asked, rows, table = list(tunes[:100]), list(tunes[100:]), np.ascontiguousarray(tunes[100:].T)
+    assert 2 * quickest(lambda: matches(asked, rows)) < quickest(lambda: [chroma.alignments(x, table) for x in asked])
+
+
 def test_fingerprints_of_nothing_and_of_nulls(spark):
     rows = [(0, None), (50, [None] * 30), (51, [0.1, None, 0.3] * 10), (52, [0.1, None, 0.3] * 10), (53, []), (53, [])]
     df = spark.createDataFrame(rows, "id long, v array<double>")
